@@ -96,3 +96,22 @@ def parts_for(n_bytes: float, each: float, least: int = 1) -> int:
 def spread(df: DataFrame, n: int, *keys: Column | str) -> Column:
     """A block number below ``n`` from a hash of ``keys``."""
     return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+
+
+class Memo(dict):
+    """Values by key, made on first use.  Holds two generations of at most ``size`` keys each."""
+
+    def __init__(self, make, size: int, longest_key: int = 64):
+        super().__init__()
+        self.make, self.size, self.longest_key, self.old = make, size, longest_key, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if not isinstance(key, str) or len(key) <= self.longest_key:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -8,6 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .packing import pack
+from .pii import personal_data_digest
+from .token_counts import token_counts
+
+
+def vocabulary(name: str) -> str:
+    """Where the public vocabulary file ``name`` is on this machine; executors have the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +53,9 @@ FROM n
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
+        "op3_token_counts": op3_token_counts,
+        "op9_packing": op9_packing,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
