@@ -10,6 +10,8 @@ from .common import table
 from .exact_dedup import exact_groups
 from .packing import pack
 from .pii import personal_data_digest
+from .quality_rules import quality_rules
+from .simhash import near_groups
 from .token_counts import token_counts
 
 
@@ -28,6 +30,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op3_token_counts": op3_token_counts,
+        "op5_quality_rules": op5_quality_rules,
+        "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_exact_dedup": op10_exact_dedup,
     }
