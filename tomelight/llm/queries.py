@@ -10,6 +10,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .packing import pack
 from .pii import personal_data_digest
+from .quality_model import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .simhash import near_groups
 from .token_counts import token_counts
@@ -30,6 +31,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return score_quality(documents, fit_quality(documents, table(spark, sf_dir, "labels")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op3_token_counts": op3_token_counts,
+        "op4_quality_model": op4_quality_model,
         "op5_quality_rules": op5_quality_rules,
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
