@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_groups
 from .packing import pack
+from .pieces import piece_digest
 from .pii import personal_data_digest
 from .quality_model import fit_quality, score_quality
 from .quality_rules import quality_rules
@@ -40,6 +41,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_quality_model": op4_quality_model,
         "op5_quality_rules": op5_quality_rules,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_exact_dedup": op10_exact_dedup,
