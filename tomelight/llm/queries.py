@@ -14,6 +14,7 @@ from .pii import personal_data_digest
 from .quality_model import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .simhash import near_groups
+from .substring import repeated_words
 from .token_counts import token_counts
 
 
@@ -28,6 +29,32 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(table(spark, sf_dir, "documents"))
+
+
+_OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, p, array_to_string(ws[p:p + 34], ' ') AS s FROM w, unnest(range(1, len(ws) - 33)) t(p)
+), shared AS (
+  SELECT doc_id, p FROM win QUALIFY count(*) OVER (PARTITION BY s) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p + k AS i FROM shared, unnest(range(0, 35)) t(k)
+), word AS (
+  SELECT doc_id, i, ws[i] AS x FROM w, unnest(range(1, len(ws) + 1)) t(i)
+), kept AS (
+  SELECT word.doc_id, count(*) AS n_kept, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY word.doc_id
+)
+SELECT w.doc_id,
+       CAST(len(ws) AS BIGINT) AS n_words,
+       CAST(len(ws) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
@@ -75,6 +102,7 @@ FROM n
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_quality_model": op4_quality_model,
         "op5_quality_rules": op5_quality_rules,
@@ -87,5 +115,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": _OP2_SQL,
         "op10_exact_dedup": _OP10_SQL,
     }
