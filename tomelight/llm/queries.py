@@ -14,6 +14,7 @@ from .pii import personal_data_digest
 from .quality_model import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .simhash import near_groups
+from .suffix_dedup import repeated_bytes
 from .substring import repeated_words
 from .token_counts import token_counts
 
@@ -68,6 +69,37 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+_OP6_SQL = r"""
+WITH b AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), win AS (
+  SELECT doc_id, p, substring(h, 2 * p + 1, 100) AS s FROM b, unnest(range(0, len(h) // 2 - 49)) t(p)
+), later AS (
+  SELECT doc_id, p FROM win QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, p + k AS i FROM later, unnest(range(0, 50)) t(k)
+), byte AS (
+  SELECT doc_id, i, substring(h, 2 * i + 1, 2) AS x FROM b, unnest(range(0, len(h) // 2)) t(i)
+), kept AS (
+  SELECT byte.doc_id, string_agg(x, '' ORDER BY i) AS k FROM byte ANTI JOIN gone USING (doc_id, i) GROUP BY byte.doc_id
+), lost AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (fresh) AS n_spans
+  FROM (SELECT doc_id, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) < i - 1, true) AS fresh FROM gone)
+  GROUP BY doc_id
+)
+SELECT b.doc_id,
+       CAST(len(h) // 2 AS BIGINT) AS n_bytes,
+       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM b LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -106,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_quality_model": op4_quality_model,
         "op5_quality_rules": op5_quality_rules,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
@@ -116,5 +149,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": _OP2_SQL,
+        "op6_suffix_dedup": _OP6_SQL,
         "op10_exact_dedup": _OP10_SQL,
     }
