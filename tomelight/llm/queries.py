@@ -75,28 +75,40 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP6_SQL = r"""
 WITH b AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
-), win AS (
-  SELECT doc_id, p, substring(h, 2 * p + 1, 100) AS s FROM b, unnest(range(0, len(h) // 2 - 49)) t(p)
-), later AS (
-  SELECT doc_id, p FROM win QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id
-), gone AS (
-  SELECT DISTINCT doc_id, p + k AS i FROM later, unnest(range(0, 50)) t(k)
+  SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents
 ), byte AS (
-  SELECT doc_id, i, substring(h, 2 * i + 1, 2) AS x FROM b, unnest(range(0, len(h) // 2)) t(i)
-), kept AS (
-  SELECT byte.doc_id, string_agg(x, '' ORDER BY i) AS k FROM byte ANTI JOIN gone USING (doc_id, i) GROUP BY byte.doc_id
-), lost AS (
-  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (fresh) AS n_spans
-  FROM (SELECT doc_id, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) < i - 1, true) AS fresh FROM gone)
-  GROUP BY doc_id
+  SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM b
+), s2 AS (
+  SELECT *, x || lead(x, 1) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM byte
+), s4 AS (
+  SELECT *, w2 || lead(w2, 2) OVER (PARTITION BY doc_id ORDER BY i) AS w4 FROM s2
+), s8 AS (
+  SELECT *, w4 || lead(w4, 4) OVER (PARTITION BY doc_id ORDER BY i) AS w8 FROM s4
+), s16 AS (
+  SELECT doc_id, i, x, w2, w8 || lead(w8, 8) OVER (PARTITION BY doc_id ORDER BY i) AS w16 FROM s8
+), s50 AS (
+  SELECT doc_id, i, x,
+         w16 || lead(w16, 16) OVER d || lead(w16, 32) OVER d || lead(w2, 48) OVER d AS w
+  FROM s16 WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), early AS (
+  SELECT w, min(doc_id) AS first_id FROM s50 WHERE w IS NOT NULL GROUP BY w HAVING min(doc_id) < max(doc_id)
+), hit AS (
+  SELECT s50.doc_id, i, x, coalesce(first_id < s50.doc_id, false) AS starts FROM s50 LEFT JOIN early USING (w)
+), mark AS (
+  SELECT doc_id, i, x, max(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM hit
+), span AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS fresh FROM mark
+), done AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (fresh) AS n_spans,
+         string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM span GROUP BY doc_id
 )
 SELECT b.doc_id,
-       CAST(len(h) // 2 AS BIGINT) AS n_bytes,
+       CAST(len(l) AS BIGINT) AS n_bytes,
        CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(k, ''))) AS kept_sha256
-FROM b LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM b LEFT JOIN done USING (doc_id)
 """
 
 
