@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, id_and_text
+from .common import id_and_text
 
 SPACE = "▁"
-CACHE_ENTRIES = 250_000
-#: New stretches that one suffix array indexes at most, in characters.
-INDEX_CHARS = 2_000_000
+#: Words and stretches that a worker goes on remembering into its next batch, at most.
+CACHE_ENTRIES = 300_000
+#: Texts that are learnt together, and new stretches that one suffix array indexes, in characters.
+LEARN_CHARS, INDEX_CHARS = 16_000_000, 1_000_000
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -59,7 +60,8 @@ class PieceCoder:
         self.ids = {self.pieces[i]: i for i in normal}
         self.scores = {self.pieces[i]: model.get_score(i) for i in normal}
         self.touch = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.meets = Memo(self._meet, 4 * CACHE_ENTRIES)
+        # Known pairs of pieces (the left one's id times 2**16 plus the right one's), sorted, and whether they meet.
+        self.pair, self.pair_meets = np.zeros(0, np.int64), np.zeros(0, bool)
         # Pieces whose characters encode to them, as a matrix of codes by length.
         self.usable = sorted((p for p in self.ids if self.merged(list(p)) == [p]), key=lambda p: (len(p), p))
         self.usable_ids = np.array([self.ids[p] for p in self.usable])
@@ -69,8 +71,7 @@ class PieceCoder:
         for k, p in enumerate(self.usable):
             self.matrix[k, : len(p)] = [ord(c) for c in p]
         self.stretches: dict[str, bytes] = {}
-        self.old_stretches: dict[str, bytes] = {}
-        self.words = Memo(lambda w: b"".join(map(self.stretch_ids, self.cut(SPACE + w))), CACHE_ENTRIES)
+        self.words: dict[str, bytes] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merges' own result; only for a piece or two at a time."""
@@ -86,61 +87,58 @@ class PieceCoder:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def _meet(self, pair: tuple[int, int]) -> bool:
-        left, right = self.pieces[pair[0]], self.pieces[pair[1]]
-        if left[-1] + right[0] not in self.touch:
-            return True
-        return self.merged(list(left + right)) == [left, right]
+    def meets(self, key: np.ndarray) -> np.ndarray:
+        """Whether the pieces of each pair, taken together, encode to themselves."""
+        at = np.searchsorted(self.pair, key)
+        known = at < len(self.pair)
+        known[known] = self.pair[at[known]] == key[known]
+        if not known.all():
+            fresh = np.unique(key[~known])
+            found = np.zeros(len(fresh), bool)
+            for k, (a, b) in enumerate(zip((fresh >> 16).tolist(), (fresh & 0xFFFF).tolist(), strict=True)):
+                left, right = self.pieces[a], self.pieces[b]
+                found[k] = left[-1] + right[0] not in self.touch or self.merged(list(left + right)) == [left, right]
+            order = np.argsort(pair := np.concatenate((self.pair, fresh)), kind="stable")
+            self.pair, self.pair_meets = pair[order], np.concatenate((self.pair_meets, found))[order]
+            at = np.searchsorted(self.pair, key)
+        return self.pair_meets[at]
 
     def cut(self, text: str) -> list[str]:
         """Stretches between which no merge can pass."""
-        touch, out, start = self.touch, [], 0
-        for k in range(1, len(text)):
-            if text[k - 1 : k + 1] not in touch:
-                out.append(text[start:k])
-                start = k
-        out.append(text[start:])
-        return out
+        touch = self.touch
+        stops = [k for k, pair in enumerate(map(str.__add__, text, text[1:]), 1) if pair not in touch]
+        return [text[a:b] for a, b in zip([0, *stops], [*stops, len(text)], strict=True)] if stops else [text]
 
     def unknown(self, char: str) -> bytes:
         own = self.ids.get(char)
         found = [own] if own is not None else [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
         return np.array(found, np.uint16).tobytes()
 
-    def stretch_ids(self, stretch: str) -> bytes:
-        found = self.stretches.get(stretch)
-        if found is None:
-            found = self.old_stretches.get(stretch)
-            if found is None:
-                self.index([stretch])
-                found = self.stretches[stretch]
-        return found
-
     def learn(self, texts: list[str]) -> None:
-        """Encode, in bulk, the stretches of ``texts`` that aren't known yet."""
+        """Encode, in bulk, the words of ``texts`` that aren't known yet."""
         if len(self.stretches) > CACHE_ENTRIES:
-            self.old_stretches, self.stretches = self.stretches, {}
+            self.stretches = {}
         fresh: set[str] = set()
-        words, old = self.words, self.words.old
         for text in texts:
-            for word in self.split_words(text):
-                if word not in words and word not in old:
-                    fresh.add(word)
+            fresh.update(self.split_words(text))
+        if len(self.words) > CACHE_ENTRIES:  # words that come back stay
+            self.words = {w: self.words[w] for w in fresh if w in self.words}
+        fresh.difference_update(self.words)
+        cuts = [(word, self.cut(SPACE + word)) for word in sorted(fresh)]
         todo: dict[str, None] = {}
         size = 0
-        for word in sorted(fresh):
-            for s in self.cut(SPACE + word):
+        for _, parts in cuts:
+            for s in parts:
                 if s not in self.stretches and s not in todo:
-                    if s in self.old_stretches:
-                        self.stretches[s] = self.old_stretches[s]
-                        continue
                     todo[s] = None
                     size += len(s) + 1
                     if size > INDEX_CHARS:
                         self.index(list(todo))
                         todo, size = {}, 0
-        if todo:
-            self.index(list(todo))
+        self.index(list(todo))
+        known = self.stretches
+        for word, parts in cuts:
+            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[s] for s in parts])
 
     def occurrences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where which usable piece occurs in ``codes`` (zeros separate): starts, piece numbers."""
@@ -176,29 +174,43 @@ class PieceCoder:
             return
         codes = np.frombuffer("\0".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32)
         start, piece = self.occurrences(codes)
-        end = start + self.lengths[piece]
-        sort = np.lexsort((start, end))
-        edges = zip(start[sort].tolist(), end[sort].tolist(), self.usable_ids[piece[sort]].tolist(), strict=True)
-        back = [-1] * (len(codes) + 1)  # start of the last piece of the encoding that ends here
-        last = [-1] * (len(codes) + 1)
-        offsets = np.cumsum([0, *(len(s) + 1 for s in stretches)]).tolist()
-        first = bytearray(len(codes) + 2)
-        for o in offsets[:-1]:
-            first[o] = 1
-        meets = self.meets
-        for a, b, t in edges:
-            if back[b] < 0 and (first[a] or back[a] >= 0 and meets[last[a], t]):
-                back[b], last[b] = a, t
-        for k, s in enumerate(stretches):
-            at, begin, found = offsets[k] + len(s), offsets[k], []
-            while at > begin:
-                if back[at] < 0:
-                    found = []
-                    break
-                found.append(last[at])
-                at = back[at]
-            # A character outside the vocabulary touches nothing, so it is a stretch of its own.
-            self.stretches[s] = np.array(found[::-1], np.uint16).tobytes()
+        end, ids = start + self.lengths[piece], self.usable_ids[piece]
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        own = np.searchsorted(begin, start, side="right") - 1
+        reach = end - begin[own]
+        sort = np.lexsort((start, end, reach))
+        start, end, ids, reach = start[sort], end[sort], ids[sort], reach[sort]
+        first = np.zeros(len(codes) + 1, bool)
+        first[begin] = True
+        back = np.full(len(codes) + 1, -1, np.int64)  # where the last piece of the encoding that ends here starts
+        last = np.full(len(codes) + 1, -1, np.int64)
+        cuts = np.flatnonzero(np.diff(reach, prepend=-1))
+        for i, j in zip(cuts, [*cuts[1:], len(reach)], strict=True):  # all stretches in step
+            a, b, t = start[i:j], end[i:j], ids[i:j]
+            good = first[a].copy()
+            open_ = np.flatnonzero(~good & (last[a] >= 0))
+            good[open_] = self.meets((last[a[open_]] << 16) + t[open_])
+            hit = np.flatnonzero(good)
+            hit = hit[np.concatenate(([True], np.diff(b[hit]) != 0))] if len(hit) else hit
+            back[b[hit]], last[b[hit]] = a[hit], t[hit]
+        # A character outside the vocabulary touches nothing, so every longer stretch has an encoding.
+        at, alive, found, whose, depth = begin + sizes, np.arange(len(stretches)), [], [], []
+        step = 0
+        while len(alive):
+            found.append(last[at])
+            whose.append(alive)
+            depth.append(np.full(len(alive), step))
+            at = back[at]
+            more = at > begin[alive]
+            at, alive, step = at[more], alive[more], step - 1
+        ids, whose = np.concatenate(found), np.concatenate(whose)
+        raw = ids[np.lexsort((np.concatenate(depth), whose))].astype(np.uint16).tobytes()
+        stops = (2 * np.cumsum(np.bincount(whose, minlength=len(stretches)))).tolist()
+        at = 0
+        for s, stop in zip(stretches, stops, strict=True):
+            self.stretches[s] = raw[at:stop]
+            at = stop
 
     def split_words(self, text: str) -> list[str]:
         """What follows each space mark, with any marks beyond the first; a text starts with one."""
@@ -209,7 +221,13 @@ class PieceCoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint16)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.split_words(text))), np.uint16)
+        words = self.split_words(text)
+        try:
+            found = b"".join(map(self.words.__getitem__, words))
+        except KeyError:
+            self.learn([text])
+            found = b"".join(map(self.words.__getitem__, words))
+        return np.frombuffer(found, np.uint16)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``; a space mark in the encoded text comes back as a space."""
@@ -230,10 +248,13 @@ def _encode(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
         for whole in batches:
-            code.learn(whole.column("text").to_pylist())  # one index for the batch
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            sizes = np.array([len(t.as_buffer() or b"") for t in whole.column("text")], np.int64)
+            part = np.cumsum(sizes) // LEARN_CHARS
+            cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            for at, to in zip(cuts, [*cuts[1:], whole.num_rows], strict=True):
+                batch = whole.slice(at, to - at)
                 texts = batch.column("text").to_pylist()
+                code.learn(texts)
                 ids = [code.encode(t) for t in texts]
                 if digest:
                     back = [code.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
