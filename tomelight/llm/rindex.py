@@ -5,12 +5,30 @@ from __future__ import annotations
 import numpy as np
 
 
-def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate(([False], np.diff(key[order]) != 0))
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """Each value's rank: how many are less."""
+    order = np.argsort(key)
+    ordered = key[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(new)
-    return rank, order
+    rank[order] = np.repeat(first, np.diff(np.append(first, len(key))))
+    return rank
+
+
+def _refine(rank: np.ndarray, second: np.ndarray, among: np.ndarray, most: int) -> np.ndarray:
+    """Ranks by (rank, second) for positions ``among``, the ones whose rank others share; returns the still shared."""
+    key = rank[among] * most + second
+    order = np.argsort(key)
+    key, where = key[order], among[order]
+    old = rank[where]
+    place = np.arange(len(key))
+    group = np.concatenate(([True], old[1:] != old[:-1]))
+    base = np.maximum.accumulate(np.where(group, place, 0))
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    first = np.maximum.accumulate(np.where(new, place, 0))
+    rank[where] = old + first - base
+    alone = new & np.concatenate((new[1:], [True]))
+    return where[~alone]
 
 
 class RunIndex:
@@ -38,18 +56,20 @@ class RunIndex:
         key = np.zeros(n, np.int64)
         for k in range(7):
             key |= np.where(left >= k, wide[k : k + n], 0) << (9 * (6 - k))
-        rank, order = _dense(key)
+        rank = _ranked(key)
+        shared = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
         width, alike = 7, None
         while True:
             if width <= length <= 2 * width:
-                alike = (width, rank)
-            if width > int(sizes.max(initial=0)) + 1 or int(rank.max(initial=0)) == n - 1 and alike is not None:
+                alike = (width, rank.copy())
+            if alike is not None and not len(shared):
                 break
-            follow = np.minimum(np.arange(n) + width, n - 1)
-            second = np.where(left < width, sid, len(strings) + rank[follow])
-            rank, order = _dense(rank * (n + len(strings) + 1) + second)
+            second = np.where(left[shared] < width, sid[shared], len(strings) + rank[np.minimum(shared + width, n - 1)])
+            if len(shared):
+                shared = _refine(rank, second, shared, n + len(strings) + 1)
             width *= 2
-        suffix = order
+        suffix = np.empty(n, np.int64)
+        suffix[rank] = np.arange(n)
         before = np.where(suffix > 0, code[suffix - 1], 0)
         start = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         end = np.append(start[1:], n) - 1
@@ -57,6 +77,7 @@ class RunIndex:
         self.run_start, self.run_code = start, before[start]
         self.low, self.high = suffix[start], suffix[end]  # the sampled ends
         size = end - start + 1
+        self.run_of = np.repeat(np.arange(len(start), dtype=np.int32), size)
         by_code = np.lexsort((start, self.run_code))
         sized = np.cumsum(size[by_code]) - size[by_code]
         codes, first = np.unique(self.run_code[by_code], return_index=True)
@@ -77,6 +98,7 @@ class RunIndex:
         same = (left[a] >= length) & (left[b] >= length) & (r[a] == r[b]) & (r[near[a]] == r[near[b]])
         self.range_start = np.flatnonzero(np.concatenate(([True], ~same))) if n else np.zeros(0, np.int64)
         self.range_least = np.minimum.reduceat(owner[sid[suffix]], self.range_start) if n else owner[:0]
+        self.range_of = np.repeat(np.arange(len(self.range_start), dtype=np.int32), np.diff(np.append(self.range_start, n)))
 
     @property
     def runs(self) -> int:
@@ -125,7 +147,7 @@ class RunIndex:
             who = by_size[:k]
             c = text[last[who] - t].astype(np.int64) + 1
             r, p, m = rank[:k], place[:k], match[:k]
-            run = np.searchsorted(self.run_start, r, side="right") - 1
+            run = self.run_of[r]
             hit = self.run_code[run] == c
             new_r = self._step(run, r)
             new_p = p - 1
@@ -151,6 +173,5 @@ class RunIndex:
             rank[:k], place[:k], match[:k] = new_r, new_p, new_m
             full = np.flatnonzero((new_m >= self.length) & (windows[who] > 0))
             if len(full):
-                group = np.searchsorted(self.range_start, new_r[full], side="right") - 1
-                found[offset[who[full]] + sizes[who[full]] - 1 - t] = self.range_least[group]
+                found[offset[who[full]] + sizes[who[full]] - 1 - t] = self.range_least[self.range_of[new_r[full]]]
         return found
