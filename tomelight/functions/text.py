@@ -191,7 +191,7 @@ def wikilinks(text: Column | str) -> Column:
 
 
 def source_citations(text: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(_c(text), F.lit(r"\[source:[ \t]*([^\]]+)\]"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(_c(text), F.lit(r"\[source:[ \t]*([^\]]+)\]"), F.lit(1)), lambda x: F.trim(x))
 
 
 def llm_json(text: Column | str) -> Column:
