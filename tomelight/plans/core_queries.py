@@ -188,7 +188,7 @@ _SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}),
 
 @query(
     f"WITH {_LINKS}, refs AS (SELECT DISTINCT slug AS referrer, ord, {_SLUG.format('link')} AS slug FROM edges) SELECT slug, list(referrer ORDER BY ord, referrer) AS referrers, count(*) AS n FROM refs WHERE slug IN (SELECT slug FROM wiki) GROUP BY slug",
-    "wiki",
+    "wiki", lists=("referrers",)
 )
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
     return L.backlinks(V.wiki(spark, d))
@@ -230,7 +230,7 @@ _IDS = "adv AS (SELECT 'c' || doc_id AS id, ['s' || doc_id, 's' || (doc_id + 3),
     f"""WITH {_IDS}, one AS (SELECT id, x, min(p) AS p FROM (SELECT id, unnest(ids) AS x, generate_subscripts(ids, 1) AS p FROM adv) GROUP BY id, x),
 j AS (SELECT id, x, p, x IN (SELECT source_id FROM compilations WHERE type = 'summary') AS k FROM one)
 SELECT id, coalesce(list(x ORDER BY p) FILTER (k), []) AS kept, count(*) FILTER (NOT k) AS dropped, CASE WHEN bool_or(k) THEN 'advisory' ELSE 'fallback' END AS mode FROM j GROUP BY id""",
-    "compilations",
+    "compilations", lists=("kept",)
 )
 def source_attribution(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")

@@ -107,7 +107,7 @@ def _sql_list(words: list[str]) -> str:
     f"""SELECT conv_id, turn,
   list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(text), '[''‘’]s([^a-z0-9_]|$)', '\\1', 'g'), '[^a-z0-9_ \\t\\n]', ' ', 'g'), '[ \\t\\n]+'), lambda t: length(t) >= 2 AND t NOT IN {_sql_list(S.ANALYSIS_STOP_WORDS)}) AS analysis,
   list_filter(list_transform(regexp_split_to_array(regexp_replace(lower(text), '[-"*()^?!]', ' ', 'g'), '[ \\t\\n]+'), lambda t: regexp_replace(t, '[^a-z0-9_]', '', 'g')), lambda t: length(t) >= 2 AND t NOT IN {_sql_list(S.SEARCH_STOP_WORDS)}) AS search
-FROM conversations WHERE role = 'user'"""
+FROM conversations WHERE role = 'user'""", lists=("analysis", "search",)
 )
 def tokenize_question(spark: SparkSession, d: str) -> DataFrame:
     c = V.table(spark, d, "conversations").filter("role = 'user'")
