@@ -17,6 +17,8 @@ from .common import SPACE_CLASS, discard, store
 #: Share of a group's rows that each concentration step keeps.
 CORE = 0.75
 STEPS = 3
+#: Parts into which a group's rows are dealt when its estimates are joined to them.
+SALTS = 32
 #: Groups of fewer rows are judged together with their language's other small groups.
 LEAST_GROUP = 50
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
@@ -113,10 +115,15 @@ def _factored(moments: DataFrame) -> DataFrame:
     return out.select("g", *(f"m_{i}" for i in range(n)), *(f"l_{i}_{j}" for i in range(n) for j in range(i + 1)))
 
 
+def _with_estimates(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """``rows`` (with a salt) beside their group's row of ``params``; a group with most rows meets them in ``SALTS`` parts."""
+    return rows.join(params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"])
+
+
 def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
     """``rows`` with d2, the squared distance under their group's ``params``."""
     n = len(FEATURES)
-    out = rows.join(params, "g")
+    out = _with_estimates(rows, params)
     for i in range(n):
         z = F.col(FEATURES[i]) - F.col(f"m_{i}")
         for k in range(i):
@@ -137,7 +144,7 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     """Per group g of ``rows``: centre, Cholesky factor and the scale of distances under them."""
     n = len(FEATURES)
     middle = rows.groupBy("g").agg(*(F.percentile_approx(FEATURES[i], 0.5, 1000).alias(f"m_{i}") for i in range(n)))
-    spread = rows.join(middle, "g").groupBy("g").agg(
+    spread = _with_estimates(rows, middle).groupBy("g").agg(
         *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(n)),
         *(F.percentile_approx(F.abs(F.col(FEATURES[i]) - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i in range(n)),
     )
@@ -173,8 +180,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("lang").alias("_l"), F.col("source").alias("_s"), F.when(F.col("count") >= LEAST_GROUP, F.struct("lang", "source")).otherwise(F.struct("lang", F.lit(None).cast("string").alias("source"))).alias("_g")
     )
     judged = rows.withColumn("base_failed", failed).join(named, (rows["lang"] == named["_l"]) & (rows["source"] == named["_s"]), "left")
-    featured = store(judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.to_json("_g").alias("g"), *_features()), "featured")
-    estimates = robust_estimates(featured.filter("not base_failed").select("g", *FEATURES))
+    featured = store(judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.to_json("_g").alias("g"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), *_features()), "featured")
+    estimates = robust_estimates(featured.filter("not base_failed").select("g", "salt", *FEATURES))
     measured = _with_distance(featured.filter("not base_failed"), estimates)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     passed = measured.select(*base, F.coalesce(F.col("d2") * F.col("scale") <= CUTOFF, F.lit(True)).alias("kept"), (F.col("d2") * F.col("scale")).alias("d2"))
