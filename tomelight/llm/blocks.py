@@ -67,6 +67,11 @@ def deal(df: DataFrame, n_blocks: int, id_col: str, text_col: str) -> DataFrame:
     return base.select(spread(base, n_blocks, "doc_id").alias("block"), "doc_id", "text")
 
 
+def known_ids(ids: list[int | None]) -> np.ndarray:
+    """Identifiers for comparing; a missing one counts as the largest."""
+    return np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
+
+
 def in_order(docs: pa.Table) -> tuple[int, list[int], list[bytes]]:
     """Block, identifiers and texts of a block's documents, always in the same order."""
     docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -76,6 +81,8 @@ def in_order(docs: pa.Table) -> tuple[int, list[int], list[bytes]]:
 
 def by_bucket(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The order that sorts distinct ``keys`` by bucket, and (bucket, from, to) in that order."""
+    if not len(keys):
+        return np.zeros(0, np.int64), []
     bucket = ((keys >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]

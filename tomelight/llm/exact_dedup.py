@@ -82,14 +82,15 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when identical after each run of the six space characters became one space; a
     null text counts as empty, an empty one equals other empty ones, and of equal texts the
-    smallest identifier stays.  Repeated identifiers each give a row.  An empty input gives no
-    rows.  Further columns of ``df`` play no part, whatever their names.
+    smallest identifier stays; a missing one counts as the largest.  Repeated identifiers each give
+    a row.  An empty input gives no rows.  Further columns of ``df`` play no part, whatever their names.
     """
     base = id_and_text(df, id_col, text_col)
     norm = base.select("doc_id", normalised().alias("norm"))
     keyed = norm.select("doc_id", "norm", F.substring("norm", 1, SPLITTER_CHARS).alias("head"), F.xxhash64("norm").alias("h"))
     n = parts_for(text_bytes(df, text_col), PARTITION_BYTES, 2)
-    ordered = keyed.repartitionByRange(n, "head", "h", "doc_id").sortWithinPartitions("head", "h", "norm", "doc_id")
+    last = F.col("doc_id").asc_nulls_last()
+    ordered = keyed.repartitionByRange(n, "head", "h", last).sortWithinPartitions("head", "h", "norm", last)
     runs = store(ordered.select("doc_id", "norm").mapInArrow(_mark_runs, _RUNS), "runs")
     # At most two open runs a partition: the table below has a bounded number of rows for any input.
     joined = (
@@ -107,12 +108,15 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("_size", "run_size").alias("group_size"),
-        (F.col("doc_id") == keep).alias("kept"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, without those whose text an earlier identifier has."""
+    """The rows of ``df``, all columns, without those whose text an earlier identifier has.
+
+    Rows that share an identifier, or have none, stay or go together.
+    """
     kept = exact_groups(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(kept, df[id_col].cast("long") == kept["_kept_id"], "left_semi")
+    return df.join(kept, df[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -26,6 +26,8 @@ from .common import id_and_text
 SPACE = "▁"
 #: Words and stretches that a worker goes on remembering into its next batch, at most.
 CACHE_ENTRIES = 300_000
+#: Stretches of more characters are relaxed one by one, not in step with the others.
+LONG_STRETCH = 256
 #: Texts that are learnt together, and new stretches that one suffix array indexes, in characters.
 LEARN_CHARS, INDEX_CHARS = 16_000_000, 1_000_000
 
@@ -180,13 +182,18 @@ class PieceCoder:
         own = np.searchsorted(begin, start, side="right") - 1
         reach = end - begin[own]
         sort = np.lexsort((start, end, reach))
-        start, end, ids, reach = start[sort], end[sort], ids[sort], reach[sort]
+        start, end, ids, reach, own = start[sort], end[sort], ids[sort], reach[sort], own[sort]
         first = np.zeros(len(codes) + 1, bool)
         first[begin] = True
         back = np.full(len(codes) + 1, -1, np.int64)  # where the last piece of the encoding that ends here starts
         last = np.full(len(codes) + 1, -1, np.int64)
+        alone = sizes[own] > LONG_STRETCH
+        if alone.any():
+            order = np.lexsort((start[alone], end[alone]))
+            self.relax(*(x[alone][order].tolist() for x in (start, end, ids)), first, back, last)
+            start, end, ids, reach = start[~alone], end[~alone], ids[~alone], reach[~alone]
         cuts = np.flatnonzero(np.diff(reach, prepend=-1))
-        for i, j in zip(cuts, [*cuts[1:], len(reach)], strict=True):  # all stretches in step
+        for i, j in zip(cuts, [*cuts[1:], len(reach)], strict=False):  # all stretches in step
             a, b, t = start[i:j], end[i:j], ids[i:j]
             good = first[a].copy()
             open_ = np.flatnonzero(~good & (last[a] >= 0))
@@ -212,6 +219,24 @@ class PieceCoder:
             self.stretches[s] = raw[at:stop]
             at = stop
 
+    def relax(self, start: list[int], end: list[int], ids: list[int], first: np.ndarray, back: np.ndarray, last: np.ndarray) -> None:
+        """Relax edges in the order of their ends, one at a time."""
+        known: dict[int, bool] = {}
+        came: dict[int, int] = {}
+        for a, b, t in zip(start, end, ids, strict=True):
+            if b in came:
+                continue
+            if not first[a]:
+                if a not in came:
+                    continue
+                key = (came[a] << 16) + t
+                if key not in known:
+                    known[key] = bool(self.meets(np.array([key]))[0])
+                if not known[key]:
+                    continue
+            came[b] = t
+            back[b], last[b] = a, t
+
     def split_words(self, text: str) -> list[str]:
         """What follows each space mark, with any marks beyond the first; a text starts with one."""
         if SPACE not in text and "  " not in text and not text.startswith(" "):
@@ -251,7 +276,7 @@ def _encode(path: str, digest: bool):
             sizes = np.array([len(t.as_buffer() or b"") for t in whole.column("text")], np.int64)
             part = np.cumsum(sizes) // LEARN_CHARS
             cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-            for at, to in zip(cuts, [*cuts[1:], whole.num_rows], strict=True):
+            for at, to in zip(cuts, [*cuts[1:], whole.num_rows], strict=False):
                 batch = whole.slice(at, to - at)
                 texts = batch.column("text").to_pylist()
                 code.learn(texts)

@@ -254,7 +254,7 @@ def _link(distance: int):
 
 def linked_fingerprints(reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """fp, root for distinct fingerprints ``reps.fp`` that have a link within ``distance``."""
-    n = reps.count()
+    n = max(reps.count(), 2)
     drawn = reps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
     plan = allocate(np.array([r[0] for r in drawn], np.int64).view(np.uint64), n, distance)
     per_fp = sum(sum(math.comb(len(bits), k) for k in range(t + 1)) for bits, t in plan)
@@ -269,7 +269,8 @@ def near_groups(df: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DIS
 
     Documents link when their fingerprints differ in at most ``distance`` bits; component_id is the
     smallest doc_id reachable over links.  Null and empty texts have fingerprint zero and link like
-    any other.  Equal fingerprints are one node, so copies cost no pairs.  An empty input gives no
+    any other.  Missing identifiers are never the smallest unless all of a component are missing.
+    Equal fingerprints are one node, so copies cost no pairs.  An empty input gives no
     rows; repeated identifiers each give a row; further columns play no part.
     """
     prints = store(simhash(df, shingle, id_col, text_col), "prints")
@@ -282,6 +283,9 @@ def near_groups(df: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DIS
 
 
 def drop_near_copies(df: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, of which each group's smallest identifier stays."""
-    kept = near_groups(df, shingle, distance, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(kept, df[id_col].cast("long") == kept["_kept_id"], "left_semi")
+    """The rows of ``df``, all columns, of which each group's smallest identifier stays.
+
+    Rows that share an identifier, or have none, stay or go together.
+    """
+    kept = near_groups(df, shingle, distance, id_col, text_col).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return df.join(kept, df[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")

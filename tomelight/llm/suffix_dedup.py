@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import ASK, Rolling, answer_repeated, answer_rows, answers, ask_repeated, ask_rows, by_bucket, deal, in_order, read_repeated, through_buckets
+from .blocks import ASK, Rolling, answer_repeated, answer_rows, answers, ask_repeated, ask_rows, by_bucket, deal, in_order, known_ids, read_repeated, through_buckets
 from .common import parts_for, text_bytes
 from .rindex import RunIndex
 
@@ -117,7 +117,7 @@ class Stretches:
             len(which),
         )
         least = np.full(len(seen), np.iinfo(np.int64).max)
-        np.minimum.at(least, place, np.array(ids, np.int64)[self.doc[which]])
+        np.minimum.at(least, place, known_ids(ids)[self.doc[which]])
         mark = np.zeros(len(seen), np.uint64)
         mark[place] = self.mark[which]
         return list(seen), mark, least, place
@@ -182,7 +182,7 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     A byte goes if a string of ``length`` bytes that covers it also starts in a document with a
     smaller doc_id; strings lie within one document and are judged on the input.  A null text
     counts as empty; texts shorter than ``length`` lose nothing.  Rows that share a doc_id count as
-    one document and don't remove each other's text.  An empty input gives no rows; further columns
+    one document and don't remove each other's text; a missing doc_id counts as the largest.  An empty input gives no rows; further columns
     play no part.
     """
     if length <= SHORT:
@@ -217,7 +217,7 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         # Windows of all shared stretches: told to go, or their document isn't the stretch's least here.
         w = windows[place]
         step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        later = np.array(ids, np.int64)[own.doc[which]] > least[place]
+        later = known_ids(ids)[own.doc[which]] > least[place]
         gone = flat[np.repeat(offset[place], w) + step] | np.repeat(later, w)
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         begin = np.cumsum(sizes) - sizes
