@@ -187,6 +187,17 @@ def test_near_groups(spark, rows):
     assert rows_of(simhash.near_groups(frame(spark, rows))) == brute_components(rows)
 
 
+def test_hot_signatures_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_SIGNATURES", 20)
+    rows = near_copies()
+    assert rows_of(simhash.near_groups(frame(spark, rows))) == brute_components(rows)
+    prints = np.array([slow_fingerprint(t) for _, t in rows], np.uint64)
+    plan = simhash.allocate(prints, len(prints))
+    hot = simhash.hot_keys(prints, len(prints), plan)
+    key, fps, _ = simhash.split_hot(*simhash.signatures(prints, plan), hot, 4)
+    assert len(hot) and not np.isin(key, hot).any() and set(fps.tolist()) == set(prints.tolist())
+
+
 @pytest.mark.parametrize("n", [3, 1000, 10**7, 10**9])
 def test_allocation_covers_the_distance(n):
     drawn = np.random.default_rng(1).integers(0, 2**64, 300, dtype=np.uint64)

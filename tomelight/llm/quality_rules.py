@@ -173,14 +173,16 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows each give a row and count in the estimates.  An empty input gives no rows.  Rows that fail
     the base rule take no part in the estimates.
     """
-    rows = store(counted(df, id_col, text_col), "counts")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    rows = store(counted(df, id_col, text_col).withColumn("salt", salt), "counts")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     sizes = rows.filter(~failed).groupBy("lang", "source").count()
     named = sizes.select(
         F.col("lang").alias("_l"), F.col("source").alias("_s"), F.when(F.col("count") >= LEAST_GROUP, F.struct("lang", "source")).otherwise(F.struct("lang", F.lit(None).cast("string").alias("source"))).alias("_g")
     )
-    judged = rows.withColumn("base_failed", failed).join(named, (rows["lang"] == named["_l"]) & (rows["source"] == named["_s"]), "left")
-    featured = store(judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.to_json("_g").alias("g"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), *_features()), "featured")
+    dealt = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = rows.withColumn("base_failed", failed).join(dealt, (rows["lang"] == dealt["_l"]) & (rows["source"] == dealt["_s"]) & (rows["salt"] == dealt["_salt"]), "left")
+    featured = store(judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.to_json("_g").alias("g"), "salt", *_features()), "featured")
     estimates = robust_estimates(featured.filter("not base_failed").select("g", "salt", *FEATURES))
     measured = _with_distance(featured.filter("not base_failed"), estimates)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

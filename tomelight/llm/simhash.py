@@ -30,6 +30,8 @@ BITS = 64
 SAMPLE = 4000
 #: Signatures that one probing task should hold.
 BUCKET_SIGNATURES = 400_000
+#: A signature that the sample says more fingerprints than this share is split by blocks of bits.
+HOT_SIGNATURES = 200_000
 #: Groups of equal signatures up to this size are compared by shifts, larger ones by search.
 SMALL_GROUP = 48
 #: Groups beyond this are first split by blocks of bits.
@@ -135,39 +137,60 @@ def allocate(sample: np.ndarray, n: int, distance: int = DISTANCE) -> list[tuple
 _MIX, _STEP, _ALL = np.uint64(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03, (1 << 64) - 1
 
 
-def _signatures(plan: list[tuple[list[int], int]], n_buckets: int):
-    masks = []
-    for bits, t in plan:
-        masks.append(np.array([sum(1 << b for b in c) for k in range(1, t + 1) for c in combinations(range(len(bits)), k)], np.uint64))
+def signatures(fps: np.ndarray, plan: list[tuple[list[int], int]], probes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, fingerprint, is_probe of each partition's own value and of the values around it."""
+    keys, own, probe = [], [], []
+    for k, (bits, t) in enumerate(plan):
+        value = project(fps, bits)
+        masks = [sum(1 << b for b in c) for r in range(1, t + 1) for c in combinations(range(len(bits)), r)] if probes else []
+        # Partitions differ in their keys' hashed part, values in the rest.
+        for shift, is_probe in ((np.zeros(1, np.uint64), 0), (np.array(masks, np.uint64), 1)):
+            key = (value[:, None] ^ shift[None, :]).ravel()
+            keys.append((key * _MIX ^ np.uint64((k + 1) * _STEP & _ALL)) * _MIX)
+            own.append(np.repeat(fps, len(shift)))
+            probe.append(np.full(len(key), is_probe, np.uint8))
+    return np.concatenate(keys), np.concatenate(own), np.concatenate(probe)
 
+
+def hot_keys(sample: np.ndarray, n: int, plan: list[tuple[list[int], int]]) -> np.ndarray:
+    """Sorted keys that the sample says more than ``HOT_SIGNATURES`` of ``n`` fingerprints share."""
+    if not len(sample):
+        return np.zeros(0, np.uint64)
+    key, count = np.unique(signatures(sample, plan, probes=False)[0], return_counts=True)
+    return key[(count >= 3) & (count / len(sample) * n > HOT_SIGNATURES)]
+
+
+def split_hot(key: np.ndarray, fps: np.ndarray, probe: np.ndarray, hot: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replace entries of hot keys by one for each of ``distance`` + 1 blocks of bits, the block's value in the key.
+
+    Two fingerprints within the distance agree in one block at least, so each pair still meets.
+    """
+    is_hot = np.isin(key, hot)
+    if not is_hot.any():
+        return key, fps, probe
+    k, f, p = key[is_hot], fps[is_hot], probe[is_hot]
+    parts = [(key[~is_hot], fps[~is_hot], probe[~is_hot])]
+    width = BITS // (distance + 1)
+    for block in range(distance + 1):
+        size = BITS - block * width if block == distance else width
+        value = (f >> np.uint64(block * width)) & np.uint64((1 << size) - 1)
+        parts.append(((k ^ (value * _MIX + np.uint64((block + 1) * _STEP & _ALL))) * _MIX, f, p))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+
+
+def _signature_rows(plan: list[tuple[list[int], int]], n_buckets: int, hot: np.ndarray, distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
             for at in range(0, len(fps), 2048):
-                part, keys, own, probe = fps[at : at + 2048], [], [], []
-                for k, (bits, _) in enumerate(plan):
-                    value = project(part, bits)
-                    # Partitions differ in their keys' hashed part, values in the rest.
-                    for shift, is_probe in ((np.zeros(1, np.uint64), 0), (masks[k], 1)):
-                        key = (value[:, None] ^ shift[None, :]).ravel()
-                        keys.append((key * _MIX ^ np.uint64((k + 1) * _STEP & _ALL)) * _MIX)
-                        own.append(np.repeat(part, len(shift)))
-                        probe.append(np.full(len(key), is_probe, np.uint8))
-                key, own_fp, is_probe = np.concatenate(keys), np.concatenate(own), np.concatenate(probe)
+                key, own_fp, is_probe = split_hot(*signatures(fps[at : at + 2048], plan), hot, distance)
                 bucket = ((key >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 bucket, key, own_fp, is_probe = bucket[order], key[order], own_fp[order], is_probe[order]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = [*cuts[1:].tolist(), len(bucket)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[cuts]),
-                        pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-                        pa.array([own_fp[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-                        pa.array([is_probe[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-                    ],
-                    names=["bucket", "keys", "fps", "probe"],
-                )
+                packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (key, own_fp, is_probe)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *packed], names=["bucket", "keys", "fps", "probe"])
 
     return run
 
@@ -256,11 +279,13 @@ def linked_fingerprints(reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """fp, root for distinct fingerprints ``reps.fp`` that have a link within ``distance``."""
     n = max(reps.count(), 2)
     drawn = reps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    plan = allocate(np.array([r[0] for r in drawn], np.int64).view(np.uint64), n, distance)
+    sample = np.array([r[0] for r in drawn], np.int64).view(np.uint64)
+    plan = allocate(sample, n, distance)
     per_fp = sum(sum(math.comb(len(bits), k) for k in range(t + 1)) for bits, t in plan)
     buckets = parts_for(n * per_fp, BUCKET_SIGNATURES, 4)
-    signatures = reps.select("fp").mapInArrow(_signatures(plan, buckets), "bucket int, keys binary, fps binary, probe binary")
-    edges = signatures.groupBy("bucket").applyInArrow(_link(distance), "a long, b long")
+    hot = hot_keys(sample, n, plan)
+    rows = reps.select("fp").mapInArrow(_signature_rows(plan, buckets, hot, distance), "bucket int, keys binary, fps binary, probe binary")
+    edges = rows.groupBy("bucket").applyInArrow(_link(distance), "a long, b long")
     return connected_components(edges).select(F.col("node").alias("fp"), "root")
 
 
