@@ -404,7 +404,7 @@ def artifact_list(spark: SparkSession, d: str) -> DataFrame:
     return list_artifacts(V.artifacts(spark, d), V.promotions(spark, d))
 
 
-@query("SELECT item_id || '-' || p AS id, 'Q' || p || ' ' || substring(text, 1, 20) AS question, CASE WHEN item_id % 2 = 0 THEN 0.5 ELSE 0.8 END AS threshold, CASE WHEN item_id % 3 = 0 THEN 'weak' ELSE 'strong' END AS verification_mode FROM benchmark, (VALUES (0), (1), (2)) v(p)")
+@query("SELECT item_id || '-' || p AS id, 'Q' || p || ' ' || substring(text, 1, 20) AS question, CASE WHEN item_id % 2 = 0 THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS threshold, CASE WHEN item_id % 3 = 0 THEN 'weak' ELSE 'strong' END AS verification_mode FROM benchmark, (VALUES (0), (1), (2)) v(p)")
 def bank_to_specs(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.readers import specs_of_bank
 
