@@ -239,3 +239,54 @@ def test_drop_near_copies_keeps_columns(spark):
     out = simhash.drop_near_copies(df)
     assert out.columns == df.columns and 1 <= out.count() < 150
     assert out.agg(F.min("doc_id")).first()[0] == df.agg(F.min("doc_id")).first()[0]
+
+
+def shingles(text, size=5):
+    w = text.lower().split()
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def edited_copies(seed):
+    """Texts of their own and copies of some with few or many words changed."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(k, fresh(rng.randrange(120, 400))) for k in range(120)]
+    for k in range(120, 200):
+        w = list(rows[rng.randrange(60)][1])
+        for _ in range(rng.choice([1, 1, 2, 3, len(w) // 4])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((k, w))
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_similar_groups_against_brute_force(spark):
+    rows = edited_copies(1)
+    sets = [shingles(t) for _, t in rows]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    near = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in range(len(rows)) for b in range(a)]
+    sure = [(a, b) for a, b, j in near if j >= 0.85]
+    assert len(sure) > 50 and sum(got.get(a, a) == got.get(b, -b - 1) for a, b in sure) >= 0.9 * len(sure)
+    best: dict[int, float] = {}
+    for a, b, j in near:
+        best[a], best[b] = max(best.get(a, 0), j), max(best.get(b, 0), j)
+    assert all(best[i] > 0.65 for i in got)
+
+
+def test_similar_edge_cases_and_dense_group(spark):
+    df = frame(spark, odd_rows())
+    out = simhash.drop_similar(df)
+    kept = {r["doc_id"] for r in out.collect()}
+    assert out.columns == df.columns and None in kept and {1, 4, 6, 8, 10} <= kept and not {2, 3, 5, 7, 9, 11} & kept
+    assert simhash.similar_groups(frame(spark, [])).count() == 0
+    crowd = [(k, " ".join([f"word{j}" for j in range(300)] + [f"own{k}"])) for k in range(400)]
+    assert [r["doc_id"] for r in simhash.drop_similar(frame(spark, crowd)).collect()] == [0]
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**64, 1000, dtype=np.uint64)
+    for share in (0.0, 0.5, 0.8, 0.95, 1.0):
+        n = int(1000 * 2 * share / (1 + share))
+        other = np.concatenate((base[:n], rng.integers(0, 2**64, 1000 - n, dtype=np.uint64)))
+        assert abs(simhash.alike(simhash.sketch(base), simhash.sketch(other)) - share) < 0.1
+    assert simhash.alike(simhash.sketch(base[:0]), simhash.sketch(base[:0])) == 1.0

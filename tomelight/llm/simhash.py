@@ -26,6 +26,11 @@ SHINGLE_WORDS = 4
 DISTANCE = 4
 SEED = 42
 BITS = 64
+# Near copies by similarity: five words, a similarity of 0.8 (estimated, hence a margin).  Fingerprints
+# of such texts differ in some 10 bits; all pairs within PROBED are compared and most of those beyond.
+NEAR_SHINGLE, SIMILARITY, MARGIN = 5, 0.8, 0.02
+PROBED, COMPARED = 9, 13
+SKETCH_BINS = 256
 #: Fingerprints drawn to estimate candidate counts.
 SAMPLE = 4000
 #: Signatures that one probing task should hold.
@@ -41,21 +46,29 @@ LARGE_GROUP = 20_000
 SIGNATURE_COST, PAIR_COST = 20.0, 1.0
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of lower-cased (A-Z) words' shingles, repeats included; 0 without words."""
+_MIX, _STEP, _ALL = np.uint64(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03, (1 << 64) - 1
+
+
+def shingle_hashes(text: bytes, shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """A hash of each shingle of lower-cased (A-Z) words, repeats included; of all words if they are fewer."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = len(words)
     if n <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(sizes + 1) - 1
-        starts = ends - sizes
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of ``hashes`` have; 0 for none."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = np.ascontiguousarray(hashes[k : k + (1 << 16)])
@@ -63,6 +76,25 @@ def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """One byte for each of ``SKETCH_BINS`` bins of distinct hashes, from the bin's least; 0 if it is empty."""
+    least = np.full(SKETCH_BINS, _ALL, np.uint64)
+    np.minimum.at(least, (hashes & np.uint64(SKETCH_BINS - 1)).astype(np.int64), hashes >> np.uint64(8))
+    return np.where(least == np.uint64(_ALL), 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+
+
+def alike(a: bytes, b: bytes) -> float:
+    """Estimated Jaccard similarity of two sketched sets; 1 for two empty ones."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    used = int(((x > 0) | (y > 0)).sum())
+    same = ((x == y) & (x > 0)).sum() / used if used else 1.0
+    return max(0.0, (same - 1 / 255) / (1 - 1 / 255))
+
+
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +166,6 @@ def allocate(sample: np.ndarray, n: int, distance: int = DISTANCE) -> list[tuple
     return best[1]
 
 
-_MIX, _STEP, _ALL = np.uint64(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03, (1 << 64) - 1
 
 
 def signatures(fps: np.ndarray, plan: list[tuple[list[int], int]], probes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,8 +306,46 @@ def _link(distance: int):
     return run
 
 
-def linked_fingerprints(reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """fp, root for distinct fingerprints ``reps.fp`` that have a link within ``distance``."""
+def _candidates(distance: int):
+    """Pairs within ``distance`` bits that share a signature; of a dense group, forests at rising distances."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, fps, probe = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("fps", np.uint64), ("probe", np.uint8)))
+        order = np.lexsort((probe, key))
+        key, fps, probe = key[order], fps[order], probe[order]
+        starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        own = np.add.reduceat((probe == 0).astype(np.int64), starts) if len(starts) else sizes
+        useful = (own > 0) & (sizes > 1)
+        found: list[np.ndarray] = []
+        for a, n, o in zip(starts[useful].tolist(), sizes[useful].tolist(), own[useful].tolist(), strict=True):
+            group, most = fps[a : a + n], 4 * n
+            hits: list[np.ndarray] | None = []
+            rows = max(1, 1_000_000 // n)
+            for r in range(0, o, rows):
+                i, j = np.nonzero(np.bitwise_count(group[r : min(r + rows, o), None] ^ group[None, :]) <= distance)
+                if hits is not None:
+                    hits.append(np.stack((group[i + r], group[j]), axis=1)[group[i + r] != group[j]])
+                    if sum(map(len, hits)) > most:
+                        hits = None
+                        break
+            if hits is None:
+                edges: list[tuple[int, int]] = []
+                members = np.unique(group)
+                for d in range(1, distance + 1, 3):
+                    _search(members, d, edges)
+                _search(members, distance, edges)
+                hits = [np.array(edges, np.uint64)] if edges else []
+            found += hits
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
+        pairs = np.unique(np.sort(pairs.view(np.int64), axis=1), axis=0) if len(pairs) else pairs.view(np.int64)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _probe_plan(reps: DataFrame, distance: int) -> DataFrame:
+    """Signature rows of distinct fingerprints ``reps.fp`` under the cheapest allocation for ``distance``."""
     n = max(reps.count(), 2)
     drawn = reps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
     sample = np.array([r[0] for r in drawn], np.int64).view(np.uint64)
@@ -284,7 +353,57 @@ def linked_fingerprints(reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     per_fp = sum(sum(math.comb(len(bits), k) for k in range(t + 1)) for bits, t in plan)
     buckets = parts_for(n * per_fp, BUCKET_SIGNATURES, 4)
     hot = hot_keys(sample, n, plan)
-    rows = reps.select("fp").mapInArrow(_signature_rows(plan, buckets, hot, distance), "bucket int, keys binary, fps binary, probe binary")
+    return reps.select("fp").mapInArrow(_signature_rows(plan, buckets, hot, distance), "bucket int, keys binary, fps binary, probe binary")
+
+
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t.as_py().encode("utf-8", "surrogatepass"), shingle) for t in batch.column("text")]
+            found = np.array(list(map(majority, hashes)), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array(list(map(sketch, hashes)), pa.binary())], names=["doc_id", "fp", "sketch"])
+
+    return run
+
+
+def _verified(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [alike(a.as_py(), b.as_py()) >= least for a, b in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of the rows of ``df`` that have a near copy by similarity.
+
+    Candidates are texts whose fingerprints come within ``COMPARED`` bits where their probes meet;
+    a link is a candidate pair whose shingle sets, by sketches, are similar enough.  Texts without
+    words have no near copies but each other.  Rows without an identifier have no part.
+    """
+    base = id_and_text(df, id_col, text_col).filter("doc_id IS NOT NULL")
+    prints = store(base.mapInArrow(_sketches(shingle), "doc_id long, fp long, sketch binary"), "sketches")
+    reps = store(prints.groupBy("fp").agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("rep")), "reps")
+    rows = _probe_plan(reps, PROBED)
+    pairs = rows.groupBy("bucket").applyInArrow(_candidates(COMPARED), "a long, b long").distinct()
+    left = reps.select(F.col("fp").alias("a"), F.col("sketch").alias("x"), F.col("rep").alias("a_doc"))
+    right = reps.select(F.col("fp").alias("b"), F.col("sketch").alias("y"), F.col("rep").alias("b_doc"))
+    across = pairs.join(left, "a").join(right, "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"), "x", "y")
+    within = prints.join(reps.select("fp", "rep", F.col("sketch").alias("y")), "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), F.col("sketch").alias("x"), "y")
+    links = across.unionByName(within).mapInArrow(_verified(similarity - MARGIN), "a long, b long")
+    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
+def drop_similar(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, without those that are near copies of an earlier identifier's."""
+    gone = similar_groups(df, shingle, similarity, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return df.join(gone, df[id_col].cast("long") == gone["_gone_id"], "left_anti")
+
+
+def linked_fingerprints(reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """fp, root for distinct fingerprints ``reps.fp`` that have a link within ``distance``."""
+    rows = _probe_plan(reps, distance)
     edges = rows.groupBy("bucket").applyInArrow(_link(distance), "a long, b long")
     return connected_components(edges).select(F.col("node").alias("fp"), "root")
 
