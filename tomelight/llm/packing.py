@@ -11,12 +11,10 @@ from __future__ import annotations
 import base64
 import functools
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import id_and_text, parts_for, spread, text_bytes
 from .token_counts import PLAIN
