@@ -306,8 +306,23 @@ def _link(distance: int):
     return run
 
 
+def _nearest(members: np.ndarray, distance: int) -> np.ndarray:
+    """Each of the distinct ``members`` and its nearest other, the smallest of equally near ones, if within ``distance``."""
+    out = []
+    for at in range(0, len(members), LARGE_GROUP):  # a very large group in parts, each for itself
+        part = members[at : at + LARGE_GROUP]
+        rows = max(1, 2_000_000 // len(part))
+        for r in range(0, len(part), rows):
+            d = np.bitwise_count(part[r : r + rows, None] ^ part[None, :])
+            d[d == 0] = 255
+            best = d.argmin(axis=1)
+            near = d[np.arange(len(best)), best] <= distance
+            out.append(np.stack((part[r : r + rows][near], part[best[near]]), axis=1))
+    return np.concatenate(out)
+
+
 def _candidates(distance: int):
-    """Pairs within ``distance`` bits that share a signature; of a dense group, forests at rising distances."""
+    """Pairs within ``distance`` bits that share a signature; of a dense group, nearest ones and a forest."""
 
     def run(table: pa.Table) -> pa.Table:
         key, fps, probe = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("fps", np.uint64), ("probe", np.uint8)))
@@ -319,7 +334,7 @@ def _candidates(distance: int):
         useful = (own > 0) & (sizes > 1)
         found: list[np.ndarray] = []
         for a, n, o in zip(starts[useful].tolist(), sizes[useful].tolist(), own[useful].tolist(), strict=True):
-            group, most = fps[a : a + n], 4 * n
+            group, most = fps[a : a + n], 2 * n
             hits: list[np.ndarray] | None = []
             rows = max(1, 1_000_000 // n)
             for r in range(0, o, rows):
@@ -332,10 +347,8 @@ def _candidates(distance: int):
             if hits is None:
                 edges: list[tuple[int, int]] = []
                 members = np.unique(group)
-                for d in range(1, distance + 1, 3):
-                    _search(members, d, edges)
                 _search(members, distance, edges)
-                hits = [np.array(edges, np.uint64)] if edges else []
+                hits = [_nearest(members, distance), np.array(edges, np.uint64).reshape(-1, 2)]
             found += hits
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
         pairs = np.unique(np.sort(pairs.view(np.int64), axis=1), axis=0) if len(pairs) else pairs.view(np.int64)
