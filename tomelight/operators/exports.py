@@ -48,7 +48,10 @@ def parse_quiz(quizzes: DataFrame, key: str) -> DataFrame:
 
 def spool_candidates(pages: DataFrame, workspace: str) -> DataFrame:
     """path, reject, id, title, category for each page (path, type, title, body); the first broken rule rejects."""
-    body = F.regexp_replace("body", r"^\s+|\s+$", "")
+    # A projection of its own: the text is trimmed and hashed once, however often rules name it.
+    pages = pages.select("path", "type", "title", F.btrim("body", F.lit(" \t\n\x0b\f\r")).alias("body"))
+    pages = pages.select("path", "type", "title", "body", F.sha2("body", 256).alias("sha"))
+    body = F.col("body")
     category = F.create_map(*(F.lit(x) for p in CATEGORIES.items() for x in p))
     known = F.element_at(category, F.coalesce("type", F.lit("")))
     reject = (
@@ -59,7 +62,7 @@ def spool_candidates(pages: DataFrame, workspace: str) -> DataFrame:
     )
     stem = F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), r"\.md$", "")
     title = F.when(F.coalesce(F.trim("title"), F.lit("")) == "", stem).otherwise(F.trim("title"))
-    name = F.concat(F.lit(workspace), F.lit("\0"), F.col("path"), F.lit("\0"), F.sha2(body, 256))
+    name = F.concat(F.lit(workspace), F.lit("\0"), F.col("path"), F.lit("\0"), F.col("sha"))
     return pages.select(
         "path",
         reject.alias("reject"),
