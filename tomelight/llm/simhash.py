@@ -5,6 +5,9 @@ gives each partition its own threshold, -1 (skip) and up.  With thresholds t1..t
 (ti + 1) is the distance plus one, any two fingerprints within the distance differ by at most ti
 in some partition i, so probing those and verifying whole fingerprints finds every link.  The
 sample below only steers cost: any allocation finds the same links.
+
+Near copies by similarity compare sketches of the shingle sets instead.  Sketches that differ in so
+few bins as a link may are equal in one band of bins at least, so bands find every link.
 """
 
 from __future__ import annotations
@@ -19,18 +22,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, parts_for, store
+from .common import id_and_text, parts_for, spread, store
 from .components import connected_components
 
 SHINGLE_WORDS = 4
 DISTANCE = 4
 SEED = 42
 BITS = 64
-# Near copies by similarity: five words, a similarity of 0.8 (estimated, hence a margin).  Fingerprints
-# of such texts differ in some 10 bits; all pairs within PROBED are compared and most of those beyond.
+# Near copies by similarity: five words, a similarity of 0.8 (estimated, hence a margin).
 NEAR_SHINGLE, SIMILARITY, MARGIN = 5, 0.8, 0.02
-PROBED, COMPARED = 9, 13
 SKETCH_BINS = 256
+#: Groups of equal bands up to this size give their pairs, larger ones are searched beside their sketches.
+PAIRED_GROUP = 12
+#: Members of a block of a larger group; every two blocks of a group are searched together.
+GROUP_BLOCK = 20_000
+#: Sketches that one searching task should hold.
+BUCKET_SKETCHES = 100_000
 #: Fingerprints drawn to estimate candidate counts.
 SAMPLE = 4000
 #: Signatures that one probing task should hold.
@@ -81,17 +88,24 @@ def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """One byte for each of ``SKETCH_BINS`` bins of distinct hashes, from the bin's least; 0 if it is empty."""
+    """One byte for each of ``SKETCH_BINS`` bins of distinct hashes, from the bin's least; 0 if it is empty.
+
+    Eight bytes follow: the sum of the distinct hashes where at most two bins are filled, else 0.
+    """
     least = np.full(SKETCH_BINS, _ALL, np.uint64)
     np.minimum.at(least, (hashes & np.uint64(SKETCH_BINS - 1)).astype(np.int64), hashes >> np.uint64(8))
-    return np.where(least == np.uint64(_ALL), 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+    bins = np.where(least == np.uint64(_ALL), 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    few = np.unique(hashes).sum(dtype=np.uint64) if np.count_nonzero(bins) <= 2 else np.uint64(0)
+    return bins.tobytes() + few.tobytes()
 
 
 def alike(a: bytes, b: bytes) -> float:
-    """Estimated Jaccard similarity of two sketched sets; 1 for two empty ones."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    """Estimated Jaccard similarity of two sketched sets; sets that fill two bins or fewer are equal or unlike."""
+    x, y = np.frombuffer(a, np.uint8, SKETCH_BINS), np.frombuffer(b, np.uint8, SKETCH_BINS)
     used = int(((x > 0) | (y > 0)).sum())
-    same = ((x == y) & (x > 0)).sum() / used if used else 1.0
+    if used <= 2:
+        return float(a == b)
+    same = ((x == y) & (x > 0)).sum() / used
     return max(0.0, (same - 1 / 255) / (1 - 1 / 255))
 
 
@@ -306,53 +320,141 @@ def _link(distance: int):
     return run
 
 
-def _nearest(members: np.ndarray, distance: int) -> np.ndarray:
-    """Each of the distinct ``members`` and its nearest other, the smallest of equally near ones, if within ``distance``."""
-    out = []
-    for at in range(0, len(members), LARGE_GROUP):  # a very large group in parts, each for itself
-        part = members[at : at + LARGE_GROUP]
-        rows = max(1, 2_000_000 // len(part))
-        for r in range(0, len(part), rows):
-            d = np.bitwise_count(part[r : r + rows, None] ^ part[None, :])
-            d[d == 0] = 255
-            best = d.argmin(axis=1)
-            near = d[np.arange(len(best)), best] <= distance
-            out.append(np.stack((part[r : r + rows][near], part[best[near]]), axis=1))
-    return np.concatenate(out)
+def least_share(similarity: float) -> float:
+    """The share of used bins in which sketches of at least this estimated similarity agree."""
+    return (similarity * 254 + 1) / 255 - 1e-9
+
+
+def size_classes(share: float) -> list[int]:
+    """Ascending bounds of classes of filled bins: sketches that may link are of one class or of neighbours."""
+    ends = [SKETCH_BINS + 1]
+    while ends[-1] > 1:
+        ends.append(int(share * (ends[-1] - 1)) + 1)
+    return ends[::-1]
+
+
+_TOKENS = np.random.default_rng(SEED).integers(1, _ALL, (SKETCH_BINS, 256), np.uint64)
+_TOKENS[:, 0] = 0
+
+
+def _bands(tokens: np.ndarray, rows: np.ndarray, bands: int, salt: int, out: list[tuple[np.ndarray, np.ndarray]], again: bool = True) -> None:
+    """Append (rows, keys) of each band; an empty band says little, so the other bins are dealt into bands for it."""
+    width = tokens.shape[1]
+    starts = np.arange(bands) * width // bands
+    sums = np.add.reduceat(tokens, starts, axis=1)
+    for k in range(bands):
+        value = sums[:, k]
+        full = (value != 0) | (not again or bands == 1)
+        out.append((rows[full], (value[full] * _MIX ^ np.uint64((salt + k + 1) * _STEP & _ALL)) * _MIX))
+        if not full.all():
+            end = starts[k + 1] if k + 1 < bands else width
+            _bands(np.delete(tokens[~full], np.s_[starts[k] : end], axis=1), rows[~full], bands, (salt + k + 1) * 1009, out, False)
 
 
-def _candidates(distance: int):
-    """Pairs within ``distance`` bits that share a signature; of a dense group, nearest ones and a forest."""
+def band_keys(sketches: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) such that any two rows that agree in ``share`` of their used bins have a key in common.
+
+    With n bins filled in the lesser sketch, at most n / share are used and (1 - share) of those
+    differ; of one band more than that, one is equal in both.  Each class of n, and each class with
+    the next, has bands of its own.
+    """
+    filled = np.count_nonzero(sketches, axis=1)
+    tokens = _TOKENS[np.arange(SKETCH_BINS)[None, :], sketches]
+    ends, out = size_classes(share), []
+    for c, (low, end) in enumerate(zip(ends, ends[1:], strict=False)):
+        bands = int((1 - share) * min(SKETCH_BINS, (end - 1) / share)) + 1
+        own = (filled >= low) & (filled < end)
+        apart = (own & (filled / share >= end)) | ((filled >= end) & (filled * share <= end - 1))
+        for space, take in ((2 * c, own), (2 * c + 1, apart)):
+            if take.any():
+                _bands(tokens[take], np.flatnonzero(take), bands, (space + 1) << 20, out)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    rows, keys = zip(*out, strict=True)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _bins(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH_BINS + 8)[:, :SKETCH_BINS]
+
+
+def _band_rows(share: float, n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                row, key = band_keys(_bins(part.column("sketch")), share)
+                if not len(row):
+                    continue
+                ids = part.column("rep").to_numpy()[row]
+                bucket = ((key >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                bucket, key, ids = bucket[order], key[order], ids[order]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = [*cuts[1:].tolist(), len(bucket)]
+                packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (key, ids)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *packed], names=["bucket", "keys", "ids"])
 
+    return run
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Pairs a, b of the small groups of equal keys; of larger ones their key, block, number of blocks and members."""
+    key, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("ids", np.int64)))
+    order = np.argsort(key, kind="stable")
+    key, ids = key[order], ids[order]
+    starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    sizes = np.diff(np.append(starts, len(key)))
+    take = np.repeat((sizes > 1) & (sizes <= PAIRED_GROUP), sizes)
+    k, f, pairs = key[take], ids[take], [np.zeros((0, 2), np.int64)]
+    for shift in range(1, PAIRED_GROUP):
+        hit = np.flatnonzero((k[shift:] == k[:-shift]) & (f[shift:] != f[:-shift]))
+        pairs.append(np.stack((f[hit], f[hit + shift]), axis=1))
+    both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+    a, b, blocks, members = both[:, 0].tolist(), both[:, 1].tolist(), [None] * len(both), [None] * len(both)
+    for at, n in zip(starts[sizes > PAIRED_GROUP].tolist(), sizes[sizes > PAIRED_GROUP].tolist(), strict=True):
+        group = np.unique(ids[at : at + n])
+        parts = np.array_split(group, math.ceil(len(group) / GROUP_BLOCK))
+        for i, part in enumerate(parts):
+            a.append(int(key[at].view(np.int64)))
+            b.append(i)
+            blocks.append(len(parts))
+            members.append(part.tolist())
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(blocks, pa.int32()), pa.array(members, pa.list_(pa.int64()))], names=["a", "b", "blocks", "members"])
+
+
+def search_sketches(ids: np.ndarray, bins: np.ndarray, share: float, out: list[tuple[int, int]]) -> None:
+    """Links that connect all rows that are linked within these, one for each row at most."""
+    filled = np.count_nonzero(bins, axis=1)
+    left = np.arange(len(ids))
+    bins = np.ascontiguousarray(bins)
+    rest, rest_filled = bins, filled
+    while len(left) > 1:
+        front, left, rest, rest_filled = [int(left[0])], left[1:], rest[1:], rest_filled[1:]
+        while front and len(left):
+            x = front.pop()
+            own = bins[x] > 0
+            same = np.count_nonzero((rest == bins[x]) & own, axis=1)
+            used = rest_filled + filled[x] - np.count_nonzero((rest > 0) & own, axis=1)
+            near = (same >= share * used) & (used > 2)
+            if near.any():
+                found = left[near].tolist()
+                left, rest, rest_filled = left[~near], rest[~near], rest_filled[~near]
+                out.extend((int(ids[x]), int(ids[y])) for y in found)
+                front.extend(found)
+
+
+def _search_groups(share: float):
     def run(table: pa.Table) -> pa.Table:
-        key, fps, probe = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("fps", np.uint64), ("probe", np.uint8)))
-        order = np.lexsort((probe, key))
-        key, fps, probe = key[order], fps[order], probe[order]
-        starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-        sizes = np.diff(np.append(starts, len(key)))
-        own = np.add.reduceat((probe == 0).astype(np.int64), starts) if len(starts) else sizes
-        useful = (own > 0) & (sizes > 1)
-        found: list[np.ndarray] = []
-        for a, n, o in zip(starts[useful].tolist(), sizes[useful].tolist(), own[useful].tolist(), strict=True):
-            group, most = fps[a : a + n], 2 * n
-            hits: list[np.ndarray] | None = []
-            rows = max(1, 1_000_000 // n)
-            for r in range(0, o, rows):
-                i, j = np.nonzero(np.bitwise_count(group[r : min(r + rows, o), None] ^ group[None, :]) <= distance)
-                if hits is not None:
-                    hits.append(np.stack((group[i + r], group[j]), axis=1)[group[i + r] != group[j]])
-                    if sum(map(len, hits)) > most:
-                        hits = None
-                        break
-            if hits is None:
-                edges: list[tuple[int, int]] = []
-                members = np.unique(group)
-                _search(members, distance, edges)
-                hits = [_nearest(members, distance), np.array(edges, np.uint64).reshape(-1, 2)]
-            found += hits
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
-        pairs = np.unique(np.sort(pairs.view(np.int64), axis=1), axis=0) if len(pairs) else pairs.view(np.int64)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        group = np.stack([table.column(c).to_numpy() for c in ("key", "low", "high")], axis=1)
+        ids, bins = table.column("rep").to_numpy(), _bins(table.column("sketch"))
+        order = np.lexsort(group.T)
+        cuts = np.flatnonzero((np.diff(group[order], axis=0) != 0).any(axis=1)) + 1
+        edges: list[tuple[int, int]] = []
+        for part in np.split(order, cuts):
+            search_sketches(ids[part], bins[part], share, edges)
+        a, b = _stars([], [(x & _ALL, y & _ALL) for x, y in edges])
+        return pa.Table.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return run
 
@@ -372,9 +474,8 @@ def _probe_plan(reps: DataFrame, distance: int) -> DataFrame:
 def _sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t.as_py().encode("utf-8", "surrogatepass"), shingle) for t in batch.column("text")]
-            found = np.array(list(map(majority, hashes)), np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array(list(map(sketch, hashes)), pa.binary())], names=["doc_id", "fp", "sketch"])
+            found = [sketch(shingle_hashes(t.as_py().encode("utf-8", "surrogatepass"), shingle)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "sketch"])
 
     return run
 
@@ -391,21 +492,29 @@ def _verified(least: float):
 def similar_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id of the rows of ``df`` that have a near copy by similarity.
 
-    Candidates are texts whose fingerprints come within ``COMPARED`` bits where their probes meet;
-    a link is a candidate pair whose shingle sets, by sketches, are similar enough.  Texts without
-    words have no near copies but each other.  Rows without an identifier have no part.
+    A link is a pair of texts whose shingle sets, by sketches, are similar enough, less ``MARGIN``;
+    bands of the sketches find every such pair, whatever the size of the input or of a group.
+    Texts without words have no near copies but each other.  Rows without an identifier have no part.
     """
     base = id_and_text(df, id_col, text_col).filter("doc_id IS NOT NULL")
-    prints = store(base.mapInArrow(_sketches(shingle), "doc_id long, fp long, sketch binary"), "sketches")
-    reps = store(prints.groupBy("fp").agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("rep")), "reps")
-    rows = _probe_plan(reps, PROBED)
-    pairs = rows.groupBy("bucket").applyInArrow(_candidates(COMPARED), "a long, b long").distinct()
-    left = reps.select(F.col("fp").alias("a"), F.col("sketch").alias("x"), F.col("rep").alias("a_doc"))
-    right = reps.select(F.col("fp").alias("b"), F.col("sketch").alias("y"), F.col("rep").alias("b_doc"))
-    across = pairs.join(left, "a").join(right, "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"), "x", "y")
-    within = prints.join(reps.select("fp", "rep", F.col("sketch").alias("y")), "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), F.col("sketch").alias("x"), "y")
-    links = across.unionByName(within).mapInArrow(_verified(similarity - MARGIN), "a long, b long")
-    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    least = similarity - MARGIN
+    share = least_share(least)
+    prints = store(base.mapInArrow(_sketches(shingle), "doc_id long, sketch binary"), "sketches")
+    nodes = store(prints.groupBy("sketch").agg(F.min("doc_id").alias("rep")), "nodes")
+    n_bands = 2 * int((1 - share) * SKETCH_BINS) + 2
+    buckets = parts_for(nodes.count() * n_bands, BUCKET_SIGNATURES, 4)
+    rows = nodes.mapInArrow(_band_rows(share, buckets), "bucket int, keys binary, ids binary")
+    met = store(rows.groupBy("bucket").applyInArrow(_meet, "a long, b long, blocks int, members array<long>"), "met")
+    pairs = met.filter("members IS NULL").select("a", "b").distinct()
+    left, right = nodes.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), nodes.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
+    across = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(least), "a long, b long")
+    large = met.filter("members IS NOT NULL").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))))
+    large = large.select(F.col("a").alias("key"), F.least("b", "other").alias("low"), F.greatest("b", "other").alias("high"), "members")
+    held = met.agg(F.sum(F.size("members").cast("long") * F.col("blocks"))).first()[0] or 0
+    searched = large.withColumn("rep", F.explode("members")).drop("members").join(nodes, "rep").withColumn("task", spread(large, parts_for(held, BUCKET_SKETCHES), "key", "low", "high"))
+    dense = searched.groupBy("task").applyInArrow(_search_groups(share), "a long, b long")
+    within = prints.join(nodes, "sketch").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return connected_components(across.unionByName(dense).unionByName(within)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
 def drop_similar(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
