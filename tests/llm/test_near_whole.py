@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from tests.llm.helpers import frame
 from tomelight.llm import simhash
 
@@ -58,3 +60,20 @@ def test_template_families_against_all_pairs(spark):
     want = brute(rows)
     assert len(want) > 200 and len(set(want.values())) > 20
     assert groups(spark, rows) == want
+
+
+def test_every_link_shares_a_band():
+    rng, share = np.random.default_rng(5), simhash.least_share(LEAST)
+    for n in [*range(1, 40), *range(40, 257, 9), 256]:
+        x = np.zeros(simhash.SKETCH_BINS, np.uint8)
+        x[rng.permutation(simhash.SKETCH_BINS)[:n]] = rng.integers(1, 256, n)
+        for _ in range(20):
+            y, at = x.copy(), rng.permutation(simhash.SKETCH_BINS)
+            for k in at:  # as many changed, added and emptied bins as a link may have
+                z = y.copy()
+                z[k] = rng.choice([0, int(x[k]) % 255 + 1])
+                used = ((x > 0) | (z > 0)).sum()
+                if ((x == z) & (x > 0)).sum() >= share * used:
+                    y = z
+            row, key = simhash.band_keys(np.stack((x, y)), share)
+            assert (x == y).all() or set(key[row == 0]) & set(key[row == 1])
