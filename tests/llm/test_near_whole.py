@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.helpers import frame
 from tomelight.llm import simhash
@@ -77,3 +78,11 @@ def test_every_link_shares_a_band():
                     y = z
             row, key = simhash.band_keys(np.stack((x, y)), share)
             assert (x == y).all() or set(key[row == 0]) & set(key[row == 1])
+
+
+def test_members_of_every_two_blocks_meet(monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_BLOCK", 10)
+    keys, ids = np.full(35, 9, np.uint64), np.arange(35)
+    out = simhash._meet(pa.table({"keys": [keys.tobytes()], "ids": [ids.tobytes()]})).to_pylist()
+    assert [r["b"] for r in out] == [0, 1, 2, 3] and {r["blocks"] for r in out} == {4}
+    assert sorted(i for r in out for i in r["members"]) == list(range(35))
