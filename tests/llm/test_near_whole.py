@@ -86,3 +86,10 @@ def test_members_of_every_two_blocks_meet(monkeypatch):
     out = simhash._meet(pa.table({"keys": [keys.tobytes()], "ids": [ids.tobytes()]})).to_pylist()
     assert [r["b"] for r in out] == [0, 1, 2, 3] and {r["blocks"] for r in out} == {4}
     assert sorted(i for r in out for i in r["members"]) == list(range(35))
+
+
+def test_texts_of_one_fingerprint(spark):
+    own = [" ".join(f"d{d}w{j}" for j in range(90)) for d in range(4)]
+    rows = [(k, "again " * 400 + t) for k, t in enumerate([own[0], own[1], own[2], own[1] + " end", own[2] + " end", own[3]])]
+    assert len({simhash.fingerprint(t.encode(), simhash.NEAR_SHINGLE) for _, t in rows}) == 1
+    assert groups(spark, rows) == {1: 1, 3: 1, 2: 2, 4: 2}
