@@ -1,9 +1,10 @@
 """Quality rules: fixed base rules, and robust multivariate outliers per language and source.
 
 Everything is DataFrame expressions.  A document's counts become five transformed statistics.  For
-each group the minimum-covariance-determinant estimate comes from concentration steps: start from
-medians and median absolute deviations, then again and again take mean and covariance of the
-``CORE`` share of rows that lie closest.  A document is an outlier beyond ``CUTOFF`` in squared
+each group the minimum-covariance-determinant estimate comes from concentration steps: from each of
+several starts (medians and median absolute deviations, moments of parts of the rows) take mean and
+covariance of the ``CORE`` share of rows that lie closest, again and again until the determinants
+stand, and keep the smallest.  A document is an outlier beyond ``CUTOFF`` in squared
 Mahalanobis distance.  Covariances are inverted by a Cholesky factor written out in columns.
 """
 
@@ -16,14 +17,20 @@ from .common import SPACE_CLASS, discard, store
 
 #: Share of a group's rows that each concentration step keeps.
 CORE = 0.75
-STEPS = 3
+#: Steps end once no determinant's logarithm moves by more than ``SETTLED``, or after this many.
+MOST_STEPS, SETTLED = 20, 1e-3
+#: Starts from moments of one part in ``START_PARTS`` of a group's rows, besides the one from medians.
+PART_STARTS, START_PARTS = 3, 8
 #: Parts into which a group's rows are dealt when its estimates are joined to them.
 SALTS = 32
 #: Groups of fewer rows are judged together with their language's other small groups.
 LEAST_GROUP = 50
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
 #: Standard deviation that each statistic has at least: differences below it say nothing of quality.
-FLOORS = (0.8, 0.12, 0.05, 0.2, 0.2)
+#: Lines (at most 1) and repeats (at most 0.71) reach the cutoff alone.
+LEAST_SPREAD = (0.8, 0.12, 0.05, 0.1, 0.1)
+#: Their quarter, squared, is added to each variance so that no covariance is singular.
+FLOORS = (0.2, 0.03, 0.0125, 0.025, 0.025)
 #: Median of a chi-squared variable of five degrees, to which distances are scaled down.
 CHI2_MEDIAN = 4.351
 #: Its quantile at one in ten thousand.
@@ -96,6 +103,16 @@ def _factor(cov: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]
     return low
 
 
+def _keys(df: DataFrame) -> list[str]:
+    """The group and, while there are several, the start."""
+    return [c for c in ("g", "start") if c in df.columns]
+
+
+def _raised(moments: DataFrame) -> DataFrame:
+    """``moments`` with no variance below that of ``LEAST_SPREAD``."""
+    return moments.withColumns({f"c_{i}_{i}": F.greatest(F.col(f"c_{i}_{i}"), F.lit(x**2)) for i, x in enumerate(LEAST_SPREAD)})
+
+
 def _factored(moments: DataFrame) -> DataFrame:
     """Means and factor, one projection a column of the matrix so that no expression is repeated."""
     n = len(FEATURES)
@@ -112,7 +129,8 @@ def _factored(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             out = out.withColumn(f"l_{i}_{j}", rest / F.col(f"l_{j}_{j}"))
-    return out.select("g", *(f"m_{i}" for i in range(n)), *(f"l_{i}_{j}" for i in range(n) for j in range(i + 1)))
+    size = sum(2 * F.log(F.col(f"l_{i}_{i}")) for i in range(n)).alias("log_det")
+    return out.select(*_keys(moments), *(f"m_{i}" for i in range(n)), *(f"l_{i}_{j}" for i in range(n) for j in range(i + 1)), size)
 
 
 def _with_estimates(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -134,7 +152,7 @@ def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 def _moments(rows: DataFrame) -> DataFrame:
     n = len(FEATURES)
-    return rows.groupBy("g").agg(
+    return rows.groupBy(*_keys(rows)).agg(
         *(F.avg(FEATURES[i]).alias(f"m_{i}") for i in range(n)),
         *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)),
     )
@@ -148,21 +166,29 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
         *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(n)),
         *(F.percentile_approx(F.abs(F.col(FEATURES[i]) - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i in range(n)),
     )
-    start = spread.select(
+    first = spread.select(
         "g",
+        F.lit(0).alias("start"),
         *(f"m_{i}" for i in range(n)),
         *(((1.4826 * F.col(f"d_{i}")) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)),
     )
-    params = store(_factored(start), "centres")
-    for _ in range(STEPS):
+    parts = _moments(rows.withColumn("start", F.col("salt") % START_PARTS + 1).filter(F.col("start") <= PART_STARTS))
+    params = store(_factored(_raised(first.unionByName(parts))), "centres")
+    for _ in range(MOST_STEPS):
         near = _with_distance(rows, params)
-        bound = near.groupBy("g").agg(F.percentile_approx("d2", CORE, 1000).alias("most"))
-        core = _with_distance(rows, params.join(bound, "g")).filter("d2 <= most")
-        after = store(_factored(_moments(core)), "centres")
+        bound = near.groupBy("g", "start").agg(F.percentile_approx("d2", CORE, 1000).alias("most"))
+        core = _with_distance(rows, params.join(bound, ["g", "start"])).filter("d2 <= most")
+        after = store(_factored(_raised(_moments(core))), "centres")
+        moved = after.join(params.select("g", "start", F.col("log_det").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
         discard(params)
         params = after
-    scale = _with_distance(rows, params).groupBy("g").agg(F.least(F.lit(1.0), F.lit(CHI2_MEDIAN) / F.percentile_approx("d2", 0.5, 1000)).alias("scale"))
-    return store(params.join(scale, "g"), "estimates")
+        if moved is None or moved <= SETTLED:
+            break
+    least = params.groupBy("g").agg(F.min(F.struct("log_det", "start")).alias("least")).select("g", F.col("least.start").alias("start"))
+    best = store(params.join(least, ["g", "start"]), "least")
+    discard(params)
+    scale = _with_distance(rows, best).groupBy("g").agg(F.least(F.lit(1.0), F.lit(CHI2_MEDIAN) / F.percentile_approx("d2", 0.5, 1000)).alias("scale"))
+    return store(best.join(scale, "g"), "estimates")
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
