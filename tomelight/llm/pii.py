@@ -44,7 +44,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _NATIONAL_ID = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
@@ -111,18 +112,23 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
+    done = 0
+    for head in _IBAN_HEAD.finditer(text):
+        m = _IBAN.match(text, head.start()) if head.start() >= done else None
+        if not m:
+            continue
         end = m.end()
-        while True:  # words in capitals may follow an account number
+        if text[end : end + 1].isascii() and text[end : end + 1].isalnum():  # cut at the most characters, inside a word
+            end = text.rfind(" ", m.start(), end)
+        while end >= 0:  # words in capitals or further numbers may follow an account number
             account = text[m.start() : end].replace(" ", "")
             if len(account) < 15:
                 break
-            if len(account) <= 34 and mod97(account):
+            if mod97(account):
+                done = end
                 yield m.start(), end
                 break
             end = text.rfind(" ", m.start(), end)
-            if end < 0:
-                break
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
