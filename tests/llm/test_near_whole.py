@@ -83,7 +83,7 @@ def test_every_link_shares_a_band():
 def test_members_of_every_two_blocks_meet(monkeypatch):
     monkeypatch.setattr(simhash, "GROUP_BLOCK", 10)
     keys, ids = np.full(35, 9, np.uint64), np.arange(35)
-    out = simhash._meet(pa.table({"keys": [keys.tobytes()], "ids": [ids.tobytes()]})).to_pylist()
+    out = simhash._meet(pa.table({"keys": [keys.tobytes()], "ids": [ids.tobytes()], "parties": [ids.tobytes()]})).to_pylist()
     assert [r["b"] for r in out] == [0, 1, 2, 3] and {r["blocks"] for r in out} == {4}
     assert sorted(i for r in out for i in r["members"]) == list(range(35))
 
@@ -93,3 +93,27 @@ def test_texts_of_one_fingerprint(spark):
     rows = [(k, "again " * 400 + t) for k, t in enumerate([own[0], own[1], own[2], own[1] + " end", own[2] + " end", own[3]])]
     assert len({simhash.fingerprint(t.encode(), simhash.NEAR_SHINGLE) for _, t in rows}) == 1
     assert groups(spark, rows) == {1: 1, 3: 1, 2: 2, 4: 2}
+
+
+def test_pairs_and_groups_of_one_party_are_not_given_out():
+    keys, ids, parties = np.repeat(np.arange(3, dtype=np.uint64), [3, 20, 20]), np.concatenate((np.arange(3), np.arange(40))), np.concatenate(([0, 0, 2], np.full(20, 7), np.arange(20) // 10))
+    out = simhash._meet(pa.table({"keys": [keys.tobytes()], "ids": [ids.tobytes()], "parties": [parties.astype(np.int64).tobytes()]})).to_pylist()
+    assert [(r["a"], r["b"]) for r in out if r["members"] is None] == [(0, 2), (1, 2)]
+    assert [r["members"] for r in out if r["members"]] == [list(range(20, 40))]
+
+
+def test_search_links_parties():
+    rng, share = np.random.default_rng(1), simhash.least_share(LEAST)
+    bins = rng.integers(1, 256, (6, simhash.SKETCH_BINS)).astype(np.uint8)
+    bins[3], bins[4] = bins[0], bins[1]  # rows 0 and 3, 1 and 4 are linked; 1 and 3 are of one party
+    edges: list[tuple[int, int]] = []
+    simhash.search_sketches(np.array([10, 20, 30, 20, 40, 50]), bins, share, edges)
+    assert {frozenset(e) for e in edges} == {frozenset((10, 20)), frozenset((20, 40))}
+
+
+def test_few_first_bands_change_nothing(spark, monkeypatch):
+    rows = families(4, 250)
+    want = brute(rows)
+    for n in (1, 200):
+        monkeypatch.setattr(simhash, "FIRST_BANDS", n)
+        assert groups(spark, rows) == want

@@ -7,7 +7,9 @@ in some partition i, so probing those and verifying whole fingerprints finds eve
 sample below only steers cost: any allocation finds the same links.
 
 Near copies by similarity compare sketches of the shingle sets instead.  Sketches that differ in so
-few bins as a link may are equal in one band of bins at least, so bands find every link.
+few bins as a link may are equal in one band of bins at least, so bands find every link.  A few
+bands come first; the others need only find links between what those left apart, so a pair that
+shares many bands is not given out once for each of them.
 """
 
 from __future__ import annotations
@@ -32,12 +34,14 @@ BITS = 64
 # Near copies by similarity: five words, a similarity of 0.8 (estimated, hence a margin).
 NEAR_SHINGLE, SIMILARITY, MARGIN = 5, 0.8, 0.02
 SKETCH_BINS = 256
+#: Bands of every class that are looked at first.
+FIRST_BANDS = 6
 #: Groups of equal bands up to this size give their pairs, larger ones are searched beside their sketches.
 PAIRED_GROUP = 12
 #: Members of a block of a larger group; every two blocks of a group are searched together.
-GROUP_BLOCK = 20_000
+GROUP_BLOCK = 8_000
 #: Sketches that one searching task should hold.
-BUCKET_SKETCHES = 100_000
+BUCKET_SKETCHES = 40_000
 #: Fingerprints drawn to estimate candidate counts.
 SAMPLE = 4000
 #: Signatures that one probing task should hold.
@@ -337,37 +341,37 @@ _TOKENS = np.random.default_rng(SEED).integers(1, _ALL, (SKETCH_BINS, 256), np.u
 _TOKENS[:, 0] = 0
 
 
-def _bands(tokens: np.ndarray, rows: np.ndarray, bands: int, salt: int, out: list[tuple[np.ndarray, np.ndarray]], again: bool = True) -> None:
-    """Append (rows, keys) of each band; an empty band says little, so the other bins are dealt into bands for it."""
+def _bands(tokens: np.ndarray, rows: np.ndarray, bands: int, salt: int, take: range, out: list[tuple[np.ndarray, np.ndarray]], again: bool = True) -> None:
+    """Append (rows, keys) of the bands in ``take``; an empty band says little, so the other bins are dealt into bands for it."""
     width = tokens.shape[1]
     starts = np.arange(bands) * width // bands
     sums = np.add.reduceat(tokens, starts, axis=1)
-    for k in range(bands):
+    for k in take:
         value = sums[:, k]
         full = (value != 0) | (not again or bands == 1)
         out.append((rows[full], (value[full] * _MIX ^ np.uint64((salt + k + 1) * _STEP & _ALL)) * _MIX))
         if not full.all():
             end = starts[k + 1] if k + 1 < bands else width
-            _bands(np.delete(tokens[~full], np.s_[starts[k] : end], axis=1), rows[~full], bands, (salt + k + 1) * 1009, out, False)
+            _bands(np.delete(tokens[~full], np.s_[starts[k] : end], axis=1), rows[~full], bands, (salt + k + 1) * 1009, range(bands), out, False)
 
 
-def band_keys(sketches: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(sketches: np.ndarray, share: float, first: int = 0, end: int = SKETCH_BINS + 1) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) such that any two rows that agree in ``share`` of their used bins have a key in common.
 
     With n bins filled in the lesser sketch, at most n / share are used and (1 - share) of those
     differ; of one band more than that, one is equal in both.  Each class of n, and each class with
-    the next, has bands of its own.
+    the next, has bands of its own, of which those from ``first`` to before ``end`` are given.
     """
     filled = np.count_nonzero(sketches, axis=1)
     tokens = _TOKENS[np.arange(SKETCH_BINS)[None, :], sketches]
     ends, out = size_classes(share), []
-    for c, (low, end) in enumerate(zip(ends, ends[1:], strict=False)):
-        bands = int((1 - share) * min(SKETCH_BINS, (end - 1) / share)) + 1
-        own = (filled >= low) & (filled < end)
-        apart = (own & (filled / share >= end)) | ((filled >= end) & (filled * share <= end - 1))
+    for c, (low, top) in enumerate(zip(ends, ends[1:], strict=False)):
+        bands = int((1 - share) * min(SKETCH_BINS, (top - 1) / share)) + 1
+        own = (filled >= low) & (filled < top)
+        apart = (own & (filled / share >= top)) | ((filled >= top) & (filled * share <= top - 1))
         for space, take in ((2 * c, own), (2 * c + 1, apart)):
             if take.any():
-                _bands(tokens[take], np.flatnonzero(take), bands, (space + 1) << 20, out)
+                _bands(tokens[take], np.flatnonzero(take), bands, (space + 1) << 20, range(bands)[first:end], out)
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     rows, keys = zip(*out, strict=True)
@@ -378,43 +382,53 @@ def _bins(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH_BINS + 8)[:, :SKETCH_BINS]
 
 
-def _band_rows(share: float, n_buckets: int):
+def _band_rows(share: float, n_buckets: int, first: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.slice(at, 2048)
-                row, key = band_keys(_bins(part.column("sketch")), share)
+                row, key = band_keys(_bins(part.column("sketch")), share, first, end)
                 if not len(row):
                     continue
-                ids = part.column("rep").to_numpy()[row]
+                ids, parties = (part.column(c).to_numpy()[row] for c in ("rep", "party"))
                 bucket = ((key >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                bucket, key, ids = bucket[order], key[order], ids[order]
+                bucket, key, ids, parties = bucket[order], key[order], ids[order], parties[order]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = [*cuts[1:].tolist(), len(bucket)]
-                packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (key, ids)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *packed], names=["bucket", "keys", "ids"])
+                packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (key, ids, parties)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *packed], names=["bucket", "keys", "ids", "parties"])
 
     return run
 
 
+_MET = "a long, b long, blocks int, members array<long>"
+
+
 def _meet(table: pa.Table) -> pa.Table:
-    """Pairs a, b of the small groups of equal keys; of larger ones their key, block, number of blocks and members."""
-    key, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("ids", np.int64)))
-    order = np.argsort(key, kind="stable")
-    key, ids = key[order], ids[order]
+    """What equal keys bring together of different parties.
+
+    Pairs a, b of small groups; of larger ones their key, block, number of blocks and members.
+    """
+    key, ids, party = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("parties", np.int64)))
+    order = np.lexsort((ids, key))
+    key, ids, party = key[order], ids[order], party[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+    key, ids, party = key[once], ids[once], party[once]
     starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
     sizes = np.diff(np.append(starts, len(key)))
-    take = np.repeat((sizes > 1) & (sizes <= PAIRED_GROUP), sizes)
-    k, f, pairs = key[take], ids[take], [np.zeros((0, 2), np.int64)]
+    mixed = (np.minimum.reduceat(party, starts) != np.maximum.reduceat(party, starts)) if len(starts) else np.zeros(0, bool)
+    take = np.repeat(mixed & (sizes <= PAIRED_GROUP), sizes)
+    k, f, p, pairs = key[take], ids[take], party[take], [np.zeros((0, 2), np.int64)]
     for shift in range(1, PAIRED_GROUP):
-        hit = np.flatnonzero((k[shift:] == k[:-shift]) & (f[shift:] != f[:-shift]))
+        hit = np.flatnonzero((k[shift:] == k[:-shift]) & (p[shift:] != p[:-shift]))
         pairs.append(np.stack((f[hit], f[hit + shift]), axis=1))
-    both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+    both = np.unique(np.concatenate(pairs), axis=0)
     a, b, blocks, members = both[:, 0].tolist(), both[:, 1].tolist(), [None] * len(both), [None] * len(both)
-    for at, n in zip(starts[sizes > PAIRED_GROUP].tolist(), sizes[sizes > PAIRED_GROUP].tolist(), strict=True):
-        group = np.unique(ids[at : at + n])
-        parts = np.array_split(group, math.ceil(len(group) / GROUP_BLOCK))
+    large = mixed & (sizes > PAIRED_GROUP)
+    for at, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
+        parts = np.array_split(ids[at : at + n], math.ceil(n / GROUP_BLOCK))
         for i, part in enumerate(parts):
             a.append(int(key[at].view(np.int64)))
             b.append(i)
@@ -423,14 +437,24 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(blocks, pa.int32()), pa.array(members, pa.list_(pa.int64()))], names=["a", "b", "blocks", "members"])
 
 
-def search_sketches(ids: np.ndarray, bins: np.ndarray, share: float, out: list[tuple[int, int]]) -> None:
-    """Links that connect all rows that are linked within these, one for each row at most."""
+def search_sketches(parties: np.ndarray, bins: np.ndarray, share: float, out: list[tuple[int, int]]) -> None:
+    """Links that connect all parties of which some rows are linked within these, one for each party at most.
+
+    Rows of one party count as connected and are not compared.  Small parties go first, so a large
+    one is compared with what is left at the end.
+    """
+    _, inverse, size = np.unique(parties, return_inverse=True, return_counts=True)
+    order = np.lexsort((inverse, size[inverse]))
+    parties, bins = parties[order], np.ascontiguousarray(bins[order])
+    rows = np.split(np.arange(len(parties)), np.flatnonzero(np.diff(parties)) + 1)
+    own_rows = {int(parties[r[0]]): r for r in rows}
     filled = np.count_nonzero(bins, axis=1)
-    left = np.arange(len(ids))
-    bins = np.ascontiguousarray(bins)
-    rest, rest_filled = bins, filled
-    while len(left) > 1:
-        front, left, rest, rest_filled = [int(left[0])], left[1:], rest[1:], rest_filled[1:]
+    left, rest, rest_filled = np.arange(len(parties)), bins, filled
+    while len(left):
+        joined = {int(parties[left[0]])}
+        front = own_rows[int(parties[left[0]])].tolist()
+        stay = parties[left] != parties[left[0]]
+        left, rest, rest_filled = left[stay], rest[stay], rest_filled[stay]
         while front and len(left):
             x = front.pop()
             own = bins[x] > 0
@@ -438,27 +462,48 @@ def search_sketches(ids: np.ndarray, bins: np.ndarray, share: float, out: list[t
             used = rest_filled + filled[x] - np.count_nonzero((rest > 0) & own, axis=1)
             near = (same >= share * used) & (used > 2)
             if near.any():
-                found = left[near].tolist()
-                left, rest, rest_filled = left[~near], rest[~near], rest_filled[~near]
-                out.extend((int(ids[x]), int(ids[y])) for y in found)
-                front.extend(found)
+                found = set(parties[left[near]].tolist()) - joined
+                joined |= found
+                out.extend((int(parties[x]), y) for y in found)
+                for y in found:
+                    front.extend(own_rows[y].tolist())
+                stay = ~np.isin(parties[left], list(found))
+                left, rest, rest_filled = left[stay], rest[stay], rest_filled[stay]
 
 
 def _search_groups(share: float):
     def run(table: pa.Table) -> pa.Table:
         group = np.stack([table.column(c).to_numpy() for c in ("key", "low", "high")], axis=1)
-        ids, bins = table.column("rep").to_numpy(), _bins(table.column("sketch"))
+        party, bins = table.column("party").to_numpy(), _bins(table.column("sketch"))
         order = np.lexsort(group.T)
         cuts = np.flatnonzero((np.diff(group[order], axis=0) != 0).any(axis=1)) + 1
         edges: list[tuple[int, int]] = []
         for part in np.split(order, cuts):
-            search_sketches(ids[part], bins[part], share, edges)
+            search_sketches(party[part], bins[part], share, edges)
         a, b = _stars([], [(x & _ALL, y & _ALL) for x, y in edges])
         return pa.Table.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return run
 
 
+def _party_links(nodes: DataFrame, n_nodes: int, least: float, first: int, end: int) -> DataFrame:
+    """Edges a, b between parties of ``nodes`` (rep, sketch, party) that connect all that links by these bands connect."""
+    share = least_share(least)
+    n_bands = min(2 * int((1 - share) * SKETCH_BINS) + 2, 2 * (end - first))
+    rows = nodes.mapInArrow(_band_rows(share, parts_for(n_nodes * n_bands, BUCKET_SIGNATURES, 4), first, end), "bucket int, keys binary, ids binary, parties binary")
+    met = store(rows.groupBy("bucket").applyInArrow(_meet, _MET), "met")
+    pairs = met.filter("members IS NULL").select("a", "b").distinct()
+    left = nodes.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("party").alias("p"))
+    right = nodes.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("party").alias("q"))
+    across = pairs.join(left, "a").join(right, "b").select(F.col("p").alias("a"), F.col("q").alias("b"), "x", "y").mapInArrow(_verified(least), "a long, b long")
+    large = met.filter("members IS NOT NULL").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))))
+    # Two blocks together cover what lies within each of them, so a block is searched alone only if it is the only one.
+    large = large.filter("b <> other OR blocks = 1").select(F.col("a").alias("key"), F.least("b", "other").alias("low"), F.greatest("b", "other").alias("high"), "members")
+    held = met.agg(F.sum(F.size("members").cast("long") * F.col("blocks"))).first()[0] or 0
+    searched = large.withColumn("rep", F.explode("members")).drop("members").join(nodes, "rep").withColumn("task", spread(large, parts_for(held, BUCKET_SKETCHES), "key", "low", "high"))
+    return across.unionByName(searched.groupBy("task").applyInArrow(_search_groups(share), "a long, b long"))
+
+
 def _probe_plan(reps: DataFrame, distance: int) -> DataFrame:
     """Signature rows of distinct fingerprints ``reps.fp`` under the cheapest allocation for ``distance``."""
     n = max(reps.count(), 2)
@@ -498,23 +543,15 @@ def similar_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float
     """
     base = id_and_text(df, id_col, text_col).filter("doc_id IS NOT NULL")
     least = similarity - MARGIN
-    share = least_share(least)
     prints = store(base.mapInArrow(_sketches(shingle), "doc_id long, sketch binary"), "sketches")
-    nodes = store(prints.groupBy("sketch").agg(F.min("doc_id").alias("rep")), "nodes")
-    n_bands = 2 * int((1 - share) * SKETCH_BINS) + 2
-    buckets = parts_for(nodes.count() * n_bands, BUCKET_SIGNATURES, 4)
-    rows = nodes.mapInArrow(_band_rows(share, buckets), "bucket int, keys binary, ids binary")
-    met = store(rows.groupBy("bucket").applyInArrow(_meet, "a long, b long, blocks int, members array<long>"), "met")
-    pairs = met.filter("members IS NULL").select("a", "b").distinct()
-    left, right = nodes.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), nodes.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
-    across = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(least), "a long, b long")
-    large = met.filter("members IS NOT NULL").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))))
-    large = large.select(F.col("a").alias("key"), F.least("b", "other").alias("low"), F.greatest("b", "other").alias("high"), "members")
-    held = met.agg(F.sum(F.size("members").cast("long") * F.col("blocks"))).first()[0] or 0
-    searched = large.withColumn("rep", F.explode("members")).drop("members").join(nodes, "rep").withColumn("task", spread(large, parts_for(held, BUCKET_SKETCHES), "key", "low", "high"))
-    dense = searched.groupBy("task").applyInArrow(_search_groups(share), "a long, b long")
-    within = prints.join(nodes, "sketch").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return connected_components(across.unionByName(dense).unionByName(within)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    nodes = store(prints.groupBy("sketch").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("party", F.col("rep")), "nodes")
+    n_nodes = nodes.count()
+    for first, end in ((0, FIRST_BANDS), (FIRST_BANDS, SKETCH_BINS + 1)):
+        roots = connected_components(_party_links(nodes, n_nodes, least, first, end)).withColumnRenamed("node", "party")
+        named = nodes.join(roots, "party", "left").select("sketch", "rep", "n", F.coalesce("root", "party").alias("party"))
+        nodes = store(named, "nodes")
+    size = nodes.groupBy("party").agg(F.sum("n").alias("size")).filter("size > 1")
+    return prints.join(nodes.join(size, "party").select("sketch", "party"), "sketch").select("doc_id", F.col("party").alias("component_id"))
 
 
 def drop_similar(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
