@@ -30,7 +30,12 @@ def brute_exact(rows):
     for i, t in norm:
         groups[t].append(i)
     least = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
-    return sorted(((i, least[t], len(groups[t]), i == least[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in norm), key=_key)
+    out, taken = [], set()
+    for i, t in norm:
+        kept = i == least[t] and t not in taken
+        taken |= {t} if kept else set()
+        out.append((i, least[t], len(groups[t]), kept, hashlib.sha256(t.encode()).hexdigest()))
+    return sorted(out, key=_key)
 
 
 @pytest.mark.parametrize("rows", [documents(), odd_rows(), [(k, random.Random(k // 3).choice(["same", "other", "x"]) * (k % 2)) for k in range(500)], []])
@@ -47,6 +52,24 @@ def test_exact_hot_group_spans_partitions(spark, monkeypatch):
     assert exact_dedup.drop_exact_copies(frame(spark, rows)).count() == 501
 
 
+@pytest.mark.parametrize("rows", [odd_rows(), [(None, "same"), (None, "same"), (3, "x  y"), (3, "x\ty"), (3, "other"), (9, "same "), (9, "same ")], []])
+def test_one_row_of_equal_texts_stays(spark, rows):
+    df = frame(spark, rows)
+    got = exact_dedup.drop_exact_copies(df)
+    assert got.columns == df.columns
+    norm = [(r["doc_id"], re.sub("[\x20\x09-\x0d]+", " ", r["text"] or "")) for r in got.collect()]
+    assert sorted(norm, key=_key) == sorted(((i, re.sub("[\x20\x09-\x0d]+", " ", t or "")) for (i, t) in _first_rows(rows)), key=_key)
+
+
+def _first_rows(rows):
+    best = {}
+    for i, t in rows:
+        key = re.sub("[\x20\x09-\x0d]+", " ", t or "")
+        if key not in best or (i is not None and (best[key][0] is None or i < best[key][0])):
+            best[key] = (i, t)
+    return best.values()
+
+
 def brute_words(rows, size=35):
     words = [(i, (t or "").encode().split()) for i, t in rows]
     seen = Counter(b" ".join(w[p : p + size]) for _, w in words for p in range(len(w) - size + 1))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but these six characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-#: Text bytes that a stored parquet byte stands for, when only file sizes are known.
-TEXT_PER_STORED_BYTE = 1.7
+#: Memory of an executor, for each of its cores, that sizes of blocks and partitions are stated for.
+USUAL_CORE_BYTES = 1e9
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -78,15 +78,17 @@ def _clean() -> None:
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> float:
-    """Bytes of text in ``df``, from file sizes where Spark knows them, else counted."""
-    with suppress(Exception):
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        total = 0
-        for i in range(leaves.size()):
-            total += int(leaves.apply(i).stats().sizeInBytes().toString())
-        if 0 < total < 1 << 58:
-            return total * TEXT_PER_STORED_BYTE
-    return float(df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+    """Bytes of text in ``df``, counted in a scan of that column."""
+    return float(df.agg(F.sum(F.octet_length(df[text_col].cast("string")).cast("long"))).first()[0] or 0)
+
+
+def for_memory(df: DataFrame, n_bytes: float) -> float:
+    """``n_bytes``, which suit an executor of ``USUAL_CORE_BYTES`` a core, raised in proportion to what a core has here."""
+    conf = df.sparkSession.sparkContext.getConf()
+    text, cores = conf.get("spark.executor.memory", "1g").strip().lower(), int(conf.get("spark.executor.cores", "1") or 1)
+    number, unit = (text.rstrip("b")[:-1], text.rstrip("b")[-1]) if not text.rstrip("b")[-1].isdigit() else (text, "")
+    size = float(number) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}[unit]
+    return n_bytes * max(1.0, size / max(cores, 1) / USUAL_CORE_BYTES)
 
 
 def parts_for(n_bytes: float, each: float, least: int = 1) -> int:

@@ -1,10 +1,11 @@
 """Exact deduplication by content sort.
 
 Sampled splitters range-partition the rows by normalised content, Spark's external sort places
-equal texts next to each other, and each row is compared in full with its neighbour.  A row's
-sort key ends in its identifier, so a group of equal texts of any size is dealt over as many
-partitions as it needs; at most two runs a partition can go on in another one, and only those are
-joined up afterwards.
+equal texts next to each other, and each row is compared in full with its neighbour.  A splitter
+holds a text's first characters and, to part texts that share them, a hash of the whole; it ends in
+the identifier, so a group of equal texts of any size is dealt over as many partitions as it needs.
+At most two runs a partition can go on in another one; only those are joined up afterwards, by
+their whole texts.
 """
 
 from __future__ import annotations
@@ -14,17 +15,20 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, id_and_text, parts_for, store, text_bytes
+from .common import SPACE_CLASS, for_memory, id_and_text, parts_for, store, text_bytes
 
 #: Leading characters of a text in its splitter key; splitters are small however long the texts.
 SPLITTER_CHARS = 24
-#: Text bytes that one sort partition should hold.
-PARTITION_BYTES = 24e6
+#: Text bytes that one sort partition should hold, for the usual memory.
+PARTITION_BYTES = 16e6
 
-_RUNS = "doc_id long, head_id long, run_size long, text_sha256 string, open boolean"
+_RUNS = "doc_id long, head_id long, run_size long, text_sha256 string, lead boolean, run long, run_text string"
+_RUN_TYPE = pa.schema([("doc_id", pa.int64()), ("head_id", pa.int64()), ("run_size", pa.int64()), ("text_sha256", pa.string()), ("lead", pa.bool_()), ("run", pa.int64()), ("run_text", pa.string())])
 
 
 def normalised(text_col: str = "text"):
@@ -34,20 +38,24 @@ def normalised(text_col: str = "text"):
 def _mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a sorted partition with the head and size of their run in this partition.
 
-    ``open`` marks the first and the last run, which may go on in a neighbouring partition.  Of a
-    run that is still growing, only the identifiers are held.
+    ``lead`` marks a run's first row.  The first and the last run may go on in a neighbouring
+    partition: they have a number, ``run``, and their first rows have the text.  Of a run that is
+    still growing, only the identifiers are held.
     """
-    out_schema = pa.schema([("doc_id", pa.int64()), ("head_id", pa.int64()), ("run_size", pa.int64()), ("text_sha256", pa.string()), ("open", pa.bool_())])
+    context = TaskContext.get()
+    base = 2 * (context.partitionId() if context else 0)
     last_text: str | None = None
     last_sha = ""
     ids: list[pa.Array] = []
     first = True
 
-    def rows(run: pa.Array, sha: str, is_open: bool) -> pa.RecordBatch:
+    def rows(run: pa.Array, sha: str, number: int | None, text: str | None) -> pa.RecordBatch:
         n = len(run)
+        lead = pa.array([True] + [False] * (n - 1))
+        texts = pa.array([text if number is not None else None] + [None] * (n - 1), pa.string())
         return pa.RecordBatch.from_arrays(
-            [run, pa.repeat(pa.scalar(run[0].as_py(), pa.int64()), n), pa.repeat(pa.scalar(n, pa.int64()), n), pa.repeat(pa.scalar(sha), n), pa.repeat(pa.scalar(is_open), n)],
-            schema=out_schema,
+            [run, pa.repeat(pa.scalar(run[0].as_py(), pa.int64()), n), pa.repeat(pa.scalar(n, pa.int64()), n), pa.repeat(pa.scalar(sha), n), lead, pa.repeat(pa.scalar(number, pa.int64()), n), texts],
+            schema=_RUN_TYPE,
         )
 
     for batch in batches:
@@ -65,7 +73,8 @@ def _mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(doc.slice(0, head))
         for k, at in enumerate(starts):
             if ids:
-                done.append(rows(pa.concat_arrays(ids), last_sha, first))
+                before = text[at - 1].as_py() if at and first else last_text
+                done.append(rows(pa.concat_arrays(ids), last_sha, base if first else None, before))
                 first = False
             end = starts[k + 1] if k + 1 < len(starts) else n
             ids = [doc.slice(at, end - at)]
@@ -74,49 +83,50 @@ def _mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if done:
             yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
     if ids:
-        yield rows(pa.concat_arrays(ids), last_sha, True)
+        yield rows(pa.concat_arrays(ids), last_sha, base if first else base + 1, last_text)
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of the six space characters became one space; a
-    null text counts as empty, an empty one equals other empty ones, and of equal texts the
-    smallest identifier stays; a missing one counts as the largest.  Repeated identifiers each give
-    a row.  An empty input gives no rows.  Further columns of ``df`` play no part, whatever their names.
+    null text counts as empty, an empty one equals other empty ones, and of equal texts one row
+    stays: that of the smallest identifier, where a missing one counts as the largest.  Repeated
+    identifiers each give a row; of equal texts that share the smallest one, one row is kept.  An
+    empty input gives no rows.  Further columns of ``df`` play no part, whatever their names.
     """
     base = id_and_text(df, id_col, text_col)
     norm = base.select("doc_id", normalised().alias("norm"))
     keyed = norm.select("doc_id", "norm", F.substring("norm", 1, SPLITTER_CHARS).alias("head"), F.xxhash64("norm").alias("h"))
-    n = parts_for(text_bytes(df, text_col), PARTITION_BYTES, 2)
+    n = parts_for(text_bytes(df, text_col), for_memory(df, PARTITION_BYTES), 2)
     last = F.col("doc_id").asc_nulls_last()
     ordered = keyed.repartitionByRange(n, "head", "h", last).sortWithinPartitions("head", "h", "norm", last)
     runs = store(ordered.select("doc_id", "norm").mapInArrow(_mark_runs, _RUNS), "runs")
-    # At most two open runs a partition: the table below has a bounded number of rows for any input.
-    joined = (
-        runs.filter("open")
-        .groupBy("text_sha256", "head_id", "run_size")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .groupBy("text_sha256")
-        .agg(F.min("head_id").alias("_head"), F.sum("_rows").alias("_size"))
-        .withColumnRenamed("text_sha256", "_sha")
-    )
-    found = runs.join(F.broadcast(joined), F.col("open") & (F.col("text_sha256") == F.col("_sha")), "left")
-    keep = F.coalesce("_head", "head_id")
-    # Of rows that share the smallest identifier too, the sort puts them side by side; all count as kept.
-    return found.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("_size", "run_size").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        "text_sha256",
-    )
+    # Two rows a partition at most.  Rows join them by run, and a run is no larger than a partition.
+    border = runs.filter("run IS NOT NULL AND lead")
+    whole = border.groupBy("run_text").agg(F.min("head_id").alias("_head"), F.sum("run_size").alias("_size"))
+    whole = border.select("run_text", "run").join(whole, "run_text").select("run", "_head", "_size")
+    apart = runs.filter("run IS NULL").select("doc_id", F.col("head_id").alias("keep_id"), F.col("run_size").alias("group_size"), "lead", "text_sha256")
+    over = runs.filter("run IS NOT NULL").join(whole, "run").select("doc_id", F.col("_head").alias("keep_id"), F.col("_size").alias("group_size"), "lead", "text_sha256")
+    # Rows that share text and identifier have one splitter key, hence one run, of which one row leads.
+    kept = F.col("lead") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return apart.unionByName(over).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, without those whose text an earlier identifier has.
+    """The rows of ``df``, all columns, of which one row of each group of equal texts stays.
 
-    Rows that share an identifier, or have none, stay or go together.
+    It is a row of the smallest identifier (a missing one counts as the largest); of rows that share
+    text and identifier, the one whose columns hash least.  A null text counts as empty; an empty
+    table gives an empty one.
     """
-    kept = exact_groups(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(kept, df[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+
+    def row_key(row_id, sha):
+        return F.concat(F.coalesce(row_id.cast("long").cast("string"), F.lit("")), F.lit(":"), sha)
+
+    kept = exact_groups(df, id_col, text_col).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_exact_key"))
+    sha = F.sha2(normalised(F.coalesce(df[text_col].cast("string"), F.lit(""))).cast("binary"), 256)
+    hashed = [df[c] for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    ranked = df.select("*", row_key(df[id_col], sha).alias("_exact_key"), F.xxhash64(*hashed).alias("_exact_hash"))
+    ranked = ranked.withColumn("_exact_nth", F.row_number().over(W.partitionBy("_exact_key").orderBy("_exact_hash"))).filter("_exact_nth = 1")
+    return ranked.join(kept, "_exact_key", "left_semi").select(*df.columns)
