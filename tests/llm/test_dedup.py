@@ -103,8 +103,8 @@ def test_equal_windows_have_equal_marks():
 
 def test_runs_and_pairs_shrink_and_name_consistently():
     words = substring.Words([b" ".join(b"w%d" % (k % 50) for k in range(2000))])
-    first, _, _ = words.symbols(1)
-    later, lo, hi = words.symbols(4)
+    first = words.symbols(1)[0]
+    later, _, lo, hi = words.symbols(4)
     assert len(later) < len(first) < 2000
     same = words.roll[0](lo, hi)
     by_range = defaultdict(set)
@@ -113,6 +113,43 @@ def test_runs_and_pairs_shrink_and_name_consistently():
     assert all(len(v) == 1 for v in by_range.values())
 
 
+def test_signatures_are_equal_just_for_equal_ranges():
+    rng = random.Random(8)
+    part = [f"p{k % 23}" for k in range(120)]
+    words = substring.Words([" ".join([rng.choice("abc") for _ in range(rng.randint(0, 40))] + part[: rng.randint(60, 120)]).encode() for _ in range(60)])
+    own = [w for d in range(60) for w in range(words.starts[d], words.starts[d] + words.counts[d])]
+    start = np.array([s for s in own for n in (1, 3, 20, 35) if not words.barrier[s : s + n].any() and s + n < len(words.word)])
+    end = start + np.array([n for s in own for n in (1, 3, 20, 35) if not words.barrier[s : s + n].any() and s + n < len(words.word)])
+    spelled = defaultdict(set)
+    for s, e, name in zip(start.tolist(), end.tolist(), words.signature(start, end).tolist(), strict=True):
+        spelled[name].add(words.word[s:e].tobytes())
+    assert all(len(v) == 1 for v in spelled.values())
+    assert len(spelled) == len({words.word[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)})
+
+
+def test_verification_uses_the_symbols_names():
+    text = b" ".join(b"w%d" % (k * k % 97) for k in range(200))
+    words = substring.Words([text, text])
+    at = np.flatnonzero(words.valid)
+    names = words.names(at)
+    assert (names[: len(at) // 2] == names[len(at) // 2 :]).all()
+    words.parsed[0][len(words.parsed[0]) // 4] ^= np.uint64(1)  # another name for one symbol of the first copy
+    words.parsed = (*words.parsed[:4], Rolling(words.parsed[0], substring._SYMBOL_BASE))
+    names = words.names(at)
+    assert not (names[: len(at) // 2, 0] == names[len(at) // 2 :, 0]).all()
+
+
+@pytest.mark.parametrize("power", [10, 11])
+def test_words_that_collide_in_polynomial_hashes(spark, power):
+    swap = bytes.maketrans(b"ab", b"ba")
+    word = b"a"
+    for _ in range(power):
+        word += word.translate(swap)
+    common = b" ".join(b"c%d" % k for k in range(34))
+    rows = [(1, (common + b" " + word).decode()), (2, (common + b" " + word.translate(swap)).decode())]
+    assert rows_of(substring.repeated_words(frame(spark, rows))) == brute_words(rows)
+
+
 def test_rolling_hash_depends_on_content_only():
     a = np.array([5, 6, 7, 5, 6, 7], np.uint64)
     h = Rolling(a, 0x9E3779B97F4A7C15)(np.array([0, 3]), np.array([3, 6]))

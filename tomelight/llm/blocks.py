@@ -1,6 +1,6 @@
 """Exchange of packed keys between blocks of documents and buckets of keys.
 
-Documents are dealt into blocks by their identifier and each block works on whole arrays.  What a
+Documents are dealt into blocks by identifier and text and each block works on whole arrays.  What a
 block wants to know about its keys goes out as one packed row for each bucket of keys and comes
 back as one packed row of bits, so a shuffle carries few bytes a key and a key that very many
 documents have is sent once a block.  The three passes over the blocks read one and the same
@@ -24,6 +24,8 @@ _ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
+#: A key that more blocks than this ask about is told to be hot.
+HOT_BLOCKS = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,7 +66,7 @@ class Rolling:
 
 def deal(df: DataFrame, n_blocks: int, id_col: str, text_col: str) -> DataFrame:
     base = id_and_text(df, id_col, text_col)
-    return base.select(spread(base, n_blocks, "doc_id").alias("block"), "doc_id", "text")
+    return base.select(spread(base, n_blocks, "doc_id", "text").alias("block"), "doc_id", "text")
 
 
 def known_ids(ids: list[int | None]) -> np.ndarray:
@@ -105,30 +107,38 @@ def answers(table: pa.Table) -> dict[int, np.ndarray]:
     return {b: np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool) for b, bits in zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist(), strict=True)}
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """32 bits of each key, beside those that choose its bucket."""
+    return (mix(keys ^ _M2) >> np.uint64(32)).astype(np.uint32)
+
+
 def ask_repeated(block: int, keys: np.ndarray, many: np.ndarray, n_buckets: int) -> pa.Table:
-    """Ask which of a block's distinct ``keys`` occur elsewhere; ``many`` marks those with several places here."""
+    """Ask which of a block's distinct ``keys`` occur elsewhere; ``many`` marks those with several places here.
+
+    Keys only propose, so 32 bits beside the bucket do: a chance equality costs a comparison.
+    """
     order, parts = by_bucket(keys, n_buckets)
-    keys, many = keys[order], many[order]
-    return ask_rows(block, [(b, keys[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for b, i, j in parts])
+    short, many = _short(keys[order]), many[order]
+    return ask_rows(block, [(b, short[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for b, i, j in parts])
 
 
 def answer_repeated(asked: pa.Table) -> pa.Table:
-    """For each key that a block asked about: does it have a second place, there or elsewhere?"""
-    bodies = [np.frombuffer(b, np.uint64) for b in asked.column("body").to_pylist()]
+    """For each key that a block asked about: does it have a second place, there or elsewhere?  Is it hot?"""
+    bodies = [np.frombuffer(b, np.uint32) for b in asked.column("body").to_pylist()]
     many = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(b)] for x, b in zip(asked.column("extra").to_pylist(), bodies, strict=True)]
     key, place = np.unique(np.concatenate(bodies), return_inverse=True)
-    count = np.bincount(place, 1 + np.concatenate(many), len(key))
-    hit = (count > 1)[place]
+    hit = (np.bincount(place, 1 + np.concatenate(many), len(key)) > 1)[place]
+    hot = (np.bincount(place, minlength=len(key)) > HOT_BLOCKS)[place]
     cuts = np.cumsum([0, *map(len, bodies)])
-    return answer_rows(asked, [hit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+    return answer_rows(asked, [np.concatenate((hit[a:b], hot[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
-def read_repeated(keys: np.ndarray, told: dict[int, np.ndarray], n_buckets: int) -> np.ndarray:
-    """The answers for distinct ``keys``, in their order."""
+def read_repeated(keys: np.ndarray, told: dict[int, np.ndarray], n_buckets: int, hot: bool = False) -> np.ndarray:
+    """The answers for distinct ``keys``, in their order; with ``hot``, whether they are hot."""
     out = np.zeros(len(keys), bool)
     order, parts = by_bucket(keys, n_buckets)
     for b, i, j in parts:
-        out[order[i:j]] = told[b][: j - i]
+        out[order[i:j]] = told[b][j - i : 2 * (j - i)] if hot else told[b][: j - i]
     return out
 
 

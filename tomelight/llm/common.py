@@ -111,7 +111,7 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if not isinstance(key, str) or len(key) <= self.longest_key:
+        if not isinstance(key, (str, bytes)) or len(key) <= self.longest_key:
             if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()

@@ -2,20 +2,24 @@
 
 Each round names runs of one symbol and then pairs of symbols, a pair being a left symbol before a
 right one where the side is a bit of the symbol's own name.  A name is a hash of what it stands
-for, so the rounds name globally without exchanging a dictionary: equal stretches get equal symbols
-wherever they lie, except near their ends.  How near is tracked: every symbol carries the range of
-words that its making looked at, and a window that holds that range holds the symbol in every
-occurrence.
-
-A window of words takes, of the symbols it holds in this sense, the one of smallest name over its
-range as its mark.  Marks with a single place in the corpus settle their windows as unique; the
-windows of shared marks, and those that hold no symbol, are verified by their own 128-bit names,
-which are counted over the corpus.  Every window is judged; nothing is sampled.
+for, from cryptographic hashes of the words up, so the rounds name globally without exchanging a
+dictionary: equal stretches get equal symbols wherever they lie, except near their ends.  How near
+is tracked: every symbol carries the range of words that its making looked at, and a range that
+holds that range holds the symbol in every occurrence.
+
+So a range of words has a signature made of names: the last round's symbols that it holds, and the
+words before and after them.  Equal ranges have equal signatures, and a signature spells its range.
+The signature of what a symbol's making looked at is the symbol's mark; a window of words takes the
+least mark of the symbols it holds.  Marks with a single place in the corpus settle their windows as
+unique; the windows of shared marks, and those that hold no symbol, are verified: by their
+signatures together with an independent hash of their words, counted over the corpus.  Every
+window is judged; nothing is sampled.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 from itertools import compress
 
 import numpy as np
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import ASK, Rolling, answer_repeated, answer_rows, answers, ask_repeated, ask_rows, by_bucket, deal, in_order, mix, read_repeated, through_buckets
-from .common import parts_for, text_bytes
+from .common import Memo, for_memory, parts_for, text_bytes
 
 WINDOW_WORDS = 35
 ROUNDS = 4
@@ -33,16 +37,20 @@ MARK_BYTES, WINDOW_BYTES = 64e6, 12e6
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-#: Bytes hashed at a time, so that the arrays stay in cache.
-_CHUNK = 1 << 18
+_SYMBOL_BASE = 0x9E3779B97F4A7C15
+#: Words whose hashes a worker keeps, per generation.
+CACHE_WORDS = 200_000
+#: Bytes hashed at a time.
+_CHUNK = 1 << 20
 _NONE = np.uint64((1 << 64) - 1)
-_RUN, _PAIR, _SIDE = (np.uint64(c) for c in (0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7, 0x5851F42D4C957F2D))
+_RUN, _PAIR, _SIDE, _CORE, _TAIL = (np.uint64(c) for c in (0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7, 0x5851F42D4C957F2D, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+_digests = Memo(lambda word: hashlib.blake2b(word, digest_size=16).digest(), CACHE_WORDS)
 
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word of all texts in turn, and the number of words of each text."""
+    """Two 64-bit halves of a cryptographic hash of every word of all texts in turn; each text's number of words."""
     found: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
     at = 0
@@ -51,17 +59,20 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         while upto < len(texts) and (size < _CHUNK or upto == at):
             size += len(texts[upto]) + 1
             upto += 1
-        data = np.frombuffer(b"\n".join([*texts[at:upto], b""]), np.uint8)
-        space = _SPACE[data]
+        # A barrier byte before and after, so that the line begins and ends with a gap.
+        line = b"\n".join([b"", *texts[at:upto], b""])
+        space = _SPACE[np.frombuffer(line, np.uint8)]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        if not space[0]:
-            edge = np.concatenate(([0], edge))
-        start, end = edge[::2], edge[1::2]
         bounds = np.cumsum([len(t) + 1 for t in texts[at:upto]])
-        counts[at:upto] = np.diff(np.searchsorted(start, bounds), prepend=0)
-        found.append(Rolling(data.astype(np.uint64) + np.uint64(1), _BYTE_BASE)(start, end))
+        counts[at:upto] = np.diff(np.searchsorted(edge[::2], bounds), prepend=0)
+        if len(edge):
+            # Words and the gaps between them in turn, seen as one Arrow column over the line itself.
+            column = pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(line)])
+            coded = column.dictionary_encode()
+            digests = np.frombuffer(b"".join([_digests[w] for w in coded.dictionary.to_pylist()]), np.uint64).reshape(-1, 2)
+            found.append(digests[coded.indices.to_numpy()[::2]])
         at = upto
-    return np.concatenate(found) if found else np.zeros(0, np.uint64), counts
+    return np.concatenate(found) if found else np.zeros((0, 2), np.uint64), counts
 
 
 def cover_least(n: int, first: np.ndarray, last: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -101,19 +112,21 @@ class Words:
         self.barrier = np.zeros(total, bool)
         self.barrier[self.starts - 1] = True
         self.barrier[-1] = True
-        self.word = np.zeros(total, np.uint64)
-        self.word[~self.barrier] = hashes
+        words = np.zeros((2, total), np.uint64)
+        words[:, ~self.barrier] = hashes.T
+        self.word = words[0]
         self.window = window
-        self.roll = [Rolling(self.word, b) for b in _WORD_BASES]
+        self.roll = [Rolling(w, b) for w, b in zip(words, _WORD_BASES, strict=True)]
         behind = np.concatenate(([0], np.cumsum(self.barrier)))
         n = max(total - window + 1, 0)
         self.valid = behind[window : window + n] == behind[:n]  # windows within one document
 
-    def symbols(self, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The last round's symbols: name, and the range of words their making looked at."""
+    def symbols(self, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The last round's symbols, barriers among them: name, first word, and the range of words their making looked at."""
         sym, fixed = self.word.copy(), self.barrier.copy()
         lo = np.arange(len(sym), dtype=np.int32)
         hi = lo + np.int32(1)
+        pos = lo.copy()
         for r in range(1, rounds + 1):
             # Runs: every symbol looks at both neighbours, and a run at what its members looked at.
             l2, h2 = lo.copy(), hi.copy()
@@ -127,7 +140,7 @@ class Words:
             if same.any():
                 start = np.flatnonzero(np.concatenate(([True], ~same)))
                 length = np.diff(np.append(start, len(sym)))
-                sym, fixed = sym[start], fixed[start]
+                sym, fixed, pos = sym[start], fixed[start], pos[start]
                 run = np.flatnonzero(length > 1)
                 sym[run] = mix(sym[run] * _RUN + length[run].astype(np.uint64) * _SIDE + np.uint64(r))
                 l2, h2 = np.minimum.reduceat(l2, start), np.maximum.reduceat(h2, start)
@@ -144,23 +157,37 @@ class Words:
             at = np.flatnonzero(pair)
             sym[at] = mix(mix(sym[at] + np.uint64(r)) * _PAIR + sym[at + 1])
             keep = np.concatenate(([True], ~pair))
-            sym, fixed, lo, hi = sym[keep], fixed[keep], lo[keep], hi[keep]
-        free = ~fixed
-        return sym[free], lo[free], hi[free]
+            sym, fixed, pos, lo, hi = sym[keep], fixed[keep], pos[keep], lo[keep], hi[keep]
+        return sym, pos, lo, hi
+
+    @cached_property
+    def parsed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Rolling]:
+        """``symbols`` and hashes of their stretches."""
+        found = self.symbols()
+        return *found, Rolling(found[0], _SYMBOL_BASE)
+
+    def signature(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A name for each range of words within a document: of the symbols it holds and the words around them."""
+        _, pos, lo, hi, roll = self.parsed
+        i, j = np.searchsorted(lo, start.astype(lo.dtype)), np.searchsorted(hi, end.astype(hi.dtype), "right")
+        none = i >= j
+        j = np.where(none, i, j)
+        a, b = np.where(none, end, pos[i]), np.where(none, end, np.append(pos, len(self.word))[j])
+        word = self.roll[0]
+        return mix(mix(mix(word(start, a)) * _PAIR + roll(i, j)) * _CORE + word(b, end) * _TAIL)
 
     def marks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each window's mark and the names of all symbols that can be one.
+        """Each window's mark and the marks of all symbols that a window can hold.
 
-        A mark is the smallest name over the range of a symbol that the window holds, else the top
-        value.
+        A window's mark is the least of the symbols it holds, else the top value.
         """
         n = len(self.valid)
         if not n:
             return np.full(0, _NONE), np.zeros(0, np.uint64)
-        _, lo, hi = self.symbols()
-        fits = hi - lo <= self.window
+        _, pos, lo, hi, _ = self.parsed
+        fits = (hi - lo <= self.window) & ~self.barrier[pos]
         lo, hi = lo[fits], hi[fits]
-        name = self.roll[0](lo, hi)
+        name = self.signature(lo, hi)
         name[name == _NONE] -= np.uint64(1)
         mark = cover_least(n, np.maximum(hi - self.window, 0), np.minimum(lo, n - 1), name)
         mark[~self.valid] = _NONE
@@ -182,8 +209,8 @@ class Words:
         return np.flatnonzero(self.valid & shared[place])
 
     def names(self, windows: np.ndarray) -> np.ndarray:
-        """128-bit names of windows, as pairs."""
-        return np.stack([r(windows, windows + self.window) for r in self.roll], axis=1)
+        """Windows' signatures and independent hashes of their words, as pairs."""
+        return np.stack((self.signature(windows, windows + self.window), self.roll[1](windows, windows + self.window)), axis=1)
 
 
 def _distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +243,7 @@ def repeated_words(df: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc
     An empty input gives no rows; further columns play no part.
     """
     size = text_bytes(df, text_col)
-    n_blocks, n_marks, n_windows = parts_for(size, BLOCK_BYTES), parts_for(size, MARK_BYTES, 4), parts_for(size, WINDOW_BYTES, 4)
+    n_blocks, n_marks, n_windows = (parts_for(size, for_memory(df, each), least) for each, least in ((BLOCK_BYTES, 1), (MARK_BYTES, 4), (WINDOW_BYTES, 4)))
     docs = deal(df, n_blocks, id_col, text_col)
 
     def ask_marks(table: pa.Table) -> pa.Table:
