@@ -182,6 +182,33 @@ def test_repeated_bytes(spark, rows, monkeypatch):
     assert rows_of(suffix_dedup.repeated_bytes(frame(spark, rows))) == brute_bytes(rows)
 
 
+def test_windows_of_hot_marks(spark, monkeypatch):
+    rng = random.Random(12)
+    phrase = "a phrase that is in all of these documents, "  # shorter than a window
+    rows = [(k, phrase.join("".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 70))) for _ in range(4))) for k in range(150)]
+    rows += [(k + 200, rows[k][1][rng.randint(0, 60) :]) for k in range(0, 150, 5)]
+    monkeypatch.setattr(suffix_dedup, "parts_for", lambda *a: 5)
+    hot = suffix_dedup.answer_repeated
+
+    def all_hot(asked):
+        from tomelight.llm import blocks
+
+        blocks.HOT_BLOCKS = 2
+        return hot(asked)
+
+    monkeypatch.setattr(suffix_dedup, "answer_repeated", all_hot)
+    assert rows_of(suffix_dedup.repeated_bytes(frame(spark, rows))) == brute_bytes(rows)
+
+
+def test_hot_marks_are_split_into_windows():
+    texts = [b"x" * 20 + b"some text that goes on for a good while, longer than a window of fifty"]
+    own = suffix_dedup.Stretches(texts, 50)
+    windows = int(own.count.sum())
+    key, _ = own.marks()
+    own.narrow({0: np.ones(2 * len(key), bool)}, 1)
+    assert len(own.doc) == windows and set(own.count.tolist()) == {1} and len(set(own.mark.tolist())) == windows
+
+
 @pytest.mark.parametrize("length", [7, 14, 20, 50])
 def test_run_index_matching_statistics(length):
     rng = random.Random(length)

@@ -31,6 +31,24 @@ def _refine(rank: np.ndarray, second: np.ndarray, among: np.ndarray, most: int)
     return where[~alone]
 
 
+class Starts:
+    """Finds which of the sorted ``start`` positions below ``n`` is the last up to a given one.
+
+    It takes a bit a position and a count for each 64 of them.
+    """
+
+    def __init__(self, start: np.ndarray, n: int):
+        self.bits = np.zeros((n >> 6) + 1, np.uint64)
+        np.bitwise_or.at(self.bits, start >> 6, np.uint64(1) << (start & 63).astype(np.uint64))
+        ones = np.bitwise_count(self.bits).astype(np.int32)
+        self.before = np.cumsum(ones, dtype=np.int32) - ones
+
+    def __call__(self, place: np.ndarray) -> np.ndarray:
+        word = place >> 6
+        upto = np.uint64((1 << 64) - 1) >> (63 - (place & 63)).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(self.bits[word] & upto) - 1
+
+
 class RunIndex:
     """Over ``strings``, each ended by a terminator of its own, below all bytes.
 
@@ -77,7 +95,7 @@ class RunIndex:
         self.run_start, self.run_code = start, before[start]
         self.low, self.high = suffix[start], suffix[end]  # the sampled ends
         size = end - start + 1
-        self.run_of = np.repeat(np.arange(len(start), dtype=np.int32), size)
+        self.run_of = Starts(start, n)
         by_code = np.lexsort((start, self.run_code))
         sized = np.cumsum(size[by_code]) - size[by_code]
         codes, first = np.unique(self.run_code[by_code], return_index=True)
@@ -98,7 +116,7 @@ class RunIndex:
         same = (left[a] >= length) & (left[b] >= length) & (r[a] == r[b]) & (r[near[a]] == r[near[b]])
         self.range_start = np.flatnonzero(np.concatenate(([True], ~same))) if n else np.zeros(0, np.int64)
         self.range_least = np.minimum.reduceat(owner[sid[suffix]], self.range_start) if n else owner[:0]
-        self.range_of = np.repeat(np.arange(len(self.range_start), dtype=np.int32), np.diff(np.append(self.range_start, n)))
+        self.range_of = Starts(self.range_start, n)
 
     @property
     def runs(self) -> int:
@@ -147,7 +165,7 @@ class RunIndex:
             who = by_size[:k]
             c = text[last[who] - t].astype(np.int64) + 1
             r, p, m = rank[:k], place[:k], match[:k]
-            run = self.run_of[r]
+            run = self.run_of(r)
             hit = self.run_code[run] == c
             new_r = self._step(run, r)
             new_p = p - 1
@@ -173,5 +191,5 @@ class RunIndex:
             rank[:k], place[:k], match[:k] = new_r, new_p, new_m
             full = np.flatnonzero((new_m >= self.length) & (windows[who] > 0))
             if len(full):
-                found[offset[who[full]] + sizes[who[full]] - 1 - t] = self.range_least[self.range_of[new_r[full]]]
+                found[offset[who[full]] + sizes[who[full]] - 1 - t] = self.range_least[self.range_of(new_r[full])]
         return found

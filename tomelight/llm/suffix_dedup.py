@@ -6,7 +6,9 @@ one document has settle their windows; the stretches of other marks go, by mark,
 distinct stretch once with its least document.  If a mark has one distinct stretch in the corpus,
 its windows are all equal.  Where stretches of a mark differ, the bucket indexes them in a
 run-length Burrows-Wheeler index and streams them through it for matching statistics; a window that
-matches over its full length goes if the least document of the matched range is smaller.
+matches over its full length goes if the least document of the matched range is smaller.  Windows of
+a hot mark, which very many blocks have, are stretches of their own and go by a hash of the window,
+so no bucket gets all that surrounds a very common phrase.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import ASK, Rolling, answer_repeated, answer_rows, answers, ask_repeated, ask_rows, by_bucket, deal, in_order, known_ids, read_repeated, through_buckets
-from .common import parts_for, text_bytes
+from .common import for_memory, parts_for, text_bytes
 from .rindex import RunIndex
 
 LENGTH = 50
@@ -100,26 +102,37 @@ class Stretches:
             return key, np.zeros(0, bool)
         return key, self.doc[order[first]] != self.doc[order[first + n - 1]]
 
-    def shared(self, told: dict[int, np.ndarray], n_buckets: int) -> np.ndarray:
-        """Numbers of the stretches whose mark another document has."""
+    def narrow(self, told: dict[int, np.ndarray], n_buckets: int) -> None:
+        """Keep the stretches whose mark another document has; those of hot marks as single windows."""
         key, _ = self.marks()
         if not len(key):
-            return np.zeros(0, np.int64)
-        return np.flatnonzero(read_repeated(key, told, n_buckets)[np.searchsorted(key, self.mark)])
+            return
+        at = np.searchsorted(key, self.mark)
+        shared = read_repeated(key, told, n_buckets)[at]
+        hot = shared & read_repeated(key, told, n_buckets, hot=True)[at]
+        doc, start, count, mark = ([x[shared & ~hot]] for x in (self.doc, self.start, self.count, self.mark))
+        if hot.any():
+            w = self.count[hot]
+            doc.append(np.repeat(self.doc[hot], w))
+            start.append(np.repeat(self.start[hot], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w))
+            count.append(np.ones(len(doc[1]), np.int64))
+            names = b"".join([hashlib.blake2b(self.texts[d][s : s + self.length], digest_size=8).digest() for d, s in zip(doc[1].tolist(), start[1].tolist(), strict=True)])
+            mark.append(np.frombuffer(names, np.uint64))
+        self.doc, self.start, self.count, self.mark = (np.concatenate(x) for x in (doc, start, count, mark))
 
-    def distinct(self, which: np.ndarray, ids: list[int]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    def distinct(self, ids: list[int]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct stretches in order of appearance, their marks and least documents; where each went."""
         seen: dict[bytes, int] = {}
         texts, extra = self.texts, self.length - 1
         place = np.fromiter(
-            (seen.setdefault(texts[d][s : s + c + extra], len(seen)) for d, s, c in zip(self.doc[which].tolist(), self.start[which].tolist(), self.count[which].tolist(), strict=True)),
+            (seen.setdefault(texts[d][s : s + c + extra], len(seen)) for d, s, c in zip(self.doc.tolist(), self.start.tolist(), self.count.tolist(), strict=True)),
             np.int64,
-            len(which),
+            len(self.doc),
         )
         least = np.full(len(seen), np.iinfo(np.int64).max)
-        np.minimum.at(least, place, known_ids(ids)[self.doc[which]])
+        np.minimum.at(least, place, known_ids(ids)[self.doc])
         mark = np.zeros(len(seen), np.uint64)
-        mark[place] = self.mark[which]
+        mark[place] = self.mark
         return list(seen), mark, least, place
 
 
@@ -188,7 +201,7 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     if length <= SHORT:
         raise ValueError(f"strings need more than {SHORT} bytes")
     total = text_bytes(df, text_col)
-    n_blocks, n_marks, n_stretches = parts_for(total, BLOCK_BYTES), parts_for(total, MARK_BYTES, 4), parts_for(total, STRETCH_BYTES, 4)
+    n_blocks, n_marks, n_stretches = (parts_for(total, for_memory(df, each), least) for each, least in ((BLOCK_BYTES, 1), (MARK_BYTES, 4), (STRETCH_BYTES, 4)))
     docs = deal(df, n_blocks, id_col, text_col)
 
     def ask_marks(table: pa.Table) -> pa.Table:
@@ -198,7 +211,8 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     def ask_stretches(table: pa.Table, told: pa.Table) -> pa.Table:
         block, ids, raw = in_order(table)
         own = Stretches(raw, length)
-        strings, mark, least, _ = own.distinct(own.shared(answers(told), n_marks), ids)
+        own.narrow(answers(told), n_marks)
+        strings, mark, least, _ = own.distinct(ids)
         order, parts = by_bucket(mark, n_stretches)
         return ask_rows(block, [(b, *_pack([strings[k] for k in order[i:j].tolist()], mark[order[i:j]], least[order[i:j]])) for b, i, j in parts])
 
@@ -206,8 +220,8 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         block, ids, raw = in_order(table)
         both = answers(told)
         own = Stretches(raw, length)
-        which = own.shared({b - n_stretches: x for b, x in both.items() if b >= n_stretches}, n_marks)
-        strings, mark, least, place = own.distinct(which, ids)
+        own.narrow({b - n_stretches: x for b, x in both.items() if b >= n_stretches}, n_marks)
+        strings, mark, least, place = own.distinct(ids)
         windows = np.fromiter(map(len, strings), np.int64, len(strings)) - length + 1
         order, parts = by_bucket(mark, n_stretches)
         bits = [both[b][: int(windows[order[i:j]].sum())] for b, i, j in parts]
@@ -217,11 +231,11 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         # Windows of all shared stretches: told to go, or their document isn't the stretch's least here.
         w = windows[place]
         step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        later = known_ids(ids)[own.doc[which]] > least[place]
+        later = known_ids(ids)[own.doc] > least[place]
         gone = flat[np.repeat(offset[place], w) + step] | np.repeat(later, w)
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         begin = np.cumsum(sizes) - sizes
-        hit = (np.repeat(begin[own.doc[which]] + own.start[which], w) + step)[gone]
+        hit = (np.repeat(begin[own.doc] + own.start, w) + step)[gone]
         edge = np.zeros(int(sizes.sum()) + 1, np.int64)
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + length, -1)
