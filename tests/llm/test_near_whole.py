@@ -80,14 +80,23 @@ def test_every_link_shares_a_band():
             assert (x == y).all() or set(key[row == 0]) & set(key[row == 1])
 
 
+def packed(keys, ids, parties) -> pa.Table:
+    return pa.table({n: [np.asarray(x, t).tobytes()] for n, x, t in (("keys", keys, np.uint32), ("ids", ids, np.int64), ("parties", parties, np.int64))})
+
+
 def test_members_of_every_two_blocks_meet(monkeypatch):
     monkeypatch.setattr(simhash, "GROUP_BLOCK", 10)
-    keys, ids = np.full(35, 9, np.uint64), np.arange(35)
-    out = simhash._meet(pa.table({"keys": [keys.tobytes()], "ids": [ids.tobytes()], "parties": [ids.tobytes()]})).to_pylist()
-    assert [r["b"] for r in out] == [0, 1, 2, 3] and {r["blocks"] for r in out} == {4}
+    out = simhash._meet(packed([9] * 35, range(35), range(35))).to_pylist()
+    assert [(r["b"], r["others"]) for r in out] == [(0, [1, 2, 3]), (1, [0, 2, 3]), (2, [0, 1, 3]), (3, [0, 1, 2])]
     assert sorted(i for r in out for i in r["members"]) == list(range(35))
 
 
+def test_blocks_of_one_party_do_not_meet(monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_BLOCK", 10)
+    out = simhash._meet(packed([9] * 40, range(40), [5] * 30 + [6] * 10)).to_pylist()
+    assert [(r["b"], r["others"]) for r in out] == [(0, [3]), (1, [3]), (2, [3]), (3, [0, 1, 2])]
+
+
 def test_texts_of_one_fingerprint(spark):
     own = [" ".join(f"d{d}w{j}" for j in range(90)) for d in range(4)]
     rows = [(k, "again " * 400 + t) for k, t in enumerate([own[0], own[1], own[2], own[1] + " end", own[2] + " end", own[3]])]
@@ -96,10 +105,14 @@ def test_texts_of_one_fingerprint(spark):
 
 
 def test_pairs_and_groups_of_one_party_are_not_given_out():
-    keys, ids, parties = np.repeat(np.arange(3, dtype=np.uint64), [3, 20, 20]), np.concatenate((np.arange(3), np.arange(40))), np.concatenate(([0, 0, 2], np.full(20, 7), np.arange(20) // 10))
-    out = simhash._meet(pa.table({"keys": [keys.tobytes()], "ids": [ids.tobytes()], "parties": [parties.astype(np.int64).tobytes()]})).to_pylist()
+    out = simhash._meet(packed(np.repeat(np.arange(4), [3, 20, 20, 20]), [*range(3), *range(40), *range(20, 40)], [0, 0, 2, *[7] * 20, *[k // 10 for k in range(20)] * 2])).to_pylist()
     assert [(r["a"], r["b"]) for r in out if r["members"] is None] == [(0, 2), (1, 2)]
-    assert [r["members"] for r in out if r["members"]] == [list(range(20, 40))]
+    assert [r["members"] for r in out if r["members"]] == [list(range(20, 40))]  # the same group by two keys is given once
+
+
+def test_pivots():
+    out = simhash._pivots(packed([1, 1, 1, 2, 3, 3], [5, 4, 9, 7, 4, 9], [5, 4, 9, 7, 4, 9])).to_pylist()
+    assert [(r["a"], r["b"]) for r in out] == [(4, 5), (4, 9)]
 
 
 def test_search_links_parties():

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but these six characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Memory of an executor, for each of its cores, that sizes of blocks and partitions are stated for.
-USUAL_CORE_BYTES = 1e9
+USUAL_CORE_BYTES = 2e9
 
 _scratch: list[tuple[SparkSession, str]] = []
 

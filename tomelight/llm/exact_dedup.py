@@ -25,7 +25,7 @@ from .common import SPACE_CLASS, for_memory, id_and_text, parts_for, store, text
 #: Leading characters of a text in its splitter key; splitters are small however long the texts.
 SPLITTER_CHARS = 24
 #: Text bytes that one sort partition should hold, for the usual memory.
-PARTITION_BYTES = 16e6
+PARTITION_BYTES = 8e6
 
 _RUNS = "doc_id long, head_id long, run_size long, text_sha256 string, lead boolean, run long, run_text string"
 _RUN_TYPE = pa.schema([("doc_id", pa.int64()), ("head_id", pa.int64()), ("run_size", pa.int64()), ("text_sha256", pa.string()), ("lead", pa.bool_()), ("run", pa.int64()), ("run_text", pa.string())])

@@ -7,9 +7,9 @@ in some partition i, so probing those and verifying whole fingerprints finds eve
 sample below only steers cost: any allocation finds the same links.
 
 Near copies by similarity compare sketches of the shingle sets instead.  Sketches that differ in so
-few bins as a link may are equal in one band of bins at least, so bands find every link.  A few
-bands come first; the others need only find links between what those left apart, so a pair that
-shares many bands is not given out once for each of them.
+few bins as a link may are equal in one band of bins at least, so bands find every link.  First, by
+a few bands, every sketch is compared with the least identifier of its group of equal bands; then all
+bands find the links between the parties that this left apart, so copies are not paired again.
 """
 
 from __future__ import annotations
@@ -34,14 +34,14 @@ BITS = 64
 # Near copies by similarity: five words, a similarity of 0.8 (estimated, hence a margin).
 NEAR_SHINGLE, SIMILARITY, MARGIN = 5, 0.8, 0.02
 SKETCH_BINS = 256
-#: Bands of every class that are looked at first.
+#: Bands of every class in which sketches are compared with their group's least identifier first.
 FIRST_BANDS = 6
-#: Groups of equal bands up to this size give their pairs, larger ones are searched beside their sketches.
-PAIRED_GROUP = 12
-#: Members of a block of a larger group; every two blocks of a group are searched together.
-GROUP_BLOCK = 8_000
+#: Groups of equal bands up to this size give their pairs (no more than members), larger ones are searched beside their sketches.
+PAIRED_GROUP = 3
+#: Members of a block of a larger group; every two blocks of different parties are searched together.
+GROUP_BLOCK = 4_000
 #: Sketches that one searching task should hold.
-BUCKET_SKETCHES = 40_000
+BUCKET_SKETCHES = 10_000
 #: Fingerprints drawn to estimate candidate counts.
 SAMPLE = 4000
 #: Signatures that one probing task should hold.
@@ -370,7 +370,7 @@ def band_keys(sketches: np.ndarray, share: float, first: int = 0, end: int = SKE
         own = (filled >= low) & (filled < top)
         apart = (own & (filled / share >= top)) | ((filled >= top) & (filled * share <= top - 1))
         for space, take in ((2 * c, own), (2 * c + 1, apart)):
-            if take.any():
+            if take.any() and (space % 2 == 0 or c + 3 <= len(ends)):  # the last class has no next one
                 _bands(tokens[take], np.flatnonzero(take), bands, (space + 1) << 20, range(bands)[first:end], out)
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -382,18 +382,23 @@ def _bins(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH_BINS + 8)[:, :SKETCH_BINS]
 
 
-def _band_rows(share: float, n_buckets: int, first: int, end: int):
+_PARTIES = "bucket int, keys binary, ids binary, parties binary"
+
+
+def _band_rows(share: float, n_buckets: int, end: int):
+    """Packed rows of 32 bits of each key beside its bucket (a chance equality costs a comparison), sketch and party."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.slice(at, 2048)
-                row, key = band_keys(_bins(part.column("sketch")), share, first, end)
+                row, key = band_keys(_bins(part.column("sketch")), share, 0, end)
                 if not len(row):
                     continue
                 ids, parties = (part.column(c).to_numpy()[row] for c in ("rep", "party"))
                 bucket = ((key >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                bucket, key, ids, parties = bucket[order], key[order], ids[order], parties[order]
+                bucket, key, ids, parties = bucket[order], (key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), ids[order], parties[order]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = [*cuts[1:].tolist(), len(bucket)]
                 packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (key, ids, parties)]
@@ -402,39 +407,64 @@ def _band_rows(share: float, n_buckets: int, first: int, end: int):
     return run
 
 
-_MET = "a long, b long, blocks int, members array<long>"
+def _grouped(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, identifiers and parties in order of key, party and identifier, each once; starts and sizes of groups of equal keys."""
+    key, ids, party = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint32), ("ids", np.int64), ("parties", np.int64)))
+    order = np.lexsort((ids, party, key))
+    key, ids, party = key[order], ids[order], party[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+    key, ids, party = key[once], ids[once], party[once]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+    return key, ids, party, starts, np.diff(np.append(starts, len(key)))
+
+
+def _pivots(table: pa.Table) -> pa.Table:
+    """Pairs a, b of the least identifier of each group of equal keys and its other members."""
+    _, ids, _, starts, sizes = _grouped(table)
+    least = np.repeat(np.minimum.reduceat(ids, starts), sizes) if len(ids) else ids
+    pairs = np.unique(np.stack((least, ids), axis=1)[least != ids], axis=0)
+    return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+_MET = "a long, b long, others array<int>, members array<long>"
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """What equal keys bring together of different parties.
 
-    Pairs a, b of small groups; of larger ones their key, block, number of blocks and members.
+    Pairs a, b of small groups.  Of larger ones blocks of members, in order of party: a name of the
+    group, the block's number, and the numbers of the blocks to search it with.
     """
-    key, ids, party = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("parties", np.int64)))
-    order = np.lexsort((ids, key))
-    key, ids, party = key[order], ids[order], party[order]
-    once = np.ones(len(key), bool)
-    once[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-    key, ids, party = key[once], ids[once], party[once]
-    starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-    sizes = np.diff(np.append(starts, len(key)))
-    mixed = (np.minimum.reduceat(party, starts) != np.maximum.reduceat(party, starts)) if len(starts) else np.zeros(0, bool)
-    take = np.repeat(mixed & (sizes <= PAIRED_GROUP), sizes)
-    k, f, p, pairs = key[take], ids[take], party[take], [np.zeros((0, 2), np.int64)]
+    _, ids, party, starts, sizes = _grouped(table)
+    mixed = party[starts] != party[starts + sizes - 1]
+    take = np.flatnonzero(np.repeat(mixed & (sizes <= PAIRED_GROUP), sizes))
+    group = np.repeat(np.arange(len(starts)), sizes)
+    pairs = [np.zeros((0, 2), np.int64)]
     for shift in range(1, PAIRED_GROUP):
-        hit = np.flatnonzero((k[shift:] == k[:-shift]) & (p[shift:] != p[:-shift]))
-        pairs.append(np.stack((f[hit], f[hit + shift]), axis=1))
+        one = take[take + shift < len(ids)]
+        one = one[(group[one] == group[one + shift]) & (party[one] != party[one + shift])]
+        pairs.append(np.sort(np.stack((ids[one], ids[one + shift]), axis=1), axis=1))
     both = np.unique(np.concatenate(pairs), axis=0)
-    a, b, blocks, members = both[:, 0].tolist(), both[:, 1].tolist(), [None] * len(both), [None] * len(both)
-    large = mixed & (sizes > PAIRED_GROUP)
+    a, b, others, members = both[:, 0].tolist(), both[:, 1].tolist(), [None] * len(both), [None] * len(both)
+    large, seen = mixed & (sizes > PAIRED_GROUP), set()
     for at, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
-        parts = np.array_split(ids[at : at + n], math.ceil(n / GROUP_BLOCK))
-        for i, part in enumerate(parts):
-            a.append(int(key[at].view(np.int64)))
-            b.append(i)
-            blocks.append(len(parts))
-            members.append(part.tolist())
-    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(blocks, pa.int32()), pa.array(members, pa.list_(pa.int64()))], names=["a", "b", "blocks", "members"])
+        own, sides = ids[at : at + n], party[at : at + n]
+        name = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+        if (name, n) in seen:
+            continue
+        seen.add((name, n))
+        cuts = [n * k // math.ceil(n / GROUP_BLOCK) for k in range(math.ceil(n / GROUP_BLOCK) + 1)]
+        ends = [(sides[i], sides[j - 1]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        for i, (low, high) in enumerate(ends):
+            # Two blocks together cover what lies within each; blocks of one and the same party have nothing to find.
+            meet = [j for j, e in enumerate(ends) if (j != i or len(ends) == 1) and not low == high == e[0] == e[1]]
+            if meet:
+                a.append(name - (1 << 64) if name >> 63 else name)
+                b.append(i)
+                others.append(meet)
+                members.append(own[cuts[i] : cuts[i + 1]].tolist())
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(others, pa.list_(pa.int32())), pa.array(members, pa.list_(pa.int64()))], names=["a", "b", "others", "members"])
 
 
 def search_sketches(parties: np.ndarray, bins: np.ndarray, share: float, out: list[tuple[int, int]]) -> None:
@@ -486,20 +516,34 @@ def _search_groups(share: float):
     return run
 
 
-def _party_links(nodes: DataFrame, n_nodes: int, least: float, first: int, end: int) -> DataFrame:
-    """Edges a, b between parties of ``nodes`` (rep, sketch, party) that connect all that links by these bands connect."""
-    share = least_share(least)
-    n_bands = min(2 * int((1 - share) * SKETCH_BINS) + 2, 2 * (end - first))
-    rows = nodes.mapInArrow(_band_rows(share, parts_for(n_nodes * n_bands, BUCKET_SIGNATURES, 4), first, end), "bucket int, keys binary, ids binary, parties binary")
-    met = store(rows.groupBy("bucket").applyInArrow(_meet, _MET), "met")
-    pairs = met.filter("members IS NULL").select("a", "b").distinct()
+def _linked_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The parties a, b of those ``pairs`` of sketches that are similar enough."""
     left = nodes.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("party").alias("p"))
     right = nodes.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("party").alias("q"))
-    across = pairs.join(left, "a").join(right, "b").select(F.col("p").alias("a"), F.col("q").alias("b"), "x", "y").mapInArrow(_verified(least), "a long, b long")
-    large = met.filter("members IS NOT NULL").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))))
-    # Two blocks together cover what lies within each of them, so a block is searched alone only if it is the only one.
-    large = large.filter("b <> other OR blocks = 1").select(F.col("a").alias("key"), F.least("b", "other").alias("low"), F.greatest("b", "other").alias("high"), "members")
-    held = met.agg(F.sum(F.size("members").cast("long") * F.col("blocks"))).first()[0] or 0
+    both = pairs.distinct().join(left, "a").join(right, "b").select(F.col("p").alias("a"), F.col("q").alias("b"), "x", "y")
+    return both.mapInArrow(_verified(least), "a long, b long")
+
+
+def _banded(nodes: DataFrame, n_nodes: int, share: float, end: int) -> DataFrame:
+    n_bands = 2 * min(int((1 - share) * SKETCH_BINS) + 1, end)
+    return nodes.mapInArrow(_band_rows(share, parts_for(n_nodes * n_bands, BUCKET_SIGNATURES, 4), end), _PARTIES).groupBy("bucket")
+
+
+def _first_links(nodes: DataFrame, n_nodes: int, least: float) -> DataFrame:
+    """Links of sketches with the least identifier of a group of equal bands; they only spare later work."""
+    pairs = _banded(nodes, n_nodes, least_share(least), FIRST_BANDS).applyInArrow(_pivots, "a long, b long")
+    return _linked_pairs(pairs, nodes, least)
+
+
+def _party_links(nodes: DataFrame, n_nodes: int, least: float) -> DataFrame:
+    """Edges a, b between parties of ``nodes`` (rep, sketch, party) that connect all parties between which there are links."""
+    share = least_share(least)
+    met = store(_banded(nodes, n_nodes, share, SKETCH_BINS + 1).applyInArrow(_meet, _MET), "met")
+    across = _linked_pairs(met.filter("members IS NULL").select("a", "b"), nodes, least)
+    # Groups with the same members are the same; a chance equality of names only joins two searches.
+    large = met.filter("members IS NOT NULL").dropDuplicates(["a", "b", "members"]).withColumn("other", F.explode(F.col("others").cast("array<bigint>")))
+    large = large.select(F.col("a").alias("key"), F.least("b", "other").alias("low"), F.greatest("b", "other").alias("high"), "members")
+    held = met.agg(F.sum(F.size("members").cast("long") * F.size("others"))).first()[0] or 0
     searched = large.withColumn("rep", F.explode("members")).drop("members").join(nodes, "rep").withColumn("task", spread(large, parts_for(held, BUCKET_SKETCHES), "key", "low", "high"))
     return across.unionByName(searched.groupBy("task").applyInArrow(_search_groups(share), "a long, b long"))
 
@@ -546,8 +590,8 @@ def similar_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float
     prints = store(base.mapInArrow(_sketches(shingle), "doc_id long, sketch binary"), "sketches")
     nodes = store(prints.groupBy("sketch").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("party", F.col("rep")), "nodes")
     n_nodes = nodes.count()
-    for first, end in ((0, FIRST_BANDS), (FIRST_BANDS, SKETCH_BINS + 1)):
-        roots = connected_components(_party_links(nodes, n_nodes, least, first, end)).withColumnRenamed("node", "party")
+    for links in (_first_links, _party_links):
+        roots = connected_components(links(nodes, n_nodes, least)).withColumnRenamed("node", "party")
         named = nodes.join(roots, "party", "left").select("sketch", "rep", "n", F.coalesce("root", "party").alias("party"))
         nodes = store(named, "nodes")
     size = nodes.groupBy("party").agg(F.sum("n").alias("size")).filter("size > 1")
