@@ -54,9 +54,131 @@ def test_distance_is_mahalanobis(spark):
     assert np.allclose(got, np.sort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)))
 
 
-def test_main_path_is_native(spark):
-    plan = R.counted(frame(spark, odd_rows()))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_main_path_is_native(spark, monkeypatch):
+    plans = []
+    store = R.store
+
+    def seen(df, label="t"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, label)
+
+    monkeypatch.setattr(R, "store", seen)
+    out = R.quality_rules(frame(spark, odd_rows() + documents()[:80]))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5
+    for plan in plans:
+        assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan.replace("Scan ExistingRDD", "").replace("LocalTableScan", ""))
+
+
+def statistics(rows):
+    out = []
+    for _, text, _, _ in rows:
+        n, chars, symbols, dup, repeats = brute_counts(text)
+        lines = sum(1 for x in text.split("\n") if x.strip())
+        out.append([np.log1p(n), np.log((chars + 1) / n), np.sqrt(symbols / (chars + 1)), np.sqrt(dup / max(lines, 1)), np.sqrt(repeats / n)])
+    return np.array(out)
+
+
+def nth(values, share):
+    """Of whole numbers, the least that ``share`` of them don't exceed."""
+    v = np.sort(values)
+    return v[int(np.ceil(share * len(v) - 1e-9)) - 1]
+
+
+def grid(x):
+    return np.floor(np.asarray(x) * R.GRID)
+
+
+def squared(x, m, c):
+    d = x - m
+    return np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d)
+
+
+def brute_estimate(x, salt):
+    """Centre and covariance (floors added) of the start of least determinant."""
+    floors, least = np.diag(np.square(R.FLOORS)), np.square(R.LEAST_SPREAD)
+
+    def raised(m, c):
+        c = c.copy()
+        np.fill_diagonal(c, np.maximum(np.diag(c), least))
+        return m, c + floors
+
+    middle = np.array([nth(grid(x[:, k]), 0.5) for k in range(5)]) / R.GRID
+    spread = np.array([nth(grid(abs(x[:, k] - middle[k])), 0.5) for k in range(5)]) / R.GRID
+    starts = [raised(middle, np.diag((1.4826 * spread) ** 2))]
+    for part in range(1, R.PART_STARTS + 1):
+        y = x[salt % R.START_PARTS + 1 == part]
+        if len(y):
+            starts.append(raised(y.mean(axis=0), np.cov(y.T, bias=True).reshape(5, 5) if len(y) > 1 else np.zeros((5, 5))))
+    dets = [np.linalg.slogdet(c)[1] for _, c in starts]
+    return starts, dets
+
+
+def brute_concentrate(groups):
+    """All groups step together until no determinant moves, as one job does for them."""
+    state = {g: brute_estimate(x, salt) for g, (x, salt) in groups.items()}
+    floors, least = np.diag(np.square(R.FLOORS)), np.square(R.LEAST_SPREAD)
+    for _ in range(R.MOST_STEPS):
+        moved = 0.0
+        for g, (x, _) in groups.items():
+            starts, dets = state[g]
+            for k, (m, c) in enumerate(starts):
+                far = grid(np.log1p(squared(x, m, c)))
+                core = x[far <= nth(far, R.CORE)]
+                cov = np.cov(core.T, bias=True).reshape(5, 5) if len(core) > 1 else np.zeros((5, 5))
+                np.fill_diagonal(cov, np.maximum(np.diag(cov), least))
+                starts[k] = (core.mean(axis=0), cov + floors)
+                det = np.linalg.slogdet(starts[k][1])[1]
+                moved, dets[k] = max(moved, abs(det - dets[k])), det
+        if moved <= R.SETTLED:
+            break
+    return {g: starts[int(np.argmin(dets))] for g, (starts, dets) in state.items()}
+
+
+def test_kept_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    text = lambda n, size: " ".join("".join(rng.choice(list("abcdefghij"), int(rng.integers(size - 2, size + 3)))) for _ in range(n))
+    rows = []
+    for lang, source, n, size in (("en", "a", 160, 5), ("en", "b", 25, 6), ("en", "c", 2, 7), ("de", "a", 90, 8), ("de", "z", 1, 8)):
+        for _ in range(n):
+            body = text(int(rng.integers(60, 300)), size)
+            odd = rng.random()
+            if odd < 0.05:
+                body = "\n".join(["same line here now"] * 30 + [body])
+            elif odd < 0.1:
+                body = body.replace("a", "#$").replace("b", "%&")
+            elif odd < 0.15:
+                body = text(70, 14)
+            rows.append((len(rows), body, lang, source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    salt = {r[0]: r[1] for r in df.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {R.SALTS})").collect()}
+    x, salts = statistics(rows), np.array([salt[r[0]] for r in rows])
+    names = [(r[2], r[3]) for r in rows]
+    base = np.array([n < 50 or 100 * rep > 50 * n for n, _, _, _, rep in (brute_counts(r[1]) for r in rows)])
+    own = {g: np.array([k for k, name in enumerate(names) if name == g and not base[k]]) for g in dict.fromkeys(names)}
+    best = brute_concentrate({g: (x[k], salts[k]) for g, k in own.items()})
+    want = {}
+    scales, mixed = {}, {}
+    for lang in ("en", "de"):
+        gs = [g for g in own if g[0] == lang]
+        n = np.array([len(own[g]) for g in gs], float)
+        m_all = sum(w * best[g][0] for w, g in zip(n, gs, strict=True)) / n.sum()
+        s_all = sum(w * (best[g][1] + np.outer(best[g][0], best[g][0])) for w, g in zip(n, gs, strict=True)) / n.sum()
+        c_all = s_all - np.outer(m_all, m_all)
+        for k, g in zip(n, gs, strict=True):
+            w = k / (k + R.PRIOR_ROWS)
+            gap = best[g][0] - m_all
+            mixed[g] = (w * best[g][0] + (1 - w) * m_all, w * best[g][1] + (1 - w) * c_all + w * (1 - w) * np.outer(gap, gap))
+            scales[g] = min(1.0, R.CHI2_MEDIAN / np.expm1((nth(grid(np.log1p(squared(x[own[g]], *mixed[g]))), 0.5) + 1) / R.GRID))
+        whole = sum(k * scales[g] for k, g in zip(n, gs, strict=True)) / n.sum()
+        for k, g in zip(n, gs, strict=True):
+            scale = (k * scales[g] + R.PRIOR_ROWS * whole) / (k + R.PRIOR_ROWS)
+            want |= dict(zip(own[g].tolist(), (squared(x[own[g]], *mixed[g]) * scale).tolist(), strict=True))
+    got = {r["doc_id"]: r for r in R.quality_rules(df.repartition(7)).collect()}
+    assert all(not got[k]["kept"] and got[k]["base_failed"] for k in np.flatnonzero(base).tolist())
+    assert all(abs(got[k]["d2"] - d2) < 1e-6 * max(1, d2) for k, d2 in want.items())
+    assert all(got[k]["kept"] == (d2 <= R.CUTOFF) for k, d2 in want.items())
+    assert 3 < sum(not got[k]["kept"] for k in want) < 60
 
 
 def test_model_learns_tables_and_interactions():

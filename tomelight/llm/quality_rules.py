@@ -4,13 +4,16 @@ Everything is DataFrame expressions.  A document's counts become five transforme
 each group the minimum-covariance-determinant estimate comes from concentration steps: from each of
 several starts (medians and median absolute deviations, moments of parts of the rows) take mean and
 covariance of the ``CORE`` share of rows that lie closest, again and again until the determinants
-stand, and keep the smallest.  A document is an outlier beyond ``CUTOFF`` in squared
-Mahalanobis distance.  Covariances are inverted by a Cholesky factor written out in columns.
+stand, and keep the smallest.  A group's estimate is then drawn towards its language's, the more so
+the fewer rows it has.  A document is an outlier beyond ``CUTOFF`` in squared Mahalanobis distance.
+Covariances are inverted by a Cholesky factor written out in columns.  Order statistics are those of
+values on a fixed grid, counted, so they don't depend on how rows are partitioned.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, discard, store
@@ -23,8 +26,10 @@ MOST_STEPS, SETTLED = 20, 1e-3
 PART_STARTS, START_PARTS = 3, 8
 #: Parts into which a group's rows are dealt when its estimates are joined to them.
 SALTS = 32
-#: Groups of fewer rows are judged together with their language's other small groups.
-LEAST_GROUP = 50
+#: Rows that a group's language counts for when the group's estimate is drawn towards the language's.
+PRIOR_ROWS = 50
+#: Steps of the grid in a unit of a statistic, or of the logarithm of a squared distance.
+GRID = 4096
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
 #: Standard deviation that each statistic has at least: differences below it say nothing of quality.
 #: Lines (at most 1) and repeats (at most 0.71) reach the cutoff alone.
@@ -113,12 +118,12 @@ def _raised(moments: DataFrame) -> DataFrame:
     return moments.withColumns({f"c_{i}_{i}": F.greatest(F.col(f"c_{i}_{i}"), F.lit(x**2)) for i, x in enumerate(LEAST_SPREAD)})
 
 
-def _factored(moments: DataFrame) -> DataFrame:
+def _factored(moments: DataFrame, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """Means and factor, one projection a column of the matrix so that no expression is repeated."""
     n = len(FEATURES)
     out = moments
     for i in range(n):
-        out = out.withColumn(f"c_{i}_{i}", F.col(f"c_{i}_{i}") + F.lit(FLOORS[i] ** 2))
+        out = out.withColumn(f"c_{i}_{i}", F.col(f"c_{i}_{i}") + F.lit(floors[i] ** 2))
     for j in range(n):
         square = F.col(f"c_{j}_{j}")
         for k in range(j):
@@ -158,26 +163,42 @@ def _moments(rows: DataFrame) -> DataFrame:
     )
 
 
-def robust_estimates(rows: DataFrame) -> DataFrame:
-    """Per group g of ``rows``: centre, Cholesky factor and the scale of distances under them."""
+def order_statistics(rows: DataFrame, keys: list[str], bins: list[str], share: float) -> DataFrame:
+    """Per ``keys``, for each column of ``bins`` (whole numbers) the least value that ``share`` of the rows don't exceed.
+
+    Rows are counted by value first, so a group of any size leaves one row a value.
+    """
+    each = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(b).alias("what"), F.col(b).alias("bin")) for b in bins))).alias("x")).select(*keys, "x.what", "x.bin")
+    counts = each.groupBy(*keys, "what", "bin").agg(F.count(F.lit(1)).alias("n"))
+    own = W.partitionBy(*keys, "what")
+    reached = counts.select(*keys, "what", "bin", (F.sum("n").over(own.orderBy("bin")) >= F.sum("n").over(own) * share).alias("reached")).filter("reached")
+    return reached.groupBy(*keys).agg(*(F.min(F.when(F.col("what") == b, F.col("bin"))).alias(b) for b in bins))
+
+
+def _on_grid(value: Column) -> Column:
+    return F.floor(value * GRID).cast("long")
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """Per group g of ``rows``: centre and Cholesky factor of the start whose core has the least determinant, and n rows."""
     n = len(FEATURES)
-    middle = rows.groupBy("g").agg(*(F.percentile_approx(FEATURES[i], 0.5, 1000).alias(f"m_{i}") for i in range(n)))
-    spread = _with_estimates(rows, middle).groupBy("g").agg(
-        *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(n)),
-        *(F.percentile_approx(F.abs(F.col(FEATURES[i]) - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i in range(n)),
-    )
+    at = [f"b_{i}" for i in range(n)]
+    middle = order_statistics(rows.select("g", *(_on_grid(F.col(FEATURES[i])).alias(at[i]) for i in range(n))), ["g"], at, 0.5)
+    middle = middle.select("g", *((F.col(at[i]) / GRID).alias(f"m_{i}") for i in range(n)))
+    apart = _with_estimates(rows, middle).select("g", *(_on_grid(F.abs(F.col(FEATURES[i]) - F.col(f"m_{i}"))).alias(at[i]) for i in range(n)))
+    spread = order_statistics(apart, ["g"], at, 0.5).join(middle, "g")
     first = spread.select(
         "g",
         F.lit(0).alias("start"),
         *(f"m_{i}" for i in range(n)),
-        *(((1.4826 * F.col(f"d_{i}")) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)),
+        *(((1.4826 * F.col(at[i]) / GRID) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)),
     )
     parts = _moments(rows.withColumn("start", F.col("salt") % START_PARTS + 1).filter(F.col("start") <= PART_STARTS))
     params = store(_factored(_raised(first.unionByName(parts))), "centres")
     for _ in range(MOST_STEPS):
-        near = _with_distance(rows, params)
-        bound = near.groupBy("g", "start").agg(F.percentile_approx("d2", CORE, 1000).alias("most"))
-        core = _with_distance(rows, params.join(bound, ["g", "start"])).filter("d2 <= most")
+        near = _with_distance(rows, params).withColumn("far", _on_grid(F.log1p("d2")))
+        bound = order_statistics(near, ["g", "start"], ["far"], CORE).withColumnRenamed("far", "most")
+        core = _with_distance(rows, params.join(bound, ["g", "start"])).filter(_on_grid(F.log1p("d2")) <= F.col("most"))
         after = store(_factored(_raised(_moments(core))), "centres")
         moved = after.join(params.select("g", "start", F.col("log_det").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
         discard(params)
@@ -185,32 +206,75 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
         if moved is None or moved <= SETTLED:
             break
     least = params.groupBy("g").agg(F.min(F.struct("log_det", "start")).alias("least")).select("g", F.col("least.start").alias("start"))
-    best = store(params.join(least, ["g", "start"]), "least")
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    best = store(params.join(least, ["g", "start"]).join(sizes, "g"), "least")
     discard(params)
-    scale = _with_distance(rows, best).groupBy("g").agg(F.least(F.lit(1.0), F.lit(CHI2_MEDIAN) / F.percentile_approx("d2", 0.5, 1000)).alias("scale"))
-    return store(best.join(scale, "g"), "estimates")
+    return best
+
+
+def blended(best: DataFrame) -> DataFrame:
+    """Centre and factor of each group (g, n rows, centre, factor), drawn towards those of its language.
+
+    The language's are the moments of its groups' cores together.  A group of n rows weighs n
+    against ``PRIOR_ROWS`` for the language, in the mixture of the two.
+    """
+    n = len(FEATURES)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    own = best.select(
+        "g",
+        F.get_json_object("g", "$.lang").alias("lang"),
+        "n",
+        *(f"m_{i}" for i in range(n)),
+        *(sum(F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j + 1)).alias(f"c_{i}_{j}") for i, j in pairs),
+    )
+    total = F.sum("n")
+    whole = own.groupBy("lang").agg(
+        *((F.sum(F.col("n") * F.col(f"m_{i}")) / total).alias(f"a_{i}") for i in range(n)),
+        *((F.sum(F.col("n") * (F.col(f"c_{i}_{j}") + F.col(f"m_{i}") * F.col(f"m_{j}"))) / total).alias(f"s_{i}_{j}") for i, j in pairs),
+    )
+    w = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    both = own.join(whole, "lang").withColumn("w", w)
+    gap = lambda i: F.col(f"m_{i}") - F.col(f"a_{i}")
+    mixed = both.select(
+        "g",
+        *((F.col("w") * F.col(f"m_{i}") + (1 - F.col("w")) * F.col(f"a_{i}")).alias(f"m_{i}") for i in range(n)),
+        *(
+            (F.col("w") * F.col(f"c_{i}_{j}") + (1 - F.col("w")) * (F.col(f"s_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) + F.col("w") * (1 - F.col("w")) * gap(i) * gap(j)).alias(f"c_{i}_{j}")
+            for i, j in pairs
+        ),
+    )
+    return _factored(mixed, (0.0,) * n)
+
+
+def robust_estimates(rows: DataFrame) -> DataFrame:
+    """Per group g of ``rows``: centre, Cholesky factor and the scale of distances under them."""
+    best = _settled(rows)
+    mixed = store(blended(best), "mixed")
+    far = order_statistics(_with_distance(rows, mixed).withColumn("far", _on_grid(F.log1p("d2"))), ["g"], ["far"], 0.5)
+    own = F.least(F.lit(1.0), F.lit(CHI2_MEDIAN) / F.expm1((F.col("far") + 1) / GRID))
+    scaled = best.select("g", "n", F.get_json_object("g", "$.lang").alias("lang")).join(far.select("g", own.alias("own")), "g")
+    whole = scaled.groupBy("lang").agg((F.sum(F.col("n") * F.col("own")) / F.sum("n")).alias("all"))
+    scale = scaled.join(whole, "lang").select("g", ((F.col("n") * F.col("own") + PRIOR_ROWS * F.col("all")) / (F.col("n") + PRIOR_ROWS)).alias("scale"))
+    return store(mixed.join(scale, "g"), "estimates")
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: the base counts, base_failed, d2 and kept.
 
     A null text counts as empty: all counts are 0 and the base rule fails it.  A null language or
-    source counts as an empty name; where the columns are missing, all rows are one group.  Repeated
-    rows each give a row and count in the estimates.  An empty input gives no rows.  Rows that fail
-    the base rule take no part in the estimates.
+    source counts as an empty name; where the columns are missing, all rows are one group.  A group
+    of few rows is judged mostly by its language's estimate.  Repeated rows each give a row and count
+    in the estimates.  An empty input gives no rows.  Rows that fail the base rule take no part in
+    the estimates.  Columns of ``df`` other than identifier, text, lang and source play no part,
+    whatever their names.
     """
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    rows = store(counted(df, id_col, text_col).withColumn("salt", salt), "counts")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    sizes = rows.filter(~failed).groupBy("lang", "source").count()
-    named = sizes.select(
-        F.col("lang").alias("_l"), F.col("source").alias("_s"), F.when(F.col("count") >= LEAST_GROUP, F.struct("lang", "source")).otherwise(F.struct("lang", F.lit(None).cast("string").alias("source"))).alias("_g")
-    )
-    dealt = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    judged = rows.withColumn("base_failed", failed).join(dealt, (rows["lang"] == dealt["_l"]) & (rows["source"] == dealt["_s"]) & (rows["salt"] == dealt["_salt"]), "left")
-    featured = store(judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.to_json("_g").alias("g"), "salt", *_features()), "featured")
+    group = F.to_json(F.struct("lang", "source")).alias("g")
+    counts = counted(df, id_col, text_col).withColumn("salt", salt).withColumn("base_failed", failed)
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    featured = store(counts.select(*base, group, "salt", *_features()), "featured")
     estimates = robust_estimates(featured.filter("not base_failed").select("g", "salt", *FEATURES))
     measured = _with_distance(featured.filter("not base_failed"), estimates)
-    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     passed = measured.select(*base, F.coalesce(F.col("d2") * F.col("scale") <= CUTOFF, F.lit(True)).alias("kept"), (F.col("d2") * F.col("scale")).alias("d2"))
     return passed.unionByName(featured.filter("base_failed").select(*base, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2")))
