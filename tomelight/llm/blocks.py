@@ -64,9 +64,9 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-def deal(df: DataFrame, n_blocks: int, id_col: str, text_col: str) -> DataFrame:
+def deal(df: DataFrame, n_blocks: int, n_parts: int, id_col: str, text_col: str) -> DataFrame:
     base = id_and_text(df, id_col, text_col)
-    return base.select(spread(base, n_blocks, "doc_id", "text").alias("block"), "doc_id", "text")
+    return base.select(spread(base, n_blocks, "doc_id", "text").alias("block"), "doc_id", "text").repartition(n_parts, "block")
 
 
 def known_ids(ids: list[int | None]) -> np.ndarray:

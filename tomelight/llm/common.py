@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Memory of an executor, for each of its cores, that sizes of blocks and partitions are stated for.
 USUAL_CORE_BYTES = 2e9
+#: Text bytes that a partition of dealt blocks holds, for the usual memory.
+DEALT_BYTES = 16e6
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -95,6 +97,11 @@ def parts_for(n_bytes: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(n_bytes / each))
 
 
+def dealt_parts(df: DataFrame, size: float, n_blocks: int) -> int:
+    """Partitions in which to deal ``n_blocks`` blocks of ``size`` bytes of text; a task's share is bounded at any size."""
+    return max(parts_for(size, for_memory(df, DEALT_BYTES)), min(n_blocks, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def spread(df: DataFrame, n: int, *keys: Column | str) -> Column:
     """A block number below ``n`` from a hash of ``keys``."""
     return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, parts_for, spread, text_bytes
+from .common import dealt_parts, for_memory, id_and_text, parts_for, spread, text_bytes
 from .token_counts import PLAIN
 
 LINEAR_COST = 1.0
@@ -120,10 +120,12 @@ def pack(
 
     A document is its ids and ``end_id``; every id lies in one piece.  A null text counts as empty
     and gives the single ``end_id``.  Repeated rows are packed each for itself.  An empty input
-    gives no rows; further columns play no part.
+    gives no rows; further columns play no part.  Blocks are dealt by identifier and text, so rows
+    without an identifier spread like others.
     """
-    blocks = parts_for(text_bytes(df, text_col), BLOCK_BYTES)
+    size = text_bytes(df, text_col)
+    blocks = parts_for(size, for_memory(df, BLOCK_BYTES))
     base = id_and_text(df, id_col, text_col)
-    dealt = base.select(spread(base, blocks, "doc_id").cast("long").alias("block"), "doc_id", "text")
+    dealt = base.select(spread(base, blocks, "doc_id", "text").cast("long").alias("block"), "doc_id", "text").repartition(dealt_parts(df, size, blocks), "block")
     make = functools.partial(encoder, path, ranks_path, pattern)
     return dealt.groupBy("block").applyInArrow(_pack(make, capacity, end_id), _PIECES)

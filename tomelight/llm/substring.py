@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import ASK, Rolling, answer_repeated, answer_rows, answers, ask_repeated, ask_rows, by_bucket, deal, in_order, mix, read_repeated, through_buckets
-from .common import Memo, for_memory, parts_for, text_bytes
+from .common import Memo, dealt_parts, for_memory, parts_for, text_bytes
 
 WINDOW_WORDS = 35
 ROUNDS = 4
@@ -244,7 +244,7 @@ def repeated_words(df: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc
     """
     size = text_bytes(df, text_col)
     n_blocks, n_marks, n_windows = (parts_for(size, for_memory(df, each), least) for each, least in ((BLOCK_BYTES, 1), (MARK_BYTES, 4), (WINDOW_BYTES, 4)))
-    docs = deal(df, n_blocks, id_col, text_col)
+    docs = deal(df, n_blocks, dealt_parts(df, size, n_blocks), id_col, text_col)
 
     def ask_marks(table: pa.Table) -> pa.Table:
         block, _, raw = in_order(table)

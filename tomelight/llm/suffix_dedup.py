@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import ASK, Rolling, answer_repeated, answer_rows, answers, ask_repeated, ask_rows, by_bucket, deal, in_order, known_ids, read_repeated, through_buckets
-from .common import for_memory, parts_for, text_bytes
+from .common import dealt_parts, for_memory, parts_for, text_bytes
 from .rindex import RunIndex
 
 LENGTH = 50
@@ -202,7 +202,7 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         raise ValueError(f"strings need more than {SHORT} bytes")
     total = text_bytes(df, text_col)
     n_blocks, n_marks, n_stretches = (parts_for(total, for_memory(df, each), least) for each, least in ((BLOCK_BYTES, 1), (MARK_BYTES, 4), (STRETCH_BYTES, 4)))
-    docs = deal(df, n_blocks, id_col, text_col)
+    docs = deal(df, n_blocks, dealt_parts(df, total, n_blocks), id_col, text_col)
 
     def ask_marks(table: pa.Table) -> pa.Table:
         block, _, raw = in_order(table)
