@@ -6,12 +6,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, frame, mutated, odd_rows
-from tomelight.llm import exact_dedup, rindex, simhash, substring, suffix_dedup
+from tomelight.llm import blocks, exact_dedup, rindex, simhash, substring, suffix_dedup
 from tomelight.llm.blocks import Rolling
 from tomelight.llm.components import connected_components
 
@@ -188,23 +189,36 @@ def test_windows_of_hot_marks(spark, monkeypatch):
     rows = [(k, phrase.join("".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 70))) for _ in range(4))) for k in range(150)]
     rows += [(k + 200, rows[k][1][rng.randint(0, 60) :]) for k in range(0, 150, 5)]
     monkeypatch.setattr(suffix_dedup, "parts_for", lambda *a: 5)
-    hot = suffix_dedup.answer_repeated
+    answer = suffix_dedup.answer_marks
 
-    def all_hot(asked):
-        from tomelight.llm import blocks
+    def sooner_hot(asked):
+        from tomelight.llm import blocks  # in a worker of its own
 
-        blocks.HOT_BLOCKS = 2
-        return hot(asked)
+        blocks.HOT_PLACES, blocks.HOT_CONTEXTS = 8, 2
+        return answer(asked)
 
-    monkeypatch.setattr(suffix_dedup, "answer_repeated", all_hot)
+    monkeypatch.setattr(suffix_dedup, "answer_marks", sooner_hot)
     assert rows_of(suffix_dedup.repeated_bytes(frame(spark, rows))) == brute_bytes(rows)
 
 
+def test_only_marks_of_many_surroundings_are_hot(monkeypatch):
+    monkeypatch.setattr(blocks, "HOT_PLACES", 100)
+    monkeypatch.setattr(blocks, "HOT_CONTEXTS", 10)
+    keys = np.array([1, 2, 3], np.uint64)
+    asked = pa.concat_tables(
+        [blocks.ask_marks(b, keys, np.zeros(3, bool), np.array([50, 50, 1], np.uint8), np.array([b, 7, b], np.uint8), 1) for b in range(20)]
+    )
+    for bits in blocks.answer_marks(asked).column("bits").to_pylist():
+        told = {0: np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)}
+        assert blocks.read_repeated(keys, told, 1).tolist() == [True, True, True]
+        assert blocks.read_repeated(keys, told, 1, second=True).tolist() == [True, False, False]
+
+
 def test_hot_marks_are_split_into_windows():
     texts = [b"x" * 20 + b"some text that goes on for a good while, longer than a window of fifty"]
     own = suffix_dedup.Stretches(texts, 50)
     windows = int(own.count.sum())
-    key, _ = own.marks()
+    key = own.marks()[0]
     own.narrow({0: np.ones(2 * len(key), bool)}, 1)
     assert len(own.doc) == windows and set(own.count.tolist()) == {1} and len(set(own.mark.tolist())) == windows
 

@@ -24,8 +24,9 @@ _ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
-#: A key that more blocks than this ask about is told to be hot.
-HOT_BLOCKS = 64
+#: A key with more places than this is hot, if what surrounds it differs: of 256 values of a hash of
+#: the surroundings, more than so many occur.
+HOT_PLACES, HOT_CONTEXTS = 20_000, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,23 +123,50 @@ def ask_repeated(block: int, keys: np.ndarray, many: np.ndarray, n_buckets: int)
     return ask_rows(block, [(b, short[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for b, i, j in parts])
 
 
+def _repeated(bodies: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each key asked about: its number among distinct ones, the places of each distinct one, and whether it has two."""
+    key, place = np.unique(np.concatenate(bodies), return_inverse=True)
+    places = np.bincount(place, counts, len(key))
+    return place, places, (places > 1)[place]
+
+
 def answer_repeated(asked: pa.Table) -> pa.Table:
-    """For each key that a block asked about: does it have a second place, there or elsewhere?  Is it hot?"""
+    """For each key that a block asked about: does it have a second place, there or elsewhere?"""
     bodies = [np.frombuffer(b, np.uint32) for b in asked.column("body").to_pylist()]
     many = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(b)] for x, b in zip(asked.column("extra").to_pylist(), bodies, strict=True)]
-    key, place = np.unique(np.concatenate(bodies), return_inverse=True)
-    hit = (np.bincount(place, 1 + np.concatenate(many), len(key)) > 1)[place]
-    hot = (np.bincount(place, minlength=len(key)) > HOT_BLOCKS)[place]
+    _, _, hit = _repeated(bodies, 1 + np.concatenate(many))
+    cuts = np.cumsum([0, *map(len, bodies)])
+    return answer_rows(asked, [hit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
+def ask_marks(block: int, keys: np.ndarray, several: np.ndarray, places: np.ndarray, context: np.ndarray, n_buckets: int) -> pa.Table:
+    """As ``ask_repeated``, and tell of each key how many places it has here (255 at most) and a byte for what surrounds it."""
+    order, parts = by_bucket(keys, n_buckets)
+    short, several, places, context = _short(keys[order]), several[order], places[order], context[order]
+    return ask_rows(block, [(b, short[i:j].tobytes(), places[i:j].tobytes() + context[i:j].tobytes() + np.packbits(several[i:j]).tobytes()) for b, i, j in parts])
+
+
+def answer_marks(asked: pa.Table) -> pa.Table:
+    """Two answers a key: does it occur elsewhere, or in several documents of the block?  Is it hot?"""
+    bodies = [np.frombuffer(b, np.uint32) for b in asked.column("body").to_pylist()]
+    extras = [np.frombuffer(x, np.uint8) for x in asked.column("extra").to_pylist()]
+    several = np.concatenate([np.unpackbits(x[2 * len(b) :])[: len(b)] for x, b in zip(extras, bodies, strict=True)])
+    places = np.concatenate([x[: len(b)] for x, b in zip(extras, bodies, strict=True)])
+    context = np.concatenate([x[len(b) : 2 * len(b)] for x, b in zip(extras, bodies, strict=True)])
+    place, _, hit = _repeated(bodies, 1 + several)
+    total = np.bincount(place, places)
+    around = np.bincount(np.unique(place.astype(np.int64) * 256 + context) // 256, minlength=len(total))
+    hot = ((total > HOT_PLACES) & (around > HOT_CONTEXTS))[place]
     cuts = np.cumsum([0, *map(len, bodies)])
     return answer_rows(asked, [np.concatenate((hit[a:b], hot[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
-def read_repeated(keys: np.ndarray, told: dict[int, np.ndarray], n_buckets: int, hot: bool = False) -> np.ndarray:
-    """The answers for distinct ``keys``, in their order; with ``hot``, whether they are hot."""
+def read_repeated(keys: np.ndarray, told: dict[int, np.ndarray], n_buckets: int, second: bool = False) -> np.ndarray:
+    """The answers for distinct ``keys``, in their order; with ``second``, the second of two."""
     out = np.zeros(len(keys), bool)
     order, parts = by_bucket(keys, n_buckets)
     for b, i, j in parts:
-        out[order[i:j]] = told[b][j - i : 2 * (j - i)] if hot else told[b][: j - i]
+        out[order[i:j]] = told[b][j - i : 2 * (j - i)] if second else told[b][: j - i]
     return out
 
 

@@ -7,8 +7,8 @@ distinct stretch once with its least document.  If a mark has one distinct stret
 its windows are all equal.  Where stretches of a mark differ, the bucket indexes them in a
 run-length Burrows-Wheeler index and streams them through it for matching statistics; a window that
 matches over its full length goes if the least document of the matched range is smaller.  Windows of
-a hot mark, which very many blocks have, are stretches of their own and go by a hash of the window,
-so no bucket gets all that surrounds a very common phrase.
+a hot mark, which has very many places of different surroundings, are stretches of their own and go
+by a hash of the window, so no bucket gets all that surrounds a very common phrase.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import ASK, Rolling, answer_repeated, answer_rows, answers, ask_repeated, ask_rows, by_bucket, deal, in_order, known_ids, read_repeated, through_buckets
+from .blocks import ASK, Rolling, answer_marks, answer_rows, answers, ask_marks, ask_rows, by_bucket, deal, in_order, known_ids, mix, read_repeated, through_buckets
 from .common import dealt_parts, for_memory, parts_for, text_bytes
 from .rindex import RunIndex
 
@@ -51,19 +51,20 @@ class Stretches:
 
     def __init__(self, texts: list[bytes], length: int):
         self.texts, self.length = texts, length
-        doc, start, count, mark = [], [], [], []
+        doc, start, count, mark, content = [], [], [], [], []
         at = 0
         while at < len(texts):
             size, upto = 0, at
             while upto < len(texts) and (size < _CHUNK or upto == at):
                 size += len(texts[upto])
                 upto += 1
-            self._chunk(at, upto, doc, start, count, mark)
+            self._chunk(at, upto, doc, start, count, mark, content)
             at = upto
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.doc, self.start, self.count, self.mark = join(doc, np.int64), join(start, np.int64), join(count, np.int64), join(mark, np.uint64)
+        self.content = join(content, np.uint64)
 
-    def _chunk(self, at: int, upto: int, doc: list, start: list, count: list, mark: list) -> None:
+    def _chunk(self, at: int, upto: int, doc: list, start: list, count: list, mark: list, content: list) -> None:
         texts, length = self.texts[at:upto], self.length
         data = np.frombuffer(b"".join(texts), np.uint8)
         if len(data) < length:
@@ -93,23 +94,25 @@ class Stretches:
         start.append(first - (end - sizes)[owner])
         count.append(windows)
         mark.append(least[first])
+        content.append(roll(first, first + windows + length - 1))
 
-    def marks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct marks, and whether several of the block's documents have each."""
+    def marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct marks; whether several of the block's documents have each, its stretches up to 255, and a byte of one's content."""
         order = np.argsort(self.mark, kind="stable")
         key, first, n = np.unique(self.mark[order], return_index=True, return_counts=True)
         if not len(key):
-            return key, np.zeros(0, bool)
-        return key, self.doc[order[first]] != self.doc[order[first + n - 1]]
+            return key, np.zeros(0, bool), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+        least = np.minimum.reduceat(self.content[order], first)
+        return key, self.doc[order[first]] != self.doc[order[first + n - 1]], np.minimum(n, 255).astype(np.uint8), mix(least).astype(np.uint8)
 
     def narrow(self, told: dict[int, np.ndarray], n_buckets: int) -> None:
         """Keep the stretches whose mark another document has; those of hot marks as single windows."""
-        key, _ = self.marks()
+        key = np.unique(self.mark)
         if not len(key):
             return
         at = np.searchsorted(key, self.mark)
         shared = read_repeated(key, told, n_buckets)[at]
-        hot = shared & read_repeated(key, told, n_buckets, hot=True)[at]
+        hot = shared & read_repeated(key, told, n_buckets, second=True)[at]
         doc, start, count, mark = ([x[shared & ~hot]] for x in (self.doc, self.start, self.count, self.mark))
         if hot.any():
             w = self.count[hot]
@@ -204,9 +207,9 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     n_blocks, n_marks, n_stretches = (parts_for(total, for_memory(df, each), least) for each, least in ((BLOCK_BYTES, 1), (MARK_BYTES, 4), (STRETCH_BYTES, 4)))
     docs = deal(df, n_blocks, dealt_parts(df, total, n_blocks), id_col, text_col)
 
-    def ask_marks(table: pa.Table) -> pa.Table:
+    def ask_shared(table: pa.Table) -> pa.Table:
         block, _, raw = in_order(table)
-        return ask_repeated(block, *Stretches(raw, length).marks(), n_marks)
+        return ask_marks(block, *Stretches(raw, length).marks(), n_marks)
 
     def ask_stretches(table: pa.Table, told: pa.Table) -> pa.Table:
         block, ids, raw = in_order(table)
@@ -253,7 +256,7 @@ def repeated_bytes(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
         return pa.Table.from_arrays(columns + [pa.array(kept, pa.binary())] * kept_bytes, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * kept_bytes)
 
-    told_marks = through_buckets(docs.groupBy("block").applyInArrow(ask_marks, ASK), answer_repeated)
+    told_marks = through_buckets(docs.groupBy("block").applyInArrow(ask_shared, ASK), answer_marks)
     told = through_buckets(docs.groupBy("block").cogroup(told_marks.groupBy("block")).applyInArrow(ask_stretches, ASK), _answer_stretches(length))
     both = told.unionByName(told_marks.withColumn("bucket", (told_marks["bucket"] + n_stretches).cast("int")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_bytes
