@@ -2,7 +2,7 @@
 
 Each round names runs of one symbol and then pairs of symbols, a pair being a left symbol before a
 right one where the side is a bit of the symbol's own name.  A name is a hash of what it stands
-for, from cryptographic hashes of the words up, so the rounds name globally without exchanging a
+for, from 128-bit hashes of the words up, so the rounds name globally without exchanging a
 dictionary: equal stretches get equal symbols wherever they lie, except near their ends.  How near
 is tracked: every symbol carries the range of words that its making looked at, and a range that
 holds that range holds the symbol in every occurrence.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import ASK, Rolling, answer_repeated, answer_rows, answers, ask_repeated, ask_rows, by_bucket, deal, in_order, mix, read_repeated, through_buckets
-from .common import Memo, dealt_parts, for_memory, parts_for, text_bytes
+from .common import dealt_parts, for_memory, parts_for, text_bytes
 
 WINDOW_WORDS = 35
 ROUNDS = 4
@@ -39,18 +39,22 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _SYMBOL_BASE = 0x9E3779B97F4A7C15
-#: Words whose hashes a worker keeps, per generation.
-CACHE_WORDS = 200_000
-#: Bytes hashed at a time.
-_CHUNK = 1 << 20
+#: Bytes beyond which a word gets a cryptographic hash.
+LONG_WORD = 64
+#: Bytes hashed at a time, so that the arrays stay in cache.
+_CHUNK = 1 << 18
 _NONE = np.uint64((1 << 64) - 1)
 _RUN, _PAIR, _SIDE, _CORE, _TAIL = (np.uint64(c) for c in (0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7, 0x5851F42D4C957F2D, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-
-_digests = Memo(lambda word: hashlib.blake2b(word, digest_size=16).digest(), CACHE_WORDS)
+#: Masks of the first 0 to 8 bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit halves of a cryptographic hash of every word of all texts in turn; each text's number of words."""
+    """128-bit hashes of every word of all texts in turn, in two halves; each text's number of words.
+
+    Eight bytes at a time are mixed into both halves, so words up to eight bytes cannot collide;
+    words beyond ``LONG_WORD`` bytes get a cryptographic hash.
+    """
     found: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
     at = 0
@@ -59,18 +63,28 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         while upto < len(texts) and (size < _CHUNK or upto == at):
             size += len(texts[upto]) + 1
             upto += 1
-        # A barrier byte before and after, so that the line begins and ends with a gap.
-        line = b"\n".join([b"", *texts[at:upto], b""])
+        # A gap before and after, and room for the last eight bytes to be read beyond the end.
+        line = b"\n".join([b"", *texts[at:upto], b"\n" * 8])
         space = _SPACE[np.frombuffer(line, np.uint8)]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        start, end = edge[::2], edge[1::2]
         bounds = np.cumsum([len(t) + 1 for t in texts[at:upto]])
-        counts[at:upto] = np.diff(np.searchsorted(edge[::2], bounds), prepend=0)
-        if len(edge):
-            # Words and the gaps between them in turn, seen as one Arrow column over the line itself.
-            column = pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(line)])
-            coded = column.dictionary_encode()
-            digests = np.frombuffer(b"".join([_digests[w] for w in coded.dictionary.to_pylist()]), np.uint64).reshape(-1, 2)
-            found.append(digests[coded.indices.to_numpy()[::2]])
+        counts[at:upto] = np.diff(np.searchsorted(start, bounds), prepend=0)
+        wide = np.ndarray(len(line) - 7, np.dtype("<u8"), line, strides=(1,))
+        length = end - start
+        both = [mix(length.astype(np.uint64) * _RUN + c) for c in (_PAIR, _SIDE)]
+        active = np.arange(len(start))
+        for k in range(0, LONG_WORD, 8):
+            if k:
+                active = active[length[active] > k]
+                if not len(active):
+                    break
+            eight = wide[start[active] + k] & _FIRST[np.minimum(length[active] - k, 8)]
+            both[0][active] = mix(both[0][active] ^ eight)
+            both[1][active] = mix((both[1][active] + eight) * _CORE)
+        for w in np.flatnonzero(length > LONG_WORD).tolist():
+            both[0][w], both[1][w] = np.frombuffer(hashlib.blake2b(line[start[w] : end[w]], digest_size=16).digest(), np.uint64)
+        found.append(np.stack(both, axis=1))
         at = upto
     return np.concatenate(found) if found else np.zeros((0, 2), np.uint64), counts
 
