@@ -40,7 +40,7 @@ def test_base_spans_are_the_patterns_own(text):
     assert base(text) == brute_spans(text)
 
 
-@pytest.mark.parametrize("text", ["1" * 50_000, "1." * 30_000, "a" * 50_000 + "@", "+1" + " " * 50_000, "a@" * 20_000, "1 " * 30_000, "A1" * 20_000])
+@pytest.mark.parametrize("text", ["1" * 50_000, "1." * 30_000, "a" * 50_000 + "@", "+1" + " " * 50_000, "a@" * 20_000, "1 " * 30_000, "A1" * 20_000, "call 212-555-1234 or a@b.co " * 8_000])
 def test_hostile_texts_stay_linear(text):
     assert isinstance(pii.find_spans(text), list)
 
@@ -49,11 +49,28 @@ def test_digest(spark):
     rows = documents() + odd_rows()
     got = pii.personal_data_digest(frame(spark, rows)).collect()
     assert len(got) == len(rows)
-    want = sorted(hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(t or "")).encode()).hexdigest() for _, t in rows)
-    assert sorted(r["base_sha256"] for r in got) == want
+    order = {k: n for n, k in enumerate(pii.KINDS)}
+    names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+    def wanted(text):
+        spans = brute_spans(text)
+        base_text = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        every = sorted((s[:3] for s in pii.find_spans(text)), key=lambda s: (order[s[0]], s[1]))
+        assert set(spans) <= set(every)
+        return (*(sum(k == kind for k, _, _ in spans) for kind in pii.BASE_KINDS), hashlib.sha256(base_text.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in every))
+
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(((r["doc_id"], *(r[n] for n in names)) for r in got), key=key) == sorted(((i, *wanted(t or "")) for i, t in rows), key=key)
     assert pii.personal_data_digest(frame(spark, [])).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12), st.integers(0, 70), st.integers(1, 8))
+def test_overlaps_as_all_pairs_say(spans, start, size):
+    spans = [(a, a + n) for a, n in spans]
+    assert pii._overlaps(*pii._united(spans), start, start + size) == any(a < start + size and start < b for a, b in spans)
+
+
 def test_checksums_context_and_redaction(spark):
     text = "GB82 WEST 1234 5698 7654 32 is my iban; card 378282246310005 amex; call 212-555-1234; 212-555-9999 x"
     kinds = [s[0] for s in pii.find_spans(text)]
@@ -104,35 +121,68 @@ def _word_library(kept=[]):  # noqa: B006
     return kept[0]
 
 
-@pytest.mark.parametrize("budget", [0, 1, 7, 50])
+@pytest.mark.parametrize("budget", [0, 1, 2, 7, 23])
 def test_cut_is_the_longest_prefix(counter, word_library, budget):
-    text = documents()[0][1][:400]
-    cut = counter.cut(text, budget)
     size = lambda t: len(word_library.encode(t, add_special_tokens=False).ids)
-    assert size(text[:cut]) <= budget
-    assert cut == max(j for j in range(len(text) + 1) if size(text[:j]) <= budget) or text[cut:].strip() == "" or size(text[: cut + 1]) > budget
+    texts = [documents()[k][1][:150] for k in range(4)] + ["I'll say they've 1234 things---don't!!", "naïve café ¿qué? élève", "  lead  and   trail  ", "", "supercalifragilistic"]
+    for text in texts:
+        assert counter.cut(text, budget) == max(j for j in range(len(text) + 1) if size(text[:j]) <= budget), text
+
+
+@pytest.mark.parametrize("budget", [0, 1, 3, 10, 1000])
+def test_cut_of_other_texts_ends_at_a_chunk(counter, word_library, budget):
+    size = lambda t: len(word_library.encode(t, add_special_tokens=False).ids)
+    for text in [*ODD, "日本語 тест\x85x\x1cy  ab <|endoftext|> İ ΑΣ done", " 日本 語 "]:
+        if token_counts.PLAIN.search(text) or "<|" in text:
+            ends = [m.end() for m in token_counts._CHUNK.finditer(text)]
+            fits = [e for e in ends if size(text[:e]) <= budget]
+            assert counter.cut(text, budget) == (len(text) if len(fits) == len(ends) else max(fits, default=0)), text
+
+
+def test_within_chars(spark, word_library):
+    rows = documents()[:60] + odd_rows()
+    got = token_counts.token_counts(frame(spark, rows), P.path("word_bpe_49k.json"), 40).collect()
+    table = token_counts.counter(P.path("word_bpe_49k.json"))
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(((r["doc_id"], r["n_tokens"], r["within_chars"]) for r in got), key=key) == sorted(((i, table.count(t or ""), table.cut(t or "", 40)) for i, t in rows), key=key)
 
 
 def test_packing(spark):
-    rows = documents()[:80] + [(None, "x y"), (900, None), (901, ""), (901, "again"), (902, "word " * 6000)]
+    rows = documents()[:80] + [(None, "x y"), (None, "another"), (900, None), (901, ""), (902, "word " * 6000), (903, "word " * 6000)]
     args = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     got = packing.pack(frame(spark, rows), *args).collect()
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    want = sorted([*library.encode(t or "", add_special_tokens=False).ids, 1] for _, t in rows)
-    assert sum(r["length"] for r in got) == sum(map(len, want))
+    want = {(i, t): np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in rows}
+    by_doc: dict[int | None, list] = {}
+    for r in got:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    assert set(by_doc) == {i for i, _ in rows}
+    for (i, _), ids in want.items():  # every id of every document lies in one piece, with its bytes' checksum
+        if i is None:
+            continue
+        at = 0
+        for r in sorted(by_doc[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    assert sorted((r["length"], r["ids_crc32"]) for r in by_doc[None]) == sorted((len(x), zlib.crc32(x.tobytes())) for (i, _), x in want.items() if i is None)
     by_seq: dict[int, list] = {}
     for r in got:
         by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for parts in by_seq.values():
         parts.sort()
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and sum(parts[-1]) <= 2048
-    assert sum(2048 - sum(max(p)) for p in by_seq.values()) < 0.05 * sum(map(len, want))
-    one = next(r for r in got if r["doc_id"] == rows[0][0] and r["start"] == 0)
-    ids = np.array([*library.encode(rows[0][1], add_special_tokens=False).ids, 1], "<u4")
-    assert one["ids_crc32"] == zlib.crc32(ids[: one["length"]].tobytes())
+    assert sum(2048 - sum(max(p)) for p in by_seq.values()) < 0.05 * sum(map(len, want.values()))
     assert packing.pack(frame(spark, []), *args).count() == 0
 
 
+def test_repeated_rows_are_packed_each(spark):
+    args = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    got = packing.pack(frame(spark, [(901, "again"), (901, "again"), (901, "other text")]), *args).collect()
+    assert len(got) == 3 and len({(r["sequence_id"], r["offset"]) for r in got}) == 3
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 9000), max_size=60))
 def test_balance_places_every_token_once(lengths):

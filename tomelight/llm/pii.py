@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -136,6 +137,24 @@ def score(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, _PRIOR[kind] + (0.35 if _CONTEXT_RX[kind].search(near) else 0.0))
 
 
+def _united(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends, in order, of what the spans cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted(spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def _overlaps(starts: list[int], ends: list[int], start: int, end: int) -> bool:
+    k = bisect_right(ends, start)
+    return k < len(starts) and starts[k] < end
+
+
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind as in ``KINDS``, then start; code points, end exclusive."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -152,13 +171,13 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     found["iban"] = list(_ibans(text))
     found["local_phone"] = [m.span() for m in _LOCAL_PHONE.finditer(text)]
     found["national_id"] = [m.span() for m in _NATIONAL_ID.finditer(text)]
-    taken = sorted(s for k in BASE_KINDS for s in found[k])
+    starts, ends = _united([s for k in BASE_KINDS for s in found[k]])
     out = []
     for kind in KINDS:
         for start, end in found[kind]:
             if kind in BASE_KINDS:
                 out.append((kind, start, end, score(text, kind, start, end)))
-            elif (s := score(text, kind, start, end)) >= MIN_SCORE and not any(a < end and start < b for a, b in taken):
+            elif (s := score(text, kind, start, end)) >= MIN_SCORE and not _overlaps(starts, ends, start, end):
                 out.append((kind, start, end, s))
     return out
 

@@ -24,6 +24,8 @@ from .common import Memo, id_and_text
 CACHE_ENTRIES = 250_000
 #: Stands for the end of a word in keys of the automaton.
 _END = "\0"
+#: What lies between white space, as the library sees it.
+_CHUNK = re.compile("[^ \t\n\r\f\v\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Characters whose class, case and composition the library and Python see alike.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ſ–—‘’“”…]")
 
@@ -178,30 +180,41 @@ class PrefixCounter:
     def cut(self, text: str, budget: int) -> int:
         """Code points of the longest prefix of a plain ``text`` with at most ``budget`` tokens.
 
-        For text that isn't plain, of the longest such prefix that ends where the text has white
-        space, found by counting prefixes by bisection.
+        For text that isn't plain, of the longest such prefix that ends where white space or the
+        text's end follows.  Counts at the chunks' ends come from one pass, those inside the chunk
+        that goes beyond the budget from its pieces' tables.
         """
-        if PLAIN.search(text) or "<|" in text:
-            stops = [m.start() for m in re.finditer(r"\s+", text)] + [len(text)]
-            low, high = 0, len(stops)
-            while low < high:
-                mid = (low + high) // 2
-                low, high = (mid + 1, high) if self.count(text[: stops[mid]]) <= budget else (low, mid)
-            return stops[low - 1] if low else 0
-        left = budget
-        for m in re.finditer(r"\S+", text):
-            n = self.chunks[m.group()]
+        plain = not (PLAIN.search(text) or "<|" in text)
+        spans = [m.span() for m in (re.finditer(r"\S+", text) if plain else _CHUNK.finditer(text))]
+        count = self.chunks.__getitem__ if plain else self.count
+        prefix = np.cumsum(np.fromiter((count(text[a:b]) for a, b in spans), np.int64, len(spans)))
+        k = int(np.searchsorted(prefix, budget, side="right"))
+        if k == len(spans):
+            return len(text)
+        before = int(prefix[k - 1]) if k else 0
+        if plain:
+            return spans[k][0] + self._within(text[slice(*spans[k])], budget - before)
+        return spans[k - 1][1] if k else 0
+
+    def _within(self, chunk: str, left: int) -> int:
+        """Characters of the longest prefix of a plain chunk with at most ``left`` tokens."""
+        for m in self.pattern.finditer(chunk.lower()):
+            piece = m.group()
+            n = self.pieces[piece if piece.isascii() else self.mapped(piece)]
             if n > left:
-                return m.start() + self._within(m.group(), left)
+                return m.start() + max(j for j, size in enumerate(self.piece_prefixes(piece)) if size <= left)
             left -= n
-        return len(text)
+        return len(chunk)
 
-    def _within(self, chunk: str, left: int) -> int:
-        best = 0
-        for j in range(1, len(chunk) + 1):
-            if sum(map(self.pieces.__getitem__, self.split(chunk[:j]))) <= left:
-                best = j
-        return best
+    def piece_prefixes(self, piece: str) -> list[int]:
+        """Tokens of the first 0, 1, ... characters of a piece, each as text of its own."""
+        if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():  # part of a contraction is no contraction
+            return [sum(map(self.pieces.__getitem__, self.split(piece[:j]))) for j in range(len(piece) + 1)]
+        if piece.isascii():
+            return self.prefix_counts(piece)
+        sizes = np.cumsum([0, *(len(c.encode()) for c in piece)])
+        counts = self.prefix_counts(self.mapped(piece))
+        return [counts[k] for k in sizes.tolist()]
 
 
 @functools.lru_cache(maxsize=2)
@@ -213,32 +226,39 @@ def _counts(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counter(path)
         for batch in batches:
-            sizes, tokens = [], []
+            sizes, tokens, within = [], [], []
             for text in batch.column("text"):
                 buffer = text.as_buffer()
                 sizes.append(buffer.size if buffer is not None else 0)
-                prefix = np.cumsum(table.chunk_counts(text.as_py()))
-                tokens.append(int(prefix[-1]) if len(prefix) else 0)
+                whole = text.as_py()
+                tokens.append(int(table.chunk_counts(whole).sum()))
+                within.append(len(whole) if tokens[-1] <= limit else table.cut(whole, limit))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(within, pa.int64())],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "within_chars"],
             )
 
     return run
 
 
 def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: doc_id, n_bytes, n_tokens, over_limit.
+    """One row per row of ``df``: doc_id, n_bytes, n_tokens, over_limit, within_chars.
+
+    The last is how many code points the longest prefix of at most ``limit`` tokens has (see ``cut``).
 
     Counts are those of the vocabulary's own library without added special tokens; its special
     strings inside a text count as one token each.  A null text counts as empty, with no tokens.
     Repeated rows each give a row; an empty input gives none; further columns play no part.
     """
-    return id_and_text(df, id_col, text_col).mapInArrow(_counts(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return id_and_text(df, id_col, text_col).mapInArrow(_counts(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, within_chars long")
 
 
 def truncated(df: DataFrame, path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the longest prefix of each text within ``budget`` tokens."""
+    """doc_id and the longest prefix of each text within ``budget`` tokens, as ``PrefixCounter.cut`` finds it.
+
+    A null text counts as empty.  Repeated rows each give a row; an empty input gives none; further
+    columns play no part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counter(path)
