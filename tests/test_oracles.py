@@ -30,11 +30,12 @@ def rows(columns, data):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    # Stemming has no SQL; tests/test_operators.py holds it against another engine's index.
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"fts_search_stemmed"}
     assert catalog.FLAGSHIP in catalog.queries()
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     got = catalog.queries()[name](ship(spark), SF)
     want = duck.sql(catalog.oracle_sql()[name])

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "relevant_pages_rerank"
-MODULES = ("search_queries", "core_queries", "text_queries", "audit_queries")
+MODULES = ("search_queries", "core_queries", "text_queries", "audit_queries", "record_queries")
 
 
 def _load() -> None:

@@ -198,3 +198,47 @@ def llm_json(text: Column | str) -> Column:
     """The JSON object in a model's answer: fences stripped, first brace to last; null without one."""
     found = F.regexp_extract(_c(text), r"(\{[\s\S]*\})", 1)
     return F.when(found == "", F.lit(None)).otherwise(found)
+
+
+# --- HTML --------------------------------------------------------------------------------------
+
+#: What turns the HTML of a body into Markdown, in order: pattern (in the common syntax) and replacement.
+HTML_RULES = (
+    (r"<!--[\s\S]*?-->", ""),
+    (r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", ""),
+    (r"(?is)<pre[^>]*><code[^>]*>(.*?)</code></pre>", "\n\n```\n{1}\n```\n\n"),
+    *((rf"(?is)<h{n}[^>]*>\s*(.*?)\s*</h{n}>", "\n\n" + "#" * n + " {1}\n\n") for n in range(1, 7)),
+    (r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[{2}]({1})"),
+    (r"(?is)<(strong|b)(\s[^>]*)?>\s*(.*?)\s*</(strong|b)>", "**{3}**"),
+    (r"(?is)<(em|i)(\s[^>]*)?>\s*(.*?)\s*</(em|i)>", "_{3}_"),
+    (r"(?is)<code[^>]*>(.*?)</code>", "`{1}`"),
+    (r"(?is)<li[^>]*>\s*(.*?)\s*</li>", "\n*   {1}"),
+    (r"(?i)<br[^>]*>", "  \n"),
+    (r"(?i)<hr[^>]*>", "\n\n* * *\n\n"),
+    (r"(?i)</?(p|div|section|article|nav|header|footer|main|ul|ol|table|tr|blockquote|aside|figure)(\s[^>]*)?>", "\n\n"),
+    (r"<[^>]+>", ""),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&nbsp;", " "),
+    ("&amp;", "&"),
+    (r"\n{3,}", "\n\n"),
+    (r"^[ \t\r\n]+|[ \t\r\n]+$", ""),
+)
+
+
+def html_body(html: Column | str) -> Column:
+    """What the body element holds, all of it where there is no such element."""
+    found = F.regexp_extract(_c(html), r"(?is)<body[^>]*>(.*)</body>", 1)
+    return F.when(_c(html).rlike(r"(?is)<body[^>]*>.*</body>"), found).otherwise(_c(html))
+
+
+def html_markdown(html: Column | str) -> Column:
+    """The Markdown of an HTML body: headings, links, emphasis, code, lists and paragraphs; other tags go."""
+    out = _c(html)
+    for pattern, replacement in HTML_RULES:
+        for n in (1, 2, 3):
+            replacement = replacement.replace("{%d}" % n, "$%d" % n)
+        out = F.regexp_replace(out, pattern, replacement)
+    return out

@@ -7,6 +7,7 @@ row a file meets in the window that stitches days together.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,7 +99,7 @@ def verify_anchors(anchors: DataFrame, lines: DataFrame) -> DataFrame:
     own = W.partitionBy(F.lit(1)).orderBy("n")
     linked = anchors.withColumn("before", F.lag("anchor_hash").over(own))
     total = lines.agg(F.count(F.lit(1)).alias("events"))
-    heads = _positions(lines).join(F.broadcast(anchors.select(F.col("total").alias("position"))), "position").select("position", F.sha2("raw", 256).alias("found"))
+    heads = _positions(lines).join(anchors.select(F.col("total").alias("position")).distinct(), "position").select("position", F.sha2("raw", 256).alias("found"))
     j = linked.join(heads, linked["total"] == heads["position"], "left").crossJoin(F.broadcast(total))
     verdict = (
         F.when(F.col("anchor_hash") != F.sha2(anchor_body(F.col("total"), F.col("head"), F.col("prev_hash")), 256), "SELF_HASH")
@@ -113,19 +114,22 @@ def verify_anchors(anchors: DataFrame, lines: DataFrame) -> DataFrame:
 def build_chain(events: DataFrame) -> DataFrame:
     """file, line_no, line for ``events`` (file, line_no, payload): each line carries the hash of the line before.
 
-    A chain is sequential by nature; each file's is built in one task from its sorted lines.
+    A chain is sequential by nature; each file's is built in one task from its sorted lines, which
+    pass by in batches, so that a file of any length takes the memory of a batch.
     """
 
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("line_no")
-        out, previous = [], None
-        for payload in table.column("payload").to_pylist():
-            link = "null" if previous is None else f'"{previous}"'
-            out.append(f'{{"payload":{payload},"prev_hash":{link}}}')
-            previous = hashlib.sha256(out[-1].encode()).hexdigest()
-        return pa.Table.from_arrays([table.column("file"), table.column("line_no"), pa.array(out, pa.string())], names=["file", "line_no", "line"])
-
-    return events.select("file", F.col("line_no").cast("bigint").alias("line_no"), "payload").groupBy("file").applyInArrow(fold, "file string, line_no long, line string")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        previous, at = None, None
+        for batch in batches:
+            out = []
+            for file, payload in zip(batch.column("file").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                link = "null" if file != at else f'"{previous}"'
+                out.append(f'{{"payload":{payload},"prev_hash":{link}}}')
+                previous, at = hashlib.sha256(out[-1].encode()).hexdigest(), file
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("line_no"), pa.array(out, pa.string())], names=["file", "line_no", "line"])
+
+    rows = events.select("file", F.col("line_no").cast("bigint").alias("line_no"), "payload")
+    return rows.repartition("file").sortWithinPartitions("file", "line_no").mapInArrow(fold, "file string, line_no long, line string")
 
 
 def reconcile_provenance(traced: DataFrame, sidecar: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def pricing_model(model: Column) -> Column:
     return F.when(F.lower(model).startswith("deepseek"), "deepseek-chat").otherwise(model)
 
 
-def _rate(model: Column, which: int) -> Column:
+def rate(model: Column, which: int) -> Column:
     out = F.lit(PRICES[DEFAULT_MODEL][which])
     for name, rates in PRICES.items():
         out = F.when(model == name, F.lit(rates[which])).otherwise(out)
@@ -29,7 +29,7 @@ def cost_of(tokens: Column, model: Column) -> Column:
     total = tokens.cast("double")
     given = F.floor(total * INPUT_SHARE + 0.5).cast("double")
     m = pricing_model(model)
-    return (given * _rate(m, 0) + (total - given) * _rate(m, 1)) / 1_000_000
+    return (given * rate(m, 0) + (total - given) * rate(m, 1)) / 1_000_000
 
 
 def token_usage(compilations: DataFrame) -> DataFrame:

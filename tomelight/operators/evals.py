@@ -12,17 +12,17 @@ from . import search as S
 GROUNDED, PASS_SCORE = 0.5, 0.8
 
 
-def search_many(pages: DataFrame, queries: DataFrame, k: int, key: str = "path", columns: tuple[str, ...] = ("title", "tags", "body")) -> DataFrame:
+def search_many(pages: DataFrame, queries: DataFrame, k: int, key: str = "path", columns: tuple[str, ...] = S.COLUMNS, index: S.Index | None = None) -> DataFrame:
     """spec_id, key, rank, nth: the top ``k`` pages with any term of each of many queries (spec_id, term)."""
-    tokens = pages.select(key, S.tokens(F.concat_ws(" ", *columns)).alias("terms"))
-    lengths = tokens.select(key, F.size("terms").alias("doc_len"), "terms")
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
-    wanted = queries.select("term").distinct()
-    tf = lengths.select(key, "doc_len", F.explode("terms").alias("term")).join(wanted, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf <= 0, S.LEAST_IDF).otherwise(idf) * (F.col("tf") * (S.K1 + 1) / (F.col("tf") + S.K1 * (1 - S.B + S.B * F.col("doc_len") / F.col("avg_len"))))
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(totals)).select(key, "term", weight.alias("w"))
+    if index is not None:
+        wanted = queries.select("term").distinct()
+        weighted = S.weights(index.postings.join(wanted, "term").select(key, "term", "tf", "doc_len"), index.terms.select("term", "df"), index.totals, key)
+    else:
+        lengths = pages.select(key, S.tokens(F.concat_ws(" ", *columns)).alias("terms")).select(key, F.size("terms").alias("doc_len"), "terms")
+        totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
+        hits = lengths.select(key, "doc_len", F.explode("terms").alias("term")).join(queries.select("term").distinct(), "term")
+        tf = hits.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+        weighted = S.weights(tf, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals, key)
     ranked = queries.join(weighted, "term").groupBy("spec_id", key).agg((-F.sum("w")).alias("rank"))
     nth = F.row_number().over(W.partitionBy("spec_id").orderBy(F.round("rank", 9), key))
     return ranked.withColumn("nth", nth).filter(F.col("nth") <= k)

@@ -35,7 +35,7 @@ def page_index(pages: DataFrame) -> DataFrame:
 
 def parse_quiz(quizzes: DataFrame, key: str) -> DataFrame:
     """key, n, question, answer, concept of each question block; the concept is the first source's stem, else the topic."""
-    blocks = quizzes.select(key, "topic", F.posexplode(F.slice(F.split("quiz", "## Question "), 2, 1000)).alias("n", "b"))
+    blocks = quizzes.select(key, "topic", F.posexplode(F.slice(F.split("quiz", "## Question "), F.lit(2), F.size(F.split("quiz", "## Question ")))).alias("n", "b"))
     stem = F.regexp_extract("b", r"_sources: (?:[^_,]*/)?([^_,/]+)\.md", 1)
     return blocks.select(
         key,

@@ -31,15 +31,29 @@ TRANSITIONS = {
     "failed_rendering": ("critiquing",),
 }
 PROMOTION_TYPES = ("topic", "concept", "entity", "reference")
-#: Required front-matter fields by page type: (field, kind).
+#: Front-matter fields by page type: (field, kind); a kind with a question mark may be missing.
+_FILED = (("compiled_at", "time"), ("model", "text"))
 PAGE_FIELDS = {
-    "source-summary": (("title", "text"), ("source_id", "id"), ("content_hash", "text")),
-    "concept": (("title", "text"), ("definition", "text")),
-    "topic": (("title", "text"),),
-    "entity": (("title", "text"), ("entity_type", "text")),
-    "contradiction": (("title", "text"), ("claim_a", "text"), ("claim_b", "text")),
-    "open-question": (("title", "text"), ("question", "text")),
+    "source-summary": (("id", "uuid"), ("title", "text"), ("source_id", "uuid"), ("source_path", "text"), *_FILED, ("content_hash", "text"), ("author", "text?"), ("publication_date", "text?"), ("word_count", "count?"), ("key_claims", "list?"), ("tags", "list?")),
+    "concept": (("id", "uuid"), ("title", "text"), ("definition", "text"), ("source_ids", "uuids"), *_FILED, ("aliases", "list?"), ("related_concepts", "list?"), ("tags", "list?")),
+    "topic": (("id", "uuid"), ("title", "text"), ("source_ids", "uuids"), *_FILED, ("subtopics", "list?"), ("key_findings", "list?"), ("tags", "list?")),
+    "entity": (("id", "uuid"), ("title", "text"), ("entity_type", "entity"), ("source_ids", "uuids"), *_FILED, ("aliases", "list?"), ("url", "url?"), ("description", "text?"), ("related_entities", "list?"), ("tags", "list?")),
+    "contradiction": (("id", "uuid"), ("title", "text"), ("claim_a", "text"), ("claim_b", "text"), ("source_a_id", "uuid"), ("source_b_id", "uuid"), *_FILED, ("resolution", "text?"), ("severity", "level?"), ("tags", "list?")),
+    "open-question": (("id", "uuid"), ("title", "text"), ("question", "text"), *_FILED, ("context", "text?"), ("related_concepts", "list?"), ("suggested_sources", "list?"), ("priority", "level?"), ("tags", "list?")),
 }
+_UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+#: What a value of each kind looks like in front matter; a text is what no other scalar or list is.
+FIELD_KINDS = {
+    "uuid": f"^{_UUID}$",
+    "uuids": rf"^\[ *({_UUID}( *, *{_UUID})*)? *\]$",
+    "time": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z$",
+    "count": "^[0-9]+$",
+    "list": r"^\[.*\]$",
+    "level": "^(low|medium|high)$",
+    "entity": "^(person|organization|tool|framework|dataset|other)$",
+    "url": "^[a-zA-Z][a-zA-Z0-9+.-]*:[^ ]+$",
+}
+NOT_TEXT = r"^(true|false|[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|\[.*\])$"
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -115,12 +129,23 @@ def post_promotion_issues(pages: DataFrame, promotions: DataFrame, files: DataFr
     return j.select("path", F.array_compact(F.array(*(F.when(c, n) for n, c in codes))).alias("issues"))
 
 
+def field_error(name: str, kind: str, value: Column) -> Column:
+    """What is wrong with a front-matter value, null if nothing: required and not there, or not of its kind."""
+    shape = kind.rstrip("?")
+    fits = ~F.lower(value).rlike(NOT_TEXT) if shape == "text" else value.rlike(FIELD_KINDS[shape])
+    missing = value.isNull() | (value == "")
+    return (F.when(missing, f"{name}: required") if not kind.endswith("?") else F.when(value.isNull(), F.lit(None).cast("string"))).when(~fits, f"{name}: invalid {shape}")
+
+
 def schema_errors(kind: Column, fields: Column) -> Column:
-    """Messages for missing required fields of a page type; unknown types have one of their own."""
+    """Messages for the fields, in order, that a page type requires and lacks or that are not of their kind.
+
+    ``fields`` maps names to values as the front matter has them, lists in brackets.  Unknown types
+    have a message of their own.
+    """
     out = F.array(F.concat(F.lit("type: unknown "), F.coalesce(kind, F.lit("(none)"))))
-    for name, required in PAGE_FIELDS.items():
-        missing = [F.when(F.coalesce(F.element_at(fields, f), F.lit("")) == "", f"{f}: required") for f, _ in required]
-        out = F.when(kind == name, F.array_compact(F.array(*missing))).otherwise(out)
+    for name, own in PAGE_FIELDS.items():
+        out = F.when(kind == name, F.array_compact(F.array(*(field_error(f, k, F.element_at(fields, f)) for f, k in own)))).otherwise(out)
     return out
 
 

@@ -16,7 +16,7 @@ def first_per(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame
 
 
 def latest_per_path(sources: DataFrame) -> DataFrame:
-    """path and the hash and time of its latest row; the smaller id wins a tie of times."""
+    """path, id, hash and time of its latest row; of rows of one time the last registered (the larger ``ord``) wins."""
     last = sources.groupBy("path").agg(F.max_by(F.struct("id", "hash", "ingested_at"), F.struct("ingested_at", F.col("ord"))).alias("r"))
     return last.select("path", "r.id", "r.hash", "r.ingested_at")
 

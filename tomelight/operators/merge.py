@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,20 +42,22 @@ def sample_compilations(compilations: DataFrame, traceable: DataFrame, n: int, f
 def debounce(events: DataFrame, window_ms: int, key: str = "user_id") -> DataFrame:
     """Each event with whether it is accepted: at least ``window_ms`` after the last accepted one of its key.
 
-    Acceptance depends on earlier acceptance, so each key's events are folded in order; only two
-    numbers an event go through Python.
+    Acceptance depends on earlier acceptance, so each key's events are folded in order; they pass
+    by in sorted batches, so that a key of any size takes the memory of a batch.
     """
 
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("ms", "ascending"), ("event_id", "ascending")])
-        accepted, last = [], None
-        for ms in table.column("ms").to_pylist():
-            ok = last is None or ms - last >= window_ms
-            accepted.append(ok)
-            last = ms if ok else last
-        return table.append_column("accepted", pa.array(accepted))
-
-    return events.select(F.col(key).alias("key"), "event_id", "ms").groupBy("key").applyInArrow(fold, "key long, event_id long, ms long, accepted boolean")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = None, None
+        for batch in batches:
+            accepted = []
+            for who, ms in zip(batch.column("key").to_pylist(), batch.column("ms").to_pylist(), strict=True):
+                ok = last is None or who != own or ms - last >= window_ms
+                accepted.append(ok)
+                own, last = who, ms if ok else last
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_())], names=["key", "event_id", "ms", "accepted"])
+
+    rows = events.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), "ms")
+    return rows.repartition("key").sortWithinPartitions("key", "ms", "event_id").mapInArrow(fold, "key long, event_id long, ms long, accepted boolean")
 
 
 def status_counts(sources: DataFrame, tasks: DataFrame, kinds: tuple[str, ...], statuses: tuple[str, ...]) -> DataFrame:

@@ -1,21 +1,35 @@
 """Full-text search: postings, BM25, strict and broad matching, re-ranking.
 
-A page's terms come from its indexed columns together.  Postings of the query's terms are filtered
-before anything is shuffled; document frequencies and the average length are two small aggregates.
+A page's terms come from its indexed columns together.  A stored index holds the postings by bucket
+of their term, so a question reads those of its own terms, and document frequencies and the average
+length ready made.  Without one, postings of the question's terms are filtered from the pages before
+anything is shuffled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stem import porter
+
 K1, B = 1.2, 0.75
 #: Smallest inverse document frequency: terms in half the pages or more still order matches.
 LEAST_IDF = 1e-6
 FETCH_MULTIPLIER = 3
 TITLE_BOOST, TYPE_BOOST = 0.5, 0.3
+#: Buckets of a stored index, by a hash of the term.
+BUCKETS = 64
+#: Terms up to which a question's buckets and terms are given to the scan as values.
+MOST_TERMS = 500
+COLUMNS = ("title", "tags", "body")
 
 # Words that a question's search terms leave out; the first list is the longer one of
 # the question analysis, the second that of the page search.
@@ -70,37 +84,119 @@ def is_complex(question: Column) -> Column:
     return F.lower(question).rlike(f"(^|[^a-z0-9_])({COMPLEX_PHRASES})")
 
 
-def postings(pages: DataFrame, columns: tuple[str, ...] = ("title", "tags", "body"), key: str = "path") -> DataFrame:
-    """key, term, tf, doc_len for every term of every page."""
-    all_terms = pages.select(key, tokens(F.concat_ws(" ", *columns)).alias("terms"))
-    return all_terms.select(key, F.size("terms").alias("doc_len"), F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+@lru_cache(maxsize=1)
+def _marks() -> tuple[str, str]:
+    """Letters that are a letter and marks, and those letters; by the character database."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, min(0x2000, sys.maxunicode)) if unicodedata.category(chr(c))[0] == "L" and unicodedata.combining((unicodedata.normalize("NFD", chr(c)) + "a")[1])]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def unicode_tokens(text: Column | str) -> Column:
+    """Terms of letters and digits of any script, lower case and without diacritics."""
+    folded = F.translate(F.lower(F.col(text) if isinstance(text, str) else text), *_marks())
+    return F.regexp_extract_all(F.regexp_replace(folded, r"\p{M}+", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def stemmed(words: DataFrame) -> DataFrame:
+    """term, stem of the distinct ``words.term``: only the vocabulary goes through Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array([porter(t) for t in batch.column("term").to_pylist()], pa.string())], names=["term", "stem"])
+
+    return words.select("term").distinct().mapInArrow(run, "term string, stem string")
+
+
+def postings(pages: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "path", stem: bool = False) -> DataFrame:
+    """key, term, tf, doc_len for every term of every page; with ``stem``, of folded and stemmed terms."""
+    text = F.concat_ws(" ", *columns)
+    all_terms = pages.select(key, (unicode_tokens(text) if stem else tokens(text)).alias("terms"))
+    counted = all_terms.select(key, F.size("terms").alias("doc_len"), F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    if not stem:
+        return counted
+    return counted.join(stemmed(counted), "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"), F.first("doc_len").alias("doc_len"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index: postings (bucket, term, key, tf, doc_len), terms (bucket, term, df, total_tf), totals (n, avg_len)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+    stem: bool = False
+
+
+def _bucket(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def index_summary(pages: DataFrame, columns: tuple[str, ...] = ("title", "tags", "body"), key: str = "path") -> DataFrame:
+def write_index(pages: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS, key: str = "path", stem: bool = False) -> None:
+    """Store the index of ``pages`` below ``path``, one folder a bucket, terms in order within files."""
+    text = F.concat_ws(" ", *columns)
+    rows = postings(pages, columns, key, stem).withColumn("bucket", _bucket("term"))
+    # A bucket's rows are dealt over its files by key too, so a term that every page has is not one task's.
+    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = pages.sparkSession.read.parquet(f"{path}/postings")
+    stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    lengths = pages.select(F.size(unicode_tokens(text) if stem else tokens(text)).alias("doc_len"))
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len")).write.parquet(f"{path}/totals")
+
+
+def read_index(spark: SparkSession, path: str, stem: bool = False) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "totals")), stem)
+
+
+def _of_terms(stored: DataFrame, query: DataFrame) -> DataFrame:
+    """Rows of ``stored`` for the terms of ``query``; a question's few terms reach the scan as values."""
+    wanted = query.select("term").distinct()
+    few = wanted.select("term", _bucket("term").alias("bucket")).limit(MOST_TERMS + 1).collect()
+    if len(few) > MOST_TERMS:
+        return stored.join(wanted.withColumn("bucket", _bucket("term")), ["bucket", "term"], "left_semi")
+    return stored.filter(F.col("bucket").isin(*{r["bucket"] for r in few}) & F.col("term").isin(*(r["term"] for r in few))) if few else stored.filter(F.lit(False))
+
+
+def question(query: DataFrame, index: Index) -> DataFrame:
+    """``query`` with its terms as ``index`` has them."""
+    if not index.stem:
+        return query
+    folded = query.select(F.explode(unicode_tokens("term")).alias("term"))
+    return stemmed(folded).select(F.col("stem").alias("term")).distinct()
+
+
+def index_summary(pages: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "path") -> DataFrame:
     """term, df, total_tf over all pages."""
     return postings(pages, columns, key).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
 
 
-def bm25(pages: DataFrame, query: DataFrame, columns: tuple[str, ...] = ("title", "tags", "body"), key: str = "path") -> DataFrame:
+def weights(tf: DataFrame, df: DataFrame, totals: DataFrame, key: str = "path") -> DataFrame:
+    """key, term, w: what each posting (key, term, tf, doc_len) adds to a page's score."""
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))))
+    return tf.join(df, "term").crossJoin(F.broadcast(totals)).select(key, "term", weight.alias("w"))
+
+
+def bm25(pages: DataFrame, query: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "path", index: Index | None = None) -> DataFrame:
     """key, rank, matched for each page with a term of ``query.term``; lower ranks are better.
 
-    ``query`` has one row a term of the question, a handful for any corpus; the join with it drops
-    all other terms before counts are shuffled.
+    ``query`` has one row a term of the question.  With ``index`` the pages are not read.
     """
-    lengths = pages.select(key, tokens(F.concat_ws(" ", *columns)).alias("terms")).select(key, "terms", F.size("terms").alias("doc_len"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
-    hits = lengths.select(key, "doc_len", F.explode("terms").alias("term")).join(F.broadcast(query.select("term").distinct()), "term")
-    tf = hits.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))))
-    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals)).select(key, weight.alias("w"))
+    if index is not None:
+        own = _of_terms(index.postings, query).select(key, "term", "tf", "doc_len")
+        scored = weights(own, _of_terms(index.terms, query).select("term", "df"), index.totals, key)
+    else:
+        lengths = pages.select(key, tokens(F.concat_ws(" ", *columns)).alias("terms")).select(key, "terms", F.size("terms").alias("doc_len"))
+        totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
+        hits = lengths.select(key, "doc_len", F.explode("terms").alias("term")).join(query.select("term").distinct(), "term")
+        tf = hits.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+        scored = weights(tf, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals, key)
     return scored.groupBy(key).agg((-F.sum("w")).alias("rank"), F.count(F.lit(1)).alias("matched"))
 
 
-def search(pages: DataFrame, query: DataFrame, limit: int = 20, match_all: bool = True, columns: tuple[str, ...] = ("title", "tags", "body"), key: str = "path") -> DataFrame:
+def search(pages: DataFrame, query: DataFrame, limit: int = 20, match_all: bool = True, columns: tuple[str, ...] = COLUMNS, key: str = "path", index: Index | None = None) -> DataFrame:
     """The best pages for the terms, ties by key; all terms must match, or any."""
-    ranked = bm25(pages, query, columns, key)
+    query = query if index is None else question(query, index)
+    ranked = bm25(pages, query, columns, key, index)
     if match_all:
         wanted = query.agg(F.count_distinct("term").alias("wanted"))
         ranked = ranked.crossJoin(F.broadcast(wanted)).filter("matched = wanted").drop("wanted")
@@ -109,6 +205,7 @@ def search(pages: DataFrame, query: DataFrame, limit: int = 20, match_all: bool
 
 def strict_then_broad(pages: DataFrame, query: DataFrame, limit: int = 10, **kw) -> DataFrame:
     """Pages with all terms; if there are none, pages with any.  One pass over the postings."""
+    query = question(query, kw["index"]) if kw.get("index") else query
     ranked = bm25(pages, query, **kw)
     key = ranked.columns[0]
     wanted = query.agg(F.count_distinct("term").alias("wanted"))
@@ -131,18 +228,18 @@ def rerank(pages: DataFrame, query: DataFrame, kind: str, limit: int = 5, title:
 def ask_pages(pages: DataFrame, query: DataFrame, kind: str, limit: int = 5, **kw) -> DataFrame:
     """Re-ranked pages if there are any, else the first of the analysis."""
     boosted = rerank(pages, query, kind, limit, **kw).select("path", F.col("adjusted").alias("rank"), F.lit("boosted").alias("origin"))
-    plain = strict_then_broad(pages, query, 10).orderBy(F.round("rank", 9), "path").limit(limit).select("path", "rank", F.lit("analysis").alias("origin"))
+    plain = strict_then_broad(pages, query, 10, **kw).orderBy(F.round("rank", 9), "path").limit(limit).select("path", "rank", F.lit("analysis").alias("origin"))
     has = boosted.agg((F.count(F.lit(1)) > 0).alias("has"))
     return boosted.unionByName(plain.crossJoin(F.broadcast(has)).filter("NOT has").drop("has"))
 
 
-def evidence(pages: DataFrame, query: DataFrame, limit: int = 10, most: int = 4000) -> DataFrame:
+def evidence(pages: DataFrame, query: DataFrame, limit: int = 10, most: int = 4000, index: Index | None = None) -> DataFrame:
     """The best pages for any term with numbered file names and excerpts."""
     from pyspark.sql import Window as W
 
     from ..functions.text import excerpt
 
-    found = search(pages, query, limit, match_all=False)
+    found = search(pages, query, limit, match_all=False, index=index)
     # At most ``limit`` rows reach this window.
     n = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.round("rank", 9), "path"))
     slug = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.md$", ""), "[^a-zA-Z0-9]+", "-"), "^-+|-+$", "")

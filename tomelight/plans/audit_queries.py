@@ -19,7 +19,7 @@ from ..operators.exports import spool_candidates
 from . import search_queries as Q
 from .core_queries import _LINKS, _STALE
 from .registry import query
-from .text_queries import _PRICE
+from .text_queries import _PRICE, SCHEMA_SQL, schema_pages
 
 # --- logs ---------------------------------------------------------------------------------------
 
@@ -71,7 +71,14 @@ def _anchors(spark: SparkSession, d: str) -> DataFrame:
     return two.select(F.explode(F.array(row(1, F.lit(None).cast("string")), row(2, F.col("a1")), row(3, F.col("a2")))).alias("r")).select("r.*")
 
 
-@query("SELECT * FROM (VALUES (1, 'ok'), (2, 'REWRITTEN'), (3, 'TRUNCATED')) v(n, verdict)")
+@query(
+    f"""WITH pos AS (SELECT raw, row_number() OVER (ORDER BY file, line_no) AS position FROM trace_lines), n AS (SELECT count(*) AS n FROM pos),
+heads AS (SELECT 1 AS n, position AS total, sha256(raw) AS head FROM pos WHERE position = (SELECT n // 4 FROM n) UNION ALL SELECT 2, position, sha256(raw || 'x') FROM pos WHERE position = (SELECT n // 2 FROM n) UNION ALL SELECT 3, n + 5, 'z' FROM n),
+a1 AS (SELECT *, sha256({_BODY}) AS own FROM (SELECT *, NULL AS prev FROM heads WHERE n = 1)), a2 AS (SELECT *, sha256({_BODY}) AS own FROM (SELECT heads.*, (SELECT own FROM a1) AS prev FROM heads WHERE n = 2)), a3 AS (SELECT *, sha256({_BODY}) AS own FROM (SELECT heads.*, (SELECT own FROM a2) AS prev FROM heads WHERE n = 3)),
+anchor AS (SELECT *, lag(own) OVER (ORDER BY n) AS before, sha256({_BODY}) AS again FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3))
+SELECT anchor.n, CASE WHEN own <> again THEN 'SELF_HASH' WHEN prev IS DISTINCT FROM before THEN 'LINK' WHEN (SELECT n FROM n) < total THEN 'TRUNCATED' WHEN sha256(raw) <> head THEN 'REWRITTEN' ELSE 'ok' END AS verdict FROM anchor LEFT JOIN pos ON position = total""",
+    "trace_lines",
+)
 def anchor_verify(spark: SparkSession, d: str) -> DataFrame:
     return A.verify_anchors(_anchors(spark, d), V.trace_lines(spark, d))
 
@@ -105,7 +112,7 @@ def trace_scan(spark: SparkSession, d: str) -> DataFrame:
     return trace_summary(V.trace_lines(spark, d))
 
 
-_SIDES = "SELECT 's' || (doc_id % 50) AS source_id, 'wiki/topics/t' || (doc_id % 30) || '.md' AS output_path, CASE WHEN doc_id % 2 = 0 THEN 'compile' ELSE 'promote' END AS operation FROM documents WHERE doc_id % {0} <> 0"
+_SIDES = "SELECT 's' || (doc_id % 50) AS source_id, 'wiki/topics/t' || (doc_id % 30) || '.md' AS output_path, CASE WHEN doc_id % {0} = 0 THEN 'restore' WHEN doc_id % 2 = 0 THEN 'compile' ELSE 'promote' END AS operation FROM documents"
 _KEYS = "source_id, output_path, operation"
 
 
@@ -118,7 +125,8 @@ def provenance_reconcile(spark: SparkSession, d: str) -> DataFrame:
     from .core_queries import _provenance
 
     p, k = _provenance(spark, d), F.col("recorded_at")
-    return A.reconcile_provenance(p.filter(k % 7 != 0), p.filter(k % 5 != 0))
+    other = lambda n: p.withColumn("operation", F.when(k % n == 0, "restore").otherwise(F.col("operation")))
+    return A.reconcile_provenance(other(7), other(5))
 
 
 @query(
@@ -269,7 +277,7 @@ def task_status_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NT = "regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
-_MP = "mp AS (SELECT substring(headline, 1, 8) AS title, substring(text, 1, 100 + ord % 50) AS page, ['s' || (ord % 90), 's' || (ord % 7)] AS ids, ord FROM wiki)"
+_MP = "mp AS (SELECT substring(headline, 1, 8) AS title, text AS page, ['s' || (ord % 90), 's' || (ord % 7)] AS ids, ord FROM wiki)"
 
 
 @query(
@@ -281,7 +289,7 @@ SELECT key, title, sha256(page) AS digest, first_ord, ids FROM best JOIN (SELECT
 )
 def merge_pages(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("ord")
-    pages = V.wiki(spark, d).select(F.substring("headline", 1, 8).alias("title"), F.col("text").substr(F.lit(1), (100 + k % 50).cast("int")).alias("page"), F.array(V.key("s", k % 90), V.key("s", k % 7)).alias("ids"), k)
+    pages = V.wiki(spark, d).select(F.substring("headline", 1, 8).alias("title"), F.col("text").alias("page"), F.array(V.key("s", k % 90), V.key("s", k % 7)).alias("ids"), k)
     return M.merge_pages(pages).select("key", "title", F.sha2("page", 256).alias("digest"), "first_ord", "ids")
 
 
@@ -312,34 +320,37 @@ def debounce(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH st AS ({_STALE}), {_LINKS}
 SELECT v.valid, v.invalid, (SELECT count(*) FROM st) AS stale, u.n AS uncompiled, o.n AS orphans, v.invalid + (SELECT count(*) FROM st) + u.n + o.n AS issues
-FROM (SELECT count(*) FILTER (ord % 13 <> 0) AS valid, count(*) FILTER (ord % 13 = 0) AS invalid FROM wiki) v,
+FROM (SELECT count(*) FILTER (len(errors) = 0) AS valid, count(*) FILTER (len(errors) > 0) AS invalid FROM ({SCHEMA_SQL})) v,
   (SELECT count(*) AS n FROM sources s WHERE NOT EXISTS (SELECT 1 FROM compilations c WHERE c.source_id = s.id AND c.type = 'summary')) u,
   (SELECT count(*) AS n FROM wiki WHERE dir <> 'sources' AND slug NOT IN (SELECT trim(split_part(link, '|', 1)) FROM edges)) o""",
     "wiki", "compilations", "sources",
 )
 def lint_summary(spark: SparkSession, d: str) -> DataFrame:
     w, s, c = V.wiki(spark, d), V.sources(spark, d), V.compilations(spark, d)
-    valid = w.select((F.col("ord") % 13 != 0).alias("valid"))
+    valid = schema_pages(spark, d).select((F.size("errors") == 0).alias("valid"))
     return M.lint_summary(valid, L.stale_pages(c, s), L.uncompiled_sources(s, c), L.orphan_pages(w))
 
 
 _U5 = "substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || substring('89ab', (instr('0123456789abcdef', substring(h, 17, 1)) - 1) % 4 + 1, 1) || substring(h, 18, 3) || '-' || substring(h, 21, 12)"
 
 
-@query(
-    f"""SELECT path, reject, CASE WHEN reject IS NULL THEN {_U5} END AS id, CASE WHEN reject IS NULL THEN CASE WHEN type = 'open-question' THEN 'Open question: ' ELSE '' END || t END AS title,
+SPOOL_SQL = f"""SELECT path, reject, CASE WHEN reject IS NULL THEN {_U5} END AS id, CASE WHEN reject IS NULL THEN CASE WHEN type = 'open-question' THEN 'Open question: ' ELSE '' END || t END AS title,
   CASE WHEN reject IS NULL THEN CASE type WHEN 'concept' THEN 'pattern' WHEN 'topic' THEN 'architecture' WHEN 'contradiction' THEN 'troubleshooting' ELSE 'reference' END END AS category
 FROM (SELECT path, type, CASE WHEN trim(title) = '' THEN slug ELSE title END AS t, sha1(unhex('{T.PAGE_NAMESPACE.replace('-', '')}') || encode('ws' || chr(0) || path || chr(0) || sha256(b))) AS h,
   CASE WHEN type IS NULL OR type = 'poster' THEN 'MISSING_TYPE' WHEN type = 'semantic-index' THEN 'SEMANTIC_INDEX_SKIPPED' WHEN b = '' THEN 'EMPTY_CONTENT' WHEN strlen(b) > 65536 THEN 'CONTENT_TOO_LARGE' END AS reject
   FROM (SELECT path, slug, CASE WHEN ord % 7 = 0 THEN NULL WHEN ord % 11 = 0 THEN 'semantic-index' WHEN ord % 17 = 0 THEN 'poster' ELSE type END AS type, CASE WHEN ord % 4 = 0 THEN ' ' ELSE title END AS title,
-    regexp_replace(CASE WHEN ord % 9 = 0 THEN ' ' ELSE body END, '^\\s+|\\s+$', '', 'g') AS b FROM wiki))""",
-    "wiki",
-)
+    regexp_replace(CASE WHEN ord % 9 = 0 THEN ' ' ELSE body END, '^\\s+|\\s+$', '', 'g') AS b FROM wiki))"""
+
+
+@query(SPOOL_SQL, "wiki")
 def spool_emit(spark: SparkSession, d: str) -> DataFrame:
+    return spool_candidates(spool_pages(spark, d), "ws")
+
+
+def spool_pages(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("ord")
     kind = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, "semantic-index").when(k % 17 == 0, "poster").otherwise(F.col("type"))
-    pages = V.wiki(spark, d).select("path", kind.alias("type"), F.when(k % 4 == 0, " ").otherwise(F.col("title")).alias("title"), F.when(k % 9 == 0, " ").otherwise(F.col("body")).alias("body"))
-    return spool_candidates(pages, "ws")
+    return V.wiki(spark, d).select("path", kind.alias("type"), F.when(k % 4 == 0, " ").otherwise(F.col("title")).alias("title"), F.when(k % 9 == 0, " ").otherwise(F.col("body")).alias("body"))
 
 
 # --- evaluations --------------------------------------------------------------------------------
@@ -365,7 +376,7 @@ def _longest(spark: SparkSession, d: str) -> DataFrame:
     """spec_id, path of the pages that have a passage's longest term."""
     nth = F.row_number().over(W.partitionBy("spec_id").orderBy(F.desc(F.length("term")), "term"))
     first = _specs(spark, d).withColumn("nth", nth).filter("nth = 1").select("spec_id", "term")
-    return first.join(S.postings(Q.pages(spark, d)).select("path", "term"), "term").select("spec_id", "path")
+    return first.join(Q.index(spark, d).postings.select("path", "term"), "term").select("spec_id", "path")
 
 
 @query(
@@ -376,21 +387,21 @@ SELECT spec_id, round(recall, 6) AS recall, round(precision, 6) AS precision, ro
     "wiki",
 )
 def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
-    found = E.search_many(Q.pages(spark, d), _specs(spark, d), 10)
+    found = E.search_many(Q.pages(spark, d), _specs(spark, d), 10, index=Q.index(spark, d))
     out = E.retrieval_scores(found, _longest(spark, d), 10, 0.5)
     return out.select("spec_id", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "score")), "passed")
 
 
 @query(
-    "WITH " + _MANY + """, ph AS (SELECT item_id AS spec_id, unnest([substring(text, 1, 30), substring(text, 1, 8), 'zz no such phrase']) AS phrase FROM benchmark),
+    "WITH " + _MANY + """, ph AS (SELECT item_id AS spec_id, unnest([text, split_part(text, ' ', 1), 'zz no such phrase']) AS phrase FROM benchmark),
 hit AS (SELECT spec_id, phrase, bool_or(coalesce(contains(lower(body), lower(phrase)), false)) AS hit FROM ph LEFT JOIN top USING (spec_id) LEFT JOIN pages_ USING (path) GROUP BY 1, 2)
 SELECT spec_id, round(avg(hit::INT), 6) AS grounding FROM hit GROUP BY spec_id""",
     "wiki",
 )
 def functional_quality_eval(spark: SparkSession, d: str) -> DataFrame:
     p = Q.pages(spark, d)
-    phrases = V.table(spark, d, "benchmark").select(F.col("item_id").alias("spec_id"), F.explode(F.array(F.substring("text", 1, 30), F.substring("text", 1, 8), F.lit("zz no such phrase"))).alias("phrase"))
-    out = E.grounding_scores(E.search_many(p, _specs(spark, d), 10), p.select("path", F.col("body").alias("text")), phrases)
+    phrases = V.table(spark, d, "benchmark").select(F.col("item_id").alias("spec_id"), F.explode(F.array("text", F.substring_index("text", " ", 1), F.lit("zz no such phrase"))).alias("phrase"))
+    out = E.grounding_scores(E.search_many(p, _specs(spark, d), 10, index=Q.index(spark, d)), p.select("path", F.col("body").alias("text")), phrases)
     return out.select("spec_id", F.round("grounding", 6).alias("grounding"))
 
 
@@ -436,7 +447,7 @@ def eval_batch(spark: SparkSession, d: str) -> DataFrame:
     return E.eval_totals(r).withColumn("mean_score", F.round("mean_score", 6))
 
 
-_JUDGED = """ans AS (SELECT doc_id AS id, doc_id // 5 AS intent, CASE WHEN doc_id % 6 <> 0 THEN 'wiki/' || (doc_id * 3 % 1500) END AS cited, [substring(text, 1, 2), 'e', 'qqq'] AS phrases FROM documents),
+_JUDGED = """ans AS (SELECT doc_id AS id, doc_id // 5 AS intent, CASE WHEN doc_id % 6 <> 0 THEN 'wiki/' || (doc_id * 3 % 1500) END AS cited, [split_part(text, '.', 1), split_part(text, ' ', 1), 'qqq'] AS phrases FROM documents),
 src AS (SELECT 'wiki/' || doc_id AS cited, text FROM documents), jd AS (SELECT id, intent, cited, text, len(list_filter(phrases, lambda p: contains(lower(text), lower(p)))) / 3.0 AS share FROM ans LEFT JOIN src USING (cited)),
 vd AS (SELECT id, intent, CASE WHEN cited IS NULL THEN 'CHALLENGED' WHEN text IS NULL OR share = 0 THEN 'UNVERIFIED' ELSE 'VERIFIED' END AS verdict, share FROM jd)"""
 
@@ -444,7 +455,7 @@ vd AS (SELECT id, intent, CASE WHEN cited IS NULL THEN 'CHALLENGED' WHEN text IS
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     docs = V.table(spark, d, "documents")
-    answers = docs.select(k.alias("id"), F.when(k % 6 != 0, V.key("wiki/", k * 3 % 1500)).alias("cited"), F.array(F.substring("text", 1, 2), F.lit("e"), F.lit("qqq")).alias("phrases"))
+    answers = docs.select(k.alias("id"), F.when(k % 6 != 0, V.key("wiki/", k * 3 % 1500)).alias("cited"), F.array(F.substring_index("text", ".", 1), F.substring_index("text", " ", 1), F.lit("qqq")).alias("phrases"))
     return E.verdicts(answers, docs.select(V.key("wiki/", k).alias("path"), "text"))
 
 
@@ -461,16 +472,18 @@ def scorecard(spark: SparkSession, d: str) -> DataFrame:
 _CW = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9-]{{2,}}'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in S.SEARCH_STOP_WORDS) + ")))"
 
 
-@query(f"SELECT doc_id, round(CASE WHEN len(tw) = 0 THEN 1.0 ELSE len(list_intersect(tw, sw)) / len(tw) END, 6) AS overlap, CASE WHEN len(tw) = 0 OR len(list_intersect(tw, sw)) / len(tw) >= 0.5 THEN 1 ELSE 0 END AS score FROM (SELECT doc_id, {_CW.format('substring(text, 1, 100)')} AS tw, {_CW.format('substring(text, 60, 400)')} AS sw FROM documents)")
+@query(f"SELECT doc_id, round(CASE WHEN len(tw) = 0 THEN 1.0 ELSE len(list_intersect(tw, sw)) / len(tw) END, 6) AS overlap, CASE WHEN len(tw) = 0 OR len(list_intersect(tw, sw)) / len(tw) >= 0.5 THEN 1 ELSE 0 END AS score FROM (SELECT d.doc_id, {_CW.format('d.text')} AS tw, {_CW.format("coalesce(s.text, '')")} AS sw FROM documents d LEFT JOIN documents s ON s.doc_id = d.doc_id + 1)")
 def overlap_grounding(spark: SparkSession, d: str) -> DataFrame:
-    o = E.overlap(F.substring("text", 1, 100), F.substring("text", 60, 400))
-    return V.table(spark, d, "documents").select("doc_id", F.round(o, 6).alias("overlap"), F.when(o >= E.GROUNDED, 1).otherwise(0).alias("score"))
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("source")), "doc_id", "left")
+    o = E.overlap(F.col("text"), F.coalesce("source", F.lit("")))
+    return pairs.select("doc_id", F.round(o, 6).alias("overlap"), F.when(o >= E.GROUNDED, 1).otherwise(0).alias("score"))
 
 
-@query("SELECT doc_id, CASE WHEN h = 3 THEN 'PASS' WHEN h > 0 THEN 'PARTIAL' ELSE 'FAIL' END AS grade FROM (SELECT doc_id, len(list_filter(['the', 'ing', 'ou'], lambda p: contains(lower(substring(text, 1, 200)), p))) AS h FROM documents)")
+@query("SELECT doc_id, CASE WHEN h = 3 THEN 'PASS' WHEN h > 0 THEN 'PARTIAL' ELSE 'FAIL' END AS grade FROM (SELECT doc_id, len(list_filter(['the', 'licen', '@'], lambda p: contains(lower(text), p))) AS h FROM documents)")
 def substring_grade(spark: SparkSession, d: str) -> DataFrame:
-    phrases = F.array(*map(F.lit, ("the", "ing", "ou")))
-    return V.table(spark, d, "documents").select("doc_id", E.substring_grade(phrases, F.substring("text", 1, 200)).alias("grade"))
+    phrases = F.array(*map(F.lit, ("the", "licen", "@")))
+    return V.table(spark, d, "documents").select("doc_id", E.substring_grade(phrases, F.col("text")).alias("grade"))
 
 
 @query(f"WITH {_RET} SELECT concept AS name, CASE WHEN ascii(right(concept, 1)) % 5 = 0 THEN 'recorded' WHEN retention < 0.85 THEN 'regression' WHEN retention < 0.9 THEN 'warning' ELSE 'pass' END AS status FROM ret", "recall_results")

@@ -94,20 +94,21 @@ def ingest_upsert(spark: SparkSession, d: str) -> DataFrame:
     return I.ingest_upsert(files, V.sources(spark, d))
 
 
-@query("SELECT path, hash, arg_min(id, (ingested_at, ord)) AS id FROM (SELECT * FROM sources UNION ALL SELECT * REPLACE ('again' || ord AS id, ord + 100000 AS ord) FROM sources WHERE ord % 3 = 0) GROUP BY path, hash", "sources")
+@query("SELECT path, hash, arg_min(id, (ingested_at, ord)) AS id FROM (SELECT * FROM sources UNION ALL SELECT * REPLACE ('again' || ord AS id, ord + 100000 AS ord) FROM sources) GROUP BY path, hash", "sources")
 def register_source(spark: SparkSession, d: str) -> DataFrame:
     s = V.sources(spark, d)
-    again = s.filter("ord % 3 = 0").withColumn("id", V.key("again", "ord")).withColumn("ord", F.col("ord") + 100000)
+    again = s.withColumn("id", V.key("again", "ord")).withColumn("ord", F.col("ord") + 100000)
     return I.register_source(s.unionByName(again)).select("path", "hash", "id")
 
 
 @query(
-    "SELECT id, arg_max(type, (compiled_at, ord)) AS type, arg_max(tokens_used, (compiled_at, ord)) FILTER (true) AS tokens_used, max(compiled_at) AS compiled_at, false AS stale FROM (SELECT * FROM compilations WHERE tokens_used IS NOT NULL UNION ALL SELECT * REPLACE (tokens_used * 2 AS tokens_used, '2025-01-01T00:00:00.000Z' AS compiled_at, ord + 100000 AS ord) FROM compilations WHERE ord % 4 = 0 AND tokens_used IS NOT NULL) GROUP BY id",
+    "SELECT id, arg_max(type, (compiled_at, ord)) AS type, arg_max(tokens_used, (compiled_at, ord)) FILTER (true) AS tokens_used, max(compiled_at) AS compiled_at, false AS stale FROM (SELECT * FROM compilations WHERE tokens_used IS NOT NULL UNION ALL SELECT * REPLACE (tokens_used * 2 AS tokens_used, CASE WHEN ord % 4 = 0 THEN '2025-01-01T00:00:00.000Z' ELSE '2023-01-01T00:00:00.000Z' END AS compiled_at, ord + 100000 AS ord) FROM compilations WHERE tokens_used IS NOT NULL) GROUP BY id",
     "compilations",
 )
 def compilation_upsert(spark: SparkSession, d: str) -> DataFrame:
     c = V.compilations(spark, d).filter("tokens_used IS NOT NULL")
-    again = c.filter("ord % 4 = 0").withColumn("tokens_used", F.col("tokens_used") * 2).withColumn("compiled_at", F.lit("2025-01-01T00:00:00.000Z")).withColumn("ord", F.col("ord") + 100000)
+    late = F.when(F.col("ord") % 4 == 0, "2025-01-01T00:00:00.000Z").otherwise("2023-01-01T00:00:00.000Z")
+    again = c.withColumn("tokens_used", F.col("tokens_used") * 2).withColumn("compiled_at", late).withColumn("ord", F.col("ord") + 100000)
     return I.upsert(c.unionByName(again), "id", "compiled_at").select("id", "type", "tokens_used", "compiled_at", "stale")
 
 
@@ -137,7 +138,7 @@ def stale_pages(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, stale OR ord % 6 = 1 AS stale, NOT stale AND ord % 6 = 1 AS changed FROM compilations", "compilations")
 def mark_stale(spark: SparkSession, d: str) -> DataFrame:
     c = V.compilations(spark, d)
-    return L.mark_stale(c, c.filter("ord % 6 = 1").select("id"))
+    return L.mark_stale(c, c.select(F.when(F.col("ord") % 6 == 1, F.col("id")).otherwise(V.key("other", "ord")).alias("id")))
 
 
 @query("SELECT s.id, s.path FROM sources s LEFT JOIN compilations c ON c.source_id = s.id AND c.type = 'summary' WHERE c.id IS NULL", "sources", "compilations")
@@ -153,7 +154,7 @@ def compilation_sources(spark: SparkSession, d: str) -> DataFrame:
     return L.compiled_sources(V.compilations(spark, d), V.compilation_sources(spark, d), V.sources(spark, d))
 
 
-_CHANGES = "changes AS (SELECT path, CASE WHEN ord % 2 = 0 THEN 'changed' ELSE hash END AS new FROM (SELECT path, arg_max(hash, (ingested_at, ord)) AS hash, arg_max(ord, (ingested_at, ord)) AS ord FROM sources GROUP BY path) WHERE ord % 25 = 0)"
+_CHANGES = "changes AS (SELECT path, CASE WHEN ord % 2 = 0 THEN 'changed' ELSE hash END AS new FROM (SELECT path, arg_max(hash, (ingested_at, ord)) AS hash, arg_max(ord, (ingested_at, ord)) AS ord FROM sources GROUP BY path))"
 
 
 @query(
@@ -171,7 +172,7 @@ SELECT id, type, output_path, arg_max(reason, (r, o)) AS reason FROM every GROUP
 def affected_set(spark: SparkSession, d: str) -> DataFrame:
     s = V.sources(spark, d)
     last = s.groupBy("path").agg(F.max_by(F.struct("hash", "ord"), F.struct("ingested_at", "ord")).alias("r")).select("path", "r.hash", "r.ord")
-    changes = last.filter("ord % 25 = 0").select("path", F.when(F.col("ord") % 2 == 0, "changed").otherwise(F.col("hash")).alias("hash"))
+    changes = last.select("path", F.when(F.col("ord") % 2 == 0, "changed").otherwise(F.col("hash")).alias("hash"))
     return L.affected_set(changes, s, V.compilations(spark, d), V.compilation_sources(spark, d))
 
 
@@ -206,10 +207,10 @@ def citation_parse(spark: SparkSession, d: str) -> DataFrame:
     return L.parse_citations(V.answers(spark, d), V.wiki(spark, d))
 
 
-@query(f"WITH {_CITES} SELECT answer_id, title, page_path, page_path IN (SELECT path FROM wiki WHERE ord % 8 <> 0) AS verified FROM parsed", "answers", "wiki")
+@query(f"WITH {_CITES} SELECT answer_id, title, page_path, page_path IN (SELECT CASE WHEN ord % 8 = 0 THEN path || '.bak' ELSE path END FROM wiki) AS verified FROM parsed", "answers", "wiki")
 def verify_citations(spark: SparkSession, d: str) -> DataFrame:
     w = V.wiki(spark, d)
-    return L.verify_citations(L.parse_citations(V.answers(spark, d), w), w.filter("ord % 8 <> 0"))
+    return L.verify_citations(L.parse_citations(V.answers(spark, d), w), w.withColumn("path", F.when(F.col("ord") % 8 == 0, F.concat("path", F.lit(".bak"))).otherwise(F.col("path"))))
 
 
 @query("SELECT path FROM wiki WHERE path NOT IN (SELECT output_path FROM compilations UNION SELECT target_path FROM promotions)", "wiki", "compilations", "promotions")

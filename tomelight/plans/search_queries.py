@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..operators import search as S
+from ..storage import modified, new_path
 from .registry import query
 
 N_TERMS, LEAST_DF = 3, 5
@@ -30,21 +31,35 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return V.wiki(spark, d).select("path", "type", F.col("headline").alias("title"), "tags", F.col("text").alias("body"))
 
 
-def corpus_terms(p: DataFrame) -> DataFrame:
+_indexes: dict[tuple, str] = {}
+
+
+def index(spark: SparkSession, d: str, stem: bool = False) -> S.Index:
+    """The pages' stored index, written for the first question about a table as it is."""
+    source = f"{d}/documents.parquet"
+    name = (spark.sparkContext.applicationId, source, modified(spark, source), stem)
+    if name not in _indexes:
+        path = new_path(spark, "index")
+        S.write_index(pages(spark, d), path, stem=stem)
+        _indexes[name] = path
+    return S.read_index(spark, _indexes[name], stem)
+
+
+def corpus_terms(stored: S.Index) -> DataFrame:
     """The rarest terms that at least ``LEAST_DF`` pages have, five characters and up."""
-    freq = S.index_summary(p).filter((F.col("df") >= LEAST_DF) & (F.length("term") >= 5))
+    freq = stored.terms.filter((F.col("df") >= LEAST_DF) & (F.length("term") >= 5))
     return freq.orderBy("df", "term").limit(N_TERMS).select("term")
 
 
 @query("WITH " + _PAGES + " SELECT term, count(DISTINCT path) AS df, count(*) AS total_tf FROM plain GROUP BY term", "wiki")
 def fts_index(spark: SparkSession, d: str) -> DataFrame:
-    return S.index_summary(pages(spark, d))
+    return index(spark, d).terms.select("term", "df", "total_tf")
 
 
 @query("WITH " + _BM25 + " SELECT path, round(rank, 6) AS rank, matched FROM ranked ORDER BY round(rank, 9), path LIMIT 20", "wiki")
 def fts_search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d)
-    return S.search(p, corpus_terms(p), 20, match_all=False).select("path", F.round("rank", 6).alias("rank"), "matched")
+    p, i = pages(spark, d), index(spark, d)
+    return S.search(p, corpus_terms(i), 20, match_all=False, index=i).select("path", F.round("rank", 6).alias("rank"), "matched")
 
 
 _RERANK = """,
@@ -55,8 +70,8 @@ boost AS (SELECT path, type, rank, rank - CASE WHEN EXISTS (SELECT 1 FROM terms
 
 @query("WITH " + _BM25 + _RERANK + " SELECT path, type, round(rank, 6) AS rank, round(adjusted, 6) AS adjusted FROM boost ORDER BY round(adjusted, 9), round(rank, 9), path LIMIT 20", "wiki")
 def relevant_pages_rerank(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d)
-    found = S.rerank(p, corpus_terms(p), "analytical", 20, match_all=False)
+    p, i = pages(spark, d), index(spark, d)
+    found = S.rerank(p, corpus_terms(i), "analytical", 20, match_all=False, index=i)
     return found.select("path", "type", F.round("rank", 6).alias("rank"), F.round("adjusted", 6).alias("adjusted"))
 
 
@@ -67,8 +82,8 @@ chosen AS (SELECT * FROM flagged WHERE strict OR NOT (SELECT coalesce(bool_or(st
 
 @query("WITH " + _BM25 + _STRICT + " SELECT path, round(rank, 6) AS rank, matched, strict FROM chosen ORDER BY round(rank, 9), path LIMIT 10", "wiki")
 def strict_then_broad(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d)
-    return S.strict_then_broad(p, corpus_terms(p)).select("path", F.round("rank", 6).alias("rank"), "matched", "strict")
+    p, i = pages(spark, d), index(spark, d)
+    return S.strict_then_broad(p, corpus_terms(i), index=i).select("path", F.round("rank", 6).alias("rank"), "matched", "strict")
 
 
 @query(
@@ -82,8 +97,8 @@ SELECT path, round(rank, 6) AS rank, origin FROM top5 UNION ALL SELECT path, rou
     "wiki",
 )
 def ask_page_selection(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d)
-    return S.ask_pages(p, corpus_terms(p), "factual").select("path", F.round("rank", 6).alias("rank"), "origin")
+    p, i = pages(spark, d), index(spark, d)
+    return S.ask_pages(p, corpus_terms(i), "factual", index=i).select("path", F.round("rank", 6).alias("rank"), "origin")
 
 
 @query(
@@ -95,8 +110,15 @@ FROM top10 JOIN pages_ USING (path)""",
     "wiki",
 )
 def evidence_collect(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d)
-    return S.evidence(p, corpus_terms(p), 10, 1000)
+    p, i = pages(spark, d), index(spark, d)
+    return S.evidence(p, corpus_terms(i), 10, 1000, index=i)
+
+
+@query(None)
+def fts_search_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """As the search above, over folded and stemmed terms."""
+    i = index(spark, d, stem=True)
+    return S.search(pages(spark, d), corpus_terms(i), 20, match_all=False, index=i).select("path", F.round("rank", 6).alias("rank"), "matched")
 
 
 def _sql_list(words: list[str]) -> str:

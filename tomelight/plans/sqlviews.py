@@ -35,7 +35,7 @@ VIEWS = {
       CASE lang WHEN 'en' THEN 'claude-sonnet-4-6' WHEN 'de' THEN 'claude-haiku-4-5' WHEN 'fr' THEN 'deepseek-v4-flash' ELSE 'claude-opus-4-6' END AS model,
       CASE WHEN doc_id % 7 <> 0 THEN CAST(ceil(n_chars / 4.0) AS BIGINT) END AS tokens_used, doc_id AS ord
       FROM documents JOIN labels USING (doc_id)""",
-    "compilation_sources": """SELECT id AS compilation_id, 's' || (ord + j) AS source_id FROM compilations, (VALUES (0), (1), (5)) v(j) WHERE source_id IS NULL AND ord % 5 <> 0""",
+    "compilation_sources": """SELECT CASE WHEN ord % 5 = 0 THEN 'gone' || ord ELSE id END AS compilation_id, 's' || (ord + j) AS source_id FROM compilations, (VALUES (0), (1), (5)) v(j) WHERE source_id IS NULL""",
     "recall_results": f"""SELECT 'r' || doc_id AS id, source AS concept, lang AS topic, quality = 1 AS correct, {minutes("doc_id")} AS tested_at,
       (doc_id % 11) / 10.0::DOUBLE AS confidence, CASE WHEN doc_id % 5 <> 0 THEN 'card-' || (doc_id % 20) END AS source_card, doc_id AS ord
       FROM documents JOIN labels USING (doc_id)""",
@@ -61,7 +61,7 @@ VIEWS = {
       CASE ord % 3 WHEN 0 THEN 'tags: [alpha, ''beta'', gamma]' || chr(10) WHEN 1 THEN 'tags:' || chr(10) || '  - alpha' || chr(10) || '  - "beta"' || chr(10) ELSE '' END ||
       CASE WHEN ord % 4 = 0 THEN 'source_ids: [s' || ord || ', s' || (ord + 1) || ']' || chr(10) ELSE '' END ||
       'url: http://x.example:80/' || slug || chr(10) || '---' || chr(10) || chr(10) || text END AS raw FROM wiki""",
-    "promotions": f"""SELECT 'pr' || doc_id AS id, 'outputs/reports/r' || doc_id || '.md' AS source_path, {_PATH} AS target_path, {minutes("doc_id")} AS promoted_at, doc_id AS ord FROM documents WHERE doc_id % 9 = 0""",
+    "promotions": f"""SELECT 'pr' || doc_id AS id, 'outputs/reports/r' || doc_id || '.md' AS source_path, CASE WHEN doc_id % 9 = 0 THEN {_PATH} ELSE 'wiki/' || {_DIR} || '/q' || doc_id || '.md' END AS target_path, {minutes("doc_id")} AS promoted_at, doc_id AS ord FROM documents""",
     "artifacts": f"""SELECT CASE WHEN doc_id % 2 = 0 THEN 'outputs/reports/r' ELSE 'outputs/slides/r' END || doc_id || '.md' AS path,
       CASE WHEN doc_id % 21 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'report' WHEN doc_id % 33 = 0 THEN 'poster' ELSE 'slides' END AS type,
       CASE WHEN doc_id % 15 = 0 THEN '  ' WHEN doc_id % 27 = 0 THEN NULL ELSE 'Artifact ' || doc_id END AS title,
@@ -69,9 +69,9 @@ VIEWS = {
       CASE WHEN doc_id % 18 <> 0 THEN ['s' || doc_id, 's' || (doc_id + 1)] END AS generated_from, 'm1' AS model,
       CASE WHEN doc_id % 12 <> 0 THEN n_chars::DOUBLE / CASE WHEN doc_id % 30 = 0 THEN 7 ELSE 1 END END AS tokens_used,
       doc_id % 5 <> 0 AS marp, CASE WHEN doc_id % 6 = 0 THEN ['p' || doc_id] END AS source_pages, doc_id AS ord
-      FROM documents WHERE doc_id % 3 = 0""",
+      FROM documents""",
     "answers": """SELECT conv_id * 10 + turn AS answer_id,
-      substring(replace(text, chr(10), ' '), 1, 80) || ' [source: Page ' || ((conv_id * 10 + turn) % 1300) || ']' || chr(10) || 'Second claim [source: page ' || ((conv_id * 10 + turn) * 3 % 2600) ||
+      replace(text, chr(10), ' ') || ' [source: Page ' || ((conv_id * 10 + turn) % 1300) || ']' || chr(10) || 'Second claim [source: page ' || ((conv_id * 10 + turn) * 3 % 2600) ||
       '] again [source: Page ' || ((conv_id * 10 + turn) * 3 % 2600) || ']' || chr(10) || 'No claim.' AS text
       FROM conversations WHERE role = 'assistant'""",
 }

@@ -20,13 +20,13 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents")
 
 
-_T = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '_' ELSE ' ' END || substring(replace(text, chr(10), ' '), 1, 120) || CASE doc_id % 3 WHEN 0 THEN '!.MD' ELSE '' END AS t FROM documents WHERE doc_id % 50 <> 7 UNION ALL SELECT -item_id - 1, '?? .md' FROM benchmark)"
+_T = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '_' ELSE ' ' END || replace(text, chr(10), ' ') || CASE doc_id % 3 WHEN 0 THEN '!.MD' ELSE '' END AS t FROM documents UNION ALL SELECT -item_id - 1, '?? .md' FROM benchmark)"
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    t = F.concat(F.when(k % 4 == 0, "").when(k % 4 == 1, "_").otherwise(" "), F.substring(F.regexp_replace("text", "\n", " "), 1, 120), F.when(k % 3 == 0, "!.MD").otherwise(""))
-    return _docs(spark, d).filter("doc_id % 50 <> 7").select("doc_id", t.alias("t")).unionByName(V.table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), F.lit("?? .md").alias("t")))
+    t = F.concat(F.when(k % 4 == 0, "").when(k % 4 == 1, "_").otherwise(" "), F.regexp_replace("text", "\n", " "), F.when(k % 3 == 0, "!.MD").otherwise(""))
+    return _docs(spark, d).select("doc_id", t.alias("t")).unionByName(V.table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), F.lit("?? .md").alias("t")))
 
 
 _STEM = _SLUG.format("regexp_replace(t, '([^.])\\.[^.]*$', '\\1')")
@@ -226,18 +226,24 @@ def task_transitions(spark: SparkSession, d: str) -> DataFrame:
     return P.task_transitions(V.tasks(spark, d), "owner", "ord")
 
 
-@query(
-    """SELECT doc_id, CASE WHEN NOT starts_with(p, 'outputs/') THEN 'INELIGIBLE_PATH' WHEN contains(p, '/tasks/') AND contains(p, '/drafts/') THEN 'DRAFT_REJECTED' WHEN contains(p, '/tasks/') AND contains(p, '/evidence/') THEN 'EVIDENCE_REJECTED'
+PROMOTION_SQL = """SELECT doc_id, p, CASE WHEN NOT starts_with(p, 'outputs/') THEN 'INELIGIBLE_PATH' WHEN contains(p, '/tasks/') AND contains(p, '/drafts/') THEN 'DRAFT_REJECTED' WHEN contains(p, '/tasks/') AND contains(p, '/evidence/') THEN 'EVIDENCE_REJECTED'
   WHEN doc_id % 10 = 3 THEN 'FILE_NOT_FOUND' WHEN n_chars < 200 THEN 'EMPTY_FILE' WHEN doc_id % 10 = 5 THEN 'MISSING_FRONTMATTER' WHEN doc_id % 4 = 3 THEN 'INVALID_TYPE' WHEN doc_id % 10 = 6 THEN 'NOT_CONFIRMED' WHEN doc_id % 10 = 8 THEN 'TARGET_EXISTS' END AS code
 FROM (SELECT *, ['outputs/tasks/t/drafts/x.md', 'outputs/tasks/t/evidence/x.md', 'wiki/x.md', 'outputs/reports/x.md', 'outputs/reports/x.md', 'outputs/slides/x.md', 'outputs/reports/x.md'][doc_id % 7 + 1] AS p FROM documents)"""
-)
-def promotion_eligibility(spark: SparkSession, d: str) -> DataFrame:
+
+
+def promotion_cases(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, p, code: an artifact's path and the first rule that its promotion breaks."""
     k = F.col("doc_id")
     p = V.pick(("outputs/tasks/t/drafts/x.md", "outputs/tasks/t/evidence/x.md", "wiki/x.md", "outputs/reports/x.md", "outputs/reports/x.md", "outputs/slides/x.md", "outputs/reports/x.md"), k % 7)
     size = F.when(F.col("n_chars") < 200, 0).otherwise(F.col("n_chars"))
     title = F.when(k % 10 == 5, F.lit(" ")).otherwise("A title")
     kind = V.pick(("topic", "concept", "entity", "summary"), k % 4)
-    return _docs(spark, d).select("doc_id", P.promotion_code(p, k % 10 != 3, size, title, kind, k % 10 != 6, k % 10 == 8).alias("code"))
+    return _docs(spark, d).select("doc_id", p.alias("p"), P.promotion_code(p, k % 10 != 3, size, title, kind, k % 10 != 6, k % 10 == 8).alias("code"))
+
+
+@query(f"SELECT doc_id, code FROM ({PROMOTION_SQL})")
+def promotion_eligibility(spark: SparkSession, d: str) -> DataFrame:
+    return promotion_cases(spark, d).select("doc_id", "code")
 
 
 @query(
@@ -247,7 +253,8 @@ def promotion_eligibility(spark: SparkSession, d: str) -> DataFrame:
 def post_promote_lint(spark: SparkSession, d: str) -> DataFrame:
     p, k = V.promotions(spark, d), F.col("ord")
     pages = p.select(F.col("target_path").alias("path"), "source_path", F.when(k % 5 != 0, F.col("source_path")).otherwise(" ").alias("promoted_from"), F.when(k % 6 != 0, V.key("T", k)).alias("title"))
-    return P.post_promotion_issues(pages, p.filter(k % 4 != 0), p.filter(k % 2 != 0).select(F.col("source_path").alias("path")))
+    receipts = p.withColumn("target_path", F.when(k % 4 == 0, V.key("lost/", k)).otherwise(F.col("target_path")))
+    return P.post_promotion_issues(pages, receipts, p.select(F.when(k % 2 == 0, V.key("lost/", k)).otherwise(F.col("source_path")).alias("path")))
 
 
 @query("SELECT path, CASE WHEN nullif(trim(regexp_extract(raw, '(?m)^type:[ \\t]*[\"'']?([^\\n\"'']+)[\"'']?', 1)), '') = 'entity' THEN 'entity' ELSE 'concept' END AS kind FROM raw_pages", "raw_pages")
@@ -255,19 +262,75 @@ def infer_page_type(spark: SparkSession, d: str) -> DataFrame:
     return V.raw_pages(spark, d).select("path", F.when(T.fm_field("raw", "type") == "entity", "entity").otherwise("concept").alias("kind"))
 
 
-_ERR = " ".join(
-    f"WHEN type = '{t}' THEN list_filter([{', '.join(f'''CASE WHEN {'title IS NULL' if f == 'title' else ('ord % 2 = 1' if f in ('definition', 'claim_a', 'entity_type') else 'true')} THEN '{f}: required' END''' for f, _ in fs)}], lambda x: x IS NOT NULL)"
-    for t, fs in P.PAGE_FIELDS.items()
-)
-
-
-@query(f"SELECT path, CASE {_ERR} ELSE ['type: unknown ' || coalesce(type, '(none)')] END AS errors FROM (SELECT path, ord, CASE WHEN ord % 13 = 0 THEN 'semantic-index' WHEN ord % 17 <> 0 THEN type END AS type, CASE WHEN ord % 3 <> 0 THEN title END AS title FROM wiki)", "wiki", lists=("errors",))
-def schema_validate(spark: SparkSession, d: str) -> DataFrame:
+_ID = "('00000000-0000-4000-8000-' || lpad(ord::VARCHAR, 12, '0'))"
+#: Front-matter fields that the pages of the schema queries have, as SQL; pages lack all others.
+_GIVEN = {
+    "id": f"CASE WHEN ord % 7 = 0 THEN 'p' || ord ELSE {_ID} END",
+    "title": "CASE WHEN ord % 3 = 0 THEN '' WHEN ord % 10 = 1 THEN '2024' ELSE title END",
+    "definition": "CASE WHEN ord % 2 = 0 THEN 'given' ELSE '' END",
+    "entity_type": "CASE WHEN ord % 4 = 3 THEN 'tool' WHEN ord % 8 = 1 THEN 'thing' ELSE 'person' END",
+    "claim_a": "CASE WHEN ord % 5 = 0 THEN 'true' ELSE 'one' END",
+    "claim_b": "'other'",
+    "question": "headline",
+    "source_id": _ID,
+    "source_path": "path",
+    "content_hash": "sha256(text)",
+    "source_a_id": _ID,
+    "source_b_id": f"CASE WHEN ord % 11 <> 0 THEN {_ID} END",
+    "source_ids": f"CASE WHEN ord % 5 = 0 THEN '[x]' WHEN ord % 5 = 1 THEN '[]' ELSE '[' || {_ID} || ', ' || {_ID} || ']' END",
+    "compiled_at": "CASE WHEN ord % 13 = 1 THEN 'yesterday' ELSE '2024-01-01T00:00:00.000Z' END",
+    "model": "CASE WHEN ord % 9 = 0 THEN '' ELSE 'm1' END",
+    "word_count": "CASE WHEN ord % 4 = 0 THEN '-1' ELSE '10' END",
+    "severity": "CASE WHEN ord % 4 = 0 THEN 'severe' WHEN ord % 4 = 2 THEN 'low' END",
+    "priority": "CASE WHEN ord % 4 = 1 THEN 'urgent' ELSE 'high' END",
+    "tags": "CASE WHEN ord % 6 <> 5 THEN '[' || tags || ']' ELSE tags END",
+}
+
+
+def _field_sql(name: str, kind: str) -> str:
+    v = f"({_GIVEN.get(name, 'NULL::VARCHAR')})"
+    shape = kind.rstrip("?")
+    fits = f"NOT regexp_matches(lower({v}), '{P.NOT_TEXT}')" if shape == "text" else f"regexp_matches({v}, '{P.FIELD_KINDS[shape]}')"
+    lacking = f"WHEN coalesce({v}, '') = '' THEN '{name}: required'" if not kind.endswith("?") else f"WHEN {v} IS NULL THEN NULL"
+    return f"CASE {lacking} WHEN NOT ({fits}) THEN '{name}: invalid {shape}' END"
+
+
+_ERR = " ".join(f"WHEN type = '{t}' THEN list_filter([{', '.join(_field_sql(f, k) for f, k in fs)}], lambda x: x IS NOT NULL)" for t, fs in P.PAGE_FIELDS.items())
+SCHEMA_SQL = f"SELECT path, CASE {_ERR} ELSE ['type: unknown ' || coalesce(type, '(none)')] END AS errors FROM (SELECT * REPLACE (CASE WHEN ord % 13 = 0 THEN 'semantic-index' WHEN ord % 17 <> 0 THEN type END AS type) FROM wiki)"
+
+
+def schema_pages(spark: SparkSession, d: str) -> DataFrame:
+    """path, errors of the wiki's pages with front matter of all sorts."""
     k = F.col("ord")
-    w = V.wiki(spark, d).select("path", k, F.when(k % 13 == 0, "semantic-index").when(k % 17 != 0, F.col("type")).alias("type"), F.when(k % 3 != 0, F.col("title")).otherwise("").alias("title"))
-    given = F.when(k % 2 == 0, "given").otherwise("")
-    fields = F.create_map(F.lit("title"), F.col("title"), *(x for f in ("definition", "claim_a", "entity_type") for x in (F.lit(f), given)))
-    return w.select("path", P.schema_errors(F.col("type"), fields).alias("errors"))
+    uid = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(k.cast("string"), 12, "0"))
+    given = {
+        "id": F.when(k % 7 == 0, V.key("p", k)).otherwise(uid),
+        "title": F.when(k % 3 == 0, "").when(k % 10 == 1, "2024").otherwise(F.col("title")),
+        "definition": F.when(k % 2 == 0, "given").otherwise(""),
+        "entity_type": F.when(k % 4 == 3, "tool").when(k % 8 == 1, "thing").otherwise("person"),
+        "claim_a": F.when(k % 5 == 0, "true").otherwise("one"),
+        "claim_b": F.lit("other"),
+        "question": F.col("headline"),
+        "source_id": uid,
+        "source_path": F.col("path"),
+        "content_hash": T.content_hash("text"),
+        "source_a_id": uid,
+        "source_b_id": F.when(k % 11 != 0, uid),
+        "source_ids": F.when(k % 5 == 0, "[x]").when(k % 5 == 1, "[]").otherwise(F.concat(F.lit("["), uid, F.lit(", "), uid, F.lit("]"))),
+        "compiled_at": F.when(k % 13 == 1, "yesterday").otherwise("2024-01-01T00:00:00.000Z"),
+        "model": F.when(k % 9 == 0, "").otherwise("m1"),
+        "word_count": F.when(k % 4 == 0, "-1").otherwise("10"),
+        "severity": F.when(k % 4 == 0, "severe").when(k % 4 == 2, "low"),
+        "priority": F.when(k % 4 == 1, "urgent").otherwise("high"),
+        "tags": F.when(k % 6 != 5, F.concat(F.lit("["), "tags", F.lit("]"))).otherwise(F.col("tags")),
+    }
+    w = V.wiki(spark, d).select("path", F.when(k % 13 == 0, "semantic-index").when(k % 17 != 0, F.col("type")).alias("type"), F.create_map(*(x for f, v in given.items() for x in (F.lit(f), v))).alias("fields"))
+    return w.select("path", P.schema_errors(F.col("type"), F.col("fields")).alias("errors"))
+
+
+@query(SCHEMA_SQL, "wiki", lists=("errors",))
+def schema_validate(spark: SparkSession, d: str) -> DataFrame:
+    return schema_pages(spark, d)
 
 
 @query(
@@ -281,13 +344,13 @@ def artifact_validate(spark: SparkSession, d: str) -> DataFrame:
     return a.select("path", P.artifact_errors(a).alias("errors"), F.when(F.col("source_pages").isNull(), 1).otherwise(0).alias("warnings"))
 
 
-_SPLIT = "(SELECT doc_id AS batch, replace(text, '.', '---PAGE_BREAK---') || CASE WHEN doc_id % 4 = 0 THEN 'NO_GAPS_FOUND' ELSE '' END AS content FROM documents WHERE doc_id % 10 < 6)"
+_SPLIT = "(SELECT doc_id AS batch, replace(text, '.', '---PAGE_BREAK---') || CASE WHEN doc_id % 4 = 0 THEN 'NO_GAPS_FOUND' ELSE '' END AS content FROM documents)"
 
 
 @query(f"SELECT batch, CAST(n - 1 AS INTEGER) AS n, page FROM (SELECT batch, unnest(ps) AS page, generate_subscripts(ps, 1) AS n FROM (SELECT batch, list_filter(list_transform(string_split(content, '---PAGE_BREAK---'), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS ps FROM {_SPLIT} WHERE NOT contains(content, 'NO_GAPS_FOUND')))")
 def page_split(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    out = _docs(spark, d).filter(k % 10 < 6).select(k.alias("batch"), F.concat(F.replace("text", F.lit("."), F.lit("---PAGE_BREAK---")), F.when(k % 4 == 0, "NO_GAPS_FOUND").otherwise("")).alias("content"))
+    out = _docs(spark, d).select(k.alias("batch"), F.concat(F.replace("text", F.lit("."), F.lit("---PAGE_BREAK---")), F.when(k % 4 == 0, "NO_GAPS_FOUND").otherwise("")).alias("content"))
     return P.split_pages(out, "NO_GAPS_FOUND")
 
 
@@ -308,23 +371,23 @@ def price(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.round(cost_of(F.col("tokens_used"), F.col("model")), 6).alias("usd"))
 
 
-_CARD = "CASE doc_id % 5 WHEN 0 THEN 'no sections' WHEN 1 THEN '## Answer' || chr(10) || 'a' || chr(10) || '## Question' || chr(10) || 'q' ELSE '# Card' || chr(10) || '## Question one' || chr(10) || substring(text, 1, 60) || chr(9) || '?' || chr(10) || '## Answer' || chr(10) || substring(text, 61, 90) || chr(10) || 'end' END"
+_CARD = "CASE doc_id % 5 WHEN 0 THEN 'no sections' WHEN 1 THEN '## Answer' || chr(10) || 'a' || chr(10) || '## Question' || chr(10) || 'q' ELSE '# Card' || chr(10) || '## Question one' || chr(10) || text || chr(9) || '?' || chr(10) || '## Answer' || chr(10) || text || chr(10) || 'end' END"
 
 
 @query(
     f"""SELECT doc_id, q AS question, a AS answer, 'topic:' || lang || ' source:' || lower(source) AS tags FROM (SELECT doc_id, lang, source,
   trim(replace(replace({_TRIM.format("regexp_extract(b, '(?m)^## Question[^\\n]*\\n((?s:.*?))^## Answer', 1)")}, chr(9), '    '), chr(10), '<br>')) AS q,
   trim(replace(replace({_TRIM.format("regexp_extract(b, '(?m)^## Question[^\\n]*\\n(?s:.*?)^## Answer[^\\n]*\\n((?s:.*))', 1)")}, chr(9), '    '), chr(10), '<br>')) AS a
-  FROM (SELECT *, {_CARD} AS b FROM documents WHERE lang = 'en')) WHERE q <> '' AND a <> ''"""
+  FROM (SELECT *, {_CARD} AS b FROM documents)) WHERE q <> '' AND a <> ''"""
 )
 def anki_export(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.exports import anki_cards
 
     k = F.col("doc_id")
-    card = F.concat(F.lit("# Card\n## Question one\n"), F.substring("text", 1, 60), F.lit("\t?\n## Answer\n"), F.substring("text", 61, 90), F.lit("\nend"))
+    card = F.concat(F.lit("# Card\n## Question one\n"), "text", F.lit("\t?\n## Answer\n"), "text", F.lit("\nend"))
     body = F.when(k % 5 == 0, "no sections").when(k % 5 == 1, "## Answer\na\n## Question\nq").otherwise(card)
     cards = _docs(spark, d).select("doc_id", F.col("lang").alias("topic"), "source", body.alias("body"))
-    return anki_cards(cards, topic="en", key="doc_id")
+    return anki_cards(cards, key="doc_id")
 
 
 @query("SELECT dir, count(*) AS n, list(title ORDER BY title, ord) AS titles FROM wiki GROUP BY dir", "wiki", lists=("titles",))
@@ -334,19 +397,19 @@ def wiki_index(spark: SparkSession, d: str) -> DataFrame:
     return page_index(V.wiki(spark, d))
 
 
-_QUIZ = "'## Question 1' || chr(10) || substring(replace(text, chr(10), ' '), 1, 30) || chr(10) || '<details>' || source || '</details>' || chr(10) || '_sources: raw/' || source || '.md, x.md_' || chr(10) || '## Question 2' || chr(10) || 'Second?' || chr(10) || '<details>two</details>'"
+_QUIZ = "'## Question 1' || chr(10) || replace(text, chr(10), ' ') || chr(10) || '<details>' || source || '</details>' || chr(10) || '_sources: raw/' || source || '.md, x.md_' || chr(10) || '## Question 2' || chr(10) || 'Second?' || chr(10) || '<details>two</details>'"
 
 
 @query(
     f"""SELECT doc_id, CAST(n AS INTEGER) AS n, {_TRIM.format("regexp_extract(b, '^[^\\n]*\\n((?s:.*?))<details>', 1)")} AS question, regexp_extract(b, '<details>((?s:.*?))</details>', 1) AS answer,
   CASE WHEN regexp_matches(b, '_sources: ([^_,]+)') THEN regexp_extract(b, '_sources: (?:[^_,]*/)?([^_,/]+)\\.md', 1) ELSE lang END AS concept
-FROM (SELECT doc_id, lang, unnest(bs) AS b, generate_subscripts(bs, 1) AS n FROM (SELECT doc_id, lang, string_split({_QUIZ}, '## Question ')[2:] AS bs FROM documents WHERE doc_id % 3 = 0))"""
+FROM (SELECT doc_id, lang, unnest(bs) AS b, generate_subscripts(bs, 1) AS n FROM (SELECT doc_id, lang, string_split({_QUIZ}, '## Question ')[2:] AS bs FROM documents))"""
 )
 def quiz_parse(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.exports import parse_quiz
 
-    q = F.concat(F.lit("## Question 1\n"), F.substring(F.regexp_replace("text", "\n", " "), 1, 30), F.lit("\n<details>"), "source", F.lit("</details>\n_sources: raw/"), "source", F.lit(".md, x.md_\n## Question 2\nSecond?\n<details>two</details>"))
-    return parse_quiz(_docs(spark, d).filter("doc_id % 3 = 0").select("doc_id", F.col("lang").alias("topic"), q.alias("quiz")), "doc_id")
+    q = F.concat(F.lit("## Question 1\n"), F.regexp_replace("text", "\n", " "), F.lit("\n<details>"), "source", F.lit("</details>\n_sources: raw/"), "source", F.lit(".md, x.md_\n## Question 2\nSecond?\n<details>two</details>"))
+    return parse_quiz(_docs(spark, d).select("doc_id", F.col("lang").alias("topic"), q.alias("quiz")), "doc_id")
 
 
 _MD = "(SELECT path, raw, CASE WHEN starts_with(raw, '---' || chr(10)) THEN regexp_replace(regexp_replace(raw, '^---[ \\t]*\\n(?s:.*?)\\n---[^\\n]*', ''), '^\\s+', '') ELSE raw END AS body FROM (SELECT path, CASE WHEN ord % 7 = 0 THEN regexp_replace(raw, '(?m)^title:[^\\n]*\\n', '') || chr(10) || '# Head ' || ord ELSE raw END AS raw FROM raw_pages))"
@@ -404,11 +467,11 @@ def artifact_list(spark: SparkSession, d: str) -> DataFrame:
     return list_artifacts(V.artifacts(spark, d), V.promotions(spark, d))
 
 
-@query("SELECT item_id || '-' || p AS id, 'Q' || p || ' ' || substring(text, 1, 20) AS question, CASE WHEN item_id % 2 = 0 THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS threshold, CASE WHEN item_id % 3 = 0 THEN 'weak' ELSE 'strong' END AS verification_mode FROM benchmark, (VALUES (0), (1), (2)) v(p)")
+@query("SELECT item_id || '-' || p AS id, 'Q' || p || ' ' || text AS question, CASE WHEN item_id % 2 = 0 THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS threshold, CASE WHEN item_id % 3 = 0 THEN 'weak' ELSE 'strong' END AS verification_mode FROM benchmark, (VALUES (0), (1), (2)) v(p)")
 def bank_to_specs(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.readers import specs_of_bank
 
     k = F.col("item_id")
-    phrases = F.array(*(F.concat(F.lit(f"Q{p} "), F.substring("text", 1, 20)) for p in range(3)))
+    phrases = F.array(*(F.concat(F.lit(f"Q{p} "), "text") for p in range(3)))
     bank = V.table(spark, d, "benchmark").select(k.cast("string").alias("id"), phrases.alias("paraphrases"), F.when(k % 2 == 0, 0.5).otherwise(0.8).alias("recall_floor"), F.when(k % 3 == 0, "weak").alias("verification_mode"))
     return specs_of_bank(bank)

@@ -53,7 +53,7 @@ def _first(html: str, pattern: str):
 
 
 def parse_html(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with title, canonical, author, date and plain text; attribute order may vary."""
+    """``pages`` with title, canonical, author, date, plain text, Markdown and its words; attribute order may vary."""
     meta = lambda a, v: F.coalesce(_first(html, rf'(?i)<meta\s+{a}="{v}"\s+content="([^"]*)"'), _first(html, rf'(?i)<meta\s+content="([^"]*)"\s+{a}="{v}"'))
     body = F.coalesce(_first(html, r"(?i)<body[^>]*>([\s\S]*?)</body>"), F.col(html))
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"(?i)<(script|style)[^>]*>[\s\S]*?</(script|style)>", " "), r"<[^>]+>", " "), r"\s+", " ")
@@ -64,7 +64,27 @@ def parse_html(pages: DataFrame, html: str = "html") -> DataFrame:
         F.coalesce(meta("name", "author"), meta("property", "article:author")).alias("author"),
         F.coalesce(meta("property", "article:published_time"), _first(html, r'(?i)<time\s+[^>]*datetime="([^"]+)"')).alias("date"),
         F.trim(text).alias("text"),
-    )
+        T.html_markdown(T.html_body(html)).alias("markdown"),
+    ).withColumn("words", T.word_count("markdown"))
+
+
+def ingest_sources(files: DataFrame) -> DataFrame:
+    """path, type, title, author, date, words, body of raw files (path, raw), each read as its extension says.
+
+    Both readers run over their own rows only; plain text is read as Markdown.
+    """
+    typed = files.withColumn("type", T.source_type("path")).filter("type <> 'pdf'")
+    notes = parse_markdown(typed.filter("type <> 'html'")).select("path", "type", "title", "author", "date", "words", "body")
+    clips = parse_html(typed.filter("type = 'html'"), "raw").select("path", "type", "title", "author", "date", "words", F.col("markdown").alias("body"))
+    return notes.unionByName(clips)
+
+
+def scan_directory(spark: SparkSession, path: str) -> DataFrame:
+    """path, n_bytes, type of the files below ``path`` that can be ingested; file contents are not read."""
+    from ..operators.records import supported_files
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("n_bytes"))
+    return supported_files(listed).select("path", "n_bytes", T.source_type("path").alias("type"))
 
 
 def scan_pages(pages: DataFrame) -> DataFrame:

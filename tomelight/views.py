@@ -76,8 +76,8 @@ def compilations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compilation_sources(spark: SparkSession, d: str) -> DataFrame:
-    cross = compilations(spark, d).filter("source_id IS NULL").filter("ord % 5 <> 0")
-    return cross.select(F.col("id").alias("compilation_id"), F.explode(F.array(*(key("s", F.col("ord") + j) for j in (0, 1, 5)))).alias("source_id"))
+    cross = compilations(spark, d).filter("source_id IS NULL")
+    return cross.select(F.when(F.col("ord") % 5 == 0, key("gone", "ord")).otherwise(F.col("id")).alias("compilation_id"), F.explode(F.array(*(key("s", F.col("ord") + j) for j in (0, 1, 5)))).alias("source_id"))
 
 
 def recall_results(spark: SparkSession, d: str) -> DataFrame:
@@ -172,11 +172,12 @@ def raw_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def promotions(spark: SparkSession, d: str) -> DataFrame:
+    """One promotion a document; some went to pages of the wiki, the others to pages that are not there."""
     k = F.col("doc_id")
-    return table(spark, d, "documents").filter(k % 9 == 0).select(
+    return table(spark, d, "documents").select(
         key("pr", k).alias("id"),
         F.concat(F.lit("outputs/reports/r"), k.cast("string"), F.lit(".md")).alias("source_path"),
-        F.concat(F.lit("wiki/"), pick(WIKI_DIRS, k % 6), F.lit("/p"), k.cast("string"), F.lit(".md")).alias("target_path"),
+        F.concat(F.lit("wiki/"), pick(WIKI_DIRS, k % 6), F.when(k % 9 == 0, "/p").otherwise("/q"), k.cast("string"), F.lit(".md")).alias("target_path"),
         minutes(k).alias("promoted_at"),
         k.alias("ord"),
     )
@@ -185,7 +186,7 @@ def promotions(spark: SparkSession, d: str) -> DataFrame:
 def artifacts(spark: SparkSession, d: str) -> DataFrame:
     """Generated reports and slides with their front-matter fields; some are incomplete."""
     k = F.col("doc_id")
-    return table(spark, d, "documents").filter(k % 3 == 0).select(
+    return table(spark, d, "documents").select(
         F.concat(F.when(k % 2 == 0, "outputs/reports/r").otherwise("outputs/slides/r"), k.cast("string"), F.lit(".md")).alias("path"),
         F.when(k % 21 == 0, F.lit(None)).when(k % 2 == 0, "report").when(k % 33 == 0, "poster").otherwise("slides").alias("type"),
         F.when(k % 15 == 0, F.lit("  ")).when(k % 27 == 0, F.lit(None)).otherwise(key("Artifact ", k)).alias("title"),
@@ -200,9 +201,9 @@ def artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    """Answers with citations of pages, some twice on a line and some of no page."""
+    """Whole answers with citations of pages, some twice on a line and some of no page."""
     k = F.col("conv_id") * 10 + F.col("turn")
-    line = F.substring(F.regexp_replace("text", "\n", " "), 1, 80)
+    line = F.regexp_replace("text", "\n", " ")
     return table(spark, d, "conversations").filter("role = 'assistant'").select(
         k.alias("answer_id"),
         F.concat(
