@@ -62,6 +62,13 @@ class PieceCoder:
         self.ids = {self.pieces[i]: i for i in normal}
         self.scores = {self.pieces[i]: model.get_score(i) for i in normal}
         self.touch = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        # The same as a table by the characters' numbers; the last number stands for all others.
+        chars = sorted({c for pair in self.touch for c in pair})
+        self.number = np.full(0x110000, len(chars), np.uint16)
+        self.number[[ord(c) for c in chars]] = np.arange(len(chars))
+        self.touching = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        left, right = zip(*((ord(a), ord(b)) for a, b in self.touch), strict=True)
+        self.touching[self.number[list(left)], self.number[list(right)]] = True
         # Known pairs of pieces (the left one's id times 2**16 plus the right one's), sorted, and whether they meet.
         self.pair, self.pair_meets = np.zeros(0, np.int64), np.zeros(0, bool)
         # Pieces whose characters encode to them, as a matrix of codes by length.
@@ -105,11 +112,24 @@ class PieceCoder:
             at = np.searchsorted(self.pair, key)
         return self.pair_meets[at]
 
-    def cut(self, text: str) -> list[str]:
-        """Stretches between which no merge can pass."""
-        touch = self.touch
-        stops = [k for k, pair in enumerate(map(str.__add__, text, text[1:]), 1) if pair not in touch]
-        return [text[a:b] for a, b in zip([0, *stops], [*stops, len(text)], strict=True)] if stops else [text]
+    def cut(self, texts: list[str]) -> list[list[str]]:
+        """Each text's stretches, between which no merge can pass."""
+        codes = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        number = self.number[codes]
+        apart = np.ones(len(codes) + 1, bool)
+        apart[1:-1] = ~self.touching[number[:-1], number[1:]]
+        apart[begin] = apart[begin + sizes] = False
+        stops = np.flatnonzero(apart[:-1])
+        own = np.searchsorted(begin, stops, side="right") - 1
+        out = [[t] for t in texts]
+        edges = np.searchsorted(own, np.arange(len(texts) + 1))
+        stops -= begin[own]
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            inner = stops[edges[k] : edges[k + 1]].tolist()
+            out[k] = [texts[k][a:b] for a, b in zip([0, *inner], [*inner, int(sizes[k])], strict=True)]
+        return out
 
     def unknown(self, char: str) -> bytes:
         own = self.ids.get(char)
@@ -126,7 +146,8 @@ class PieceCoder:
         if len(self.words) > CACHE_ENTRIES:  # words that come back stay
             self.words = {w: self.words[w] for w in fresh if w in self.words}
         fresh.difference_update(self.words)
-        cuts = [(word, self.cut(SPACE + word)) for word in sorted(fresh)]
+        order = sorted(fresh)
+        cuts = list(zip(order, self.cut([SPACE + word for word in order]), strict=True)) if order else []
         todo: dict[str, None] = {}
         size = 0
         for _, parts in cuts:
@@ -304,7 +325,9 @@ def encode_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 def piece_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode each whole text and decode it again: doc_id, n_tokens, ids_crc32, round_trip.
 
-    ``round_trip`` says that decoding gave the text back, a space mark in it as a space.
+    ``round_trip`` says that decoding gave the text back, a space mark in it as a space.  A null
+    text counts as empty and has no tokens.  Repeated rows each give a row, an empty input none;
+    further columns play no part.
     """
     return id_and_text(df, id_col, text_col).mapInArrow(_encode(path, True), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
