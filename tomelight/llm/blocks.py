@@ -154,21 +154,32 @@ def answer_marks(asked: pa.Table) -> pa.Table:
     places = np.concatenate([x[: len(b)] for x, b in zip(extras, bodies, strict=True)])
     context = np.concatenate([x[len(b) : 2 * len(b)] for x, b in zip(extras, bodies, strict=True)])
     place, _, hit = _repeated(bodies, 1 + several)
-    total = np.bincount(place, places)
-    around = np.bincount(np.unique(place.astype(np.int64) * 256 + context) // 256, minlength=len(total))
-    hot = ((total > HOT_PLACES) & (around > HOT_CONTEXTS))[place]
+    often = np.bincount(place, places) > HOT_PLACES
+    hot = often[place]
+    if hot.any():
+        around = np.bincount(np.unique(place[hot].astype(np.int64) * 256 + context[hot]) // 256, minlength=len(often))
+        hot = (often & (around > HOT_CONTEXTS))[place]
     cuts = np.cumsum([0, *map(len, bodies)])
     return answer_rows(asked, [np.concatenate((hit[a:b], hot[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
-def read_repeated(keys: np.ndarray, told: dict[int, np.ndarray], n_buckets: int, second: bool = False) -> np.ndarray:
-    """The answers for distinct ``keys``, in their order; with ``second``, the second of two."""
+def read_repeated(keys: np.ndarray, told: dict[int, np.ndarray], n_buckets: int) -> np.ndarray:
+    """The answers for distinct ``keys``, in their order."""
     out = np.zeros(len(keys), bool)
     order, parts = by_bucket(keys, n_buckets)
     for b, i, j in parts:
-        out[order[i:j]] = told[b][j - i : 2 * (j - i)] if second else told[b][: j - i]
+        out[order[i:j]] = told[b][: j - i]
     return out
 
 
+def read_marks(keys: np.ndarray, told: dict[int, np.ndarray], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both answers for distinct ``keys``, in their order."""
+    repeated, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    order, parts = by_bucket(keys, n_buckets)
+    for b, i, j in parts:
+        repeated[order[i:j]], hot[order[i:j]] = told[b][: j - i], told[b][j - i : 2 * (j - i)]
+    return repeated, hot
+
+
 def through_buckets(asks: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
     return asks.groupBy("bucket").applyInArrow(answer, ANSWER)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
-from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path, remove
+
 #: A word is a run of anything but these six characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Memory of an executor, for each of its cores, that sizes of blocks and partitions are stated for.
@@ -18,9 +16,6 @@ USUAL_CORE_BYTES = 2e9
 #: Text bytes that a partition of dealt blocks holds, for the usual memory.
 DEALT_BYTES = 16e6
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,25 +28,11 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        with suppress(Exception):
-            option = spark.sparkContext._jsc.sc().getCheckpointDir()
-            path = option.get() if option.isDefined() else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="tomelight-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def store(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
-    _scratch.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path  # type: ignore[attr-defined]
     return out
@@ -61,22 +42,7 @@ def discard(df: DataFrame) -> None:
     """Remove what ``store`` wrote for ``df``; nothing may read it afterwards."""
     path = getattr(df, "_stored_at", None)
     if path:
-        _remove(df.sparkSession, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _scratch:
-        with suppress(Exception):
-            if spark.sparkContext._jsc is not None:
-                _remove(spark, path)
+        remove(df.sparkSession, path)
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> float:

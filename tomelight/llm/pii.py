@@ -238,7 +238,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def personal_data_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``find_personal_data`` as counts, a digest of the base spans and all spans in one string."""
+    """``find_personal_data`` as counts, a digest of the base spans and all spans in one string.
+
+    A null text counts as empty and has none.  Repeated rows each give a row, an empty input none;
+    further columns play no part.
+    """
     return id_and_text(df, id_col, text_col).mapInArrow(
         _digests, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     )
@@ -248,6 +252,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``df`` with personal data in ``text_col`` replaced; its columns, order and rows stay.
 
     A null text becomes the empty one.  ``n_chars``, where there is such a column, follows the text.
+    Repeated rows stay; an empty table gives an empty one.
     """
 
     columns = df.columns

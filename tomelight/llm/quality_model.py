@@ -252,6 +252,7 @@ def keep_good(df: DataFrame, model: QualityModel, text_col: str = "text") -> Dat
     """The rows of ``df``, all columns, that the model does not reject.
 
     Rows are judged where they lie, without a shuffle; a null text is judged as the empty one.
+    Repeated rows are judged each; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -564,7 +564,7 @@ def _sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sketch(shingle_hashes(t.as_py().encode("utf-8", "surrogatepass"), shingle)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(found, pa.binary())], names=["doc_id", "text_key", "sketch"])
 
     return run
 
@@ -578,30 +578,51 @@ def _verified(least: float):
     return run
 
 
-def similar_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of the rows of ``df`` that have a near copy by similarity.
-
-    A link is a pair of texts whose shingle sets, by sketches, are similar enough, less ``MARGIN``;
-    bands of the sketches find every such pair, whatever the size of the input or of a group.
-    Texts without words have no near copies but each other.  Rows without an identifier have no part.
-    """
-    base = id_and_text(df, id_col, text_col).filter("doc_id IS NOT NULL")
+def _similar_rows(df: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_key (a hash of the text) and party of the rows of ``df`` that have a near copy."""
+    base = id_and_text(df, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     least = similarity - MARGIN
-    prints = store(base.mapInArrow(_sketches(shingle), "doc_id long, sketch binary"), "sketches")
-    nodes = store(prints.groupBy("sketch").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("party", F.col("rep")), "nodes")
+    prints = store(base.mapInArrow(_sketches(shingle), "doc_id long, text_key long, sketch binary"), "sketches")
+    # Equal sketches are one node; its number holds once it is stored.
+    nodes = prints.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).withColumn("rep", F.monotonically_increasing_id())
+    nodes = store(nodes.withColumn("party", F.col("rep")), "nodes")
     n_nodes = nodes.count()
     for links in (_first_links, _party_links):
         roots = connected_components(links(nodes, n_nodes, least)).withColumnRenamed("node", "party")
         named = nodes.join(roots, "party", "left").select("sketch", "rep", "n", F.coalesce("root", "party").alias("party"))
         nodes = store(named, "nodes")
     size = nodes.groupBy("party").agg(F.sum("n").alias("size")).filter("size > 1")
-    return prints.join(nodes.join(size, "party").select("sketch", "party"), "sketch").select("doc_id", F.col("party").alias("component_id"))
+    return store(prints.join(nodes.join(size, "party").select("sketch", "party"), "sketch").select("doc_id", "text_key", "party"), "similar")
+
+
+def similar_groups(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of the rows of ``df`` that have a near copy by similarity.
+
+    A link is a pair of texts whose shingle sets, by sketches, are similar enough, less ``MARGIN``;
+    bands of the sketches find every such pair, whatever the size of the input or of a group.  The
+    component's identifier is its smallest; a missing one is so only if all are missing.  Texts
+    without words (null ones too) have no near copies but each other.  Repeated rows are copies of
+    each other and each give a row; rows that share an identifier but not the text are rows of their
+    own.  An empty table gives no rows; further columns play no part.
+    """
+    rows = _similar_rows(df, shingle, similarity, id_col, text_col)
+    least = rows.groupBy("party").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "party").select("doc_id", "component_id")
 
 
 def drop_similar(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, without those that are near copies of an earlier identifier's."""
-    gone = similar_groups(df, shingle, similarity, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return df.join(gone, df[id_col].cast("long") == gone["_gone_id"], "left_anti")
+    """The rows of ``df``, all columns, of which one document of each group of near copies stays.
+
+    It is the one of the smallest identifier (a missing one counts as the largest), then of the least
+    hash of the text; rows that share both stay together, as exact deduplication comes before.  An
+    empty table gives an empty one.
+    """
+    rows = _similar_rows(df, shingle, similarity, id_col, text_col)
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
+    first = rows.groupBy("party").agg(F.min(place).alias("first"))
+    gone = rows.join(first, "party").filter(place != F.col("first")).select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key")).distinct()
+    key = F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit("")))
+    return df.join(gone, df[id_col].cast("long").eqNullSafe(gone["_near_id"]) & (key == gone["_near_key"]), "left_anti")
 
 
 def linked_fingerprints(reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -630,7 +651,7 @@ def near_groups(df: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DIS
 
 
 def drop_near_copies(df: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, of which each group's smallest identifier stays.
+    """The rows of ``df``, all columns, of which each group's smallest identifier stays.  An empty table gives an empty one.
 
     Rows that share an identifier, or have none, stay or go together.
     """

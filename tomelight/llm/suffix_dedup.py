@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import ASK, Rolling, answer_marks, answer_rows, answers, ask_marks, ask_rows, by_bucket, deal, in_order, known_ids, mix, read_repeated, through_buckets
+from .blocks import ASK, Rolling, answer_marks, answer_rows, answers, ask_marks, ask_rows, by_bucket, deal, in_order, known_ids, mix, read_marks, through_buckets
 from .common import dealt_parts, for_memory, parts_for, text_bytes
 from .rindex import RunIndex
 
@@ -107,12 +107,9 @@ class Stretches:
 
     def narrow(self, told: dict[int, np.ndarray], n_buckets: int) -> None:
         """Keep the stretches whose mark another document has; those of hot marks as single windows."""
-        key = np.unique(self.mark)
-        if not len(key):
-            return
-        at = np.searchsorted(key, self.mark)
-        shared = read_repeated(key, told, n_buckets)[at]
-        hot = shared & read_repeated(key, told, n_buckets, second=True)[at]
+        key, at = np.unique(self.mark, return_inverse=True)
+        shared, hot = (x[at] for x in read_marks(key, told, n_buckets))
+        hot &= shared
         doc, start, count, mark = ([x[shared & ~hot]] for x in (self.doc, self.start, self.count, self.mark))
         if hot.any():
             w = self.count[hot]
