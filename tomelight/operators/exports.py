@@ -28,9 +28,12 @@ def anki_cards(cards: DataFrame, topic: str | None = None, key: str = "path") ->
 
 
 def page_index(pages: DataFrame) -> DataFrame:
-    """dir, n, titles in order.  A directory's titles are one value, as its index page is one file."""
-    ordered = F.sort_array(F.collect_list(F.struct("title", "ord")))
-    return pages.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), F.transform(ordered, lambda x: x["title"]).alias("titles"))
+    """dir, title, path, n in the order of the index: one row an entry, with its directory's number of entries.
+
+    The order is a global sort, so a directory of any size is dealt over the partitions.
+    """
+    sizes = pages.groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
+    return pages.select("dir", "title", "path", "ord").join(sizes, "dir").orderBy("dir", "title", "ord").select("dir", "title", "path", "n")
 
 
 def parse_quiz(quizzes: DataFrame, key: str) -> DataFrame:

@@ -390,7 +390,7 @@ def anki_export(spark: SparkSession, d: str) -> DataFrame:
     return anki_cards(cards, key="doc_id")
 
 
-@query("SELECT dir, count(*) AS n, list(title ORDER BY title, ord) AS titles FROM wiki GROUP BY dir", "wiki", lists=("titles",))
+@query("SELECT dir, title, path, count(*) OVER (PARTITION BY dir) AS n FROM wiki", "wiki")
 def wiki_index(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.exports import page_index
 
