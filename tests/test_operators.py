@@ -204,8 +204,11 @@ def test_spool_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([("wiki/a.md", "concept", "A", "body"), ("wiki/b.md", "semantic-index", "B", "x"), ("wiki/c.md", "topic", "", " "), ("wiki/d.md", "topic", "D", "x" * 70_000)], "path string, type string, title string, body string")
     c = exports.spool_candidates(pages, "ws")
     assert {r["path"]: r["reject"] for r in c.collect()} == {"wiki/a.md": None, "wiki/b.md": "SEMANTIC_INDEX_SKIPPED", "wiki/c.md": "EMPTY_CONTENT", "wiki/d.md": "CONTENT_TOO_LARGE"}
-    exports.write_spool(c, str(tmp_path / "spool"))
-    assert spark.read.json(str(tmp_path / "spool")).count() == 1
+    manifest = exports.write_spool(exports.spool_lines(c, "t", "2024-01-01T00:00:00.000Z"), str(tmp_path / "spool")).filter("emittedCount > 0").collect()
+    row = spark.read.json(str(tmp_path / "spool")).first()
+    assert row["content"] == "body" and row["metadata"]["filePaths"] == ["wiki/a.md"] and not row["prePolicyFlags"]["potentialSecret"] and row["trustLevel"] == "medium"
+    raw = (tmp_path / "spool" / manifest[0]["spoolFile"]).read_bytes()
+    assert [(m["emittedCount"], m["spoolFileBytes"], m["spoolFileSha256"]) for m in manifest] == [(1, len(raw), hashlib.sha256(raw).hexdigest())]
 
 
 # --- search -------------------------------------------------------------------------------------

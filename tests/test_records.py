@@ -33,6 +33,13 @@ def test_supported_files_and_scan(spark, tmp_path):
     assert sorted((r["path"].rsplit("/", 1)[1], r["type"], r["n_bytes"]) for r in got.collect()) == [("a.md", "markdown", 5), ("c.HTML", "html", 5), ("f.txt", "text", 5)]
 
 
+def test_wiki_folders(spark, tmp_path):
+    for name in ("topics/a.md", "concepts/b.md", "drafts/c.md", "index.md"):
+        (tmp_path / "wiki" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "wiki" / name).write_text("# x")
+    assert one(readers.read_wiki(spark, str(tmp_path)), "dir", "slug") == [("concepts", "b"), ("topics", "a")]
+
+
 def test_changed_files(spark):
     lists = spark.createDataFrame([(1, " a.md,b.md\n\na.md , c.md"), (2, "")], "list_id long, arg string")
     latest = spark.createDataFrame([("a.md", "h")], "path string, hash string")
@@ -149,6 +156,20 @@ def test_folded_events_equal_a_loop(spark):
         assert got[event] == ok
 
 
+def test_numbers_in_hot_groups(spark):
+    from tomelight.operators.numbering import numbered
+
+    rows = [("hot" if k % 7 else None if k % 2 else f"g{k % 5}", (k * 37) % 3000, k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, at long, k long").repartition(9)
+    want: dict = {}
+    for g, at, k in sorted(rows, key=lambda r: r[1]):
+        want.setdefault(g, []).append(k)
+    got = numbered(df, "g", ["at"])
+    assert got.columns == ["g", "at", "k", "nth"]
+    assert {(r["g"], r["k"]): r["nth"] for r in got.collect()} == {(g, k): n for g, ks in want.items() for n, k in enumerate(ks, 1)}
+    assert numbered(df.limit(0), "g", ["at"]).count() == 0
+
+
 # --- stemming -----------------------------------------------------------------------------------
 
 WORDS = (

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .numbering import numbered
+
 
 def _readable(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines before each file's first unreadable one, and where that is."""
@@ -67,8 +69,7 @@ def _positions(lines: DataFrame) -> DataFrame:
     """``lines`` with their global position: a running count of files before plus the place in the file."""
     sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("start", F.sum("n").over(W.partitionBy(F.lit(1)).orderBy("file")) - F.col("n")).select("file", "start")  # one row a day file
-    place = F.row_number().over(W.partitionBy("file").orderBy("line_no"))
-    return lines.withColumn("place", place).join(before, "file").withColumn("position", F.col("start") + F.col("place"))
+    return numbered(lines, "file", ["line_no"], "place").join(before, "file").withColumn("position", F.col("start") + F.col("place"))
 
 
 def anchor_body(total, head, previous, at: str = "2024-02-01T00:00:00.000Z", workspace: str = "w"):

@@ -50,10 +50,14 @@ def parse_quiz(quizzes: DataFrame, key: str) -> DataFrame:
 
 
 def spool_candidates(pages: DataFrame, workspace: str) -> DataFrame:
-    """path, reject, id, title, category for each page (path, type, title, body); the first broken rule rejects."""
+    """path, reject, id, title, category, content, tags for each page (path, type, title, body and perhaps tags, an array).
+
+    The first broken rule rejects.
+    """
+    tags = F.col("tags") if "tags" in pages.columns else F.array().cast("array<string>")
     # A projection of its own: the text is trimmed and hashed once, however often rules name it.
-    pages = pages.select("path", "type", "title", F.btrim("body", F.lit(" \t\n\x0b\f\r")).alias("body"))
-    pages = pages.select("path", "type", "title", "body", F.sha2("body", 256).alias("sha"))
+    pages = pages.select("path", "type", "title", F.btrim("body", F.lit(" \t\n\x0b\f\r")).alias("body"), tags.alias("tags"))
+    pages = pages.select("path", "type", "title", "body", "tags", F.sha2("body", 256).alias("sha"))
     body = F.col("body")
     category = F.create_map(*(F.lit(x) for p in CATEGORIES.items() for x in p))
     known = F.element_at(category, F.coalesce("type", F.lit("")))
@@ -72,9 +76,45 @@ def spool_candidates(pages: DataFrame, workspace: str) -> DataFrame:
         F.when(reject.isNull(), T.uuid5(name)).alias("id"),
         F.when(reject.isNull(), F.when(F.col("type") == "open-question", F.concat(F.lit("Open question: "), title)).otherwise(title)).alias("title"),
         F.when(reject.isNull(), known).alias("category"),
+        F.when(reject.isNull(), body).alias("content"),
+        F.when(reject.isNull(), F.filter("tags", lambda t: t.rlike("^[a-z0-9][a-z0-9-]*$"))).alias("tags"),
     )
 
 
-def write_spool(candidates: DataFrame, path: str) -> None:
-    """The accepted candidates as JSON lines; Spark's commit protocol makes them visible at once."""
-    candidates.filter("reject IS NULL").drop("reject").write.mode("errorifexists").json(path)
+def spool_lines(candidates: DataFrame, tenant: str, captured_at: str, author: tuple[str, str] = ("ai", "compiler"), project: str = "corpus", bulk: bool = False) -> DataFrame:
+    """category, path, id, line of the accepted candidates: one JSON object each, keys in the order of the format.
+
+    A bulk emission has another source and no trust.  The flags are the receiver's to set.
+    """
+    flags = F.struct(*(F.lit(False).alias(n) for n in ("potentialSecret", "lowConfidence", "duplicateSuspect")))
+    line = F.struct(
+        F.lit("1").alias("schemaVersion"),
+        F.col("id"),
+        F.lit("inbox").alias("status"),
+        F.lit("bulk_import" if bulk else "import").alias("source"),
+        F.col("content"),
+        F.col("title"),
+        F.col("category"),
+        F.lit("untrusted" if bulk else "medium").alias("trustLevel"),
+        F.struct(F.lit(author[0]).alias("type"), F.lit(author[1]).alias("id")).alias("author"),
+        F.lit(tenant).alias("tenantId"),
+        F.struct(F.array("path").alias("filePaths"), F.lit(project).alias("projectContext"), F.col("tags")).alias("metadata"),
+        flags.alias("prePolicyFlags"),
+        F.lit(captured_at).alias("capturedAt"),
+    )
+    return candidates.filter("reject IS NULL").select("category", "path", "id", F.to_json(line).alias("line"))
+
+
+def write_spool(lines: DataFrame, path: str, most_lines: int = 50_000) -> DataFrame:
+    """Write ``lines`` below ``path`` in files of at most ``most_lines``, then a manifest row a file, which is returned.
+
+    Spark's commit protocol makes the files visible at once and the manifest after them, in a folder
+    that readers of the spool pass over.
+    """
+    lines.select(F.col("line").alias("value")).write.mode("errorifexists").option("maxRecordsPerFile", most_lines).text(path)
+    spark = lines.sparkSession
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    count = F.length("content") - F.length(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit("")).cast("binary"))
+    manifest = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("spoolFile"), count.cast("long").alias("emittedCount"), F.col("length").alias("spoolFileBytes"), F.sha2("content", 256).alias("spoolFileSha256"))
+    manifest.write.json(f"{path}/_manifest")
+    return spark.read.schema(manifest.schema).json(f"{path}/_manifest")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .numbering import numbered
 
 
 def first_per(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -65,5 +66,6 @@ def validate_recall(rows: DataFrame) -> DataFrame:
 
 def batches(df: DataFrame, order: str, size: int, group: str) -> DataFrame:
     """``batch`` number of each row within ``group``; a size of 0 or less makes one batch."""
-    n = F.row_number().over(W.partitionBy(group).orderBy(order)) - 1
-    return df.withColumn("batch", F.floor(n / size).cast("bigint") if size > 0 else F.lit(0).cast("bigint"))
+    if size <= 0:
+        return df.withColumn("batch", F.lit(0).cast("bigint"))
+    return numbered(df, group, [order], "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("bigint"))

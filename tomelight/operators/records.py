@@ -351,12 +351,11 @@ def bundle_lines(subjects: DataFrame) -> DataFrame:
     return subjects.select(F.col("id").alias("ord"), entry.alias("line"))
 
 
-def spool_manifest(candidates: DataFrame) -> DataFrame:
-    """category, emitted, bytes, sha256 of each category's spool file: its accepted candidates' JSON lines by path.
+def spool_manifest(lines: DataFrame) -> DataFrame:
+    """category, emitted, bytes, sha256 of each category's spool file: its ``lines`` (category, path, line) by path.
 
     Lines pass by in sorted batches, so a file of any size takes the memory of a batch.
     """
-    lines = candidates.filter("reject IS NULL").select("category", "path", F.to_json(F.struct("id", "path", "title", "category")).alias("line"))
     schema = pa.schema([("category", pa.string()), ("emitted", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,4 +374,4 @@ def spool_manifest(candidates: DataFrame) -> DataFrame:
             done.append((at, count, size, digest.hexdigest()))
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, d, strict=True)) for d in done], schema=schema)
 
-    return lines.repartition("category").sortWithinPartitions("category", "path").mapInArrow(fold, "category string, emitted long, bytes long, sha256 string")
+    return lines.select("category", "path", "line").repartition("category").sortWithinPartitions("category", "path").mapInArrow(fold, "category string, emitted long, bytes long, sha256 string")

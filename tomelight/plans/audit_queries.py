@@ -344,13 +344,13 @@ FROM (SELECT path, type, CASE WHEN trim(title) = '' THEN slug ELSE title END AS
 
 @query(SPOOL_SQL, "wiki")
 def spool_emit(spark: SparkSession, d: str) -> DataFrame:
-    return spool_candidates(spool_pages(spark, d), "ws")
+    return spool_candidates(spool_pages(spark, d), "ws").drop("content", "tags")
 
 
 def spool_pages(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("ord")
     kind = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, "semantic-index").when(k % 17 == 0, "poster").otherwise(F.col("type"))
-    return V.wiki(spark, d).select("path", kind.alias("type"), F.when(k % 4 == 0, " ").otherwise(F.col("title")).alias("title"), F.when(k % 9 == 0, " ").otherwise(F.col("body")).alias("body"))
+    return V.wiki(spark, d).select("path", kind.alias("type"), F.when(k % 4 == 0, " ").otherwise(F.col("title")).alias("title"), F.when(k % 9 == 0, " ").otherwise(F.col("body")).alias("body"), F.array("tags").alias("tags"))
 
 
 # --- evaluations --------------------------------------------------------------------------------

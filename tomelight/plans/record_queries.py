@@ -354,12 +354,12 @@ def evidence_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH l AS (SELECT category, path, '{{"id":"' || id || '","path":"' || path || '","title":"' || title || '","category":"' || category || '"}}' || chr(10) AS line FROM ({SPOOL_SQL}) WHERE reject IS NULL)
+    f"""WITH l AS (SELECT category, path, '{{"schemaVersion":"1","id":"' || id || '","status":"inbox","source":"import","content":' || to_json(regexp_replace(body, '^\\s+|\\s+$', '', 'g')) || ',"title":"' || s.title || '","category":"' || category || '","trustLevel":"medium","author":{{"type":"ai","id":"compiler"}},"tenantId":"tenant","metadata":{{"filePaths":["' || path || '"],"projectContext":"corpus","tags":["' || tags || '"]}},"prePolicyFlags":{{"potentialSecret":false,"lowConfidence":false,"duplicateSuspect":false}},"capturedAt":"2024-06-01T00:00:00.000Z"}}' || chr(10) AS line FROM ({SPOOL_SQL}) s JOIN wiki USING (path) WHERE reject IS NULL)
 SELECT category, count(*) AS emitted, CAST(sum(strlen(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY path)) AS sha256 FROM l GROUP BY category""",
     "wiki",
 )
 def spool_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return R.spool_manifest(X.spool_candidates(spool_pages(spark, d), "ws"))
+    return R.spool_manifest(X.spool_lines(X.spool_candidates(spool_pages(spark, d), "ws"), "tenant", "2024-06-01T00:00:00.000Z"))
 
 
 # --- pages --------------------------------------------------------------------------------------

@@ -11,12 +11,21 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: The folders of a wiki's pages.
+WIKI_DIRS = ("sources", "concepts", "topics", "entities", "contradictions", "open-questions")
+
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """path, raw of every Markdown file below ``path``."""
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,mdx}").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("raw"))
 
 
+def read_wiki(spark: SparkSession, root: str) -> DataFrame:
+    """path, dir, slug, raw of the pages in the wiki's own folders below ``root``; other folders and files are passed over."""
+    pages = read_markdown(spark, f"{root}/wiki").withColumn("dir", F.regexp_extract("path", "/wiki/([^/]+)/[^/]+$", 1))
+    return pages.filter(F.col("dir").isin(*WIKI_DIRS)).select("path", "dir", F.regexp_extract("path", r"([^/]+)\.mdx?$", 1).alias("slug"), "raw")
+
+
 def read_html(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{html,htm}").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
 

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .sources.readers import WIKI_DIRS
 
 #: Fixed values, in the order in which files and pages are listed.
-WIKI_DIRS = ("sources", "concepts", "topics", "entities", "contradictions", "open-questions")
 PAGE_TYPES = ("source-summary", "concept", "topic", "entity", "contradiction", "open-question")
 COMPILATION_TYPES = ("summary", "concept", "topic", "entity", "contradiction", "open-question")
 TASK_STATUSES = ("created", "collecting", "synthesizing", "critiquing", "rendering", "completed", "archived", "failed_collecting", "failed_synthesizing", "failed_critiquing", "failed_rendering")
