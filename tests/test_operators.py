@@ -152,7 +152,7 @@ def test_output_codes(spark, content, code):
     assert one(spark, filters.output_code(F.col("t")), t=content) == code
 
 
-@pytest.mark.parametrize(("text", "kind"), [("a 60/40 split", "comp"), ("SSN and salary", "comp"), ("DOB: x", "pii"), ("123-45-6789", "pii"), ("assn salaryman", None)])
+@pytest.mark.parametrize(("text", "kind"), [("a 60/40 split", "comp"), ("SSN and salary", "comp"), ("DOB: x", "pii"), ("123-45-6789", "pii"), ("assn salaryman", None), ("１２３-４５-６７８９", "pii"), ("Ⓢalary", "comp"), ("oﬃce of the ＳＳＮ", "pii"), ("oﬃce", None)])
 def test_disclosure(spark, text, kind):
     assert one(spark, filters.disclosure(F.col("t")), t=text) == kind
 

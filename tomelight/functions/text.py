@@ -6,7 +6,9 @@ or reader of pages, and results depend on which one is used.
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +25,31 @@ def bounded(words: str) -> str:
     return f"(^|[^A-Za-z0-9_])({words})([^A-Za-z0-9_]|$)"
 
 
+@lru_cache(maxsize=1)
+def _compatible() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Characters whose compatibility form is one other character, those forms, and the ones with longer forms; by the character database."""
+    one, many = [], []
+    for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, min(0x10000, sys.maxunicode))]):
+        form = unicodedata.normalize("NFKC", c)
+        if form != c and unicodedata.decomposition(c).startswith("<"):
+            (one if len(form) == 1 else many).append((c, form))
+    letters = tuple((c, f) for c, f in many if f.isascii() and f.isalnum())
+    return "".join(c for c, _ in one), "".join(f for _, f in one), letters
+
+
+def compatible(text: Column | str) -> Column:
+    """``text`` with full-width, circled, raised and other variants of a character as that character.
+
+    Ligatures and the like that stand for several ASCII letters or digits become those; other
+    characters with longer forms stay.
+    """
+    source, target, letters = _compatible()
+    out = F.translate(_c(text), source, target)
+    table = F.create_map(*(F.lit(x) for p in letters for x in p))
+    spelled = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    return F.when(out.rlike("[" + "".join(c for c, _ in letters) + "]"), spelled).otherwise(out)  # few texts have any
+
+
 def source_type(path: Column | str) -> Column:
     """The kind of a source file by its last extension."""
     ext = F.regexp_extract(F.lower(_c(path)), r"(\.[^.]*)$", 1)

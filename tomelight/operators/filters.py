@@ -77,8 +77,8 @@ def output_code(content: Column) -> Column:
 
 
 def disclosure(text: Column) -> Column:
-    """comp, pii or null; compensation wins.  For text that is already in compatibility form."""
-    low = F.lower(text)
+    """comp, pii or null; compensation wins.  Variants of characters count as the characters they vary."""
+    low = F.lower(T.compatible(text))
     return F.when(low.rlike(T.bounded(COMPENSATION)), "comp").when(low.rlike(T.bounded(PERSONAL)), "pii")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..operators import search as S
-from ..storage import modified, new_path
+from ..storage import exists, modified, new_path
 from .registry import query
 
 N_TERMS, LEAST_DF = 3, 5
@@ -38,7 +38,8 @@ def index(spark: SparkSession, d: str, stem: bool = False) -> S.Index:
     """The pages' stored index, written for the first question about a table as it is."""
     source = f"{d}/documents.parquet"
     name = (spark.sparkContext.applicationId, source, modified(spark, source), stem)
-    if name not in _indexes:
+    # The totals are written last; a shared folder may be emptied between questions.
+    if name not in _indexes or not exists(spark, f"{_indexes[name]}/totals/_SUCCESS"):
         path = new_path(spark, "index")
         S.write_index(pages(spark, d), path, stem=stem)
         _indexes[name] = path

@@ -43,6 +43,11 @@ def modified(spark: SparkSession, path: str) -> int:
     return int(system.getFileStatus(target).getModificationTime())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return bool(system.exists(target))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     with suppress(Exception):
         system, target = _file_system(spark, path)
