@@ -74,15 +74,15 @@ def orphan_pages(pages: DataFrame) -> DataFrame:
 
 
 def backlinks(pages: DataFrame) -> DataFrame:
-    """slug, referrers (in page order), n: who links to each page by slugified link text.
+    """slug, referrer, ord, n: who links to each page by slugified link text, one row a link, and how many do.
 
-    Pages of one slug share the references of the last of them.
+    ``ord`` is the referrer's place.  Pages of one slug share the references of the last of them.
     """
     last = pages.groupBy("slug").agg(F.max_by(F.struct("body", "ord"), "ord").alias("r")).select("slug", "r.body", "r.ord")
     refs = last.select(F.col("slug").alias("referrer"), "ord", F.explode(T.wikilinks("body")).alias("link"))
     edges = refs.select("referrer", "ord", T.slug_link("link").alias("slug")).distinct()
     known = edges.join(pages.select("slug").distinct(), "slug")
-    return known.groupBy("slug").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "referrer"))), lambda x: x["referrer"]).alias("referrers"), F.count(F.lit(1)).alias("n"))
+    return known.join(known.groupBy("slug").agg(F.count(F.lit(1)).alias("n")), "slug").select("slug", "referrer", "ord", "n")
 
 
 def unreceipted_pages(pages: DataFrame, compilations: DataFrame, promotions: DataFrame) -> DataFrame:

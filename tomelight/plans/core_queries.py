@@ -188,8 +188,8 @@ _SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}),
 
 
 @query(
-    f"WITH {_LINKS}, refs AS (SELECT DISTINCT slug AS referrer, ord, {_SLUG.format('link')} AS slug FROM edges) SELECT slug, list(referrer ORDER BY ord, referrer) AS referrers, count(*) AS n FROM refs WHERE slug IN (SELECT slug FROM wiki) GROUP BY slug",
-    "wiki", lists=("referrers",)
+    f"WITH {_LINKS}, refs AS (SELECT DISTINCT slug AS referrer, ord, {_SLUG.format('link')} AS slug FROM edges) SELECT slug, referrer, ord, count(*) OVER (PARTITION BY slug) AS n FROM refs WHERE slug IN (SELECT slug FROM wiki)",
+    "wiki",
 )
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
     return L.backlinks(V.wiki(spark, d))
