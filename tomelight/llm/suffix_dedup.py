@@ -136,15 +136,22 @@ class Stretches:
         return list(seen), mark, least, place
 
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
 def _pack(strings: list[bytes], mark: np.ndarray, least: np.ndarray) -> tuple[bytes, bytes]:
+    """Stretches as two compressed values: their number, marks, least documents and sizes; their bytes."""
     sizes = np.fromiter(map(len, strings), np.uint32, len(strings))
-    return mark.tobytes() + least.tobytes() + sizes.tobytes(), b"".join(strings)
+    body = _ZSTD.compress(mark.tobytes() + least.tobytes() + sizes.tobytes(), asbytes=True)
+    return len(strings).to_bytes(4, "little") + body, _ZSTD.compress(b"".join(strings), asbytes=True)
 
 
 def _unpack(body: bytes, blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    n = len(body) // 20
+    n = int.from_bytes(body[:4], "little")
+    body = _ZSTD.decompress(body[4:], 20 * n, asbytes=True)
     mark, least, sizes = np.frombuffer(body, np.uint64, n), np.frombuffer(body, np.int64, n, 8 * n), np.frombuffer(body, np.uint32, n, 16 * n)
     cuts = np.concatenate(([0], np.cumsum(sizes.astype(np.int64)))).tolist()
+    blob = _ZSTD.decompress(blob, cuts[-1], asbytes=True)
     return [blob[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], mark, least
 
 
