@@ -8,6 +8,7 @@ anything is shuffled.
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -19,14 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stem import porter
+from ..storage import remove
 
 K1, B = 1.2, 0.75
 #: Smallest inverse document frequency: terms in half the pages or more still order matches.
 LEAST_IDF = 1e-6
 FETCH_MULTIPLIER = 3
 TITLE_BOOST, TYPE_BOOST = 0.5, 0.3
-#: Buckets of a stored index, by a hash of the term.
-BUCKETS = 64
+#: Text bytes whose postings make a bucket of a stored index, and its most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 128e6, 1024
 #: Terms up to which a question's buckets and terms are given to the scan as values.
 MOST_TERMS = 500
 COLUMNS = ("title", "tags", "body")
@@ -107,14 +109,15 @@ def stemmed(words: DataFrame) -> DataFrame:
     return words.select("term").distinct().mapInArrow(run, "term string, stem string")
 
 
-def postings(pages: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "path", stem: bool = False) -> DataFrame:
-    """key, term, tf, doc_len for every term of every page; with ``stem``, of folded and stemmed terms."""
+def postings(pages: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "path", fold: bool = False) -> DataFrame:
+    """key, term, tf, doc_len for every term of every page; with ``fold``, of the terms of any script without diacritics."""
     text = F.concat_ws(" ", *columns)
-    all_terms = pages.select(key, (unicode_tokens(text) if stem else tokens(text)).alias("terms"))
-    counted = all_terms.select(key, F.size("terms").alias("doc_len"), F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
-    if not stem:
-        return counted
-    return counted.join(stemmed(counted), "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"), F.first("doc_len").alias("doc_len"))
+    # A page is one row, so its terms are counted there: sorted, each run of equal ones is a posting.
+    rows = pages.select(key, F.sort_array(unicode_tokens(text) if fold else tokens(text)).alias("terms")).select(key, "terms", F.size("terms").alias("doc_len"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("doc_len") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    runs = rows.filter("doc_len > 0").select(key, "terms", "doc_len", starts.alias("starts"))
+    each = F.transform("starts", lambda i, k: F.struct(F.get("terms", i).alias("term"), (F.coalesce(F.get("starts", k + 1), F.col("doc_len")) - i).cast("long").alias("tf")))
+    return runs.select(key, "doc_len", F.explode(each).alias("p")).select(key, "p.term", "p.tf", "doc_len")
 
 
 @dataclass(frozen=True)
@@ -124,35 +127,51 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
+    buckets: int
     stem: bool = False
 
 
-def _bucket(term: Column | str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _bucket(term: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def write_index(pages: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS, key: str = "path", stem: bool = False) -> None:
-    """Store the index of ``pages`` below ``path``, one folder a bucket, terms in order within files."""
-    text = F.concat_ws(" ", *columns)
-    rows = postings(pages, columns, key, stem).withColumn("bucket", _bucket("term"))
-    # A bucket's rows are dealt over its files by key too, so a term that every page has is not one task's.
-    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    stored = pages.sparkSession.read.parquet(f"{path}/postings")
-    stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    lengths = pages.select(F.size(unicode_tokens(text) if stem else tokens(text)).alias("doc_len"))
-    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len")).write.parquet(f"{path}/totals")
+    """Store the index of ``pages`` below ``path``, one folder a bucket, terms in order within files; the totals come last."""
+    spark = pages.sparkSession
+    n, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.concat_ws(" ", *columns)).cast("long"))).first()
+    buckets = min(MOST_BUCKETS, max(1, math.ceil((size or 0) / BUCKET_BYTES)))
+    # A bucket's rows are dealt over several files by key, so a term that every page has is not one task's.
+    files = max(4, math.ceil(spark.sparkContext.defaultParallelism / buckets), math.ceil((size or 0) / BUCKET_BYTES / buckets))
+    if pages.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few files: use every core
+        pages = pages.repartition(spark.sparkContext.defaultParallelism)
+    rows = postings(pages, columns, key, stem)
+    if stem:  # the postings are kept while their vocabulary is stemmed
+        rows.write.parquet(f"{path}/_plain")
+        plain = spark.read.parquet(f"{path}/_plain")
+        rows = plain.join(stemmed(plain), "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"), F.first("doc_len").alias("doc_len"))
+    rows = rows.withColumn("bucket", _bucket("term", buckets))
+    dealt = rows.repartition(buckets * files, "bucket", F.pmod(F.xxhash64(key), F.lit(files)))
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    remove(spark, f"{path}/_plain")
+    stored = spark.read.parquet(f"{path}/postings")
+    terms = stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+    terms.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    total = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("total_tf"), F.lit(0)).alias("tokens"))
+    total.select(F.lit(n).cast("long").alias("n"), (F.col("tokens") / F.lit(max(n, 1))).alias("avg_len"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/totals")
 
 
 def read_index(spark: SparkSession, path: str, stem: bool = False) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "totals")), stem)
+    """The index that ``write_index`` stored below ``path``."""
+    kept = spark.read.parquet(f"{path}/totals")
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), kept.select("n", "avg_len"), kept.first()["buckets"], stem)
 
 
-def _of_terms(stored: DataFrame, query: DataFrame) -> DataFrame:
+def _of_terms(stored: DataFrame, query: DataFrame, buckets: int) -> DataFrame:
     """Rows of ``stored`` for the terms of ``query``; a question's few terms reach the scan as values."""
     wanted = query.select("term").distinct()
-    few = wanted.select("term", _bucket("term").alias("bucket")).limit(MOST_TERMS + 1).collect()
+    few = wanted.select("term", _bucket("term", buckets).alias("bucket")).limit(MOST_TERMS + 1).collect()
     if len(few) > MOST_TERMS:
-        return stored.join(wanted.withColumn("bucket", _bucket("term")), ["bucket", "term"], "left_semi")
+        return stored.join(wanted.withColumn("bucket", _bucket("term", buckets)), ["bucket", "term"], "left_semi")
     return stored.filter(F.col("bucket").isin(*{r["bucket"] for r in few}) & F.col("term").isin(*(r["term"] for r in few))) if few else stored.filter(F.lit(False))
 
 
@@ -182,8 +201,8 @@ def bm25(pages: DataFrame, query: DataFrame, columns: tuple[str, ...] = COLUMNS,
     ``query`` has one row a term of the question.  With ``index`` the pages are not read.
     """
     if index is not None:
-        own = _of_terms(index.postings, query).select(key, "term", "tf", "doc_len")
-        scored = weights(own, _of_terms(index.terms, query).select("term", "df"), index.totals, key)
+        own = _of_terms(index.postings, query, index.buckets).select(key, "term", "tf", "doc_len")
+        scored = weights(own, _of_terms(index.terms, query, index.buckets).select("term", "df"), index.totals, key)
     else:
         lengths = pages.select(key, tokens(F.concat_ws(" ", *columns)).alias("terms")).select(key, "terms", F.size("terms").alias("doc_len"))
         totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
