@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stem import porter
+from ..session import fill_cores
 from ..storage import remove
 
 K1, B = 1.2, 0.75
@@ -142,9 +143,7 @@ def write_index(pages: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS,
     buckets = min(MOST_BUCKETS, max(1, math.ceil((size or 0) / BUCKET_BYTES)))
     # A bucket's rows are dealt over several files by key, so a term that every page has is not one task's.
     files = max(4, math.ceil(spark.sparkContext.defaultParallelism / buckets), math.ceil((size or 0) / BUCKET_BYTES / buckets))
-    if pages.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few files: use every core
-        pages = pages.repartition(spark.sparkContext.defaultParallelism)
-    rows = postings(pages, columns, key, stem)
+    rows = postings(fill_cores(pages), columns, key, stem)
     if stem:  # the postings are kept while their vocabulary is stemmed
         rows.write.parquet(f"{path}/_plain")
         plain = spark.read.parquet(f"{path}/_plain")

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,6 +28,19 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def fill_cores(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it comes from fewer files than there are cores, and small ones; else as it is.
+
+    A file may be one row group, which only one task can read.  Inputs that fill the cores with
+    partitions of the usual size are never shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    usual = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * usual and 0 < len(df.inputFiles()) < cores else df
+
+
 _shipped: set[str] = set()
 
 
