@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import fill_cores
 from .common import id_and_text
 
 SPACE = "▁"
@@ -319,7 +320,7 @@ def encode_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     A null text counts as empty and has no ids.  Repeated rows each give a row, an empty input
     none; further columns play no part.
     """
-    return id_and_text(df, id_col, text_col).mapInArrow(_encode(path, False), "doc_id long, ids array<int>")
+    return fill_cores(id_and_text(df, id_col, text_col)).mapInArrow(_encode(path, False), "doc_id long, ids array<int>")
 
 
 def piece_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,7 +330,7 @@ def piece_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     text counts as empty and has no tokens.  Repeated rows each give a row, an empty input none;
     further columns play no part.
     """
-    return id_and_text(df, id_col, text_col).mapInArrow(_encode(path, True), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return fill_cores(id_and_text(df, id_col, text_col)).mapInArrow(_encode(path, True), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def decode_pieces(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fill_cores
 from .common import id_and_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -218,7 +219,7 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A null text counts as empty; an empty one has no spans.  Repeated rows each give a row.  An
     empty input gives no rows.  Further columns play no part.
     """
-    return id_and_text(df, id_col, text_col).mapInArrow(_find(redact), _FOUND)
+    return fill_cores(id_and_text(df, id_col, text_col)).mapInArrow(_find(redact), _FOUND)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,7 @@ def personal_data_digest(df: DataFrame, id_col: str = "doc_id", text_col: str =
     A null text counts as empty and has none.  Repeated rows each give a row, an empty input none;
     further columns play no part.
     """
-    return id_and_text(df, id_col, text_col).mapInArrow(
+    return fill_cores(id_and_text(df, id_col, text_col)).mapInArrow(
         _digests, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     )
 
@@ -271,4 +272,4 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(map(len, texts), batch.schema.field(at).type))
             yield batch
 
-    return df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, df.schema)
+    return fill_cores(df.withColumn(text_col, F.col(text_col).cast("string"))).mapInArrow(run, df.schema)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fill_cores
 from .common import id_and_text
 
 #: Labelled rows that a fit takes at most, those of the smallest hash of their identifier.
@@ -244,7 +245,7 @@ def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", te
     A null text scores as the empty one, which has a score like any other.  Repeated rows each give
     a row, an empty input none; further columns play no part.
     """
-    scored = id_and_text(df, id_col, text_col).mapInArrow(_score(model), "doc_id long, score double")
+    scored = fill_cores(id_and_text(df, id_col, text_col)).mapInArrow(_score(model), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -260,4 +261,4 @@ def keep_good(df: DataFrame, model: QualityModel, text_col: str = "text") -> Dat
             x = np.array([features(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text_col))], float).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
 
-    return df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, df.schema)
+    return fill_cores(df.withColumn(text_col, F.col(text_col).cast("string"))).mapInArrow(run, df.schema)

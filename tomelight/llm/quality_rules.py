@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import fill_cores
 from .common import SPACE_CLASS, discard, store
 
 #: Share of a group's rows that each concentration step keeps.
@@ -45,7 +46,7 @@ CUTOFF = 25.74
 def counted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang, source and the base counts of each row; a null text has none of anything."""
     group = [F.coalesce(df[c].cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in ("lang", "source")]
-    base = df.select(df[id_col].cast("long").alias("doc_id"), *group, F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
+    base = fill_cores(df.select(df[id_col].cast("long").alias("doc_id"), *group, F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text")))
     words = base.select(
         "doc_id",
         "lang",

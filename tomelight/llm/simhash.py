@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fill_cores
 from .common import id_and_text, parts_for, spread, store
 from .components import connected_components
 
@@ -124,7 +125,7 @@ def _fingerprints(shingle: int):
 
 def simhash(df: DataFrame, shingle: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long); a null text counts as empty."""
-    return id_and_text(df, id_col, text_col).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return fill_cores(id_and_text(df, id_col, text_col)).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -580,7 +581,7 @@ def _verified(least: float):
 
 def _similar_rows(df: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_key (a hash of the text) and party of the rows of ``df`` that have a near copy."""
-    base = id_and_text(df, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    base = fill_cores(id_and_text(df, id_col, text_col)).withColumn("text_key", F.xxhash64("text"))
     least = similarity - MARGIN
     prints = store(base.mapInArrow(_sketches(shingle), "doc_id long, text_key long, sketch binary"), "sketches")
     # Equal sketches are one node; its number holds once it is stored.

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import fill_cores
 from .common import Memo, id_and_text
 
 #: Keys that a worker keeps, per generation, of texts' chunks, of pieces and of pairs of tokens.
@@ -250,7 +251,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc
     strings inside a text count as one token each.  A null text counts as empty, with no tokens.
     Repeated rows each give a row; an empty input gives none; further columns play no part.
     """
-    return id_and_text(df, id_col, text_col).mapInArrow(_counts(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, within_chars long")
+    return fill_cores(id_and_text(df, id_col, text_col)).mapInArrow(_counts(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, within_chars long")
 
 
 def truncated(df: DataFrame, path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,4 +268,4 @@ def truncated(df: DataFrame, path: str, budget: int, id_col: str = "doc_id", tex
             cut = [t[: table.cut(t, budget)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cut, pa.string())], names=["doc_id", "text"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, text string")
+    return fill_cores(id_and_text(df, id_col, text_col)).mapInArrow(run, "doc_id long, text string")
