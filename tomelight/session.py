@@ -37,7 +37,7 @@ def fill_cores(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     usual = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * usual and 0 < len(df.inputFiles()) < cores else df
 
 
