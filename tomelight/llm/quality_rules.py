@@ -97,18 +97,6 @@ def _features() -> list[Column]:
     ]
 
 
-def _factor(cov: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]:
-    """The Cholesky factor's entries as columns."""
-    low: dict[tuple[int, int], Column] = {}
-    for i in range(len(FEATURES)):
-        for j in range(i + 1):
-            rest = cov[i, j]
-            for k in range(j):
-                rest = rest - low[i, k] * low[j, k]
-            low[i, j] = F.sqrt(rest) if i == j else rest / low[j, j]
-    return low
-
-
 def _keys(df: DataFrame) -> list[str]:
     """The group and, while there are several, the start."""
     return [c for c in ("g", "start") if c in df.columns]
@@ -120,23 +108,22 @@ def _raised(moments: DataFrame) -> DataFrame:
 
 
 def _factored(moments: DataFrame, floors: tuple[float, ...] = FLOORS) -> DataFrame:
-    """Means and factor, one projection a column of the matrix so that no expression is repeated."""
+    """Means and factor; each entry is named once and used by name, so no expression is repeated."""
     n = len(FEATURES)
-    out = moments
-    for i in range(n):
-        out = out.withColumn(f"c_{i}_{i}", F.col(f"c_{i}_{i}") + F.lit(floors[i] ** 2))
+    steps: list[Column] = []
     for j in range(n):
-        square = F.col(f"c_{j}_{j}")
+        square = F.col(f"c_{j}_{j}") + F.lit(floors[j] ** 2)
         for k in range(j):
             square = square - F.col(f"l_{j}_{k}") * F.col(f"l_{j}_{k}")
-        out = out.withColumn(f"l_{j}_{j}", F.sqrt(square))
+        steps.append(F.sqrt(square).alias(f"l_{j}_{j}"))
         for i in range(j + 1, n):
             rest = F.col(f"c_{i}_{j}")
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(f"l_{i}_{j}", rest / F.col(f"l_{j}_{j}"))
+            steps.append((rest / F.col(f"l_{j}_{j}")).alias(f"l_{i}_{j}"))
     size = sum(2 * F.log(F.col(f"l_{i}_{i}")) for i in range(n)).alias("log_det")
-    return out.select(*_keys(moments), *(f"m_{i}" for i in range(n)), *(f"l_{i}_{j}" for i in range(n) for j in range(i + 1)), size)
+    was = ["was"] if "was" in moments.columns else []
+    return moments.select("*", *steps, size).select(*_keys(moments), *was, *(f"m_{i}" for i in range(n)), *(f"l_{i}_{j}" for i in range(n) for j in range(i + 1)), "log_det")
 
 
 def _with_estimates(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -147,18 +134,20 @@ def _with_estimates(rows: DataFrame, params: DataFrame) -> DataFrame:
 def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
     """``rows`` with d2, the squared distance under their group's ``params``."""
     n = len(FEATURES)
-    out = _with_estimates(rows, params)
+    steps: list[Column] = []
     for i in range(n):
         z = F.col(FEATURES[i]) - F.col(f"m_{i}")
         for k in range(i):
             z = z - F.col(f"l_{i}_{k}") * F.col(f"z_{k}")
-        out = out.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
-    return out.withColumn("d2", sum(F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(n)))
+        steps.append((z / F.col(f"l_{i}_{i}")).alias(f"z_{i}"))
+    return _with_estimates(rows, params).select("*", *steps, sum(F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(n)).alias("d2"))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
+    """Means and covariances per group and start; ``was`` is the determinant that chose the rows, if there was one."""
     n = len(FEATURES)
     return rows.groupBy(*_keys(rows)).agg(
+        *([F.first("log_det").alias("was")] if "log_det" in rows.columns else []),
         *(F.avg(FEATURES[i]).alias(f"m_{i}") for i in range(n)),
         *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)),
     )
@@ -201,9 +190,10 @@ def _settled(rows: DataFrame) -> DataFrame:
         bound = order_statistics(near, ["g", "start"], ["far"], CORE).withColumnRenamed("far", "most")
         core = _with_distance(rows, params.join(bound, ["g", "start"])).filter(_on_grid(F.log1p("d2")) <= F.col("most"))
         after = store(_factored(_raised(_moments(core))), "centres")
-        moved = after.join(params.select("g", "start", F.col("log_det").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
+        moved = after.agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
         discard(params)
-        params = after
+        params = after.drop("was")
+        params._stored_at = after._stored_at  # type: ignore[attr-defined]
         if moved is None or moved <= SETTLED:
             break
     least = params.groupBy("g").agg(F.min(F.struct("log_det", "start")).alias("least")).select("g", F.col("least.start").alias("start"))
