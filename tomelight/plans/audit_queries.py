@@ -130,31 +130,36 @@ def provenance_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH i AS (SELECT strftime(ts, '%Y-%m-%d') AS file, count(*) AS indexed FROM events WHERE day(ts) % 7 <> 0 AND NOT (day(ts) % 5 = 0 AND event_id % 9 = 0) GROUP BY 1),
-k AS (SELECT strftime(ts, '%Y-%m-%d') AS file, count(*) AS on_disk FROM events WHERE day(ts) % 6 <> 0 AND NOT (day(ts) % 4 = 0 AND event_id % 9 = 0) GROUP BY 1)
+    """WITH i AS (SELECT strftime(ts, '%Y-%m-%d') || CASE WHEN day(ts) % 7 = 0 OR day(ts) % 5 = 0 AND event_id % 9 = 0 THEN '.idx' ELSE '' END AS file, count(*) AS indexed FROM events GROUP BY 1),
+k AS (SELECT strftime(ts, '%Y-%m-%d') || CASE WHEN day(ts) % 6 = 0 OR day(ts) % 4 = 0 AND event_id % 9 = 0 THEN '.new' ELSE '' END AS file, count(*) AS on_disk FROM events GROUP BY 1)
 SELECT file, indexed, on_disk, CASE WHEN on_disk IS NULL THEN 'MISSING_FILE' WHEN indexed IS NULL THEN 'UNINDEXED_FILE' WHEN on_disk < indexed THEN 'TRUNCATED' WHEN on_disk > indexed THEN 'UNINDEXED_EVENTS' ELSE 'ok' END AS status FROM i FULL JOIN k USING (file)"""
 )
 def trace_index_reconcile(spark: SparkSession, d: str) -> DataFrame:
     e = V.table(spark, d, "events").select("event_id", F.substring(V.iso("ts"), 1, 10).alias("file")).withColumn("day", F.substring("file", 9, 2).cast("int"))
     n9, day = F.col("event_id") % 9 == 0, F.col("day")
-    indexed = e.filter((day % 7 != 0) & ~((day % 5 == 0) & n9)).groupBy("file").agg(F.count(F.lit(1)).alias("indexed"))
-    on_disk = e.filter((day % 6 != 0) & ~((day % 4 == 0) & n9)).groupBy("file").agg(F.count(F.lit(1)).alias("on_disk"))
+    named = lambda odd, end: F.when(odd, F.concat("file", F.lit(end))).otherwise(F.col("file")).alias("file")
+    indexed = e.groupBy(named((day % 7 == 0) | ((day % 5 == 0) & n9), ".idx")).agg(F.count(F.lit(1)).alias("indexed"))
+    on_disk = e.groupBy(named((day % 6 == 0) | ((day % 4 == 0) & n9), ".new")).agg(F.count(F.lit(1)).alias("on_disk"))
     return A.reconcile_index(indexed, on_disk)
 
 
 @query(
     """WITH n AS (SELECT c_custkey AS k, 'spool-' || c_custkey || '.jsonl' AS file FROM customer),
-j AS (SELECT file, k, k % 7 <> 0 AS f, k % 5 <> 0 AS m, k % 5 <> 0 AND k % 11 = 0 AS bad FROM n WHERE k % 7 <> 0 OR k % 5 <> 0)
+fs AS (SELECT CASE WHEN k % 7 = 0 THEN 'file-' || file ELSE file END AS file, 'a' AS sha, 3 AS lines FROM n),
+ms AS (SELECT CASE WHEN k % 5 = 0 THEN 'manifest-' || file ELSE file END AS file, CASE WHEN k % 3 = 0 THEN 'b' ELSE 'a' END AS m_sha, CASE WHEN k % 4 = 0 THEN 4 ELSE 3 END AS emitted, k % 11 = 0 AS malformed FROM n),
+ts AS (SELECT CASE WHEN k % 2 = 1 THEN 'trace-' || file ELSE file END AS file, CASE WHEN k % 6 = 0 THEN 'b' ELSE 'a' END AS t_sha FROM n),
+j AS (SELECT file, sha, m_sha, lines, emitted, t_sha, sha IS NOT NULL AS f, m_sha IS NOT NULL AS m, coalesce(malformed, false) AS bad FROM fs FULL JOIN ms USING (file) LEFT JOIN ts USING (file))
 SELECT file, list_filter([CASE WHEN NOT m THEN 'SPOOL_MANIFEST_MISSING' END, CASE WHEN bad THEN 'SPOOL_MANIFEST_MALFORMED' END, CASE WHEN NOT f AND NOT bad THEN 'SPOOL_FILE_MISSING' END,
-  CASE WHEN f AND m AND NOT bad AND k % 3 = 0 THEN 'SPOOL_HASH_MISMATCH' END, CASE WHEN f AND m AND NOT bad AND k % 4 = 0 THEN 'SPOOL_COUNT_MISMATCH' END, CASE WHEN f AND m AND NOT bad AND k % 2 = 0 AND (k % 6 = 0) <> (k % 3 = 0) THEN 'SPOOL_TRACE_MISMATCH' END], lambda x: x IS NOT NULL) AS codes FROM j""",
+  CASE WHEN f AND m AND NOT bad AND sha <> m_sha THEN 'SPOOL_HASH_MISMATCH' END, CASE WHEN f AND m AND NOT bad AND lines <> emitted THEN 'SPOOL_COUNT_MISMATCH' END, CASE WHEN f AND m AND NOT bad AND t_sha <> m_sha THEN 'SPOOL_TRACE_MISMATCH' END], lambda x: x IS NOT NULL) AS codes FROM j""",
     lists=("codes",),
 )
 def spool_reconcile(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     n = V.table(spark, d, "customer").select(k, F.concat(F.lit("spool-"), k.cast("string"), F.lit(".jsonl")).alias("file"))
-    files = n.filter(k % 7 != 0).select("file", F.lit("a").alias("sha"), F.lit(3).alias("lines"))
-    manifests = n.filter(k % 5 != 0).select("file", F.when(k % 3 == 0, "b").otherwise("a").alias("sha"), F.when(k % 4 == 0, 4).otherwise(3).alias("emitted"), (k % 11 == 0).alias("malformed"))
-    traced = n.filter(k % 2 == 0).select("file", F.when(k % 6 == 0, "b").otherwise("a").alias("sha"))
+    named = lambda odd, start: F.when(odd, F.concat(F.lit(start), "file")).otherwise(F.col("file")).alias("file")
+    files = n.select(named(k % 7 == 0, "file-"), F.lit("a").alias("sha"), F.lit(3).alias("lines"))
+    manifests = n.select(named(k % 5 == 0, "manifest-"), F.when(k % 3 == 0, "b").otherwise("a").alias("sha"), F.when(k % 4 == 0, 4).otherwise(3).alias("emitted"), (k % 11 == 0).alias("malformed"))
+    traced = n.select(named(k % 2 == 1, "trace-"), F.when(k % 6 == 0, "b").otherwise("a").alias("sha"))
     return A.reconcile_spool(files, manifests, traced)
 
 
@@ -489,5 +494,6 @@ def substring_grade(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_RET} SELECT concept AS name, CASE WHEN ascii(right(concept, 1)) % 5 = 0 THEN 'recorded' WHEN retention < 0.85 THEN 'regression' WHEN retention < 0.9 THEN 'warning' ELSE 'pass' END AS status FROM ret", "recall_results")
 def floor_gate(spark: SparkSession, d: str) -> DataFrame:
     scores = N.retention_by_concept(V.recall_results(spark, d)).select(F.col("concept").alias("name"), F.col("retention").alias("score"))
-    floors = scores.filter(F.ascii(F.right("name", F.lit(1))) % 5 != 0).select("name", F.lit(0.85).alias("floor"))
+    other = F.ascii(F.right("name", F.lit(1))) % 5 == 0
+    floors = scores.select(F.when(other, F.concat(F.lit("other "), "name")).otherwise(F.col("name")).alias("name"), F.lit(0.85).alias("floor"))
     return E.floor_gate(scores, floors, 0.9)
