@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import cluster_vectors
 from .common import table
 from .exact_dedup import exact_groups
+from .infilling import fill_in_middle_digest
 from .packing import pack
 from .pieces import piece_digest
 from .pii import personal_data_digest
@@ -143,6 +145,70 @@ FROM n
 """
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digest(table(spark, sf_dir, "documents"))
+
+
+_OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(length(text), 0) AS n, sha256('1:' || doc_id) AS h FROM documents
+), d AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y, CAST('0x' || h[17:24] AS BIGINT) % 100 AS u, CAST('0x' || h[25:32] AS BIGINT) % 100 AS v FROM t
+), f AS (
+  SELECT doc_id, t, n, least(x, y) AS a, greatest(x, y) AS b,
+         CASE WHEN t = '' OR t LIKE '%<P>%' OR t LIKE '%<S>%' OR t LIKE '%<M>%' OR u >= 90 THEN 'plain' WHEN v < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || left(t, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                        ELSE '<S>' || substr(t, b + 1) || '<P>' || left(t, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f
+"""
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+_OP12_ROUND = """
+), a{r} AS MATERIALIZED (
+  SELECT vec_id, c, sum((x.v - y.v) * (x.v - y.v)) AS d FROM part x JOIN c{r} y USING (i) GROUP BY vec_id, c
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1
+"""
+_OP12_MOVE = """
+), m{r} AS (
+  SELECT c, i, sum(v) AS s, count(*) AS n FROM a{r} JOIN part USING (vec_id) GROUP BY c, i
+), c{next} AS MATERIALIZED (
+  SELECT c, i, CASE WHEN n IS NULL THEN v ELSE (s - (s % n + n) % n) // n END AS v FROM c{r} LEFT JOIN m{r} USING (c, i)
+"""
+
+
+def _op12_sql(rounds: int = 5) -> str:
+    steps = "".join(_OP12_ROUND.format(r=r) + _OP12_MOVE.format(r=r, next=r + 1) for r in range(rounds)) + _OP12_ROUND.format(r=rounds)
+    return f"""
+WITH kept AS (
+  SELECT vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), part AS MATERIALIZED (
+  SELECT vec_id, generate_subscripts(e, 1) AS i, CAST(floor(256 * CAST(unnest(e) AS DOUBLE)) AS BIGINT) AS v FROM kept
+), first AS (
+  SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM kept QUALIFY c < 40
+), c0 AS MATERIALIZED (
+  SELECT c, i, v FROM first JOIN part USING (vec_id)
+{steps}
+), told AS (
+  SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c
+)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN told USING (c)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -155,6 +221,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_centroids": op12_centroids,
     }
 
 
@@ -163,4 +231,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": _OP2_SQL,
         "op6_suffix_dedup": _OP6_SQL,
         "op10_exact_dedup": _OP10_SQL,
+        "op11_fill_in_middle": _OP11_SQL,
+        "op12_centroids": _op12_sql(),
     }
