@@ -10,6 +10,7 @@ from .centroids import cluster_vectors
 from .common import table
 from .exact_dedup import exact_groups
 from .infilling import fill_in_middle_digest
+from .lm_scoring import score_texts
 from .packing import pack
 from .pieces import piece_digest
 from .pii import personal_data_digest
@@ -209,6 +210,10 @@ FROM a{rounds} JOIN told USING (c)
 """
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -223,6 +228,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_fill_in_middle": op11_fill_in_middle,
         "op12_centroids": op12_centroids,
+        "op13_lm_scoring": op13_lm_scoring,
     }
 
 
