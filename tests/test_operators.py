@@ -152,9 +152,47 @@ def test_output_codes(spark, content, code):
     assert one(spark, filters.output_code(F.col("t")), t=content) == code
 
 
-@pytest.mark.parametrize(("text", "kind"), [("a 60/40 split", "comp"), ("SSN and salary", "comp"), ("DOB: x", "pii"), ("123-45-6789", "pii"), ("assn salaryman", None), ("１２３-４５-６７８９", "pii"), ("Ⓢalary", "comp"), ("oﬃce of the ＳＳＮ", "pii"), ("oﬃce", None)])
-def test_disclosure(spark, text, kind):
-    assert one(spark, filters.disclosure(F.col("t")), t=text) == kind
+@pytest.mark.parametrize(
+    ("text", "kind", "match"),
+    [
+        ("a 60/40 split", "comp", "60/40 split"), ("a 60/40\u00a0 share.", "comp", "60/40  share"), ("x60/40 split", None, None), ("60/40 splits", None, None), ("1234/40 split", None, None), ("7-bucket", "comp", "7-bucket"), ("17 bucket", None, None), ("7 buckets", None, None),
+        ("revenue-share 50%", "comp", "revenue-share 5"), ("myrevenue share9", "comp", "revenue share9"), ("revenue-share", None, None), ("Equity 25% each", "comp", "Equity 2"), ("inequity grants", "comp", "equity grants"), ("equity stakeholder", "comp", "equity stake"), ("equity", None, None),
+        ("Vesting.", "comp", "Vesting"), ("investing", None, None), ("RSUs", "comp", "RSUs"), ("RSUx", None, None), ("mystock option", "comp", "stock option"), ("stock optional", None, None), ("a strike price", "comp", "strike price"), ("strike prices", None, None), ("salary", "comp", "salary"), ("salaryman", None, None),
+        ("baseBase pay", "comp", "Base pay"), ("base payment", None, None), ("take home pay", "comp", "take home pay"), ("sign-on  bonus", "comp", "sign-on  bonus"), ("relaunch bonus", "comp", "launch bonus"), ("launch bonuses", None, None),
+        ("SSN and salary", "comp", "salary"), ("123-45-6789", "pii", "123-45-6789"), ("0123-45-6789", None, None), ("123-45-67890", None, None), ("ssn", "pii", "ssn"), ("assn", None, None), ("unsocial security no", "pii", "social security no"), ("social security note", None, None),
+        ("background check passed", "pii", "background check passed"), ("background-check results", None, None), ("date of birthday", None, None), ("update of birth", "pii", "date of birth"), ("DOB: x", "pii", "DOB:"), ("DOB:1990-01-01", "pii", "DOB:"), ("dob = 1", "pii", "dob ="), ("xDOB: 1", None, None), ("DOB 1990", None, None),
+        ("１２３-４５-６７８９", "pii", "123-45-6789"), ("Ⓢalary", "comp", "Salary"), ("oﬃce of the ＳＳＮ", "pii", "SSN"), ("oﬃce", None, None), ("salary\u0301", None, None), ("DOB\u3000:", "pii", "DOB :"), (None, None, None), ("", None, None),
+    ],
+)
+def test_disclosure(spark, text, kind, match):
+    found = one(spark, filters.disclosure(F.col("t")), t=text)
+    assert (found.category, found.match) == (kind, match) if kind else found is None
+
+
+def test_compatibility_form(spark):
+    from tomelight.functions.text import nfkc
+
+    texts = ["a", "e\u0301", "\u1100\u1161\u11a8", "q\u0307\u0323", "ﬁ½²", "é", "\u212b", "ｶﾞ", None, "日本"]
+    import unicodedata
+
+    for t in texts:
+        assert one(spark, nfkc(F.col("t")), t=t) == (t if t is None else unicodedata.normalize("NFKC", t))
+
+
+def test_citations_as_the_answer_has_them(spark):
+    text = "Two  spaces stay [source: Page A]\t[source: page a ]\r\n [source:\u00a0PAGE A]  Two  spaces stay\n\tTab\tin [source: ]it[source:]\n Two  spaces stay [source: Page A]\t[source: page a ]\nAgain [source: B[1]\n[source: no\nend]"
+    answers = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "answer_id long, text string")
+    titles = spark.createDataFrame([("a1", " PAGE a\t", 1), ("a2", "page A", 2), ("b", "b[1", 1)], "path string, title string, ord long")
+    got = lineage.parse_citations(answers, titles)
+    assert [tuple(r) for r in got.orderBy("n").collect()] == [
+        (1, 1, "Page A", "Two  spaces stay", "a2"), (1, 2, "PAGE A", "Two  spaces stay", "a2"), (1, 3, "", "Tab\tin it[source:]", ""), (1, 4, "B[1", "Again", "b"),
+    ]
+    pages = spark.createDataFrame([("a2", "---\nsource_path: raw/x.md\r\n: y\n---\nbody"), ("b", "no front matter")], "path string, raw string")
+    chain = lineage.provenance_chain(answers, got, pages).orderBy("answer_id", "step").collect()
+    assert [tuple(r) for r in chain] == [
+        (1, 0, "answer", "(generated answer)", "Generated Answer"), (1, 1, "compiled-page", "a2", "Page A"), (1, 2, "raw-source", "raw/x.md", "raw/x.md"), (1, 3, "compiled-page", "b", "B[1"),
+        (2, 0, "answer", "(generated answer)", "Generated Answer"), (3, 0, "answer", "(generated answer)", "Generated Answer"),
+    ]
 
 
 def test_promotion_first_failing_rule_wins(spark):

@@ -6,10 +6,10 @@ or reader of pages, and results depend on which one is used.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-from functools import lru_cache, reduce
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,29 +25,27 @@ def bounded(words: str) -> str:
     return f"(^|[^A-Za-z0-9_])({words})([^A-Za-z0-9_]|$)"
 
 
-@lru_cache(maxsize=1)
-def _compatible() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Characters whose compatibility form is one other character, those forms, and the ones with longer forms; by the character database."""
-    one, many = [], []
-    for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, min(0x10000, sys.maxunicode))]):
-        form = unicodedata.normalize("NFKC", c)
-        if form != c and unicodedata.decomposition(c).startswith("<"):
-            (one if len(form) == 1 else many).append((c, form))
-    letters = tuple((c, f) for c, f in many if f.isascii() and f.isalnum())
-    return "".join(c for c, _ in one), "".join(f for _, f in one), letters
+#: White space as ECMAScript's ``\\s`` and ``trim`` have it, for use in a character class.
+SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: What stands at either side of a word of ASCII word characters.
+WORD_START, WORD_END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: A character outside those that are in compatibility composition form whatever stands beside them.
+_MAY_CHANGE = r"[^\x00-\x9f¡-§©«¬®°±¶·»¿-ÿ]"
 
 
-def compatible(text: Column | str) -> Column:
-    """``text`` with full-width, circled, raised and other variants of a character as that character.
+def trimmed(text: Column | str) -> Column:
+    """``text`` without white space of any kind at its ends."""
+    return F.regexp_replace(_c(text), f"^[{SPACE}]+|[{SPACE}]+$", "")
 
-    Ligatures and the like that stand for several ASCII letters or digits become those; other
-    characters with longer forms stay.
-    """
-    source, target, letters = _compatible()
-    out = F.translate(_c(text), source, target)
-    table = F.create_map(*(F.lit(x) for p in letters for x in p))
-    spelled = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
-    return F.when(out.rlike("[" + "".join(c for c, _ in letters) + "]"), spelled).otherwise(out)  # few texts have any
+
+def _composed(texts: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+
+def nfkc(text: Column | str) -> Column:
+    """``text`` in Unicode's compatibility composition form; only texts that may change go through Python."""
+    text = _c(text)
+    return F.coalesce(F.arrow_udf(_composed, "string")(F.when(text.rlike(_MAY_CHANGE), text)), text)
 
 
 def source_type(path: Column | str) -> Column:
@@ -168,11 +166,12 @@ def fm_block(page: Column | str) -> Column:
     return F.regexp_extract(_c(page), r"^---[ \t]*\n([\s\S]*?)\n---", 1)
 
 
-def fm_flat(page: Column | str) -> Column:
-    """Key to value by the first colon of each line, the last of equal keys; values stay strings."""
-    lines = F.filter(F.split(fm_block(page), "\n"), lambda x: x.contains(":"))
-    pair = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
-    keys = F.array_distinct(F.transform(pair, lambda p: p["k"]))
+def fm_flat(page: Column | str, opening: str = r"^---[ \t]*\n") -> Column:
+    """Key to value by the first colon of each line, the last of equal keys; values stay strings and nothing has no key."""
+    block = F.regexp_extract(_c(page), opening + r"([\s\S]*?)\n---", 1)
+    lines = F.filter(F.split(block, "\n"), lambda x: x.contains(":"))
+    pair = F.transform(lines, lambda x: F.struct(trimmed(F.substring_index(x, ":", 1)).alias("k"), trimmed(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
+    keys = F.array_remove(F.array_distinct(F.transform(pair, lambda p: p["k"])), "")
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pair, lambda p: p["k"] == k), -1)["v"]))
 
 
@@ -218,7 +217,7 @@ def wikilinks(text: Column | str) -> Column:
 
 
 def source_citations(text: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(_c(text), F.lit(r"\[source:[ \t]*([^\]]+)\]"), F.lit(1)), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(_c(text), F.lit(rf"\[source:[{SPACE}]*([^\]]+)\]"), F.lit(1)), trimmed)
 
 
 def llm_json(text: Column | str) -> Column:

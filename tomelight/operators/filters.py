@@ -13,8 +13,15 @@ from ..functions import text as T
 REFUSAL_CHARS, LEAST_BODY = 300, 20
 # Phrases of refusals, disclosures and injections, shapes of secrets, task states.
 REFUSALS = r"i\s+cannot|i\s+can['’]t|i\s+am\s+unable|i['’]m\s+unable|i\s+won['’]t|i\s+will\s+not|as\s+an\s+ai|i\s+apologi[sz]e|i['’]m\s+sorry|i\s+am\s+sorry|i\s+don['’]t\s+have\s+(the\s+ability|access)"
-COMPENSATION = r"[0-9]{1,3}/[0-9]{1,3}\s*(split|share)|7[- ]bucket|revenue[- ]share\s*[0-9]|equity\s+(stakes?|grants?|granted|options?|[0-9])|vesting|rsus?|stock options?|strike price|salary|base pay|take[- ]home pay|(launch|signing|sign[- ]on)\s+bonus"
-PERSONAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}|ssn|social security (number|no)|background[- ]check (result|report|passed|failed)|date of birth|dob\s*[:=]"
+#: (words, before, after): whether the phrase begins and ends where a word does; digits and spaces as in patterns.
+COMPENSATION = (
+    (r"\d{1,3}/\d{1,3}\s*(?:split|share)", True, True), ("7[- ]bucket", True, True), (r"revenue[- ]share\s*\d", False, False), (r"equity\s+(?:stakes?|grants?|granted|options?|\d)", False, False), ("vesting", True, True),
+    ("RSUs?", True, True), ("stock options?", False, True), ("strike price", True, True), ("salary", True, True), ("base pay", False, True), ("take[- ]home pay", False, True), (r"(?:launch|signing|sign[- ]on)\s+bonus", False, True),
+)
+PERSONAL = (
+    (r"\d{3}-\d{2}-\d{4}", True, True), ("SSN", True, True), ("social security (?:number|no)", False, True), ("background[- ]check (?:result|report|passed|failed)", False, True),
+    ("date of birth", False, True), (r"DOB\s*[:=]", True, False),
+)
 INJECTIONS = (r"ignore\s+(all\s+)?previous\s+instructions", r"ignore\s+the\s+above", r"system\s*prompt", r"you\s+are\s+now", r"disregard\s+(all\s+)?prior")
 SECRETS = (r"sk-ant-[A-Za-z0-9_-]+", r"sk-[A-Za-z0-9_-]{20,}", r"Bearer\s+[A-Za-z0-9._-]+")
 SECRET_FIELDS = ("apikey", "api_key", "apiKey", "authorization", "token", "secret", "password", "credential")
@@ -76,10 +83,19 @@ def output_code(content: Column) -> Column:
     )
 
 
+def _phrases(phrases: tuple[tuple[str, bool, bool], ...]) -> str:
+    each = (f"{T.WORD_START if before else ''}{words}{T.WORD_END if after else ''}" for words, before, after in phrases)
+    return "(?i)(" + "|".join(each).replace(r"\s", f"[{T.SPACE}]") + ")"
+
+
 def disclosure(text: Column) -> Column:
-    """comp, pii or null; compensation wins.  Variants of characters count as the characters they vary."""
-    low = F.lower(T.compatible(text))
-    return F.when(low.rlike(T.bounded(COMPENSATION)), "comp").when(low.rlike(T.bounded(PERSONAL)), "pii")
+    """What a text discloses first: (category, match), null if nothing; compensation wins over personal data.
+
+    The text is taken in its compatibility form, so variants of characters count as what they vary.
+    """
+    form = T.nfkc(text)
+    found = [(name, F.regexp_extract(form, _phrases(p), 1)) for name, p in (("comp", COMPENSATION), ("pii", PERSONAL))]
+    return reduce(lambda out, x: F.when(x[1] != "", F.struct(F.lit(x[0]).alias("category"), T.trimmed(x[1]).alias("match"))).otherwise(out), reversed(found), F.lit(None).cast("struct<category:string,match:string>"))
 
 
 def injections(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..views import CROSS_TYPES
@@ -92,20 +93,41 @@ def unreceipted_pages(pages: DataFrame, compilations: DataFrame, promotions: Dat
 
 
 def parse_citations(answers: DataFrame, titles: DataFrame) -> DataFrame:
-    """answer_id, title, claim, page_path: citations once per title and line; unknown pages get ''."""
+    """answer_id, n, title, claim, page_path: citations in order, once for each title and line; unknown pages get ''.
+
+    Titles are the same in any case; the first spelling of an answer's line stays.  The claim is the
+    line without its citations.  Of pages with one title the last counts.
+    """
     lines = answers.select("answer_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    found = lines.select("answer_id", "line", F.explode(T.source_citations("line")).alias("title"))
-    claim = F.trim(F.regexp_replace(F.regexp_replace("line", r"\[source:[ \t]*[^\]]+\]", ""), " +", " "))
-    once = found.select("answer_id", F.lower("title").alias("key"), "title", F.trim("line").alias("line"), claim.alias("claim"))
-    once = once.groupBy("answer_id", "key", "line", "claim").agg(F.min("title").alias("title"))
-    index = titles.groupBy(F.lower(F.trim("title")).alias("key")).agg(F.max_by("path", "ord").alias("page_path"))
-    return once.join(index, "key", "left").select("answer_id", "title", "claim", F.coalesce("page_path", F.lit("")).alias("page_path"))
+    found = lines.select("answer_id", "line_no", "line", F.posexplode(T.source_citations("line")).alias("at", "title"))
+    place = F.struct("line_no", "at")
+    once = found.groupBy("answer_id", F.lower("title").alias("key"), T.trimmed("line").alias("line")).agg(F.min_by("title", place).alias("title"), F.min(place).alias("place"))
+    index = titles.groupBy(T.trimmed(F.lower("title")).alias("key")).agg(F.max_by("path", "ord").alias("page_path"))
+    claim = T.trimmed(F.regexp_replace("line", r"\[source:[^\]]+\]", ""))
+    cited = once.join(index, "key", "left").select("answer_id", "place", "title", claim.alias("claim"), F.coalesce("page_path", F.lit("")).alias("page_path"))
+    # An answer is one row of text, so its citations are few enough for a window.
+    return cited.select("answer_id", F.row_number().over(W.partitionBy("answer_id").orderBy("place")).cast("long").alias("n"), "title", "claim", "page_path")
 
 
 def verify_citations(citations: DataFrame, pages: DataFrame) -> DataFrame:
     """Each citation with whether its page exists."""
     have = pages.select(F.col("path").alias("page_path"), F.lit(True).alias("_have")).distinct()
-    return citations.join(have, "page_path", "left").select("answer_id", "title", "page_path", F.coalesce("_have", F.lit(False)).alias("verified"))
+    return citations.join(have, "page_path", "left").select("answer_id", "n", "title", "page_path", F.coalesce("_have", F.lit(False)).alias("verified"))
+
+
+def provenance_chain(answers: DataFrame, citations: DataFrame, pages: DataFrame) -> DataFrame:
+    """answer_id, step, level, path, title: from each answer over its existing pages to their raw sources.
+
+    ``pages`` (path, raw) are whole files; a page stands once in an answer's chain, under the title it
+    was first cited by, and its ``source_path``, if its front matter has one, follows it.
+    """
+    source = pages.select(F.col("path").alias("page_path"), F.element_at(T.fm_flat("raw", r"^---[^\n]*\n"), "source_path").alias("source_path"))
+    first = citations.filter("page_path <> ''").groupBy("answer_id", "page_path").agg(F.min("n").alias("n"), F.min_by("title", "n").alias("title"))
+    levels = (F.struct(F.lit(0).alias("k"), F.lit("compiled-page").alias("level"), F.col("page_path").alias("path"), "title"), F.struct(F.lit(1).alias("k"), F.lit("raw-source").alias("level"), F.col("source_path").alias("path"), F.col("source_path").alias("title")))
+    below = first.join(source, "page_path").select("answer_id", "n", F.explode(F.filter(F.array(*levels), lambda x: x["path"].isNotNull())).alias("e")).select("answer_id", "n", "e.*")
+    top = answers.select("answer_id", F.lit(0).cast("long").alias("n"), F.lit(0).alias("k"), F.lit("answer").alias("level"), F.lit("(generated answer)").alias("path"), F.lit("Generated Answer").alias("title"))
+    step = F.row_number().over(W.partitionBy("answer_id").orderBy("n", "k")) - 1
+    return top.unionByName(below).select("answer_id", step.cast("long").alias("step"), "level", "path", "title")
 
 
 def attribute_sources(rows: DataFrame, known: DataFrame) -> DataFrame:

@@ -84,7 +84,9 @@ def question_type(question: Column) -> Column:
 
 
 def is_complex(question: Column) -> Column:
-    return F.lower(question).rlike(f"(^|[^a-z0-9_])({COMPLEX_PHRASES})")
+    from ..functions.text import bounded
+
+    return F.lower(question).rlike(bounded(COMPLEX_PHRASES))
 
 
 @lru_cache(maxsize=1)

@@ -195,11 +195,17 @@ def backlinks(spark: SparkSession, d: str) -> DataFrame:
     return L.backlinks(V.wiki(spark, d))
 
 
-_CITES = """lines AS (SELECT answer_id, unnest(string_split(text, chr(10))) AS line FROM answers),
-found AS (SELECT answer_id, line, trim(unnest(regexp_extract_all(line, '\\[source:[ \\t]*([^\\]]+)\\]', 1))) AS title FROM lines),
-cites AS (SELECT answer_id, lower(title) AS k, trim(line) AS line, trim(regexp_replace(regexp_replace(line, '\\[source:[ \\t]*[^\\]]+\\]', '', 'g'), ' +', ' ', 'g')) AS claim, min(title) AS title FROM found GROUP BY 1, 2, 3, 4),
-titles AS (SELECT lower(trim(title)) AS k, arg_max(path, ord) AS page_path FROM wiki GROUP BY 1),
-parsed AS (SELECT answer_id, title, claim, coalesce(page_path, '') AS page_path FROM cites LEFT JOIN titles USING (k))"""
+# White space of every kind, in the syntax of the other engine's patterns.
+_WS = "[\\s\\x0b\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+_STRIP = "regexp_replace({0}, '^" + _WS.replace("{", "{{").replace("}", "}}") + "+|" + _WS.replace("{", "{{").replace("}", "}}") + "+$', '', 'g')"
+_CITES = f"""cut AS (SELECT answer_id, string_split(text, chr(10)) AS ls FROM answers),
+lines AS (SELECT answer_id, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS line FROM cut),
+marks AS (SELECT answer_id, line_no, line, regexp_extract_all(line, '\\[source:{_WS}*([^\\]]+)\\]', 1) AS ts FROM lines),
+found AS (SELECT answer_id, line_no, line, generate_subscripts(ts, 1) AS pos, unnest(ts) AS t FROM marks),
+named AS (SELECT answer_id, line_no, pos, {_STRIP.format("t")} AS title, {_STRIP.format("line")} AS bare, {_STRIP.format("regexp_replace(line, '\\[source:[^\\]]+\\]', '', 'g')")} AS claim FROM found),
+cites AS (SELECT *, lower(title) AS k FROM named QUALIFY row_number() OVER (PARTITION BY answer_id, lower(title), bare ORDER BY line_no, pos) = 1),
+titles AS (SELECT {_STRIP.format("lower(title)")} AS k, arg_max(path, ord) AS page_path FROM wiki GROUP BY 1),
+parsed AS (SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY line_no, pos) AS n, title, claim, coalesce(page_path, '') AS page_path FROM cites LEFT JOIN titles USING (k))"""
 
 
 @query(f"WITH {_CITES} SELECT * FROM parsed", "answers", "wiki")
@@ -207,12 +213,32 @@ def citation_parse(spark: SparkSession, d: str) -> DataFrame:
     return L.parse_citations(V.answers(spark, d), V.wiki(spark, d))
 
 
-@query(f"WITH {_CITES} SELECT answer_id, title, page_path, page_path IN (SELECT CASE WHEN ord % 8 = 0 THEN path || '.bak' ELSE path END FROM wiki) AS verified FROM parsed", "answers", "wiki")
+@query(f"WITH {_CITES} SELECT answer_id, n, title, page_path, page_path IN (SELECT CASE WHEN ord % 8 = 0 THEN path || '.bak' ELSE path END FROM wiki) AS verified FROM parsed", "answers", "wiki")
 def verify_citations(spark: SparkSession, d: str) -> DataFrame:
     w = V.wiki(spark, d)
     return L.verify_citations(L.parse_citations(V.answers(spark, d), w), w.withColumn("path", F.when(F.col("ord") % 8 == 0, F.concat("path", F.lit(".bak"))).otherwise(F.col("path"))))
 
 
+@query(
+    f"""WITH {_CITES},
+files AS (SELECT path AS page_path, CASE WHEN ord % 3 = 0 THEN NULL ELSE 'raw/notes/n' || ord || '.md' END AS source_path FROM wiki WHERE ord % 8 <> 0),
+once AS (SELECT answer_id, page_path, min(n) AS n, arg_min(title, n) AS title FROM parsed GROUP BY 1, 2),
+chain AS (
+  SELECT answer_id, 0 AS n, 0 AS k, 'answer' AS level, '(generated answer)' AS path, 'Generated Answer' AS title FROM answers
+  UNION ALL SELECT answer_id, n, 0, 'compiled-page', page_path, title FROM once JOIN files USING (page_path)
+  UNION ALL SELECT answer_id, n, 1, 'raw-source', source_path, source_path FROM once JOIN files USING (page_path) WHERE source_path IS NOT NULL)
+SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY n, k) - 1 AS step, level, path, title FROM chain""",
+    "answers", "wiki",
+)
+def provenance_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Citations of pages, one in eight of which is gone, back to the sources that two in three of them name."""
+    w, k = V.wiki(spark, d), F.col("ord")
+    source = F.when(k % 3 != 0, F.concat(F.lit("source_path:  raw/notes/n"), k.cast("string"), F.lit(".md \r\n"))).otherwise("")
+    files = w.filter(k % 8 != 0).select("path", F.concat(F.lit("---\ntitle: "), "title", F.lit("\n"), source, F.lit("tags:\n---\n"), "text").alias("raw"))
+    a = V.answers(spark, d)
+    return L.provenance_chain(a, L.parse_citations(a, w), files)
+
+
 @query("SELECT path FROM wiki WHERE path NOT IN (SELECT output_path FROM compilations UNION SELECT target_path FROM promotions)", "wiki", "compilations", "promotions")
 def unreceipted_pages(spark: SparkSession, d: str) -> DataFrame:
     return L.unreceipted_pages(V.wiki(spark, d), V.compilations(spark, d), V.promotions(spark, d))

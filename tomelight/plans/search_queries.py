@@ -138,15 +138,15 @@ def tokenize_question(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TYPES = " ".join(f"WHEN regexp_matches(q, '(^|[^A-Za-z0-9_])({w})([^A-Za-z0-9_]|$)') THEN '{n}'" for n, w in S.QUESTION_RULES)
-_LEAD = "CASE turn % 5 WHEN 0 THEN 'What is the difference: ' WHEN 1 THEN 'Explain as well as ' WHEN 2 THEN 'Who, furthermore, ' WHEN 3 THEN 'why ' ELSE '' END"
+_LEAD = "CASE turn % 5 WHEN 0 THEN 'What is the difference: ' WHEN 1 THEN 'Explain as well as ' WHEN 2 THEN 'Who, furthermore, ' WHEN 3 THEN 'why additionallyx ' ELSE '' END"
 
 
 @query(
-    f"""SELECT conv_id, turn, CASE {_TYPES} ELSE 'open-ended' END AS kind, regexp_matches(q, '(^|[^a-z0-9_])({S.COMPLEX_PHRASES})') AS complex
+    f"""SELECT conv_id, turn, CASE {_TYPES} ELSE 'open-ended' END AS kind, regexp_matches(q, '\\b({S.COMPLEX_PHRASES})\\b') AS complex
 FROM (SELECT conv_id, turn, lower({_LEAD} || text) AS q FROM conversations)"""
 )
 def question_classify(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("turn") % 5
-    lead = F.when(t == 0, "What is the difference: ").when(t == 1, "Explain as well as ").when(t == 2, "Who, furthermore, ").when(t == 3, "why ").otherwise("")
+    lead = F.when(t == 0, "What is the difference: ").when(t == 1, "Explain as well as ").when(t == 2, "Who, furthermore, ").when(t == 3, "why additionallyx ").otherwise("")
     q = F.concat(lead, F.col("text"))
     return V.table(spark, d, "conversations").select("conv_id", "turn", S.question_type(q).alias("kind"), S.is_complex(q).alias("complex"))

@@ -71,8 +71,9 @@ VIEWS = {
       doc_id % 5 <> 0 AS marp, CASE WHEN doc_id % 6 = 0 THEN ['p' || doc_id] END AS source_pages, doc_id AS ord
       FROM documents""",
     "answers": """SELECT conv_id * 10 + turn AS answer_id,
-      replace(text, chr(10), ' ') || ' [source: Page ' || ((conv_id * 10 + turn) % 1300) || ']' || chr(10) || 'Second claim [source: page ' || ((conv_id * 10 + turn) * 3 % 2600) ||
-      '] again [source: Page ' || ((conv_id * 10 + turn) * 3 % 2600) || ']' || chr(10) || 'No claim.' AS text
+      replace(text, chr(10), ' ') || ' [source: Page ' || ((conv_id * 10 + turn) % 1300) || ']' || chr(13) || chr(10) || 'Second  claim [source:' || chr(9) || 'page ' || ((conv_id * 10 + turn) * 3 % 2600) ||
+      '] again [source: PAGE ' || ((conv_id * 10 + turn) * 3 % 2600) || ' ]' || chr(160) || chr(10) || chr(9) || 'No claim. [source: Page 0] [source: ]' || chr(10) ||
+      replace(text, chr(10), ' ') || ' [source: page ' || ((conv_id * 10 + turn) % 1300) || ']  ' AS text
       FROM conversations WHERE role = 'assistant'""",
 }
 NEEDS = {"compilation_sources": ["compilations"], "raw_pages": ["wiki"]}

@@ -207,6 +207,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").filter("role = 'assistant'").select(
         k.alias("answer_id"),
         F.concat(
-            line, F.lit(" [source: Page "), (k % 1300).cast("string"), F.lit("]\nSecond claim [source: page "), (k * 3 % 2600).cast("string"), F.lit("] again [source: Page "), (k * 3 % 2600).cast("string"), F.lit("]\nNo claim.")
+            line, F.lit(" [source: Page "), (k % 1300).cast("string"), F.lit("]\r\nSecond  claim [source:\tpage "), (k * 3 % 2600).cast("string"), F.lit("] again [source: PAGE "), (k * 3 % 2600).cast("string"),
+            F.lit(" ]\u00a0\n\tNo claim. [source: Page 0] [source: ]\n"), line, F.lit(" [source: page "), (k % 1300).cast("string"), F.lit("]  "),
         ).alias("text"),
     )
