@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, frame, odd_rows
 from tomelight.llm import lm_scoring
-from tomelight.llm.lm_scoring import STRENGTHS, get_counts, get_keys, put_counts, put_keys, score_texts
+from tomelight.llm.lm_scoring import STRENGTHS, distinct, get_answers, get_counts, get_keys, put_answers, put_counts, put_keys, score_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -104,7 +104,20 @@ def test_packed_keys_and_counts():
     rng = np.random.default_rng(1)
     counts = np.concatenate((rng.integers(0, 3, 500), [254, 255, 256, 1 << 40], rng.integers(0, 600, 500)))
     assert (get_counts(put_counts(counts), len(counts)) == counts).all()
-    keys = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
-    assert (get_keys(put_keys(keys, True), True) == keys).all()
-    short = get_keys(put_keys(keys, False), False)
-    assert len(np.unique(short)) == len(keys) and int(short.max()) < 1 << 48
+    for top in (1, 200, 1 << 16, 1 << 41, 1 << 63):
+        keys = np.unique(rng.integers(0, top, 1000).astype(np.uint64))
+        assert (get_keys(put_keys(keys)) == keys).all()
+    assert (get_keys(put_keys(np.array([0, (1 << 64) - 1], np.uint64))) == np.array([0, (1 << 64) - 1], np.uint64)).all()
+    shared = rng.random(len(counts)) < 0.5
+    got = get_answers(put_answers(shared, counts), len(counts))
+    assert (got[0] == shared).all() and (got[1] == counts).all()
+
+
+def test_distinct_keys_of_any_width():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000):
+        for top in (1, 2, 1 << 30, 1 << 63):
+            keys = rng.integers(0, top, n).astype(np.uint64)
+            keys = np.concatenate((keys, keys[: n // 2], keys[:3] + np.uint64(1)))
+            for got, want in zip(distinct(keys), np.unique(keys, return_inverse=True), strict=True):
+                assert (got == want).all()
