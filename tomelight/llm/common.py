@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fill_cores
 from ..storage import new_path, remove
 
 #: A word is a run of anything but these six characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Memory of an executor, for each of its cores, that sizes of blocks and partitions are stated for.
 USUAL_CORE_BYTES = 2e9
+#: What a row counts as beside its text, so that rows of empty texts spread like others.
+ROW_BYTES = 64
 #: Text bytes that a partition of dealt blocks holds, for the usual memory.
 DEALT_BYTES = 16e6
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,8 +52,25 @@ def discard(df: DataFrame) -> None:
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> float:
-    """Bytes of text in ``df``, counted in a scan of that column."""
-    return float(df.agg(F.sum(F.octet_length(df[text_col].cast("string")).cast("long"))).first()[0] or 0)
+    """Bytes of text in ``df`` and ``ROW_BYTES`` for each row, counted in a scan of that column."""
+    own = F.coalesce(F.octet_length(df[text_col].cast("string")).cast("long"), F.lit(0)) + ROW_BYTES
+    return float(df.agg(F.sum(own)).first()[0] or 0)
+
+
+def map_all_columns(df: DataFrame, text_col: str, f: Callable[[pa.RecordBatch, int], pa.RecordBatch]) -> DataFrame:
+    """``df`` with ``f`` applied to its batches, given the place of ``text_col``, which is a string there.
+
+    ``f`` keeps columns and types.  Columns are numbered on the way, so they may have any names.
+    """
+    at = df.columns.index(text_col)
+    numbered = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    numbered = fill_cores(numbered.withColumn(f"c{at}", numbered[f"c{at}"].cast("string")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield f(batch, at)
+
+    return numbered.mapInArrow(run, numbered.schema).toDF(*df.columns)
 
 
 def for_memory(df: DataFrame, n_bytes: float) -> float:

@@ -118,15 +118,19 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     It is a row of the smallest identifier (a missing one counts as the largest); of rows that share
     text and identifier, the one whose columns hash least.  A null text counts as empty; an empty
-    table gives an empty one.
+    table gives an empty one.  Columns may have any names; they are numbered on the way.
+
+    Both the numbering and the join are by identifier and text, so the rows are shuffled once for both.
     """
 
     def row_key(row_id, sha):
         return F.concat(F.coalesce(row_id.cast("long").cast("string"), F.lit("")), F.lit(":"), sha)
 
-    kept = exact_groups(df, id_col, text_col).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_exact_key"))
-    sha = F.sha2(normalised(F.coalesce(df[text_col].cast("string"), F.lit(""))).cast("binary"), 256)
-    hashed = [df[c] for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
-    ranked = df.select("*", row_key(df[id_col], sha).alias("_exact_key"), F.xxhash64(*hashed).alias("_exact_hash"))
-    ranked = ranked.withColumn("_exact_nth", F.row_number().over(W.partitionBy("_exact_key").orderBy("_exact_hash"))).filter("_exact_nth = 1")
-    return ranked.join(kept, "_exact_key", "left_semi").select(*df.columns)
+    kept = exact_groups(df, id_col, text_col).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    row_id, text = (f"c{df.columns.index(c)}" for c in (id_col, text_col))
+    own = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    sha = F.sha2(normalised(F.coalesce(own[text].cast("string"), F.lit(""))).cast("binary"), 256)
+    hashed = [own[c] for c, kind in own.dtypes if "map<" not in kind and kind != "variant"]
+    ranked = own.select("*", row_key(own[row_id], sha).alias("key"), F.xxhash64(*hashed).alias("hash"))
+    first = ranked.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("hash"))).filter("nth = 1")
+    return first.join(kept, "key", "left_semi").select(*own.columns).toDF(*df.columns)

@@ -14,10 +14,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..session import fill_cores
-from .common import id_and_text
+from .common import id_and_text, map_all_columns
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "short_card", "local_phone", "national_id")
@@ -252,24 +251,20 @@ def personal_data_digest(df: DataFrame, id_col: str = "doc_id", text_col: str =
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with personal data in ``text_col`` replaced; its columns, order and rows stay.
 
-    A null text becomes the empty one.  ``n_chars``, where there is such a column, follows the text.
-    Repeated rows stay; an empty table gives an empty one.
+    A null text becomes the empty one.  ``n_chars``, where there is such a column of integers, follows
+    the text.  Repeated rows stay; an empty table gives an empty one.  Other columns may have any
+    names and types.
     """
-
-    columns = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            texts = []
-            for text in batch.column(at):
-                text = text.as_py() or ""
-                spans = find_spans(text)
-                texts.append(redact_text(text, spans) if spans else text)
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            if "n_chars" in columns:
-                at = batch.schema.get_field_index("n_chars")
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(map(len, texts), batch.schema.field(at).type))
-            yield batch
-
-    return fill_cores(df.withColumn(text_col, F.col(text_col).cast("string"))).mapInArrow(run, df.schema)
+    sizes = [k for k, (name, kind) in enumerate(df.dtypes) if name == "n_chars" and kind in ("int", "bigint")]
+
+    def run(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        texts = []
+        for text in batch.column(at):
+            text = text.as_py() or ""
+            spans = find_spans(text)
+            texts.append(redact_text(text, spans) if spans else text)
+        for k, values in [(at, texts), *((k, list(map(len, texts))) for k in sizes)]:
+            batch = batch.set_column(k, batch.schema.field(k), pa.array(values, batch.schema.field(k).type))
+        return batch
+
+    return map_all_columns(df, text_col, run)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fill_cores
-from .common import id_and_text
+from .common import id_and_text, map_all_columns
 
 #: Labelled rows that a fit takes at most, those of the smallest hash of their identifier.
 MAX_LABELLED = 20_000
@@ -253,12 +253,11 @@ def keep_good(df: DataFrame, model: QualityModel, text_col: str = "text") -> Dat
     """The rows of ``df``, all columns, that the model does not reject.
 
     Rows are judged where they lie, without a shuffle; a null text is judged as the empty one.
-    Repeated rows are judged each; an empty table gives an empty one.
+    Repeated rows are judged each; an empty table gives an empty one.  Columns may have any names.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text_col))], float).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
+    def run(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        x = np.array([features(t.as_py() or "") for t in batch.column(at)], float).reshape(-1, len(FEATURES))
+        return batch.filter(pa.array(model.score(x) >= THRESHOLD))
 
-    return fill_cores(df.withColumn(text_col, F.col(text_col).cast("string"))).mapInArrow(run, df.schema)
+    return map_all_columns(df, text_col, run)

@@ -74,6 +74,8 @@ class PrefixCounter:
                 self.automaton.add_word(self.key(token), (len(self.tokens), len(self.key(token))))
                 self.tokens.append(self.symbols(token))
         self.automaton.make_automaton()
+        #: Characters of the longest token, so an ended token begins no further back.
+        self.longest = max(map(len, map(self.key, model["vocab"])))
         self.meets = Memo(self._meet, 4 * CACHE_ENTRIES)
         self.pieces = Memo(self.count_piece, CACHE_ENTRIES)
         self.chunks = Memo(lambda chunk: sum(map(self.pieces.__getitem__, self.split(chunk))), CACHE_ENTRIES)
@@ -145,8 +147,8 @@ class PrefixCounter:
                 last[j], count[j] = token, count[i] + 1
         out = [0]
         for j in range(1, n + 1):
-            for at, (token, size) in self.automaton.iter(piece[max(0, j - 64) : j] + _END):
-                if at == min(64, j):
+            for at, (token, size) in self.automaton.iter(piece[max(0, j - self.longest) : j] + _END):
+                if at == min(self.longest, j):
                     i = j + 1 - size
                     if not i or self.meets[last[i], token]:
                         out.append(count[i] + 1)
