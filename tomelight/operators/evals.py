@@ -15,8 +15,8 @@ GROUNDED, PASS_SCORE = 0.5, 0.8
 def search_many(pages: DataFrame, queries: DataFrame, k: int, key: str = "path", columns: tuple[str, ...] = S.COLUMNS, index: S.Index | None = None) -> DataFrame:
     """spec_id, key, rank, nth: the top ``k`` pages with any term of each of many queries (spec_id, term)."""
     if index is not None:
-        wanted = queries.select("term").distinct()
-        weighted = S.weights(index.postings.join(wanted, "term").select(key, "term", "tf", "doc_len"), index.terms.select("term", "df"), index.totals, key)
+        own = S.of_terms(index.postings, queries, index.buckets).select(key, "term", "tf", "doc_len")
+        weighted = S.weights(own, S.of_terms(index.terms, queries, index.buckets).select("term", "df"), index.totals, key)
     else:
         lengths = pages.select(key, S.tokens(F.concat_ws(" ", *columns)).alias("terms")).select(key, F.size("terms").alias("doc_len"), "terms")
         totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))

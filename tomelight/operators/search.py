@@ -1,27 +1,30 @@
 """Full-text search: postings, BM25, strict and broad matching, re-ranking.
 
 A page's terms come from its indexed columns together.  A stored index holds the postings by bucket
-of their term, so a question reads those of its own terms, and document frequencies and the average
-length ready made.  Without one, postings of the question's terms are filtered from the pages before
-anything is shuffled.
+of their term, with the places of the term as differences, so a question reads those of its own
+terms, and document frequencies and the average length ready made; and the pages by bucket of their
+key, so what was found is shown without reading other pages.  Without an index, postings of the
+question's terms are filtered from the pages before anything is shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stem import porter
 from ..session import fill_cores
-from ..storage import remove
 
 K1, B = 1.2, 0.75
 #: Smallest inverse document frequency: terms in half the pages or more still order matches.
@@ -33,6 +36,10 @@ BUCKET_BYTES, MOST_BUCKETS = 128e6, 1024
 #: Terms up to which a question's buckets and terms are given to the scan as values.
 MOST_TERMS = 500
 COLUMNS = ("title", "tags", "body")
+#: A term's place is its column's number times this, and the number of terms before it there.
+COLUMN_PLACES = 1 << 40
+#: Terms whose postings are made at once.
+SLICE_TERMS = 500_000
 
 # Words that a question's search terms leave out; the first list is the longer one of
 # the question analysis, the second that of the page search.
@@ -102,6 +109,19 @@ def unicode_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.regexp_replace(folded, r"\p{M}+", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def terms_of(text: str, fold: bool = False, stem: bool = False) -> list[str]:
+    """The terms of one text, as an index has them; for questions, which are short."""
+    if not fold:
+        return re.findall("[a-z0-9]+", text.lower())
+    low = unicodedata.normalize("NFD", text.lower().translate(str.maketrans(*_marks())))
+    plain = "".join(c for c in low if unicodedata.category(c)[0] != "M")
+    found = re.findall(r"[^\W_]+", unicodedata.normalize("NFC", plain))
+    return [porter(t) for t in found] if stem else found
+
+
+_stems = lru_cache(maxsize=1 << 18)(porter)
+
+
 def stemmed(words: DataFrame) -> DataFrame:
     """term, stem of the distinct ``words.term``: only the vocabulary goes through Python."""
 
@@ -112,26 +132,78 @@ def stemmed(words: DataFrame) -> DataFrame:
     return words.select("term").distinct().mapInArrow(run, "term string, stem string")
 
 
-def postings(pages: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "path", fold: bool = False) -> DataFrame:
-    """key, term, tf, doc_len for every term of every page; with ``fold``, of the terms of any script without diacritics."""
-    text = F.concat_ws(" ", *columns)
-    # A page is one row, so its terms are counted there: sorted, each run of equal ones is a posting.
-    rows = pages.select(key, F.sort_array(unicode_tokens(text) if fold else tokens(text)).alias("terms")).select(key, "terms", F.size("terms").alias("doc_len"))
-    starts = F.filter(F.sequence(F.lit(0), F.col("doc_len") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
-    runs = rows.filter("doc_len > 0").select(key, "terms", "doc_len", starts.alias("starts"))
-    each = F.transform("starts", lambda i, k: F.struct(F.get("terms", i).alias("term"), (F.coalesce(F.get("starts", k + 1), F.col("doc_len")) - i).cast("long").alias("tf")))
-    return runs.select(key, "doc_len", F.explode(each).alias("p")).select(key, "p.term", "p.tf", "doc_len")
+def _posted(batch: pa.RecordBatch, stem: bool) -> pa.RecordBatch:
+    """Postings of a batch of (key, terms of each column): key, term, tf, doc_len, gaps."""
+    n, rows, places, terms = batch.num_rows, [], [], []
+    for c, column in enumerate(batch.columns[1:]):
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows.append(np.repeat(np.arange(n), sizes))
+        places.append(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + c * COLUMN_PLACES)
+        terms.append(column.flatten())
+    row, place = np.concatenate(rows), np.concatenate(places)
+    coded = pa.chunked_array(terms).combine_chunks().dictionary_encode()
+    vocabulary, code = coded.dictionary, coded.indices.to_numpy()
+    if stem:  # each distinct term once
+        again = pa.array([_stems(t) for t in vocabulary.to_pylist()], pa.string()).dictionary_encode()
+        vocabulary, code = again.dictionary, again.indices.to_numpy()[code]
+    order = np.lexsort((place, code, row))
+    row, code, place = row[order], code[order], place[order]
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(row) else np.zeros(0, np.int64)
+    gaps = np.diff(place, prepend=0)
+    gaps[first] = place[first]
+    length = np.bincount(row, minlength=n)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(gaps, pa.int64()))
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).take(pa.array(row[first])), vocabulary.take(pa.array(code[first])), pa.array(np.diff(np.append(first, len(row))), pa.int64()), pa.array(length[row[first]], pa.int32()), lists],
+        names=[batch.schema.names[0], "term", "tf", "doc_len", "gaps"],
+    )
+
+
+def postings(pages: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "path", fold: bool = False, stem: bool = False) -> DataFrame:
+    """key, term, tf, doc_len, gaps for every term of every page.
+
+    ``gaps`` are the term's places in ascending order, each as the difference to the one before.
+    With ``fold`` terms are of any script and without diacritics, with ``stem`` they are stems.
+    """
+    split = unicode_tokens if fold else tokens
+    rows = pages.select(key, *(split(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"_{k}") for k, c in enumerate(columns)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = sum(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
+            slot = (np.cumsum(sizes) - 1) // SLICE_TERMS
+            cuts = np.flatnonzero(np.diff(slot, prepend=-2)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                yield _posted(batch.slice(a, b - a), stem)
+
+    return rows.mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, term string, tf long, doc_len int, gaps array<long>")
+
+
+def placed(gaps: Column | str) -> Column:
+    """Places again from their differences."""
+
+    def run(lists: pa.Array) -> pa.Array:
+        flat = np.cumsum(lists.flatten().to_numpy(zero_copy_only=False))
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        before = np.concatenate(([0], flat))[ends - sizes]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat - np.repeat(before, sizes), pa.int64()))
+
+    return F.arrow_udf(run, "array<bigint>")(gaps)
 
 
 @dataclass(frozen=True)
 class Index:
-    """A stored index: postings (bucket, term, key, tf, doc_len), terms (bucket, term, df, total_tf), totals (n, avg_len)."""
+    """A stored index: postings (bucket, term, key, tf, doc_len, gaps), terms (bucket, term, df, total_tf), totals (n, avg_len), pages (bucket, key and its columns)."""
 
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
     buckets: int
     stem: bool = False
+    pages: DataFrame | None = None
+    columns: tuple[str, ...] = COLUMNS
+    key: str = "path"
 
 
 def _bucket(term: Column | str, buckets: int) -> Column:
@@ -139,35 +211,56 @@ def _bucket(term: Column | str, buckets: int) -> Column:
 
 
 def write_index(pages: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS, key: str = "path", stem: bool = False) -> None:
-    """Store the index of ``pages`` below ``path``, one folder a bucket, terms in order within files; the totals come last."""
+    """Store the index of ``pages`` below ``path``, one folder a bucket, terms or keys in order within files; the totals come last.
+
+    With ``stem`` terms are folded and stemmed.
+    """
     spark = pages.sparkSession
     n, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.concat_ws(" ", *columns)).cast("long"))).first()
     buckets = min(MOST_BUCKETS, max(1, math.ceil((size or 0) / BUCKET_BYTES)))
     # A bucket's rows are dealt over several files by key, so a term that every page has is not one task's.
     files = max(4, math.ceil(spark.sparkContext.defaultParallelism / buckets), math.ceil((size or 0) / BUCKET_BYTES / buckets))
-    rows = postings(fill_cores(pages), columns, key, stem)
-    if stem:  # the postings are kept while their vocabulary is stemmed
-        rows.write.parquet(f"{path}/_plain")
-        plain = spark.read.parquet(f"{path}/_plain")
-        rows = plain.join(stemmed(plain), "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"), F.first("doc_len").alias("doc_len"))
-    rows = rows.withColumn("bucket", _bucket("term", buckets))
+    rows = postings(fill_cores(pages), columns, key, stem, stem).withColumn("bucket", _bucket("term", buckets))
     dealt = rows.repartition(buckets * files, "bucket", F.pmod(F.xxhash64(key), F.lit(files)))
     dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    remove(spark, f"{path}/_plain")
     stored = spark.read.parquet(f"{path}/postings")
     terms = stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
     terms.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    kept = pages.withColumn("bucket", _bucket(F.col(key).cast("string"), buckets))
+    kept.repartition(buckets * files, "bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(files))).sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{path}/pages")
     total = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("total_tf"), F.lit(0)).alias("tokens"))
-    total.select(F.lit(n).cast("long").alias("n"), (F.col("tokens") / F.lit(max(n, 1))).alias("avg_len"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/totals")
+    total.select(
+        F.lit(n).cast("long").alias("n"), (F.col("tokens") / F.lit(max(n, 1))).alias("avg_len"), F.lit(buckets).alias("buckets"), F.lit(stem).alias("stem"), F.array(*map(F.lit, columns)).alias("columns"), F.lit(key).alias("key")
+    ).write.parquet(f"{path}/totals")
 
 
-def read_index(spark: SparkSession, path: str, stem: bool = False) -> Index:
+def read_index(spark: SparkSession, path: str) -> Index:
     """The index that ``write_index`` stored below ``path``."""
     kept = spark.read.parquet(f"{path}/totals")
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), kept.select("n", "avg_len"), kept.first()["buckets"], stem)
+    how = kept.first()
+    return Index(
+        spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), kept.select("n", "avg_len"), how["buckets"], how["stem"], spark.read.parquet(f"{path}/pages"), tuple(how["columns"]), how["key"]
+    )
+
+
+def stored_pages(index: Index, found: DataFrame) -> DataFrame:
+    """``found`` joined with the stored columns of its pages.
+
+    The few keys of a limited result reach the scan as values; many are joined.
+    """
+    key, spark = index.key, found.sparkSession
+    few = found.limit(MOST_TERMS + 1).collect()
+    if len(few) > MOST_TERMS:
+        return found.join(index.pages.drop("bucket"), key)
+    local = spark.createDataFrame(few, found.schema)
+    if not few:
+        return local.join(index.pages.drop("bucket").limit(0), key)
+    buckets = spark.createDataFrame([(str(r[key]),) for r in few], "k string").select(_bucket("k", index.buckets).alias("b")).distinct().collect()
+    own = index.pages.filter(F.col("bucket").isin(*(r["b"] for r in buckets)) & F.col(key).isin(*(r[key] for r in few)))
+    return own.drop("bucket").join(F.broadcast(local), key)
 
 
-def _of_terms(stored: DataFrame, query: DataFrame, buckets: int) -> DataFrame:
+def of_terms(stored: DataFrame, query: DataFrame, buckets: int) -> DataFrame:
     """Rows of ``stored`` for the terms of ``query``; a question's few terms reach the scan as values."""
     wanted = query.select("term").distinct()
     few = wanted.select("term", _bucket("term", buckets).alias("bucket")).limit(MOST_TERMS + 1).collect()
@@ -202,8 +295,8 @@ def bm25(pages: DataFrame, query: DataFrame, columns: tuple[str, ...] = COLUMNS,
     ``query`` has one row a term of the question.  With ``index`` the pages are not read.
     """
     if index is not None:
-        own = _of_terms(index.postings, query, index.buckets).select(key, "term", "tf", "doc_len")
-        scored = weights(own, _of_terms(index.terms, query, index.buckets).select("term", "df"), index.totals, key)
+        own = of_terms(index.postings, query, index.buckets).select(key, "term", "tf", "doc_len")
+        scored = weights(own, of_terms(index.terms, query, index.buckets).select("term", "df"), index.totals, key)
     else:
         lengths = pages.select(key, tokens(F.concat_ws(" ", *columns)).alias("terms")).select(key, "terms", F.size("terms").alias("doc_len"))
         totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
@@ -238,7 +331,8 @@ def rerank(pages: DataFrame, query: DataFrame, kind: str, limit: int = 5, title:
     """The best ``limit`` of three times as many: a term in the title or a preferred type lowers the rank."""
     found = search(pages, query, limit * FETCH_MULTIPLIER, key=key, **kw)
     terms = query.agg(F.collect_set("term").alias("ts"))
-    paged = found.join(pages.select(key, title, "type"), key).crossJoin(F.broadcast(terms))
+    shown = stored_pages(kw["index"], found) if kw.get("index") else found.join(pages.select(key, title, "type"), key)
+    paged = shown.crossJoin(F.broadcast(terms))
     in_title = F.exists("ts", lambda t: F.lower(F.col(title)).contains(t))
     preferred = PREFERRED_TYPES.get(kind, ())
     adjusted = F.col("rank") - F.when(in_title, TITLE_BOOST).otherwise(0.0) - (F.when(F.col("type").isin(*preferred), TYPE_BOOST).otherwise(0.0) if preferred else F.lit(0.0))
@@ -263,7 +357,9 @@ def evidence(pages: DataFrame, query: DataFrame, limit: int = 10, most: int = 40
     # At most ``limit`` rows reach this window.
     n = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.round("rank", 9), "path"))
     slug = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.md$", ""), "[^a-zA-Z0-9]+", "-"), "^-+|-+$", "")
-    return found.withColumn("n", n).join(pages.select("path", "body"), "path").select(
+    ranked = found.withColumn("n", n)
+    shown = stored_pages(index, ranked) if index is not None else ranked.join(pages.select("path", "body"), "path")
+    return shown.select(
         "path", F.concat(F.lpad(F.col("n").cast("string"), 2, "0"), F.lit("-"), slug, F.lit(".md")).alias("filename"), excerpt("body", most).alias("excerpt")
     )
 

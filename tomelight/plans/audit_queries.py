@@ -381,7 +381,8 @@ def _longest(spark: SparkSession, d: str) -> DataFrame:
     """spec_id, path of the pages that have a passage's longest term."""
     nth = F.row_number().over(W.partitionBy("spec_id").orderBy(F.desc(F.length("term")), "term"))
     first = _specs(spark, d).withColumn("nth", nth).filter("nth = 1").select("spec_id", "term")
-    return first.join(Q.index(spark, d).postings.select("path", "term"), "term").select("spec_id", "path")
+    i = Q.index(spark, d)
+    return first.join(S.of_terms(i.postings, first, i.buckets).select("path", "term"), "term").select("spec_id", "path")
 
 
 @query(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import views as V
+from ..operators import match as M
 from ..operators import search as S
-from ..storage import exists, modified, new_path
+from ..storage import exists, listing, new_path
 from .registry import query
 
 N_TERMS, LEAST_DF = 3, 5
@@ -37,19 +40,19 @@ _indexes: dict[tuple, str] = {}
 def index(spark: SparkSession, d: str, stem: bool = False) -> S.Index:
     """The pages' stored index, written for the first question about a table as it is."""
     source = f"{d}/documents.parquet"
-    name = (spark.sparkContext.applicationId, source, modified(spark, source), stem)
+    name = (spark.sparkContext.applicationId, source, listing(spark, source), stem)
     # The totals are written last; a shared folder may be emptied between questions.
     if name not in _indexes or not exists(spark, f"{_indexes[name]}/totals/_SUCCESS"):
         path = new_path(spark, "index")
         S.write_index(pages(spark, d), path, stem=stem)
         _indexes[name] = path
-    return S.read_index(spark, _indexes[name], stem)
+    return S.read_index(spark, _indexes[name])
 
 
 def corpus_terms(stored: S.Index) -> DataFrame:
     """The rarest terms that at least ``LEAST_DF`` pages have, five characters and up."""
     freq = stored.terms.filter((F.col("df") >= LEAST_DF) & (F.length("term") >= 5))
-    return freq.orderBy("df", "term").limit(N_TERMS).select("term")
+    return freq.orderBy("df", "term").limit(N_TERMS).select("term", "df")
 
 
 @query("WITH " + _PAGES + " SELECT term, count(DISTINCT path) AS df, count(*) AS total_tf FROM plain GROUP BY term", "wiki")
@@ -122,6 +125,50 @@ def fts_search_stemmed(spark: SparkSession, d: str) -> DataFrame:
     return S.search(pages(spark, d), corpus_terms(i), 20, match_all=False, index=i).select("path", F.round("rank", 6).alias("rank"), "matched")
 
 
+_COLS = """cols AS (SELECT path, generate_subscripts([1, 2, 3], 1) AS c, unnest([regexp_extract_all(lower(title), '[a-z0-9]+'), regexp_extract_all(lower(tags), '[a-z0-9]+'), regexp_extract_all(lower(body), '[a-z0-9]+')]) AS ts FROM pages_),
+at_ AS (SELECT path, c, generate_subscripts(ts, 1) AS p, unnest(ts) AS t FROM cols)"""
+
+
+@query(
+    "WITH " + _PAGES + ", " + _COLS + """, ph AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:6] AS ws FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0),
+win AS (SELECT path, t, array_to_string([t, lead(t, 1) OVER w, lead(t, 2) OVER w, lead(t, 3) OVER w, lead(t, 4) OVER w, lead(t, 5) OVER w], ' ') AS s FROM at_ WINDOW w AS (PARTITION BY path, c ORDER BY p))
+SELECT id, path, count(*) AS hits FROM ph JOIN win ON t = ws[1] AND (s = array_to_string(ws, ' ') OR starts_with(s, array_to_string(ws, ' ') || ' ')) GROUP BY id, path""",
+    "wiki",
+)
+def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """Which pages have the first six words of each passage in a row, and how often."""
+    phrases = V.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.slice(S.tokens("text"), 1, 6).alias("terms"))
+    return M.phrase_hits(index(spark, d), phrases)
+
+
+@query(
+    "WITH " + _PAGES + ", " + _COLS + """,
+t3 AS (SELECT list(term ORDER BY df, term) AS x FROM (SELECT term, df FROM freq WHERE df >= 5 AND length(term) >= 5 ORDER BY df, term LIMIT 3)),
+has AS (SELECT path, c, p, t, x, lead(t) OVER (PARTITION BY path, c ORDER BY p) AS nxt FROM at_, t3),
+per AS (SELECT path, bool_or(t = x[1]) AS a, bool_or(t = x[2]) AS b, bool_or(starts_with(t, x[3][1:3])) AS pre, bool_or(c = 1 AND p = 1 AND t = 'the') AS first_the, bool_or(c = 2 AND t = 'en') AS en,
+  bool_or(c = 3 AND t = 'the') AS body_the, bool_or(t = 'of' AND nxt = 'the') AS of_the FROM has GROUP BY path),
+near_ AS (SELECT DISTINCT u.path FROM (SELECT path, c, p FROM has WHERE t = x[1]) u JOIN (SELECT path, c, p FROM at_ WHERE t = 'the') v ON u.path = v.path AND u.c = v.c AND abs(u.p - v.p) <= 4)
+SELECT 'either' AS what, path FROM per WHERE a OR (b AND of_the) UNION ALL SELECT 'without', path FROM per WHERE en AND NOT pre AND NOT body_the
+UNION ALL SELECT 'start', path FROM per WHERE first_the OR a UNION ALL SELECT 'near', path FROM near_""",
+    "wiki",
+)
+def fts_match(spark: SparkSession, d: str) -> DataFrame:
+    """Expressions with words of the corpus: boolean, column, prefix, first word and nearness."""
+    i = index(spark, d)
+    a, b, c = (r["term"] for r in corpus_terms(i).orderBy("df", "term").collect())
+    asked = {"either": f'{a} OR ({b} AND "of the")', "without": f"tags : en NOT {c[:3]}* NOT body : the", "start": f"title : ^the OR {a}", "near": f"NEAR({a} the, 3)"}
+    found = [M.match_pages(i, text).select(F.lit(what).alias("what"), "path") for what, text in asked.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(None)
+def fts_snippet(spark: SparkSession, d: str) -> DataFrame:
+    """The best pages for any of three words of the corpus, with the part of their text that shows most of them."""
+    i = index(spark, d)
+    terms = [r["term"] for r in corpus_terms(i).orderBy("df", "term").collect()]
+    return M.search_expression(i, " OR ".join(terms)).select("path", "title", "type", F.round("rank", 6).alias("rank"), "snippet")
+
+
 def _sql_list(words: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 

@@ -37,10 +37,14 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def modified(spark: SparkSession, path: str) -> int:
-    """When ``path`` was last changed, by whatever file system holds it."""
+def listing(spark: SparkSession, path: str) -> int:
+    """A hash of the files below ``path`` with their sizes and times, by whatever file system holds them."""
     system, target = _file_system(spark, path)
-    return int(system.getFileStatus(target).getModificationTime())
+    files, found = system.listFiles(target, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((str(f.getPath()), int(f.getLen()), int(f.getModificationTime())))
+    return hash(tuple(sorted(found)))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
