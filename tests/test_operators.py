@@ -80,6 +80,28 @@ def test_built_chain_verifies(spark):
     assert (got["events"], got["breaks"], got["boundary"]) == (29, 0, "first")
 
 
+@pytest.mark.parametrize("segment", [1, 2, 3, 7, 1000])
+def test_segments_of_any_size_give_one_verdict(spark, segment):
+    rows = chain([*"abcdefgh"], ["bad", "x"], [*"ijklmnop"], [*"qrs"], legacy=(3,))
+    rows = [(*r[:2], r[2].upper(), *r[3:]) if r[2] in "bgm" else r for r in rows if r[2] != "k"]
+    lines = spark.createDataFrame(rows, LINES).repartition(4)
+    whole = sorted(map(tuple, audit.verify_chain(lines, 10**9).collect()))
+    assert sorted(map(tuple, audit.verify_chain(lines, segment).collect())) == whole and sum(r[2] for r in whole) == 4
+    indexed = spark.createDataFrame([("d0.jsonl", 9), ("d3.jsonl", 5)], "file string, indexed long")
+    assert sorted(map(str, audit.chain_smoke(lines, indexed, segment).collect())) == sorted(map(str, audit.chain_smoke(lines, indexed, 10**9).collect()))
+
+
+def test_redaction_of_nested_values(spark):
+    cases = {
+        '{"a": {"b": [{"secret": [1]}, "sk-1", "x sk-1", [["sk-2", {"token": 1}], 2]]}, "apiKey": null}': '{"a":{"b":[{"secret":"[REDACTED]"},"[REDACTED]","x sk-1",{"0":["[REDACTED]",{"token":"[REDACTED]"}],"1":2}]},"apiKey":"[REDACTED]"}',
+        '{"t": "Bearer\\tx", "f": 1.0e5, "u": "\\u0073k-a"}': '{"t":"[REDACTED]","f":1.0e5,"u":"[REDACTED]"}',
+        ' {"plain": 1.50}': ' {"plain": 1.50}', '["sk-1"]': None, "no json": None, '{"token": ': None, "{}": "{}", '{"APIKEY": "x", "tokens": 1, "sk-": "ok"}': '{"APIKEY":"x","tokens":1,"sk-":"ok"}',
+    }
+    for text, want in cases.items():
+        assert one(spark, filters.redacted_json(F.col("t")), t=text) == want
+    assert one(spark, filters.redacted_json(F.col("t")), t=None) is None
+
+
 def test_anchor_is_written_once_and_detects_rewriting(spark):
     lines = spark.createDataFrame(chain(["a", "b"], ["c"]), LINES)
     none = spark.createDataFrame([], "n int, total long, head string, anchor_hash string")

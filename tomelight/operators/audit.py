@@ -17,6 +17,10 @@ from pyspark.sql import Window as W
 from .numbering import numbered
 
 
+#: Lines of a day file that one task checks in a row.
+SEGMENT_LINES = 100_000
+
+
 def _readable(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines before each file's first unreadable one, and where that is."""
     bad = lines.filter("NOT parses").groupBy("file").agg(F.min("line_no").alias("bad_line"))
@@ -24,7 +28,20 @@ def _readable(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def verify_chain(lines: DataFrame) -> DataFrame:
+def _following(lines: DataFrame, segment: int = SEGMENT_LINES) -> DataFrame:
+    """``lines`` with ``want``, the hash of the raw line before each in its file; null for a file's first.
+
+    A file is cut into segments of ``segment`` line numbers: lines look back within their segment, and
+    a segment's first line at the last line of the segment before, of which there is one row each.
+    """
+    cut = lines.withColumn("_segment", F.floor(F.col("line_no") / segment))
+    lasts = cut.groupBy("file", "_segment").agg(F.sha2(F.max_by("raw", "line_no"), 256).alias("_last"))
+    before = lasts.select("file", "_segment", F.lag("_last").over(W.partitionBy("file").orderBy("_segment")).alias("_before"))
+    own = F.lag("raw").over(W.partitionBy("file", "_segment").orderBy("line_no"))
+    return cut.join(before, ["file", "_segment"]).withColumn("want", F.coalesce(F.sha2(own, 256), "_before")).drop("_segment", "_before")
+
+
+def verify_chain(lines: DataFrame, segment: int = SEGMENT_LINES) -> DataFrame:
     """file, events, breaks, bad_line, boundary for ``lines`` (file, line_no, raw, prev_hash, parses).
 
     A line must carry the hash of the raw line before it; a mismatch counts and the walk goes on.
@@ -33,9 +50,7 @@ def verify_chain(lines: DataFrame) -> DataFrame:
     file it must carry nothing.
     """
     good, bad = _readable(lines)
-    own = W.partitionBy("file").orderBy("line_no")
-    checked = good.withColumn("want", F.sha2(F.lag("raw").over(own), 256))
-    per_file = checked.groupBy("file").agg(
+    per_file = _following(good, segment).groupBy("file").agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if((F.col("line_no") > 1) & ~F.col("prev_hash").eqNullSafe(F.col("want"))).alias("breaks"),
         F.min_by("prev_hash", "line_no").alias("first_prev"),
@@ -54,10 +69,9 @@ def verify_chain(lines: DataFrame) -> DataFrame:
     return lines.select("file").distinct().join(out, "file", "left").join(bad, "file", "left").select("file", F.coalesce("events", F.lit(0).cast("bigint")).alias("events"), F.coalesce("breaks", F.lit(0).cast("bigint")).alias("breaks"), "bad_line", F.coalesce("boundary", F.lit("empty")).alias("boundary"))
 
 
-def chain_smoke(lines: DataFrame, indexed: DataFrame) -> DataFrame:
+def chain_smoke(lines: DataFrame, indexed: DataFrame, segment: int = SEGMENT_LINES) -> DataFrame:
     """file, problem, line_no: the first problem within each file, or fewer lines than the index knows."""
-    own = W.partitionBy("file").orderBy("line_no")
-    step = lines.withColumn("want", F.sha2(F.lag("raw").over(own), 256))
+    step = _following(lines, segment)
     problem = F.when(~F.col("parses"), "BAD_JSON").when((F.col("line_no") > 1) & ~F.col("prev_hash").eqNullSafe(F.col("want")), "HASH_MISMATCH")
     first = step.withColumn("problem", problem).filter("problem IS NOT NULL").groupBy("file").agg(F.min_by("problem", "line_no").alias("problem"), F.min("line_no").alias("line_no"))
     counts = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,6 +27,7 @@ PERSONAL = (
 )
 INJECTIONS = (r"ignore\s+(all\s+)?previous\s+instructions", r"ignore\s+the\s+above", r"system\s*prompt", r"you\s+are\s+now", r"disregard\s+(all\s+)?prior")
 SECRETS = (r"sk-ant-[A-Za-z0-9_-]+", r"sk-[A-Za-z0-9_-]{20,}", r"Bearer\s+[A-Za-z0-9._-]+")
+SECRET_VALUE = r"^(sk-ant-|sk-|Bearer\s)"
 SECRET_FIELDS = ("apikey", "api_key", "apiKey", "authorization", "token", "secret", "password", "credential")
 TRANSITIONS = {
     "created": ("collecting", "failed_collecting"),
@@ -108,9 +112,61 @@ def redacted(text: Column) -> Column:
     return reduce(lambda out, p: F.regexp_replace(out, p, "[REDACTED]"), SECRETS, text)
 
 
+class _Number(str):
+    """A number as it was written."""
+
+
+def _redact(value: dict | list) -> dict:
+    """As writers of logs redact: a list within a list becomes an object by position."""
+    out = {}
+    for name, v in value.items() if isinstance(value, dict) else ((str(k), v) for k, v in enumerate(value)):
+        if name in SECRET_FIELDS or _is_secret(v):
+            out[name] = "[REDACTED]"
+        elif isinstance(v, list):
+            out[name] = ["[REDACTED]" if _is_secret(x) else _redact(x) if isinstance(x, (dict, list)) else x for x in v]
+        else:
+            out[name] = _redact(v) if isinstance(v, dict) else v
+    return out
+
+
+def _is_secret(value: object) -> bool:
+    return isinstance(value, str) and not isinstance(value, _Number) and re.match(SECRET_VALUE, value) is not None
+
+
+def _written(value: object) -> str:
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_written(k)}:{_written(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_written, value)) + "]"
+    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+
+
+def _redacted_texts(texts: pa.Array) -> pa.Array:
+    out = []
+    for text in texts.to_pylist():
+        try:
+            value = None if text is None else json.loads(text, parse_int=_Number, parse_float=_Number)
+        except (ValueError, RecursionError):
+            value = None
+        out.append(_written(_redact(value)) if isinstance(value, dict) else None)
+    return pa.array(out, pa.string())
+
+
+def redacted_json(text: Column) -> Column:
+    """JSON objects of any depth with secret names' values and secret values replaced, null for what is no JSON object.
+
+    Objects that hold no such name or value stay as they are; others go through Python and are
+    written without spaces, numbers as they were.
+    """
+    names = "|".join(f'"{n}"' for n in SECRET_FIELDS)
+    suspect = text.rlike(f"{names}|sk-|Bearer|\\\\u")
+    whole = F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("{")
+    return F.when(whole & suspect, F.arrow_udf(_redacted_texts, "string")(F.when(suspect, text))).when(whole, text)
+
+
 def redacted_fields(fields: Column) -> Column:
     """A map of strings with secret names and values replaced."""
-    return F.transform_values(fields, lambda k, v: F.when(k.isin(*SECRET_FIELDS) | v.rlike(r"^(sk-ant-|sk-|Bearer\s)"), "[REDACTED]").otherwise(v))
+    return F.transform_values(fields, lambda k, v: F.when(k.isin(*SECRET_FIELDS) | v.rlike(SECRET_VALUE), "[REDACTED]").otherwise(v))
 
 
 def task_transitions(events: DataFrame, task: str = "task", order: str = "ord") -> DataFrame:

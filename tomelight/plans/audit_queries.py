@@ -18,6 +18,7 @@ from ..operators import search as S
 from ..operators.exports import spool_candidates
 from . import search_queries as Q
 from .core_queries import _LINKS, _STALE
+from ..operators.numbering import numbered
 from .registry import query
 from .text_queries import _PRICE, SCHEMA_SQL, schema_pages
 
@@ -101,8 +102,7 @@ SELECT file, line_no, sha256(line) AS line_hash FROM c"""
 )
 def trace_append(spark: SparkSession, d: str) -> DataFrame:
     e = V.table(spark, d, "events").select(F.substring(V.iso("ts"), 1, 10).alias("file"), "event_id", F.col("props").alias("payload"))
-    numbered = e.withColumn("line_no", F.row_number().over(W.partitionBy("file").orderBy("event_id")))
-    return A.build_chain(numbered).select("file", "line_no", F.sha2("line", 256).alias("line_hash"))
+    return A.build_chain(numbered(e, "file", ["event_id"], "line_no")).select("file", "line_no", F.sha2("line", 256).alias("line_hash"))
 
 
 @query("SELECT file, count(*) AS n_lines, count(*) FILTER (parses) AS n_readable, count(*) FILTER (parses AND json_extract_string(CASE WHEN parses THEN raw END, '$.event_type') = 'purchase') AS n_marked FROM trace_lines GROUP BY file", "trace_lines")

@@ -226,6 +226,19 @@ def secret_redaction(spark: SparkSession, d: str) -> DataFrame:
     return _laced(spark, d).select("doc_id", F.sha2(P.redacted(F.col("text")), 256).alias("digest"), F.element_at(P.redacted_fields(fields), name).alias("value"))
 
 
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '{"n": 1.50, "tokens": [' || doc_id || ']}' WHEN doc_id % 4 = 3 THEN NULL ELSE
+  '{"n":1.50,"in":{"deep":[{"password":"[REDACTED]","k":' || doc_id || '},"[REDACTED]",[1e3,"sk-y"],null,true]},"token":"[REDACTED]","note":"' || CASE WHEN doc_id % 4 = 1 THEN '[REDACTED]' ELSE 'not Bearer ' || doc_id END || '"}' END AS payload FROM documents"""
+    .replace('[1e3,"sk-y"]', '{"0":1e3,"1":"[REDACTED]"}')
+)
+def redact_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads of several levels before they are hashed."""
+    k = F.col("doc_id")
+    deep = F.concat(F.lit('{"n": 1.50, "in": {"deep": [{"password": {"a": 1}, "k": '), k.cast("string"), F.lit('}, "sk-x", [1e3, "sk-y"], null, true]}, "token": 5, "note": "'), F.when(k % 4 == 1, "Bearer ").otherwise("not Bearer "), k.cast("string"), F.lit('"}'))
+    text = F.when(k % 4 == 0, F.concat(F.lit('{"n": 1.50, "tokens": ['), k.cast("string"), F.lit("]}"))).when(k % 4 == 3, "[1]").otherwise(deep)
+    return _docs(spark, d).select("doc_id", P.redacted_json(text).alias("payload"))
+
+
 _OK = " OR ".join(f"(previous = '{a}' AND status IN ({', '.join(repr(x) for x in b)}))" for a, b in P.TRANSITIONS.items())
 
 
