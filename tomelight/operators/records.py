@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.yaml import yaml_json
 from .cost import pricing_model
 from .cost import rate as model_rate
 from .filters import TRANSITIONS
@@ -248,9 +249,24 @@ SPEC_SCHEMA = (
 
 
 def load_specs(files: DataFrame) -> DataFrame:
-    """path, its spec's columns and error of spec files (path, raw, JSON objects); one bad file doesn't stop the others."""
-    parsed = files.select("path", F.from_json("raw", SPEC_SCHEMA).alias("s"), (F.try_parse_json("raw").isNull() | ~F.trim("raw").startswith("{")).alias("broken")).select("path", "broken", "s.*")
-    return parsed.withColumn("error", F.when(F.col("broken"), "not an object").otherwise(spec_errors(parsed))).drop("broken")
+    """path, its spec's columns and error of spec files (path, raw, YAML or JSON objects); one bad file doesn't stop the others."""
+    read = files.select("path", yaml_json(F.col("raw")).alias("y"))
+    parsed = read.select("path", "y", F.from_json("y.json", SPEC_SCHEMA).alias("s")).select("path", "y", "s.*")
+    broken = F.when(F.col("y.error").isNotNull(), F.concat(F.lit("not readable: "), "y.error")).when(~F.coalesce(F.col("y.json").startswith("{"), F.lit(False)), "not an object")
+    return parsed.withColumn("error", F.coalesce(broken, F.when(F.col("y.json").startswith("{"), spec_errors(parsed)))).drop("y")
+
+
+_PARAPHRASES = "array<struct<text:string,primary:boolean>>"
+
+
+def read_bank(files: DataFrame) -> DataFrame:
+    """path, intent_id, question, paraphrases, error of question banks (path, raw, YAML): a row a question, or one for a file that is no bank."""
+    schema = f"questions array<struct<id:string,question:string,paraphrases:{_PARAPHRASES}>>"
+    read = files.select("path", yaml_json(F.col("raw")).alias("y")).select("path", "y", F.get_json_object("y.json", "$.questions").alias("qs"), F.from_json("y.json", schema).alias("b"))
+    error = F.when(F.col("y.error").isNotNull(), F.concat(F.lit("not readable: "), "y.error")).when(F.col("qs").isNull() | ~F.col("qs").startswith("["), "questions: not a list")
+    each = read.select("path", error.alias("error"), F.explode_outer(F.when(error.isNull(), F.col("b.questions"))).alias("q"))
+    primary = F.transform("q.paraphrases", lambda p: F.struct(p["text"].alias("text"), F.coalesce(p["primary"], F.lit(False)).alias("primary")))
+    return each.select("path", F.col("q.id").alias("intent_id"), "q.question", primary.alias("paraphrases"), "error")
 
 
 def bank_prompts(bank: DataFrame, mode: str = "all") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..functions import text as T
+from ..functions.yaml import yaml_json
 from ..operators import exports as X
 from ..operators import ingest as I
 from ..operators import records as R
@@ -268,10 +269,31 @@ def eval_spec_load(spark: SparkSession, d: str) -> DataFrame:
         odd(7, F.lit(" "), F.lit("wiki/x.md")).alias("target_file"),
         odd(8, 0, 10).alias("sample_size"),
     )
-    files = items.select(F.concat(F.lit("e"), k.cast("string"), F.lit("-"), v.cast("string")).alias("path"), odd(9, F.lit("- a list"), F.to_json(spec)).alias("raw"))
+    files = items.select(F.concat(F.lit("e"), k.cast("string"), F.lit("-"), v.cast("string")).alias("path"), spec.alias("s"), k.alias("k"), v.alias("v"))
+    s, quoted = F.col("s"), lambda name: F.regexp_extract(F.to_json(F.struct(F.col("s")[name].alias("x"))), r'^\{"x":([\s\S]*)\}$', 1)
+    lines = [
+        F.concat(F.lit("# a spec\nid: "), quoted("id"), F.lit("\nname: a name # with a comment\ntype: "), s["type"], F.lit("\nthreshold: "), s["threshold"].cast("string"), F.lit("\n\nquestion: "), quoted("question")),
+        F.concat(F.lit("expected_pages:"), F.when(F.size(s["expected_pages"]) == 0, " []").otherwise("\n  - p")), F.concat(F.lit("expected_substrings:\n- "), F.when(s["expected_substrings"][0] == "", "''").otherwise("s")), F.lit("expected_sources: [x]"),
+        *(F.concat(F.lit(f"{n}: "), s[n].cast("string")) for n in ("recall_floor", "k", "min_recall", "sample_size")), F.concat(F.lit("target_file: "), quoted("target_file")), F.lit("description: |\n  Two\n\n    lines: of text\n"),
+    ]
+    raw = F.when(F.col("k") % 2 == 0, F.to_json("s")).otherwise(F.concat_ws("\n", *lines))
+    files = files.select("path", F.when(F.col("v") == 9, "- a list").otherwise(raw).alias("raw"))
     return R.load_specs(files).select("path", "type", "error")
 
 
+@query(
+    """SELECT path, title, type, CASE ord % 3 WHEN 2 THEN NULL WHEN 0 THEN 'alpha|beta|gamma' ELSE 'alpha|beta' END AS tags, CASE WHEN ord % 4 = 0 THEN 's' || ord || '|s' || (ord + 1) END AS source_ids, 'http://x.example:80/' || slug AS url
+FROM wiki WHERE ord % 11 <> 0""",
+    "wiki",
+)
+def front_matter_yaml(spark: SparkSession, d: str) -> DataFrame:
+    """The front matter of whole pages, read as YAML with lists of either style."""
+    pages = V.raw_pages(spark, d).select("path", T.fm_block("raw").alias("block")).filter("block <> ''").select("path", yaml_json(F.col("block")).alias("y"))
+    fields = F.from_json("y.json", "title string, type string, tags array<string>, source_ids array<string>, url string")
+    listed = lambda name: F.when(F.col(f"f.{name}").isNotNull(), F.array_join(f"f.{name}", "|"))
+    return pages.select("path", fields.alias("f")).select("path", "f.title", "f.type", listed("tags").alias("tags"), listed("source_ids").alias("source_ids"), "f.url")
+
+
 _BANK = "bank AS (SELECT item_id AS intent_id, CASE WHEN item_id % 4 = 0 THEN text END AS question, item_id % 4 AS s, text FROM benchmark)"
 
 
