@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..functions import text as T
+from ..functions.markup import tree_markdown
 from ..functions.yaml import yaml_json
 from ..operators import exports as X
 from ..operators import ingest as I
@@ -238,6 +239,19 @@ def usage_lines(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", R.usage_line(F.col("tokens_used") * 1000, F.col("ord"), F.col("model")).alias("line"))
 
 
+@query(
+    r"""WITH b AS (SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<body[^>]*>.*</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) ELSE html END AS t FROM pages)
+SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style|noscript|head|title|template)[^>]*>.*?</(script|style|noscript|head|title|template)>', '', 'g'), '<[^>]*>', '', 'g'), '&[a-zA-Z]+;|[^A-Za-z]', '', 'g')) AS letters,
+  len(regexp_extract_all(t, '(?i)<h[1-6][ >]')) AS n_heads FROM b"""
+)
+def html_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies of pages as Markdown of their tree: all their letters in order, and a line for each heading."""
+    bodies = V.table(spark, d, "pages").select("page_id", tree_markdown(T.html_body("html")).alias("m"))
+    plain = F.regexp_replace("m", r"\]\((?:[^()\\\s]|\\.)*(?: \"[^\"]*\")?\)", "")
+    heads = F.regexp_count("m", F.lit(r"(?m)^(> )*#{1,6} "))
+    return bodies.select("page_id", F.sha2(F.regexp_replace(plain, "[^A-Za-z]", ""), 256).alias("letters"), heads.cast("long").alias("n_heads"))
+
+
 # --- specs and banks ----------------------------------------------------------------------------
 
 _KIND = "['retrieval', 'functional-quality', 'citation', 'faithfulness', 'smoke', 'other'][item_id % 6 + 1]"
