@@ -204,15 +204,34 @@ def test_windows_of_hot_marks(spark, monkeypatch):
 def test_only_marks_of_many_surroundings_are_hot(monkeypatch):
     monkeypatch.setattr(blocks, "HOT_PLACES", 100)
     monkeypatch.setattr(blocks, "HOT_CONTEXTS", 10)
-    keys = np.array([1, 2, 3], np.uint64)
-    asked = pa.concat_tables(
-        [blocks.ask_marks(b, keys, np.zeros(3, bool), np.array([50, 50, 1], np.uint8), np.array([b, 7, b], np.uint8), 1) for b in range(20)]
-    )
+    keys, bit = np.array([1, 2, 3], np.uint64), lambda k: np.uint64(1 << k)
+    asked = pa.concat_tables([blocks.ask_marks(b, keys, np.zeros(3, bool), np.array([50, 50, 1]), np.array([bit(b), bit(7), bit(b)]), 1) for b in range(20)])
     for bits in blocks.answer_marks(asked).column("bits").to_pylist():
         told = {0: np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)}
         assert [x.tolist() for x in blocks.read_marks(keys, told, 1)] == [[True, True, True], [True, False, False]]
 
 
+@pytest.mark.parametrize("n_blocks", [1, 2, 5, 300])
+def test_marks_are_hot_in_any_number_of_blocks(n_blocks):
+    """One mark of 100,000 differing places, one of as many places with equal surroundings, one just below the bound."""
+    keys = np.array([1, 2, 3], np.uint64)
+    whole, own = np.uint64((1 << 64) - 1), 100_000 // n_blocks
+    places = np.array([own, own, 20_000 // n_blocks])
+    asked = pa.concat_tables([blocks.ask_marks(b, keys, np.ones(3, bool), places, np.array([whole, np.uint64(8), whole]), 1) for b in range(n_blocks)])
+    for bits in blocks.answer_marks(asked).column("bits").to_pylist():
+        told = {0: np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)}
+        assert [x.tolist() for x in blocks.read_marks(keys, told, 1)] == [[True] * 3, [True, False, False]]
+
+
+def test_marks_count_their_stretches_and_surroundings():
+    phrase = b"the same twenty bytes and more of them"
+    texts = [bytes([65 + k % 50]) * 30 + phrase + bytes([70 + k % 50]) * 30 for k in range(400)]
+    key, several, places, around = suffix_dedup.Stretches(texts, 50).marks()
+    assert places.max() >= 300 and several[places.argmax()] and int(np.bitwise_count(around[places.argmax()])) > blocks.HOT_CONTEXTS / 2
+    again = blocks._get_marks(blocks._put_marks(several, places, around), len(key))
+    assert all((x == y).all() for x, y in zip(again, (several, places, around), strict=True))
+
+
 def test_hot_marks_are_split_into_windows():
     texts = [b"x" * 20 + b"some text that goes on for a good while, longer than a window of fifty"]
     own = suffix_dedup.Stretches(texts, 50)

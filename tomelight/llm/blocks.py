@@ -24,9 +24,9 @@ _ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
-#: A key with more places than this is hot, if what surrounds it differs: of 256 values of a hash of
-#: the surroundings, more than so many occur.
-HOT_PLACES, HOT_CONTEXTS = 20_000, 64
+#: A key with more places than this is hot, if what surrounds it differs: of 64 values of a hash of
+#: the surroundings, more than so many occur, which about 55 different ones give.
+HOT_PLACES, HOT_CONTEXTS = 20_000, 36
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,6 +65,19 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+def put_counts(counts: np.ndarray) -> bytes:
+    """A byte a count, and eight more for those of 255 or above."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def get_counts(packed: bytes, n: int) -> np.ndarray:
+    """``n`` counts from the start of ``packed``."""
+    counts = np.frombuffer(packed, np.uint8, n).astype(np.int64)
+    large = counts == 255
+    counts[large] = np.frombuffer(packed, "<i8", int(large.sum()), n)
+    return counts
+
+
 def deal(df: DataFrame, n_blocks: int, n_parts: int, id_col: str, text_col: str) -> DataFrame:
     base = id_and_text(df, id_col, text_col)
     return base.select(spread(base, n_blocks, "doc_id", "text").alias("block"), "doc_id", "text").repartition(n_parts, "block")
@@ -139,26 +152,43 @@ def answer_repeated(asked: pa.Table) -> pa.Table:
     return answer_rows(asked, [hit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
-def ask_marks(block: int, keys: np.ndarray, several: np.ndarray, places: np.ndarray, context: np.ndarray, n_buckets: int) -> pa.Table:
-    """As ``ask_repeated``, and tell of each key how many places it has here (255 at most) and a byte for what surrounds it."""
+def _put_marks(several: np.ndarray, places: np.ndarray, around: np.ndarray) -> bytes:
+    """Flags, counts, and the surroundings: the bit's number for a single place, all 64 bits for more."""
+    one = places == 1
+    return np.packbits(several).tobytes() + put_counts(places) + (np.bitwise_count(around[one] - np.uint64(1))).astype(np.uint8).tobytes() + around[~one].astype("<u8").tobytes()
+
+
+def _get_marks(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flags = (n + 7) // 8
+    several = np.unpackbits(np.frombuffer(packed, np.uint8, flags))[:n]
+    places = get_counts(packed[flags:], n)
+    one = places == 1
+    at = flags + n + 8 * int((places >= 255).sum())
+    around = np.empty(n, np.uint64)
+    around[one] = np.uint64(1) << np.frombuffer(packed, np.uint8, int(one.sum()), at).astype(np.uint64)
+    around[~one] = np.frombuffer(packed, "<u8", offset=at + int(one.sum()))
+    return several, places, around
+
+
+def ask_marks(block: int, keys: np.ndarray, several: np.ndarray, places: np.ndarray, around: np.ndarray, n_buckets: int) -> pa.Table:
+    """As ``ask_repeated``, and tell of each key how many places it has here, and which of 64 values what surrounds them hashes to."""
     order, parts = by_bucket(keys, n_buckets)
-    short, several, places, context = _short(keys[order]), several[order], places[order], context[order]
-    return ask_rows(block, [(b, short[i:j].tobytes(), places[i:j].tobytes() + context[i:j].tobytes() + np.packbits(several[i:j]).tobytes()) for b, i, j in parts])
+    short, several, places, around = _short(keys[order]), several[order], places[order], around[order]
+    return ask_rows(block, [(b, short[i:j].tobytes(), _put_marks(several[i:j], places[i:j], around[i:j])) for b, i, j in parts])
 
 
 def answer_marks(asked: pa.Table) -> pa.Table:
     """Two answers a key: does it occur elsewhere, or in several documents of the block?  Is it hot?"""
     bodies = [np.frombuffer(b, np.uint32) for b in asked.column("body").to_pylist()]
-    extras = [np.frombuffer(x, np.uint8) for x in asked.column("extra").to_pylist()]
-    several = np.concatenate([np.unpackbits(x[2 * len(b) :])[: len(b)] for x, b in zip(extras, bodies, strict=True)])
-    places = np.concatenate([x[: len(b)] for x, b in zip(extras, bodies, strict=True)])
-    context = np.concatenate([x[len(b) : 2 * len(b)] for x, b in zip(extras, bodies, strict=True)])
+    several, places, around = (np.concatenate(x) for x in zip(*(_get_marks(x, len(b)) for x, b in zip(asked.column("extra").to_pylist(), bodies, strict=True)), strict=True))
     place, _, hit = _repeated(bodies, 1 + several)
     often = np.bincount(place, places) > HOT_PLACES
     hot = often[place]
     if hot.any():
-        around = np.bincount(np.unique(place[hot].astype(np.int64) * 256 + context[hot]) // 256, minlength=len(often))
-        hot = (often & (around > HOT_CONTEXTS))[place]
+        order = np.argsort(place[hot], kind="stable")
+        key, first = np.unique(place[hot][order], return_index=True)
+        often[key] = np.bitwise_count(np.bitwise_or.reduceat(around[hot][order], first)) > HOT_CONTEXTS
+        hot = often[place]
     cuts = np.cumsum([0, *map(len, bodies)])
     return answer_rows(asked, [np.concatenate((hit[a:b], hot[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ANSWER, ASK, ask_rows, deal, in_order, mix
+from .blocks import ANSWER, ASK, ask_rows, deal, get_counts, in_order, mix, put_counts
 from .common import dealt_parts, for_memory, parts_for, text_bytes
 from .substring import hash_words
 
@@ -76,17 +76,6 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], number
 
 
-def put_counts(counts: np.ndarray) -> bytes:
-    """A byte a count, and eight more for those of 255 or above."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
-
-
-def get_counts(packed: bytes, n: int) -> np.ndarray:
-    counts = np.frombuffer(packed, np.uint8, n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(packed, "<i8", offset=n)
-    return counts
-
-
 def put_keys(keys: np.ndarray) -> bytes:
     """Keys in ascending order, as differences of as many bytes as the largest takes; the first byte says how many."""
     steps = np.diff(keys, prepend=np.uint64(0))

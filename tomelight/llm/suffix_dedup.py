@@ -97,13 +97,13 @@ class Stretches:
         content.append(roll(first, first + windows + length - 1))
 
     def marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct marks; whether several of the block's documents have each, its stretches up to 255, and a byte of one's content."""
+        """Distinct marks; whether several of the block's documents have each, its stretches, and a bit of 64 for each one's content."""
         order = np.argsort(self.mark, kind="stable")
         key, first, n = np.unique(self.mark[order], return_index=True, return_counts=True)
         if not len(key):
-            return key, np.zeros(0, bool), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
-        least = np.minimum.reduceat(self.content[order], first)
-        return key, self.doc[order[first]] != self.doc[order[first + n - 1]], np.minimum(n, 255).astype(np.uint8), mix(least).astype(np.uint8)
+            return key, np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        around = np.bitwise_or.reduceat(np.uint64(1) << (mix(self.content[order]) & np.uint64(63)), first)
+        return key, self.doc[order[first]] != self.doc[order[first + n - 1]], n.astype(np.int64), around
 
     def narrow(self, told: dict[int, np.ndarray], n_buckets: int) -> None:
         """Keep the stretches whose mark another document has; those of hot marks as single windows."""
