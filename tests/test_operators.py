@@ -413,6 +413,30 @@ def test_streamed_impact(spark, tmp_path):
     assert seen == ["c1"]
 
 
+def test_streamed_debounce_equals_the_batch_fold_over_restarts(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    rows, at = [], 0
+    for n in range(400):
+        at += rng.choice([0, 1, 400, 3000, 90_000])
+        rows.append((rng.randrange(5), n, at))
+    events = spark.createDataFrame(rows, "key long, event_id long, ms long")
+    want = sorted(map(tuple, merge.debounce(events.withColumnRenamed("key", "user_id"), 100_000).collect()))
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for part in range(4):  # each part is a run of its own, which starts from the checkpoint of the one before
+        own = "".join(json.dumps({"key": k, "event_id": n, "ms": ms}) + "\n" for k, n, ms in rows[100 * part : 100 * part + 100])
+        (folder / f"{part}.json").write_text(own)
+        lines = spark.readStream.schema("key long, event_id long, ms long").json(str(folder))
+        timed = lines.select("key", "event_id", F.timestamp_millis("ms").alias("ts"))
+        stream = traces.debounced(timed, 100_000).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        stream.awaitTermination(120)
+        assert stream.exception() is None and not stream.isActive
+    got = sorted(map(tuple, spark.read.parquet(out).select("key", "event_id", "ms", "accepted").collect()))
+    assert got == want and 0 < sum(r[3] for r in got) < len(got)
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
