@@ -248,6 +248,16 @@ SPEC_SCHEMA = (
 )
 
 
+def create_tasks(requests: DataFrame, now: str) -> DataFrame:
+    """id, brief, status, created_at, updated_at, completed_at, archived_at, workspace_path: a new task for each brief.
+
+    ``requests`` may bring their own ``id``; else each gets a random one.
+    """
+    own = requests if "id" in requests.columns else requests.withColumn("id", F.uuid())
+    none = F.lit(None).cast("string")
+    return own.select("id", "brief", F.lit("created").alias("status"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), none.alias("completed_at"), none.alias("archived_at"), F.concat(F.lit("tasks/tsk-"), "id").alias("workspace_path"))
+
+
 def load_specs(files: DataFrame) -> DataFrame:
     """path, its spec's columns and error of spec files (path, raw, YAML or JSON objects); one bad file doesn't stop the others."""
     read = files.select("path", yaml_json(F.col("raw")).alias("y"))

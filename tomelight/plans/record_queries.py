@@ -13,7 +13,9 @@ from ..operators import exports as X
 from ..operators import ingest as I
 from ..operators import records as R
 from ..operators import search as S
+from ..sources import relations
 from ..sources.pdf import parse_pdf
+from ..storage import new_path
 from . import search_queries as Q
 from .audit_queries import _U5, SPOOL_SQL, spool_pages
 from .core_queries import _CAND, _LATEST, _candidates
@@ -180,6 +182,27 @@ def task_move(spark: SparkSession, d: str) -> DataFrame:
     return R.move_tasks(V.tasks(spark, d), moves)
 
 
+@query("""SELECT 't' || o_orderkey AS id, o_orderpriority AS brief, 'created' AS status, '2024-02-01T00:00:00.000Z' AS created_at, 'tasks/tsk-t' || o_orderkey AS workspace_path FROM orders""")
+def task_create(spark: SparkSession, d: str) -> DataFrame:
+    asked = V.table(spark, d, "orders").select(V.key("t", "o_orderkey").alias("id"), F.col("o_orderpriority").alias("brief"))
+    return R.create_tasks(asked, "2024-02-01T00:00:00.000Z").select("id", "brief", "status", "created_at", "workspace_path")
+
+
+@query(
+    """WITH a AS (SELECT path, arg_max(id, ord) AS id, arg_max(title, ord) AS title FROM sources GROUP BY path), b AS (SELECT path, arg_max(id, ord) AS id, 'New ' || arg_max(id, ord) AS title FROM sources WHERE ord % 3 = 0 GROUP BY path),
+c AS (SELECT * FROM b UNION ALL SELECT * FROM a WHERE path NOT IN (SELECT path FROM b))
+SELECT path, id, title FROM c WHERE path NOT IN (SELECT path FROM sources WHERE ord % 50 = 7)""",
+    "sources",
+)
+def relation_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Sources written to a stored relation with unique paths, some written again, some removed."""
+    path, rows = new_path(spark, "relation"), V.sources(spark, d).select("path", "id", "title", "ord")
+    relations.upsert(spark, path, rows, ["path"], "ord")
+    relations.upsert(spark, path, rows.filter("ord % 3 = 0").withColumn("title", F.concat(F.lit("New "), "id")), ["path"], "ord")
+    relations.delete(spark, path, rows.filter("ord % 50 = 7").select("path").distinct())
+    return relations.read(spark, path).select("path", "id", "title")
+
+
 _STATUS_JSON = "CASE ord % 5 WHEN 0 THEN NULL WHEN 1 THEN 'not json' WHEN 2 THEN '{}' ELSE '{\"status\":\"' || status || '\"}' END"
 _REASON = f"""CASE ord % 5 WHEN 0 THEN CASE WHEN ord % 3 <> 0 THEN 'output directory exists' ELSE 'no status and no output' END WHEN 1 THEN 'status is not valid JSON' WHEN 2 THEN 'status is undefined' ELSE CASE WHEN status = 'completed' THEN 'completed' ELSE 'status is ' || status END END"""
 
