@@ -339,6 +339,13 @@ def test_retention_properties(spark, rows):
     assert [(r["retention"], -r["total"], r["concept"]) for r in weak] == sorted((r["retention"], -r["total"], r["concept"]) for r in got if r["total"] >= 2 and r["retention"] <= 0.5)
 
 
+def test_names_are_in_the_order_people_expect(spark):
+    names = ["zebra", "Apple", "apple", "Éclair", "eclair", "Zoo", "\u00e4pfel", "b-c", "bc"]
+    rows = spark.createDataFrame([(n, False, "2024-01-01") for n in names], "concept string, correct boolean, tested_at string")
+    got = [r["concept"] for r in learn.weak_areas(rows).collect()]
+    assert got.index("apple") < got.index("Apple") < got.index("eclair") < got.index("Éclair") < got.index("zebra") < got.index("Zoo") and got.index("\u00e4pfel") < got.index("bc")
+
+
 def test_cost_gate_decisions(spark):
     comp = spark.createDataFrame([("topic", "m", 1000, "2024-01-01T00:00:00.000Z"), ("topic", "m", 3000, "2024-01-02T00:00:00.000Z")], "type string, model string, tokens_used long, compiled_at string")
     affected = spark.createDataFrame([("topic",), ("novel",)], "type string")

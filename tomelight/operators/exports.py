@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .learn import by_name
 
 MOST_CONTENT_BYTES = 65_536
 # Memory category of each page type; the semantic index has none.
@@ -33,7 +34,7 @@ def page_index(pages: DataFrame) -> DataFrame:
     The order is a global sort, so a directory of any size is dealt over the partitions.
     """
     sizes = pages.groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
-    return pages.select("dir", "title", "path", "ord").join(sizes, "dir").orderBy("dir", "title", "ord").select("dir", "title", "path", "n")
+    return pages.select("dir", "title", "path", "ord").join(sizes, "dir").orderBy("dir", *by_name("title"), "ord").select("dir", "title", "path", "n")
 
 
 def parse_quiz(quizzes: DataFrame, key: str) -> DataFrame:

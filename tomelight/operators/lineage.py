@@ -92,6 +92,18 @@ def unreceipted_pages(pages: DataFrame, compilations: DataFrame, promotions: Dat
     return pages.join(known, "path", "left_anti").select("path")
 
 
+#: Where pages are written, and how long a write may take.
+SWEPT_FOLDERS = ("wiki/sources", "wiki/concepts", "wiki/entities", "wiki/topics", "wiki/contradictions", "wiki/open-questions", "outputs/reports", "outputs/slides")
+TEMPORARY_MS = 60 * 60 * 1000
+
+
+def stale_temporaries(files: DataFrame, now_ms: int, most_ms: int = TEMPORARY_MS) -> DataFrame:
+    """path, age_ms of the temporary files (path, modified_ms) below the folders of pages that no writer can still be at."""
+    age = F.lit(now_ms) - F.col("modified_ms")
+    below = F.col("path").rlike("^(" + "|".join(SWEPT_FOLDERS) + ")/") & F.col("path").endswith(".tmp")
+    return files.filter(below & (age >= most_ms)).select("path", age.alias("age_ms"))
+
+
 def parse_citations(answers: DataFrame, titles: DataFrame) -> DataFrame:
     """answer_id, n, title, claim, page_path: citations in order, once for each title and line; unknown pages get ''.
 

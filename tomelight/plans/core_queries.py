@@ -244,6 +244,17 @@ def unreceipted_pages(spark: SparkSession, d: str) -> DataFrame:
     return L.unreceipted_pages(V.wiki(spark, d), V.compilations(spark, d), V.promotions(spark, d))
 
 
+_TMP = """files AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'outputs/reports/deep/' WHEN 1 THEN 'wiki/topics/' ELSE 'raw/notes/' END || 'p' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '.md' ELSE '.md.tmp' END AS path, 1700000000000 - n_chars * 1000 AS modified_ms FROM documents)"""
+
+
+@query(f"WITH {_TMP} SELECT path, 1700000000000 - modified_ms AS age_ms FROM files WHERE (starts_with(path, 'wiki/') OR starts_with(path, 'outputs/')) AND ends_with(path, '.tmp') AND 1700000000000 - modified_ms >= 3600000")
+def stale_temporaries(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    folder = F.when(k % 3 == 0, "outputs/reports/deep/").when(k % 3 == 1, "wiki/topics/").otherwise("raw/notes/")
+    files = V.table(spark, d, "documents").select(F.concat(folder, V.key("p", k), F.when(k % 4 == 0, ".md").otherwise(".md.tmp")).alias("path"), (F.lit(1_700_000_000_000) - F.col("n_chars") * 1000).alias("modified_ms"))
+    return L.stale_temporaries(files, 1_700_000_000_000)
+
+
 @query("SELECT a.path, a.path IN (SELECT source_path FROM promotions) AS promoted FROM artifacts a", "artifacts", "promotions")
 def is_promoted(spark: SparkSession, d: str) -> DataFrame:
     p = V.promotions(spark, d).select(F.col("source_path").alias("path"), F.lit(True).alias("_p")).distinct()
