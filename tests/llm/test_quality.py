@@ -115,24 +115,26 @@ def brute_estimate(x, salt):
 
 
 def brute_concentrate(groups):
-    """All groups step together until no determinant moves, as one job does for them."""
-    state = {g: brute_estimate(x, salt) for g, (x, salt) in groups.items()}
+    """Every start of every group steps until its determinant falls no more."""
     floors, least = np.diag(np.square(R.FLOORS)), np.square(R.LEAST_SPREAD)
-    for _ in range(R.MOST_STEPS):
-        moved = 0.0
-        for g, (x, _) in groups.items():
-            starts, dets = state[g]
-            for k, (m, c) in enumerate(starts):
+    best = {}
+    for g, (x, salt) in groups.items():
+        starts, dets = brute_estimate(x, salt)
+        for k, (m, c) in enumerate(starts):
+            was = np.inf
+            while True:
                 far = grid(np.log1p(squared(x, m, c)))
                 core = x[far <= nth(far, R.CORE)]
                 cov = np.cov(core.T, bias=True).reshape(5, 5) if len(core) > 1 else np.zeros((5, 5))
                 np.fill_diagonal(cov, np.maximum(np.diag(cov), least))
-                starts[k] = (core.mean(axis=0), cov + floors)
-                det = np.linalg.slogdet(starts[k][1])[1]
-                moved, dets[k] = max(moved, abs(det - dets[k])), det
-        if moved <= R.SETTLED:
-            break
-    return {g: starts[int(np.argmin(dets))] for g, (starts, dets) in state.items()}
+                m, c = core.mean(axis=0), cov + floors
+                det = np.linalg.slogdet(c)[1]
+                if not det < was - R.SETTLED:
+                    break
+                was = det
+            starts[k], dets[k] = (m, c), det
+        best[g] = starts[int(np.argmin(dets))]
+    return best
 
 
 def test_kept_against_brute_force(spark):

@@ -3,8 +3,8 @@
 Everything is DataFrame expressions.  A document's counts become five transformed statistics.  For
 each group the minimum-covariance-determinant estimate comes from concentration steps: from each of
 several starts (medians and median absolute deviations, moments of parts of the rows) take mean and
-covariance of the ``CORE`` share of rows that lie closest, again and again until the determinants
-stand, and keep the smallest.  A group's estimate is then drawn towards its language's, the more so
+covariance of the ``CORE`` share of rows that lie closest, again and again until the determinant
+falls no more, and keep the smallest.  A group's estimate is then drawn towards its language's, the more so
 the fewer rows it has.  A document is an outlier beyond ``CUTOFF`` in squared Mahalanobis distance.
 Covariances are inverted by a Cholesky factor written out in columns.  Order statistics are those of
 values on a fixed grid, counted, so they don't depend on how rows are partitioned.
@@ -21,8 +21,9 @@ from .common import SPACE_CLASS, discard, store
 
 #: Share of a group's rows that each concentration step keeps.
 CORE = 0.75
-#: Steps end once no determinant's logarithm moves by more than ``SETTLED``, or after this many.
-MOST_STEPS, SETTLED = 20, 1e-3
+#: A start's steps end once its determinant's logarithm falls by no more than this.  As variances have a
+#: least value, determinants cannot fall for ever.
+SETTLED = 1e-3
 #: Starts from moments of one part in ``START_PARTS`` of a group's rows, besides the one from medians.
 PART_STARTS, START_PARTS = 3, 8
 #: Parts into which a group's rows are dealt when its estimates are joined to them.
@@ -169,6 +170,18 @@ def _on_grid(value: Column) -> Column:
     return F.floor(value * GRID).cast("long")
 
 
+def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """The estimates of the ``CORE`` share of rows closest to each of ``params``; ``was`` is the determinant before.
+
+    Distances are reckoned twice, once to be counted and once to be filtered: keeping them, or summing
+    the rows by distance, would move far more than the counts do.
+    """
+    near = _with_distance(rows, params).withColumn("far", _on_grid(F.log1p("d2")))
+    bound = order_statistics(near, ["g", "start"], ["far"], CORE).withColumnRenamed("far", "most")
+    core = _with_distance(rows, params.join(bound, ["g", "start"])).filter(_on_grid(F.log1p("d2")) <= F.col("most"))
+    return _factored(_raised(_moments(core)))
+
+
 def _settled(rows: DataFrame) -> DataFrame:
     """Per group g of ``rows``: centre and Cholesky factor of the start whose core has the least determinant, and n rows."""
     n = len(FEATURES)
@@ -184,18 +197,24 @@ def _settled(rows: DataFrame) -> DataFrame:
         *(((1.4826 * F.col(at[i]) / GRID) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)),
     )
     parts = _moments(rows.withColumn("start", F.col("salt") % START_PARTS + 1).filter(F.col("start") <= PART_STARTS))
-    params = store(_factored(_raised(first.unionByName(parts))), "centres")
-    for _ in range(MOST_STEPS):
-        near = _with_distance(rows, params).withColumn("far", _on_grid(F.log1p("d2")))
-        bound = order_statistics(near, ["g", "start"], ["far"], CORE).withColumnRenamed("far", "most")
-        core = _with_distance(rows, params.join(bound, ["g", "start"])).filter(_on_grid(F.log1p("d2")) <= F.col("most"))
-        after = store(_factored(_raised(_moments(core))), "centres")
-        moved = after.agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
-        discard(params)
-        params = after.drop("was")
-        params._stored_at = after._stored_at  # type: ignore[attr-defined]
-        if moved is None or moved <= SETTLED:
-            break
+    moving = store(_factored(_raised(first.unionByName(parts))), "centres")
+    params, first_step = None, True
+    while not moving.isEmpty():
+        after = store(_step(rows, moving), "centres")
+        discard(moving)
+        # What a start begins with is no estimate of a core, so its first step does not count.
+        falls = F.lit(True) if first_step else F.col("log_det") < F.col("was") - SETTLED
+        ended, moving = after.filter(~falls).drop("was"), after.filter(falls).drop("was")
+        moving._stored_at = after._stored_at  # type: ignore[attr-defined]
+        if not first_step:
+            before, params = params, store(ended if params is None else params.unionByName(ended), "settled")
+            if before is not None:
+                discard(before)
+        first_step = False
+    if params is None:
+        params = moving
+    else:
+        discard(moving)
     least = params.groupBy("g").agg(F.min(F.struct("log_det", "start")).alias("least")).select("g", F.col("least.start").alias("start"))
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     best = store(params.join(least, ["g", "start"]).join(sizes, "g"), "least")
