@@ -217,3 +217,14 @@ def test_stored_index_equals_the_pages(spark, tmp_path):
     assert direct and direct == {r["path"]: (round(r["rank"], 9), r["matched"]) for r in search.bm25(pages, query, index=index).collect()}
     scans = [x for x in search.bm25(pages, query, index=index)._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x and "term" in x]
     assert scans and all("In(term, [" in x and "bucket" in x.split("PartitionFilters: [")[1].split("]")[0] for x in scans)  # only the terms' buckets are read
+
+
+def test_usage_line_rounds_as_sql(spark):
+    """Halves of a cent, exact in binary or not, as C's printf rounds them."""
+    import duckdb
+
+    prices = [(15_000, 80_000), (31_600, 200), (5_000, 0), (15_000, 0), (25_000, 0), (335_000, 0), (1_005_000, 0), (400_000_000, 1)]
+    rows = spark.createDataFrame([(k, i, o, "claude-sonnet-4-6") for k, (i, o) in enumerate(prices)], "k int, i long, o long, m string")
+    got = [r["line"] for r in rows.select("k", records.usage_line(F.col("i"), F.col("o"), F.col("m")).alias("line")).orderBy("k").collect()]
+    want = [duckdb.sql(f"SELECT 'Used ' || format('{{:,}}', {i + o}) || ' tokens (~$' || printf('%.2f', ({i} * 3.0::DOUBLE + {o} * 15.0::DOUBLE) / 1000000) || ')'").fetchall()[0][0] for i, o in prices]
+    assert got == want

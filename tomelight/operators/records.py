@@ -209,7 +209,9 @@ def was_truncated(reason: Column) -> Column:
 def usage_line(input_tokens: Column, output_tokens: Column, model: Column) -> Column:
     """The line that shows a call's tokens and price."""
     price = (input_tokens * model_rate(pricing_model(model), 0) + output_tokens * model_rate(pricing_model(model), 1)) / 1e6
-    return F.format_string("Used %,d tokens (~$%.2f)", (input_tokens + output_tokens).cast("long"), price.cast("double"))
+    # ``format_number`` rounds what the double really is, half to even, as C does; ``format_string`` rounds its shortest decimals up.
+    shown = F.translate(F.format_number(price.cast("double"), 2), ",", "")
+    return F.format_string("Used %,d tokens (~$%s)", (input_tokens + output_tokens).cast("long"), shown)
 
 
 # --- specs and banks ----------------------------------------------------------------------------
