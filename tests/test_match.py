@@ -94,3 +94,18 @@ def test_places_come_back_from_their_differences(spark):
     lists = [[5], [], [0, 1, 2], [7, 1 << 41, 3]]
     got = spark.createDataFrame([(x,) for x in lists], "g array<bigint>").coalesce(1).select(search.placed("g").alias("p")).collect()
     assert [r["p"] for r in got] == [[5], [], [0, 1, 3], [7, 7 + (1 << 41), 10 + (1 << 41)]]
+
+
+def test_index_is_written_by_small_tasks(spark, tmp_path, monkeypatch):
+    """Files are as many as the text needs, about even, and buckets and files both grow; what is found is the same."""
+    rows = [(f"p{k}", f"head {k % 7}", "en", " ".join(f"w{(k * j) % 97}" for j in range(60)) + " the") for k in range(300)]
+    pages = spark.createDataFrame(rows, "path string, title string, tags string, body string")
+    monkeypatch.setattr(search, "FILE_BYTES", 1000.0, raising=False)
+    search.write_index(pages, str(tmp_path / "i"))
+    files = sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "i/postings")).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect())
+    assert len(files) > 40 and files[-1] < 8 * sum(files) / len(files)
+    index = search.read_index(spark, str(tmp_path / "i"))
+    assert 5 <= index.buckets <= 12
+    query = spark.createDataFrame([("the",), ("w13",), ("w40",)], "term string")
+    shown = lambda found: [(r["path"], round(r["rank"], 9), r["matched"]) for r in found.collect()]
+    assert shown(search.search(pages, query, 20, False, index=index)) == shown(search.search(pages, query, 20, False))
