@@ -109,3 +109,17 @@ def test_index_is_written_by_small_tasks(spark, tmp_path, monkeypatch):
     query = spark.createDataFrame([("the",), ("w13",), ("w40",)], "term string")
     shown = lambda found: [(r["path"], round(r["rank"], 9), r["matched"]) for r in found.collect()]
     assert shown(search.search(pages, query, 20, False, index=index)) == shown(search.search(pages, query, 20, False))
+
+
+def test_many_phrases_read_places_on_few_pages(spark, tmp_path):
+    """Phrases of frequent terms and a rare one: hits as counted by hand, and only pages with the rare term reach the gathering."""
+    rows = [(f"p{k}", "the of", "en", " ".join(["the of and the"] * 5) + (f" rare the of the of{' x' * k} rare the" if k % 10 == 0 else "")) for k in range(200)]
+    search.write_index(spark.createDataFrame(rows, "path string, title string, tags string, body string"), str(tmp_path / "i"))
+    phrases = spark.createDataFrame([(1, ["rare", "the", "of", "the", "of"]), (2, ["the", "of", "and", "nowhere"]), (3, ["the", "of"]), (4, ["rare", "the"])], "id int, terms array<string>")
+    found = match.phrase_hits(search.read_index(spark, str(tmp_path / "i")), phrases)
+    got = {(r["id"], r["path"]): r["hits"] for r in found.collect()}
+    rare = [f"p{k}" for k in range(0, 200, 10)]
+    want = {(1, p): 1 for p in rare} | {(4, p): 2 for p in rare} | {(3, f"p{k}"): 6 + 2 * (k % 10 == 0) for k in range(200)}
+    assert got == want
+    tree = match.phrase_hits(search.read_index(spark, str(tmp_path / "i")), phrases.filter("id = 1"))._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("min_by(") == 1  # pages come from the rarest term

@@ -302,12 +302,17 @@ def match_pages(index: S.Index, expression: str) -> DataFrame:
 def phrase_hits(index: S.Index, phrases: DataFrame) -> DataFrame:
     """id, key, hits: how often each page has each of many phrases (id, terms), in any one column.
 
-    Postings meet the phrases by term and are gathered by phrase and page; no page text is read.
+    Only pages with a phrase's rarest term can have it: places of the other terms are met on those.
+    A phrase with a term that no page has is nowhere.  No page text is read.
     """
     key = index.key
     wanted = phrases.select("id", F.size("terms").alias("n"), F.posexplode("terms").alias("at", "term"))
-    own = S.of_terms(index.postings, wanted, index.buckets).select(key, "term", S.placed("gaps").alias("places"))
-    moved = own.join(wanted, "term").select("id", key, "n", F.transform("places", lambda p: p - F.col("at")).alias("places"))
+    known = wanted.join(S.of_terms(index.terms, wanted, index.buckets).select("term", "df"), "term")
+    rarest = known.groupBy("id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("have"), F.min_by("term", F.struct("df", "term")).alias("term")).filter("have = n").select("id", "term")
+    pages = rarest.join(S.of_terms(index.postings, rarest, index.buckets).select(key, "term"), "term").select("id", key)
+    own = S.of_terms(index.postings, wanted, index.buckets).select(key, "term", "gaps")
+    met = pages.join(wanted, "id").join(own, [key, "term"]).select("id", key, "n", "at", S.placed("gaps").alias("places"))
+    moved = met.select("id", key, "n", F.transform("places", lambda p: p - F.col("at")).alias("places"))
     shared = moved.groupBy("id", key).agg(F.first("n").alias("n"), F.collect_list("places").alias("all"))
     both = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", F.lit(0)), F.array_intersect)
     return shared.filter(F.size("all") == F.col("n")).select("id", key, F.size(both).cast("long").alias("hits")).filter("hits > 0")
