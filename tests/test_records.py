@@ -228,3 +228,20 @@ def test_usage_line_rounds_as_sql(spark):
     got = [r["line"] for r in rows.select("k", records.usage_line(F.col("i"), F.col("o"), F.col("m")).alias("line")).orderBy("k").collect()]
     want = [duckdb.sql(f"SELECT 'Used ' || format('{{:,}}', {i + o}) || ' tokens (~$' || printf('%.2f', ({i} * 3.0::DOUBLE + {o} * 15.0::DOUBLE) / 1000000) || ')'").fetchall()[0][0] for i, o in prices]
     assert got == want
+
+
+def test_spool_file_comes_in_slices(spark, monkeypatch):
+    """Files of several slices and ranges have the hash of their lines in order; the last task gets them compressed."""
+    import hashlib
+
+    monkeypatch.setattr(records, "SLICE_BYTES", 500, raising=False)
+    rows = [("ab"[k % 3 == 0], f"p{k:04d}", f'{{"n":{k},"é":"{"word " * (k % 9)}"}}') for k in range(400)]
+    out = records.spool_manifest(spark.createDataFrame(rows[::-1], "category string, path string, line string").repartition(5))
+    want = []
+    for c in "ab":
+        data = "".join(line + "\n" for category, _, line in rows if category == c).encode()
+        want.append((c, sum(r[0] == c for r in rows), len(data), hashlib.sha256(data).hexdigest()))
+    assert sorted(map(tuple, out.collect())) == want
+    assert "rangepartitioning" in out._jdf.queryExecution().executedPlan().toString()
+    empty = records.spool_manifest(spark.createDataFrame([], "category string, path string, line string"))
+    assert empty.collect() == []

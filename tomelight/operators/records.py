@@ -27,6 +27,8 @@ RETRYABLE = ("REFUSAL_DETECTED", "NON_MARKDOWN_JUNK", "SCHEMA_INVALID")
 TRUNCATED = ("max_tokens", "length")
 PROMOTED_DIRS = {"topic": "topics", "concept": "concepts", "entity": "entities", "reference": "sources"}
 SUPPORTED = r"(?i)\.(md|mdx|pdf|html|htm|txt)$"
+#: Bytes of lines that a slice of a spool file holds.
+SLICE_BYTES = 4 << 20
 DOC_CLASS = "^[0-9]{3}-([A-Z]{2}-[A-Z]{4})-"
 
 
@@ -382,24 +384,43 @@ def bundle_lines(subjects: DataFrame) -> DataFrame:
 def spool_manifest(lines: DataFrame) -> DataFrame:
     """category, emitted, bytes, sha256 of each category's spool file: its ``lines`` (category, path, line) by path.
 
-    Lines pass by in sorted batches, so a file of any size takes the memory of a batch.
+    A file's hash is sequential: its bytes pass through one task.  They come there in order and
+    compressed, as sorted ranges that other tasks made, so that task sorts and parses no lines; it
+    takes the memory of a range's slice.
     """
     schema = pa.schema([("category", pa.string()), ("emitted", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
+    packed = pa.schema([("category", pa.string()), ("path", pa.string()), ("emitted", pa.int64()), ("bytes", pa.int64()), ("slice", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, held, size, at, first = pa.Codec("zstd", 9), [], 0, None, None
+        row = lambda: pa.RecordBatch.from_pylist([dict(zip(packed.names, (at, first, len(held), size, codec.compress(b"".join(held), asbytes=True)), strict=True))], schema=packed)
+        for batch in batches:
+            for category, path, line in zip(*(batch.column(c).to_pylist() for c in ("category", "path", "line")), strict=True):
+                if held and (category != at or size >= SLICE_BYTES):
+                    yield row()
+                    held, size = [], 0
+                if not held:
+                    at, first = category, path
+                held.append(line.encode() + b"\n")
+                size += len(held[-1])
+        if held:
+            yield row()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, count, size, digest = None, 0, 0, hashlib.sha256()
+        codec, at, count, size, digest = pa.Codec("zstd"), None, 0, 0, hashlib.sha256()
         done = []
         for batch in batches:
-            for category, line in zip(batch.column("category").to_pylist(), batch.column("line").to_pylist(), strict=True):
-                if category != at:
+            for r in batch.to_pylist():
+                if r["category"] != at:
                     if count:
                         done.append((at, count, size, digest.hexdigest()))
-                    at, count, size, digest = category, 0, 0, hashlib.sha256()
-                raw = line.encode() + b"\n"
-                digest.update(raw)
-                count, size = count + 1, size + len(raw)
+                    at, count, size, digest = r["category"], 0, 0, hashlib.sha256()
+                digest.update(codec.decompress(r["slice"], r["bytes"], asbytes=True))
+                count, size = count + r["emitted"], size + r["bytes"]
         if count:
             done.append((at, count, size, digest.hexdigest()))
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, d, strict=True)) for d in done], schema=schema)
 
-    return lines.select("category", "path", "line").repartition("category").sortWithinPartitions("category", "path").mapInArrow(fold, "category string, emitted long, bytes long, sha256 string")
+    ranges = lines.select("category", "path", "line").repartitionByRange("category", "path").sortWithinPartitions("category", "path")
+    slices = ranges.mapInArrow(pack, "category string, path string, emitted long, bytes long, slice binary")
+    return slices.repartition("category").sortWithinPartitions("category", "path").mapInArrow(fold, "category string, emitted long, bytes long, sha256 string")
