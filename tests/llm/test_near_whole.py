@@ -130,3 +130,19 @@ def test_few_first_bands_change_nothing(spark, monkeypatch):
     for n in (1, 200):
         monkeypatch.setattr(simhash, "FIRST_BANDS", n)
         assert groups(spark, rows) == want
+
+
+def test_fingerprints_find_copies_first(spark):
+    """The near stage links fingerprints and then looks at sketches; equal fingerprints of unlike texts stay apart."""
+    rng = random.Random(5)
+    texts = []
+    for k in range(30):
+        w = [f"b{k}w{j}" for j in range(400)]
+        texts += [" ".join(w), " ".join([*w[:200], "edit", *w[201:]])]
+    line = "same words again and again "
+    texts += [line * 60 + " ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3)]
+    hashes = [simhash.shingle_hashes(t.encode(), simhash.NEAR_SHINGLE) for t in texts]
+    rows = [(simhash.sketch(h), k, int(np.uint64(simhash.majority(h)).astype(np.int64)), k) for k, h in enumerate(hashes)]
+    nodes = spark.createDataFrame([(bytearray(s), k, f, p) for s, k, f, p in rows], "sketch binary, rep long, fp long, party long")
+    got = {tuple(sorted((r["a"], r["b"]))) for r in simhash._print_links(nodes, len(rows), LEAST).collect()}
+    assert got <= {(2 * k, 2 * k + 1) for k in range(30)} and len(got) >= 20

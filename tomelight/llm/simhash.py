@@ -6,10 +6,12 @@ gives each partition its own threshold, -1 (skip) and up.  With thresholds t1..t
 in some partition i, so probing those and verifying whole fingerprints finds every link.  The
 sample below only steers cost: any allocation finds the same links.
 
-Near copies by similarity compare sketches of the shingle sets instead.  Sketches that differ in so
-few bins as a link may are equal in one band of bins at least, so bands find every link.  First, by
-a few bands, every sketch is compared with the least identifier of its group of equal bands; then all
-bands find the links between the parties that this left apart, so copies are not paired again.
+Near copies by similarity are first found the same way: fingerprints of their shingles that are linked
+make candidates, and sketches of the shingle sets say which of these are similar enough.  Similar texts
+may differ in more bits than links do, so what this leaves apart is found by the sketches themselves:
+those that differ in so few bins as a link may are equal in one band of bins at least.  By a few bands
+every sketch is compared with the least identifier of its group of equal bands; then all bands find the
+links between the parties that are left, so copies are not paired again.
 """
 
 from __future__ import annotations
@@ -530,6 +532,15 @@ def _banded(nodes: DataFrame, n_nodes: int, share: float, end: int) -> DataFrame
     return nodes.mapInArrow(_band_rows(share, parts_for(n_nodes * n_bands, BUCKET_SIGNATURES, 4), end), _PARTIES).groupBy("bucket")
 
 
+def _print_links(nodes: DataFrame, n_nodes: int, least: float) -> DataFrame:
+    """Links of sketches whose fingerprints are equal or linked within ``DISTANCE``, each with the least identifier of its own and of its linked fingerprints."""
+    firsts = store(nodes.groupBy("fp").agg(F.min("rep").alias("first")), "reps")
+    edges = _fingerprint_edges(firsts.select("fp"), DISTANCE)
+    linked = edges.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = nodes.join(firsts, "fp").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    return _linked_pairs(linked.unionByName(equal), nodes, least)
+
+
 def _first_links(nodes: DataFrame, n_nodes: int, least: float) -> DataFrame:
     """Links of sketches with the least identifier of a group of equal bands; they only spare later work."""
     pairs = _banded(nodes, n_nodes, least_share(least), FIRST_BANDS).applyInArrow(_pivots, "a long, b long")
@@ -564,8 +575,9 @@ def _probe_plan(reps: DataFrame, distance: int) -> DataFrame:
 def _sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(shingle_hashes(t.as_py().encode("utf-8", "surrogatepass"), shingle)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(found, pa.binary())], names=["doc_id", "text_key", "sketch"])
+            hashes = [shingle_hashes(t.as_py().encode("utf-8", "surrogatepass"), shingle) for t in batch.column("text")]
+            prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(prints), pa.array([sketch(h) for h in hashes], pa.binary())], names=["doc_id", "text_key", "fp", "sketch"])
 
     return run
 
@@ -583,14 +595,14 @@ def _similar_rows(df: DataFrame, shingle: int, similarity: float, id_col: str, t
     """doc_id, text_key (a hash of the text) and party of the rows of ``df`` that have a near copy."""
     base = fill_cores(id_and_text(df, id_col, text_col)).withColumn("text_key", F.xxhash64("text"))
     least = similarity - MARGIN
-    prints = store(base.mapInArrow(_sketches(shingle), "doc_id long, text_key long, sketch binary"), "sketches")
+    prints = store(base.mapInArrow(_sketches(shingle), "doc_id long, text_key long, fp long, sketch binary"), "sketches")
     # Equal sketches are one node; its number holds once it is stored.
-    nodes = prints.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).withColumn("rep", F.monotonically_increasing_id())
+    nodes = prints.groupBy("sketch").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")).withColumn("rep", F.monotonically_increasing_id())
     nodes = store(nodes.withColumn("party", F.col("rep")), "nodes")
     n_nodes = nodes.count()
-    for links in (_first_links, _party_links):
+    for links in (_print_links, _first_links, _party_links):
         roots = connected_components(links(nodes, n_nodes, least)).withColumnRenamed("node", "party")
-        named = nodes.join(roots, "party", "left").select("sketch", "rep", "n", F.coalesce("root", "party").alias("party"))
+        named = nodes.join(roots, "party", "left").select("sketch", "rep", "n", "fp", F.coalesce("root", "party").alias("party"))
         nodes = store(named, "nodes")
     size = nodes.groupBy("party").agg(F.sum("n").alias("size")).filter("size > 1")
     return store(prints.join(nodes.join(size, "party").select("sketch", "party"), "sketch").select("doc_id", "text_key", "party"), "similar")
@@ -626,11 +638,14 @@ def drop_similar(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float =
     return df.join(gone, df[id_col].cast("long").eqNullSafe(gone["_near_id"]) & (key == gone["_near_key"]), "left_anti")
 
 
+def _fingerprint_edges(reps: DataFrame, distance: int) -> DataFrame:
+    """a, b: edges that connect all of the distinct fingerprints ``reps.fp`` that have links within ``distance``."""
+    return _probe_plan(reps, distance).groupBy("bucket").applyInArrow(_link(distance), "a long, b long")
+
+
 def linked_fingerprints(reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """fp, root for distinct fingerprints ``reps.fp`` that have a link within ``distance``."""
-    rows = _probe_plan(reps, distance)
-    edges = rows.groupBy("bucket").applyInArrow(_link(distance), "a long, b long")
-    return connected_components(edges).select(F.col("node").alias("fp"), "root")
+    return connected_components(_fingerprint_edges(reps, distance)).select(F.col("node").alias("fp"), "root")
 
 
 def near_groups(df: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
