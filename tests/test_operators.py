@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
+import re
 import sqlite3
 import uuid
 
@@ -142,6 +144,36 @@ def test_slug_rules_differ(spark):
     assert len(one(spark, T.slug_title("t"), t="x" * 200)) == 80
 
 
+def test_slugs_are_those_of_the_rules(spark):
+    rng = random.Random(15)
+    parts = ["a", "Bc", "9", "-", "--", "_", " ", "\t", "\n", "\r\n", "\x0b", ".", "..", ".Md", "é", "\u212a", "\u0130", "\u2028", "!?", "日本", "x" * 40]
+    names = [None, "", ".", ".md", "a..md", "-.md", "- .- x", "a-.-b", "\u212a", *("".join(rng.choices(parts, k=rng.choice([2, 6, 30, 300]))) for _ in range(400))]
+
+    def dashed(t, other):
+        return re.sub("-+", "-", re.sub("[^a-z0-9-]", other, re.sub(r"[ \t\n\x0b\f\r_]+", "-", t.lower())))
+
+    def link(t):
+        return re.sub(r"^-|-\Z", "", dashed(t, ""))
+
+    def want(t):
+        m = re.search(r"[^.](\.[^.]*)\Z", t)
+        return ((link(t[: m.start(1)] if m else t) or "source") + (m.group(1).lower() if m else ""), link(t) or "item", re.sub(r"^-+|-+\Z", "", dashed(t, "-"))[:80], link(t))
+
+    rows = spark.createDataFrame(list(enumerate(names)), "n int, t string")
+    rules = ("file_slug", "page_slug", "title_slug", "link_slug")
+    for made in (T.slugs(rows, "t").select("n", *rules), rows.select("n", T.slug_file("t"), T.slug_page("t"), T.slug_title("t"), T.slug_link("t"))):
+        for n, *got in made.collect():
+            assert tuple(got) == (want(names[n]) if names[n] is not None else (None,) * 4), names[n]
+
+
+def test_four_slugs_take_few_passes(spark):
+    from tests.conftest import SF
+    from tomelight import catalog
+
+    plan = catalog.queries()["slugify_variants"](ship(spark), SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") <= 6  # 28 before, as each slug began again and named itself twice
+
+
 FM = "---\ntitle: \"A: b\"\ntags:\n  - x\n  - 'y'\nempty: []\nurl: http://h:1/\ntitle: second\n---\n\n  Body"
 
 

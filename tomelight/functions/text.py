@@ -10,7 +10,7 @@ import unicodedata
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRUNCATION_MARKER = "\n\n[...truncated...]"
@@ -62,33 +62,81 @@ def content_hash(text: Column | str) -> Column:
     return F.sha2(F.encode(_c(text), "UTF-8"), 256)
 
 
-def _dashed(text: Column, illegal: str) -> Column:
-    out = F.regexp_replace(F.lower(text), r"[\s_]+", "-")
-    return F.regexp_replace(F.regexp_replace(out, "[^a-z0-9-]", illegal), "-+", "-")
+#: Letters and digits one by one: in Java a class of single characters is a lookup, while ranges beside others are slow.
+_WORDS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+#: The only characters outside ASCII with an ASCII letter in their lower case.
+_LOWER_IN_ASCII = (("\u212a", "k"), ("\u0130", "i"))
+
+
+def _joined(text: Column) -> Column:
+    """``text`` in lower case with a hyphen for each run of spaces, underscores and hyphens, other characters dropped.
+
+    They are dropped first, so that what stood at their sides makes one run and only ASCII is left to
+    lower; marks that are looked for as they stand need no pattern.
+    """
+    out = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), _LOWER_IN_ASCII, text)
+    out = F.lower(F.regexp_replace(out, rf"[^{_WORDS}_ \t\n\x0B\f\r-]+", ""))
+    for mark in "_ \t\n\x0b\f\r":
+        out = F.replace(out, F.lit(mark), F.lit("-"))
+    return F.regexp_replace(out, "--+", "-")
+
+
+def _trimmed_slug(text: Column) -> Column:
+    return F.btrim(text, F.lit("-"))
+
+
+def _or(slug: Column, other: str) -> Column:
+    return F.when(slug == "", other).otherwise(slug)
 
 
 def slug_link(text: Column | str) -> Column:
     """Link targets: other characters are dropped, one hyphen at each end goes."""
-    return F.regexp_replace(_dashed(_c(text), ""), "^-|-$", "")
+    return _trimmed_slug(_joined(_c(text)))
 
 
 def slug_page(text: Column | str) -> Column:
     """Page file names: as for links, and never empty."""
-    slug = slug_link(text)
-    return F.when(slug == "", "item").otherwise(slug)
+    return _or(slug_link(text), "item")
+
+
+#: Longest slug of a promoted page.
+_TITLE_CHARS = 80
 
 
 def slug_title(text: Column | str) -> Column:
-    """Promoted pages and recall cards: other characters become hyphens, at most 80 characters."""
-    return F.substring(F.regexp_replace(_dashed(_c(text), "-"), "^-+|-+$", ""), 1, 80)
+    """Promoted pages and recall cards: other characters become hyphens, at most 80 characters.
+
+    81 runs of letters and digits make more than those, so what follows them is not looked at.
+    """
+    start = F.regexp_extract(_c(text), rf"^((?:[^{_WORDS}]*+[{_WORDS}]++){{0,{_TITLE_CHARS + 1}}}[^{_WORDS}]*+)", 1)
+    return F.substring(_trimmed_slug(F.regexp_replace(F.lower(start), "[^a-z0-9]+", "-")), 1, _TITLE_CHARS)
+
+
+def _stem_and_extension(name: Column) -> tuple[Column, Column]:
+    """A file name up to its last dot, and from there on; all and nothing if no other character stands before that dot."""
+    last = F.substring_index(name, ".", -1)
+    stem = name.substr(F.lit(1), F.length(name) - F.length(last) - 1)
+    ends = (stem != "") & ~stem.endswith(".")
+    return F.when(ends, stem).otherwise(name), F.when(ends, F.concat(F.lit("."), last)).otherwise("")
 
 
 def slug_file(name: Column | str) -> Column:
     """Raw sources: the extension stays; an empty stem becomes ``source``."""
-    name = _c(name)
-    ext = F.regexp_extract(name, r"[^.](\.[^.]*)$", 1)
-    stem = slug_link(F.regexp_replace(name, r"([^.])\.[^.]*$", "$1"))
-    return F.concat(F.when(stem == "", "source").otherwise(stem), F.lower(ext))
+    stem, ext = _stem_and_extension(_c(name))
+    return F.concat(_or(slug_link(stem), "source"), F.lower(ext))
+
+
+def slugs(names: DataFrame, name: str) -> DataFrame:
+    """``names`` with file_slug, page_slug, title_slug and link_slug of the column ``name``, as the four rules have them.
+
+    Stem and extension are joined once each: the whole name's slug is made of theirs, in which two
+    hyphens may meet.
+    """
+    stem, ext = _stem_and_extension(F.col(name))
+    parts = names.withColumns({"_stem": stem, "_ext": ext, "title_slug": slug_title(name)})
+    parts = parts.withColumns({"_stem": _joined(F.col("_stem")), "_all": _joined(F.col("_ext"))})
+    parts = parts.withColumns({"_stem": _trimmed_slug(F.col("_stem")), "link_slug": _trimmed_slug(F.replace(F.concat("_stem", "_all"), F.lit("--"), F.lit("-")))})
+    return parts.withColumns({"file_slug": F.concat(_or(F.col("_stem"), "source"), F.lower("_ext")), "page_slug": _or(F.col("link_slug"), "item")}).drop("_stem", "_ext", "_all")
 
 
 def slug_tag(text: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..functions import text as T
 from ..operators import filters as P
+from ..session import fill_cores
 from .core_queries import _SLUG
 from .registry import query
 
@@ -25,8 +26,8 @@ _T = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '_' ELSE ' ' EN
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    t = F.concat(F.when(k % 4 == 0, "").when(k % 4 == 1, "_").otherwise(" "), F.regexp_replace("text", "\n", " "), F.when(k % 3 == 0, "!.MD").otherwise(""))
-    return _docs(spark, d).select("doc_id", t.alias("t")).unionByName(V.table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), F.lit("?? .md").alias("t")))
+    t = F.concat(F.when(k % 4 == 0, "").when(k % 4 == 1, "_").otherwise(" "), F.replace("text", F.lit("\n"), F.lit(" ")), F.when(k % 3 == 0, "!.MD").otherwise(""))
+    return fill_cores(_docs(spark, d).select("doc_id", "text")).select("doc_id", t.alias("t")).unionByName(V.table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), F.lit("?? .md").alias("t")))
 
 
 _STEM = _SLUG.format("regexp_replace(t, '([^.])\\.[^.]*$', '\\1')")
@@ -37,7 +38,7 @@ _STEM = _SLUG.format("regexp_replace(t, '([^.])\\.[^.]*$', '\\1')")
   CASE WHEN {_SLUG.format('t')} = '' THEN 'item' ELSE {_SLUG.format('t')} END AS page_slug, substring(regexp_replace({_HYPHEN.format('t')}, '^-+|-+$', '', 'g'), 1, 80) AS title_slug, {_SLUG.format('t')} AS link_slug FROM {_T}"""
 )
 def slugify_variants(spark: SparkSession, d: str) -> DataFrame:
-    return _titles(spark, d).select("doc_id", T.slug_file("t").alias("file_slug"), T.slug_page("t").alias("page_slug"), T.slug_title("t").alias("title_slug"), T.slug_link("t").alias("link_slug"))
+    return T.slugs(_titles(spark, d), "t").select("doc_id", "file_slug", "page_slug", "title_slug", "link_slug")
 
 
 _NORM = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
