@@ -174,6 +174,30 @@ def test_four_slugs_take_few_passes(spark):
     assert plan.count("regexp_") <= 6  # 28 before, as each slug began again and named itself twice
 
 
+def test_cards_are_cut_at_headings_after_newlines(spark):
+    rng = random.Random(16)
+    parts = ["## Question", "## Answer", "## Question one", "## Answer\n", "\n", "\n", "\r\n", "\r", "\u2028", "\x85", " ", "\t", "x", "é y", "\n\n## Question\n", "\n## Answer\n"]
+    bodies = [None, "", "## Question\n## Answer\na", "## Question\nq\n## Answer", "## Question\nq\u2028## Answer\nnot yet\n## Answer\na", "## Question\n \n## Answer\na\n## Question\nq\n## Answer\nb", *("".join(rng.choices(parts, k=rng.choice([4, 9, 30]))) for _ in range(500))]
+
+    def want(body):
+        m = re.search(r"(?m)^## Question[^\n]*\n([\s\S]*?)^## Answer[^\n]*\n([\s\S]*)", body or "")
+        cut = [re.sub("\r?\n", "<br>", x.strip(" \t\n\x0b\f\r").replace("\t", "    ")) for x in m.groups()] if m else [""]
+        return tuple(cut) if all(cut) else None
+
+    cards = spark.createDataFrame([(n, "My Topic.md", "s/x", b) for n, b in enumerate(bodies)], "path int, topic string, source string, body string")
+    got = {r["path"]: (r["question"], r["answer"]) for r in exports.anki_cards(cards).collect()}
+    assert got == {n: want(b) for n, b in enumerate(bodies) if want(b)} and len(got) > 50
+    assert {r["tags"] for r in exports.anki_cards(cards, "My Topic.md").collect()} == {"topic:my-topic source:s-x"} and exports.anki_cards(cards, "other").count() == 0
+
+
+def test_cards_are_cut_once(spark):
+    from tests.conftest import SF
+    from tomelight import catalog
+
+    plan = catalog.queries()["anki_export"](ship(spark), SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan and r"[\s\S]" not in plan  # the filter on both fields made them once more, by patterns
+
+
 FM = "---\ntitle: \"A: b\"\ntags:\n  - x\n  - 'y'\nempty: []\nurl: http://h:1/\ntitle: second\n---\n\n  Body"
 
 

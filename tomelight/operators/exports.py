@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,15 +17,37 @@ def _trimmed(x):
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
+def _from(text: Column, mark: str, skip: int) -> Column:
+    """``text`` from ``skip`` characters after the start of the first ``mark``, null without one."""
+    at = F.instr(text, mark)
+    return F.when(at > 0, text.substr(at + skip, F.length(text)))
+
+
+def _escaped(section: Column) -> Column:
+    out = F.btrim(section, F.lit(" \t\n\x0b\f\r"))
+    for mark, other in (("\t", "    "), ("\r\n", "<br>"), ("\n", "<br>")):
+        out = F.replace(out, F.lit(mark), F.lit(other))
+    return out
+
+
 def anki_cards(cards: DataFrame, topic: str | None = None, key: str = "path") -> DataFrame:
-    """key, question, answer, tags of cards with both sections in order; fields escaped for TSV."""
+    """key, question, answer, tags of cards with both sections in order; fields escaped for TSV.
+
+    Headings are looked for as they stand after a newline, one after the other, each in a projection
+    of its own, so that a text is cut once.  A card is exploded from its two fields: a filter on them
+    would move below the projections and do their work again.
+    """
     if topic is not None:
         cards = cards.filter(F.col("topic") == topic)
-    escape = lambda x: F.trim(F.regexp_replace(F.replace(_trimmed(x), F.lit("\t"), F.lit("    ")), "\r?\n", "<br>"))
-    q = F.regexp_extract("body", r"(?m)^## Question[^\n]*\n([\s\S]*?)^## Answer", 1)
-    a = F.regexp_extract("body", r"(?m)^## Question[^\n]*\n[\s\S]*?^## Answer[^\n]*\n([\s\S]*)", 1)
     tags = F.concat(F.lit("topic:"), T.slug_tag("topic"), F.lit(" source:"), T.slug_tag("source"))
-    return cards.select(key, escape(q).alias("question"), escape(a).alias("answer"), tags.alias("tags")).filter("question <> '' AND answer <> ''")
+    question, answer, t = "\n## Question", "\n## Answer", F.col("_t")
+    cut = cards.select(key, tags.alias("tags"), F.concat(F.lit("\n"), "body").alias("_t"))
+    cut = cut.select(key, "tags", _from(t, question, len(question)).alias("_t"))
+    cut = cut.select(key, "tags", _from(t, "\n", 0).alias("_t"))
+    cut = cut.select(key, "tags", F.when(F.instr(t, answer) > 0, t.substr(F.lit(1), F.instr(t, answer) - 1)).alias("_q"), _from(t, answer, len(answer)).alias("_t"))
+    cut = cut.select(key, "tags", _escaped(F.col("_q")).alias("question"), _escaped(_from(t, "\n", 1)).alias("answer"))
+    whole = F.when((F.col("question") != "") & (F.col("answer") != ""), F.array(F.struct("question", "answer", "tags")))
+    return cut.select(key, F.explode(whole).alias("card")).select(key, "card.question", "card.answer", "card.tags")
 
 
 def page_index(pages: DataFrame) -> DataFrame:

@@ -408,7 +408,7 @@ def anki_export(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     card = F.concat(F.lit("# Card\n## Question one\n"), "text", F.lit("\t?\n## Answer\n"), "text", F.lit("\nend"))
     body = F.when(k % 5 == 0, "no sections").when(k % 5 == 1, "## Answer\na\n## Question\nq").otherwise(card)
-    cards = _docs(spark, d).select("doc_id", F.col("lang").alias("topic"), "source", body.alias("body"))
+    cards = fill_cores(_docs(spark, d).select("doc_id", "text", "lang", "source")).select("doc_id", F.col("lang").alias("topic"), "source", body.alias("body"))
     return anki_cards(cards, key="doc_id")
 
 
