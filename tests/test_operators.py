@@ -247,6 +247,39 @@ def test_disclosure(spark, text, kind, match):
     assert (found.category, found.match) == (kind, match) if kind else found is None
 
 
+def test_disclosures_are_found_as_without_the_check_of_starts(spark):
+    def pattern(phrases):
+        each = (("(?<![A-Za-z0-9_])" if a else "") + words + ("(?![A-Za-z0-9_])" if b else "") for words, a, b in phrases)
+        return re.compile("(" + "|".join(each).replace(r"\s", f"[{T.SPACE}]") + ")", re.IGNORECASE | re.ASCII)
+
+    comp, pii = pattern(filters.COMPENSATION), pattern(filters.PERSONAL)
+    rng = random.Random(17)
+    parts = "1 12 123 1/2 50/50 split share 7 - bucket revenue equity stakes grant option vesting RSU rsus stock options strike price Salary base pay take home launch signing sign on bonus 123-45-6789 SSN social security number no background check passed date of birth DOB : = x é _".split() + [" ", " ", "\u00a0", "\n", "-"]
+    texts = ["".join(x + rng.choice(["", " ", " ", "-"]) for x in rng.choices(parts, k=rng.choice([2, 4, 8]))) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", filters.disclosure(F.col("t")).alias("f")).collect()
+    kinds = set()
+    for n, f in rows:
+        t = texts[n].replace("\u00a0", " ")
+        c, p = comp.search(t), pii.search(t)
+        assert f == (("comp", c.group()) if c else ("pii", p.group()) if p else None), texts[n]
+        kinds.add(f and f[0])
+    assert kinds == {"comp", "pii", None}
+
+
+def test_disclosures_are_looked_for_once(spark):
+    from tests.conftest import SF
+    from tomelight import catalog
+
+    plan = catalog.queries()["disclosure_scan"](ship(spark), SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 2  # 4 before: one to compare and one to return, of either kind
+
+
+def test_class_of_changing_characters_is_a_lookup():
+    before = re.compile(r"[^\x00-\x9f¡-§©«¬®°±¶·»¿-ÿ]")
+    assert all(bool(before.match(chr(c))) == bool(re.match(T._MAY_CHANGE, chr(c))) for c in range(0x11000))
+    assert not re.search("[^x]-", T._MAY_CHANGE) and "A-Z" not in T.WORD_START + T.WORD_END
+
+
 def test_compatibility_form(spark):
     from tomelight.functions.text import nfkc
 

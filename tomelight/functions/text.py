@@ -27,10 +27,12 @@ def bounded(words: str) -> str:
 
 #: White space as ECMAScript's ``\\s`` and ``trim`` have it, for use in a character class.
 SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Letters and digits one by one: in Java a class of single characters is a lookup, while ranges beside others are slow.
+_WORDS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 #: What stands at either side of a word of ASCII word characters.
-WORD_START, WORD_END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-#: A character outside those that are in compatibility composition form whatever stands beside them.
-_MAY_CHANGE = r"[^\x00-\x9f¡-§©«¬®°±¶·»¿-ÿ]"
+WORD_START, WORD_END = f"(?<![{_WORDS}_])", f"(?![{_WORDS}_])"
+#: A character outside those that are in compatibility composition form whatever stands beside them, which are given one by one too.
+_MAY_CHANGE = "[^" + "".join(f"\\x{c:02x}" for c in (*range(0xA0), *range(0xA1, 0xA8), *b"\xa9\xab\xac\xae\xb0\xb1\xb6\xb7\xbb", *range(0xBF, 0x100))) + "]"
 
 
 def trimmed(text: Column | str) -> Column:
@@ -62,8 +64,6 @@ def content_hash(text: Column | str) -> Column:
     return F.sha2(F.encode(_c(text), "UTF-8"), 256)
 
 
-#: Letters and digits one by one: in Java a class of single characters is a lookup, while ranges beside others are slow.
-_WORDS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 #: The only characters outside ASCII with an ASCII letter in their lower case.
 _LOWER_IN_ASCII = (("\u212a", "k"), ("\u0130", "i"))
 

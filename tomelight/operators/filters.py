@@ -25,6 +25,9 @@ PERSONAL = (
     (r"\d{3}-\d{2}-\d{4}", True, True), ("SSN", True, True), ("social security (?:number|no)", False, True), ("background[- ]check (?:result|report|passed|failed)", False, True),
     ("date of birth", False, True), (r"DOB\s*[:=]", True, False),
 )
+#: The two characters that each of those begins with, checked before any phrase is tried.
+COMPENSATION_STARTS = "(?=[0-9revsbtl][-0-9/ esqtia])(?=[0-9]|r[es]|eq|ve|s[tai]|[btl]a)"
+PERSONAL_STARTS = "(?=[0-9sbd][0-9sao])(?=[0-9]|s[so]|ba|d[ao])"
 INJECTIONS = (r"ignore\s+(all\s+)?previous\s+instructions", r"ignore\s+the\s+above", r"system\s*prompt", r"you\s+are\s+now", r"disregard\s+(all\s+)?prior")
 SECRETS = (r"sk-ant-[A-Za-z0-9_-]+", r"sk-[A-Za-z0-9_-]{20,}", r"Bearer\s+[A-Za-z0-9._-]+")
 SECRET_VALUE = r"^(sk-ant-|sk-|Bearer\s)"
@@ -87,19 +90,21 @@ def output_code(content: Column) -> Column:
     )
 
 
-def _phrases(phrases: tuple[tuple[str, bool, bool], ...]) -> str:
+def _phrases(starts: str, phrases: tuple[tuple[str, bool, bool], ...]) -> str:
     each = (f"{T.WORD_START if before else ''}{words}{T.WORD_END if after else ''}" for words, before, after in phrases)
-    return "(?i)(" + "|".join(each).replace(r"\s", f"[{T.SPACE}]") + ")"
+    return f"(?i){starts}(" + "|".join(each).replace(r"\s", f"[{T.SPACE}]") + ")"
 
 
 def disclosure(text: Column) -> Column:
     """What a text discloses first: (category, match), null if nothing; compensation wins over personal data.
 
     The text is taken in its compatibility form, so variants of characters count as what they vary.
+    Both kinds are looked for once each, in an array of which the first that is found is taken.
     """
     form = T.nfkc(text)
-    found = [(name, F.regexp_extract(form, _phrases(p), 1)) for name, p in (("comp", COMPENSATION), ("pii", PERSONAL))]
-    return reduce(lambda out, x: F.when(x[1] != "", F.struct(F.lit(x[0]).alias("category"), T.trimmed(x[1]).alias("match"))).otherwise(out), reversed(found), F.lit(None).cast("struct<category:string,match:string>"))
+    kinds = (("comp", COMPENSATION_STARTS, COMPENSATION), ("pii", PERSONAL_STARTS, PERSONAL))
+    found = (F.struct(F.lit(name).alias("category"), T.trimmed(F.regexp_extract(form, _phrases(starts, p), 1)).alias("match")) for name, starts, p in kinds)
+    return F.get(F.filter(F.array(*found), lambda x: x["match"] != ""), F.lit(0))
 
 
 def injections(text: Column) -> Column:

@@ -195,7 +195,7 @@ _ADD = ("", " a 60/40 split ", " revenue-share 50%", " Equity 25% each ", " xDOB
 
 
 def _laced(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.concat("text", V.pick(_ADD, F.col("doc_id") % len(_ADD))).alias("text"))
+    return fill_cores(_docs(spark, d).select("doc_id", "text")).select("doc_id", F.concat("text", V.pick(_ADD, F.col("doc_id") % len(_ADD))).alias("text"))
 
 
 _LACED = f"(SELECT doc_id, text || [{', '.join(repr(a) for a in _ADD)}][doc_id % {len(_ADD)} + 1] AS text FROM documents)"
